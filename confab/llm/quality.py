@@ -7,7 +7,7 @@ lines above the limits are host boilerplate. A document of which less than
 ``min_kept_share`` of the words is left without such lines is depleted and rejected.
 
 Copies must not make a text look like boilerplate, so documents are counted by a sketch,
-the smallest hash among a document's other lines: copies and near copies share it,
+the hash of the longest of a document's other lines: copies and most near copies share it,
 unrelated documents do not. A line is above the limits if its sketches number at least
 ``min_docs`` and at least ``min_share`` of the host's documents, and at least
 ``min_distinct`` of the documents holding it.
@@ -82,13 +82,16 @@ def text_stats(text: str) -> tuple[int, int, int, int, int]:
 def line_hashes(text: str) -> list[tuple[int, int, int]]:
     """(hash, sketch, words) of each distinct normalised line with a word."""
     words: dict[int, int] = {}
+    size: dict[int, int] = {}
     for line in text.encode("utf-8").lower().translate(_DIGITS).split(b"\n"):
         parts = line.split()
         if parts:
             h = xxhash.xxh64_intdigest(b" ".join(parts)) - (1 << 63)
             words[h] = words.get(h, 0) + len(parts)
-    low = sorted(words)[:2] + [0, 0]
-    return [(h, low[1] if h == low[0] else low[0], n) for h, n in words.items()]
+            size[h] = len(parts)
+    longest = sorted(words, key=lambda h: (size[h], h))[-2:]
+    first, second = longest[-1] if longest else 0, longest[0] if len(longest) > 1 else 0
+    return [(h, second if h == first else first, n) for h, n in words.items()]
 
 
 STATS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long"
@@ -111,7 +114,7 @@ def document_stats(docs: DataFrame) -> DataFrame:
     return picked.mapInArrow(scan, f"doc_id long, source string, key binary, {STATS}, lines array<struct<h:bigint,sketch:bigint,words:bigint>>")
 
 
-def frequent_lines(stats: DataFrame, min_docs: int = 10, min_share: float = 0.001, min_distinct: float = 0.5) -> DataFrame:
+def frequent_lines(stats: DataFrame, min_docs: int = 10, min_share: float = 0.001, min_distinct: float = 0.6) -> DataFrame:
     """(host, h) of lines above the limits; ``host`` is the source, '-' before a null one's place."""
     lines = stats.select(_host(), F.explode("lines").alias("line")).select("host", "line.h", "line.sketch")
     counted = lines.groupBy("host", "h", "sketch").agg(F.count("*").alias("n")).groupBy("host", "h").agg(F.count("*").alias("sketches"), F.sum("n").alias("docs"))
