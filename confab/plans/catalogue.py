@@ -1,4 +1,6 @@
-"""All queries of the engine and their SQL, by name."""
+"""All queries of the engine's own operators, and their SQL."""
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from . import corrections, people, records, transcripts  # noqa: F401  they register their queries
+from .registry import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]

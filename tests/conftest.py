@@ -1,5 +1,6 @@
 import os
 import sys
+import tempfile
 from pathlib import Path
 
 import pytest
@@ -9,21 +10,27 @@ sys.path.insert(0, str(HERE))
 os.environ["PYTHONPATH"] = f"{HERE}:{os.environ.get('PYTHONPATH', '')}"
 
 
-@pytest.fixture(scope="session")
-def spark(tmp_path_factory):
+def session():
     from pyspark.sql import SparkSession
 
-    session = (
+    spark = (
         SparkSession.builder.master("local[4]")
         .config("spark.sql.shuffle.partitions", "4")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "4g")
         .config("spark.sql.session.timeZone", "UTC")
-        .config("spark.checkpoint.dir", f"file://{tmp_path_factory.mktemp('shared')}")
+        .config("spark.checkpoint.dir", f"file://{tempfile.mkdtemp(prefix='spark-')}")
+        .config("spark.sql.warehouse.dir", tempfile.mkdtemp(prefix="spark-"))
         .getOrCreate()
     )
-    session.sparkContext.setLogLevel("ERROR")
-    yield session
+    spark.sparkContext.setLogLevel("ERROR")
+    return spark
+
+
+@pytest.fixture(scope="session")
+def spark():
+    return session()
 
 
 @pytest.fixture(scope="session")
