@@ -39,7 +39,7 @@ ROLES = ("system", "user", "assistant")
 ALIASES = {"system": 0, "developer": 0, "user": 1, "human": 1, "prompter": 1, "assistant": 2, "gpt": 2, "bot": 2, "model": 2, "ai": 2}
 #: States: before the first turn, then the role of the last turn.
 START, SYSTEM, USER, ASSISTANT = range(4)
-MERGE, INSERT, RELABEL, DEMOTE, UNKNOWN = 1, 3, 4, 2, 1
+MERGE, INSERT, RELABEL, UNKNOWN = 1, 3, 4, 1
 #: Which role may directly follow which state.
 NEXT = {START: {0, 1}, SYSTEM: {1}, USER: {2}, ASSISTANT: {1}}
 OPEN, CLOSE, MARK = "<|im_start|>", "<|im_end|>\n", "<|im_"
@@ -70,7 +70,7 @@ def known_role(role: str | None) -> int:
 
 
 def relabel_cost(role: int, to: int) -> int:
-    return UNKNOWN if role < 0 else 0 if role == to else DEMOTE if (role, to) == (0, 1) else RELABEL
+    return UNKNOWN if role < 0 else 0 if role == to else RELABEL
 
 
 def turn_costs(conv, turn, role: str | None, text: str | None) -> list[int]:
