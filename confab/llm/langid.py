@@ -37,7 +37,8 @@ FLOOR = 1e-7
 
 
 def letter_words(text: str | None) -> list[str]:
-    return _WORD.findall(text.lower()) if text else []
+    # \w also has numbers that are no digits, such as a superscript two
+    return [w for w in _WORD.findall(text.lower()) if w.isalpha() or any(map(str.isalpha, w))] if text else []
 
 
 def chunks(word: str) -> list[bytes]:

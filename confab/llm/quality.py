@@ -82,14 +82,15 @@ def text_stats(text: str) -> tuple[int, int, int, int, int]:
 def line_hashes(text: str) -> list[tuple[int, int, int]]:
     """(hash, sketch, words) of each distinct normalised line with a word."""
     words: dict[int, int] = {}
-    size: dict[int, int] = {}
+    rank: dict[int, tuple[int, bytes]] = {}
     for line in text.encode("utf-8").lower().translate(_DIGITS).split(b"\n"):
         parts = line.split()
         if parts:
-            h = xxhash.xxh64_intdigest(b" ".join(parts)) - (1 << 63)
+            line = b" ".join(parts)
+            h = xxhash.xxh64_intdigest(line) - (1 << 63)
             words[h] = words.get(h, 0) + len(parts)
-            size[h] = len(parts)
-    longest = sorted(words, key=lambda h: (size[h], h))[-2:]
+            rank[h] = (len(parts), line)
+    longest = sorted(words, key=rank.__getitem__)[-2:]
     first, second = longest[-1] if longest else 0, longest[0] if len(longest) > 1 else 0
     return [(h, second if h == first else first, n) for h, n in words.items()]
 

@@ -54,4 +54,45 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_chat_format, op2_simhash, op3_html_text, op4_secrets, op5_mixing, op6_quality, op7_warc, op8_decontaminate, op9_token_binary, op10_language_id)}
-ORACLES: dict[str, str] = {}
+
+_SPACE = r"[ \t\n\x0b\f\r]+"
+_ASCII_LOWER = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
+
+_QUALITY = rf"""
+with d as (select doc_id, coalesce('=' || source, '-') as host, coalesce(text, '') as text from documents),
+w as (select doc_id, text, regexp_extract_all(text, '[^ \t\n\x0b\f\r]+') as ws from d),
+win as (select doc_id, i, array_to_string(ws[i:i + 7], ' ') as g from (select doc_id, ws, unnest(range(1, len(ws) - 6)) as i from w)),
+rep as (select doc_id, count(distinct p) as n from (select doc_id, unnest(range(i, i + 8)) as p from win where (doc_id, g) in (select doc_id, g from win group by all having count(*) > 1)) group by 1),
+raw as (select doc_id, unnest(string_split(text, chr(10))) as line from d),
+dup as (select doc_id, count(*) - count(distinct line) as n from raw where regexp_replace(line, '{_SPACE}', '', 'g') <> '' group by 1),
+norm as (select doc_id, trim(regexp_replace(translate(translate(line, {_ASCII_LOWER}), '123456789', '000000000'), '{_SPACE}', ' ', 'g')) as line from raw),
+ln as (select doc_id, line, count(*) * len(string_split(line, ' ')) as words, len(string_split(line, ' ')) as size from norm where line <> '' group by doc_id, line),
+rk as (select *, row_number() over (partition by doc_id order by size desc, line desc) as r from ln),
+sk as (select rk.*, d.host, case when r = 1 then max(line) filter (where r = 2) over (partition by doc_id) else max(line) filter (where r = 1) over (partition by doc_id) end as sketch from rk join d using (doc_id)),
+fq as (select host, line, count(distinct coalesce(sketch, '')) as sketches, count(*) as docs from sk group by all),
+hs as (select host, count(*) as host_docs from d group by 1),
+bad as (select host, line from fq join hs using (host) where sketches >= 10 and sketches >= 0.6e0 * docs and sketches >= 0.001e0 * host_docs),
+cut as (select doc_id, sum(words)::bigint as n from sk semi join bad using (host, line) group by 1),
+s as (select w.doc_id, len(ws) as n_words, length(regexp_replace(w.text, '{_SPACE}', '', 'g')) as word_chars, len(regexp_extract_all(w.text, '[#*$%&|<>]')) as n_symbols, coalesce(dup.n, 0) as n_dup_lines, coalesce(rep.n, 0) as n_repeat_words, coalesce(cut.n, 0) as n_frequent_words
+  from w left join dup using (doc_id) left join rep using (doc_id) left join cut using (doc_id))
+select *, n_words < 20 or 100 * n_repeat_words > 30 * n_words as base_failed, not (n_words < 20 or 100 * n_repeat_words > 30 * n_words) and n_words - n_frequent_words >= 0.3e0 * n_words as kept from s
+"""
+
+_WARC = """
+with p as (select page_id, coalesce(html, '') as html from pages), f as (select page_id, strlen(html) as payload_bytes, sha256(html) as payload_digest, min(page_id) over (partition by sha256(html)) as first from p)
+select page_id, payload_bytes, payload_digest, case when payload_bytes >= 100 and page_id <> first then 'revisit' else 'response' end as record_type, case when payload_bytes >= 100 and page_id <> first then first end as refers_to from f
+"""
+
+_CONTAMINATION = rf"""
+with d as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), {_ASCII_LOWER}), '[0-9a-z\x{{80}}-\x{{10FFFF}}]+') as ws from documents),
+b as (select cast(item_id as varchar) as item, regexp_extract_all(translate(coalesce(text, ''), {_ASCII_LOWER}), '[0-9a-z\x{{80}}-\x{{10FFFF}}]+') as ws from benchmark),
+bw as (select distinct item, least(13, len(ws)) as n, array_to_string(ws[i:i + least(13, len(ws)) - 1], ' ') as g from (select item, ws, unnest(range(1, greatest(len(ws) - 12, 1) + 1)) as i from b where len(ws) > 0)),
+dw as (select doc_id, i, n, array_to_string(ws[i:i + n - 1], ' ') as g from (select doc_id, ws, n, unnest(range(1, len(ws) - n + 2)) as i from d, (select distinct n from bw))),
+h as (select doc_id, i, bw.n, item from dw join bw using (g)),
+c as (select doc_id, count(distinct p) as n_hit from (select doc_id, unnest(range(i, i + n)) as p from h) group by 1),
+k as (select doc_id, count(*) as n_items, string_agg(item, ',' order by item) as ids from (select distinct doc_id, item from h) group by 1)
+select d.doc_id, len(ws) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items, sha256(coalesce(ids, '')) as items_sha256, coalesce(n_hit, 0) > 0 and 20 * coalesce(n_hit, 0) >= len(ws) as contaminated from d left join c using (doc_id) left join k using (doc_id)
+"""
+
+#: SQL of the queries that SQL can express; the others rest on hashes, tokenizers, markup or dynamic programmes.
+ORACLES: dict[str, str] = {"op6_quality": _QUALITY, "op7_warc": _WARC, "op8_decontaminate": _CONTAMINATION}
