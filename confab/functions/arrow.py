@@ -65,37 +65,44 @@ def composed(texts: pa.Array) -> pa.Array:
     return pc.utf8_normalize(texts, form="NFC")
 
 
+_TOTAL, _DELETED = 42, 21  # bits of a cell: substitutions, then deletions, then the total
+
+
 def edit_counts(reference: list, hypothesis: list) -> tuple[int, int, int]:
     """(substitutions, deletions, insertions) of a cheapest edit; of equally cheap steps at a
     cell, substitution comes before deletion and deletion before insertion.
 
-    One row of the table at a time. A substitution's and a deletion's cells come from the row
-    above, so they are taken for the whole row by numpy; only insertions run along the row.
-    """
+    Cells of a diagonal depend on the two diagonals before it only, so each is one pass of
+    numpy. A cell holds its three counts in one integer. Equal tokens at the end cost nothing
+    and are cut first; those at the start are not, as they can change which edit is found."""
+    n, m = len(reference), len(hypothesis)
+    while n and m and reference[n - 1] == hypothesis[m - 1]:
+        n, m = n - 1, m - 1
+    if not n or not m:
+        return 0, n, m
     codes: dict = {}
-    ref = [codes.setdefault(x, len(codes)) for x in reference]
-    hyp = np.array([codes.setdefault(x, len(codes)) for x in hypothesis], np.int64)
-    m = len(hyp)
-    # columns: substitutions, deletions, insertions
-    row = np.zeros((m + 1, 3), np.int64)
-    row[:, 2] = np.arange(m + 1)
-    for i, r in enumerate(ref, 1):
-        same = hyp == r
-        step = row[:-1].copy()
-        step[~same, 0] += 1
-        down = row[1:].copy()
-        down[:, 1] += 1
-        lower = ~same & (down.sum(axis=1) < step.sum(axis=1))
-        step[lower] = down[lower]
-        row = np.concatenate(([[0, i, 0]], step))
-        cost = row.sum(axis=1).tolist()
-        for j in range(1, m + 1):
-            if not same[j - 1] and cost[j - 1] + 1 < cost[j]:
-                row[j] = row[j - 1]
-                row[j, 2] += 1
-                cost[j] = cost[j - 1] + 1
-    s, d, n = row[m].tolist()
-    return s, d, n
+    ref = np.array([codes.setdefault(x, len(codes)) for x in reference[:n]], np.int32)
+    hyp = np.array([codes.setdefault(x, len(codes)) for x in hypothesis[:m]], np.int32)[::-1].copy()
+    substitute, delete, insert = (1 << _TOTAL) + 1, (1 << _TOTAL) + (1 << _DELETED), 1 << _TOTAL
+    older, old = np.zeros(n + 1, np.int64), np.zeros(n + 1, np.int64)
+    for k in range(1, n + m + 1):
+        new = np.empty(n + 1, np.int64)
+        lo, hi = max(1, k - m), min(n, k - 1)
+        if lo <= hi:
+            best = older[lo - 1 : hi]
+            same = ref[lo - 1 : hi] == hyp[m - k + lo : m - k + hi + 1]
+            cell = best + substitute
+            for other in (old[lo - 1 : hi] + delete, old[lo : hi + 1] + insert):
+                cell = np.where(other >> _TOTAL < cell >> _TOTAL, other, cell)
+            new[lo : hi + 1] = np.where(same, best, cell)
+        if k <= m:
+            new[0] = k * insert
+        if k <= n:
+            new[k] = k * delete
+        older, old = old, new
+    total, mask = int(old[n]), (1 << _DELETED) - 1
+    s, d = total & mask, total >> _DELETED & mask
+    return s, d, (total >> _TOTAL) - s - d
 
 
 EDITS = "struct<substitutions:bigint,deletions:bigint,insertions:bigint>"
