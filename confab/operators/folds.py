@@ -1,6 +1,6 @@
 """Order-dependent folds: what one row decides depends on all decisions before it.
 
-Spark groups by meeting and sorts; each group is folded by a small function. A group is one
+Spark deals rows out by meeting and sorts them; each meeting is folded by a small function. A group is one
 recording, so it is bounded by the length of a meeting, not by the table.
 """
 
@@ -8,22 +8,50 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Iterable
+from itertools import groupby
+from operator import itemgetter
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import _parse_datatype_string
 
 from confab.functions.arrow import base_form, matching_ratio
 
 
-def fold(df: DataFrame, key: str, order: list[str], step: Callable[[pd.DataFrame], Iterable[tuple]], schema: str, key_type: str = "long") -> DataFrame:
-    """``step`` over each key's sorted rows; its tuples become rows, after the key."""
-    names = [key, *(c.strip().split(" ")[0] for c in schema.split(", "))]
-
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        rows = group.sort_values(order, kind="stable")
-        return pd.DataFrame([(group[key].iloc[0], *r) for r in step(rows)], columns=names)
-
-    return df.groupBy(key).applyInPandas(run, f"{key} {key_type}, {schema}")
+def fold(df: DataFrame, key: str, order: list[str], step: Callable[[dict[str, list]], Iterable[tuple]], schema: str, key_type: str = "long") -> DataFrame:
+    """``step`` over the columns of each key's sorted rows; its tuples become rows, after the key.
+
+    Rows are dealt by key and sorted by Spark, then read as a stream: a task holds one key's rows
+    at a time, and a small group costs no more than its rows."""
+    names = df.columns
+    ddl = f"{key} {key_type}, {schema}"
+    out = to_arrow_schema(_parse_datatype_string(ddl))
+
+    def groups(batches):
+        held: list[list] = []
+        for batch in batches:
+            rows = list(zip(*(c.to_pylist() for c in batch.columns)))
+            for same, part in groupby(rows, key=itemgetter(names.index(key))):
+                if held and held[0][names.index(key)] != same:
+                    yield held
+                    held = []
+                held += part
+        if held:
+            yield held
+
+    def run(batches):
+        ready: list[tuple] = []
+        for rows in groups(batches):
+            columns = dict(zip(names, map(list, zip(*rows))))
+            ready += [(columns[key][0], *r) for r in step(columns)]
+            if len(ready) > 5000:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*ready), out)], schema=out)
+                ready = []
+        if ready:
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*ready), out)], schema=out)
+
+    return df.repartition(key).sortWithinPartitions(key, *order).mapInArrow(run, ddl)
 
 
 # --- windows --------------------------------------------------------------------------
@@ -134,8 +162,8 @@ def inherited_languages(windows: DataFrame, key: str = "meeting_id", shortest: f
 
     def step(rows):
         before = None
-        for at, length, own in zip(rows["window"], rows["end_s"] - rows["start_s"], rows["language"]):
-            taken = length < shortest and before is not None
+        for at, start, end, own in zip(*(rows[c] for c in ("window", "start_s", "end_s", "language"))):
+            taken = end - start < shortest and before is not None
             before = before if taken else own
             yield at, before, taken
 
@@ -194,9 +222,9 @@ def chunks(lines: DataFrame, key: str = "meeting_id", budget: int = 2300, overla
     """lines: key, idx, line, turn_start. A line costs its tokens and one for its break."""
 
     def step(rows):
-        texts = rows["line"].tolist()
+        texts = rows["line"]
         costs = [math.ceil(len(t) / chars_per_token) + 1 for t in texts]
-        at = rows["idx"].tolist()
+        at = rows["idx"]
         turns = {k for k, t in enumerate(rows["turn_start"]) if t}
         for k, (first, fresh, last) in enumerate(chunk_lines(costs, turns, budget, overlap)):
             yield k, at[first], at[fresh], at[last], "\n".join(texts[first : last + 1])
@@ -256,11 +284,8 @@ def merged_items(items: DataFrame, key: str = "meeting_id", order: str = "pos")
     """items: key, pos and ``ITEM``. Not transitive, and the order matters."""
     fields = [c.split(" ")[0] for c in ITEM.split(", ")]
 
-    def plain(v):
-        return None if v is None or isinstance(v, float) and math.isnan(v) else v
-
     def step(rows):
-        given = [{f: plain(v) if f not in ("evidence", "speakers") else list(v) if v is not None else [] for f, v in zip(fields, r)} for r in zip(*(rows[f] for f in fields))]
+        given = [{f: v or [] if f in ("evidence", "speakers") else v for f, v in zip(fields, r)} for r in zip(*(rows[f] for f in fields))]
         for k, item in enumerate(merge_in_order(given)):
             yield (k, *(item[f] for f in fields))
 

@@ -46,34 +46,18 @@ def verified_citations(evidence: DataFrame, segments: DataFrame, slack: float =
     return direct.unionByName(other)
 
 
-def grounded_claims(claims: DataFrame, texts: DataFrame, key_words: int = 3) -> DataFrame:
+def grounded_claims(claims: DataFrame, texts: DataFrame) -> DataFrame:
     """(claim_id, text_id) where the claim (claim_id, claim) stands in the text (text_id, text), both in scoring form.
 
-    A containment join without comparing all pairs: a claim is filed under its rarest run of
-    ``key_words`` words, and only texts that hold that run are searched for the whole claim.
-    Claims with fewer words are filed under all they have. A text is searched with its words
-    one space apart, and a match starts and ends at words."""
-    c = claims.select("claim_id", T.scoring_words("claim").alias("w")).where(F.size("w") > 0)
-
-    def runs(w, n):
-        return F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(w) - n + 1)), lambda i: F.concat_ws(" ", F.slice(w, i, n))))
-
-    asked = c.select("claim_id", F.concat(F.lit(" "), F.concat_ws(" ", "w"), F.lit(" ")).alias("claim"), F.least(F.size("w"), F.lit(key_words)).alias("n"), F.explode(runs(F.col("w"), key_words)).alias("run"))
-    sizes = [r["n"] for r in asked.select("n").distinct().collect()]  # at most key_words of them
-    words = texts.select("text_id", T.scoring_words("text").alias("w"))
-    found = None
-    for n in sizes:
-        held = words.where(F.size("w") >= n).select("text_id", F.explode(runs(F.col("w"), n)).alias("run"))
-        mine = asked.where(F.col("n") == n)
-        wanted = mine.select("run").distinct()
-        seen = held.join(wanted, "run")
-        rare = mine.join(seen.groupBy("run").agg(F.count("*").alias("texts")), "run", "left").groupBy("claim_id", "claim").agg(F.min_by("run", F.struct(F.coalesce("texts", F.lit(0)), "run")).alias("run"))
-        part = rare.join(seen, "run").select("claim_id", "claim", "text_id")
-        found = part if found is None else found.unionByName(part)
-    if found is None:
-        return claims.select("claim_id").crossJoin(texts.select("text_id")).where(F.lit(False))
-    whole = words.select("text_id", F.concat(F.lit(" "), F.concat_ws(" ", "w"), F.lit(" ")).alias("text"))
-    return found.join(whole, "text_id").where(F.contains("text", "claim")).select("claim_id", "text_id").distinct()
+    A containment join without comparing all pairs: a claim is filed under its longest word, and
+    only texts that hold this word are searched for the whole claim. Words, not texts, go
+    through the first join, and only texts it finds are normalised again. A match starts and ends at words."""
+    padded = lambda c: F.concat(F.lit(" "), T.scoring_form(c), F.lit(" "))
+    longest = F.array_max(F.transform(T.scoring_words("claim"), lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
+    asked = claims.select("claim_id", padded("claim").alias("asked"), longest.alias("word")).where("word is not null").distinct()
+    held = texts.select("text_id", F.explode(F.array_distinct(T.scoring_words("text"))).alias("word"))
+    pairs = held.join(asked, "word").select("claim_id", "asked", "text_id")
+    return pairs.join(texts.select("text_id", "text"), "text_id").where(F.contains(padded("text"), F.col("asked"))).select("claim_id", "text_id").distinct()
 
 
 def review_queue(items: DataFrame, verified: DataFrame, key: str = "claim_id") -> DataFrame:
