@@ -30,6 +30,11 @@ def hits(tokens: Column, known) -> Column:
     return F.size(F.filter(tokens, lambda w: w.isin(*sorted(known))))
 
 
+def bound(value: Column, use) -> Column:
+    """``use`` of a value that is computed once, however often ``use`` names it."""
+    return F.transform(F.array(value), use)[0]
+
+
 # --- languages ------------------------------------------------------------------------
 
 
@@ -38,20 +43,26 @@ def text_language(text, ru_min: float = 0.60, mixed_min: float = 0.15, diacritic
     script first, then by function words with Romanian diacritics counted twice. Null is
     empty: ``und`` with confidence 1, as for any text without letters."""
     t = F.coalesce(_col(text), F.lit(""))
-    cyr, lat = F.regexp_count(t, F.lit(CYRILLIC)), F.regexp_count(t, F.lit(LATIN))
-    letters = cyr + lat
-    ratio = F.when(letters > 0, cyr / letters).otherwise(F.lit(0.0))
-    tokens = words(t)
-    latin = ratio < mixed_min
-    ro = F.when(latin, hits(tokens, set(ROMANIAN) - AMBIGUOUS) + diacritic_weight * F.regexp_count(t, F.lit(DIACRITICS))).otherwise(F.lit(0.0))
-    en = F.when(latin, hits(tokens, set(ENGLISH) - AMBIGUOUS).cast("double")).otherwise(F.lit(0.0))
-    total = ro + en
-    middle, half = (ru_min + mixed_min) / 2, (ru_min - mixed_min) / 2
-    balance = 1.0 - F.abs(ratio - middle) / half
-    by_words = F.abs(ro - en) / total * (0.5 + 0.5 * F.least(F.lit(1.0), total / 4.0))
-    language = F.when(letters == 0, "und").when(ratio > ru_min, "ru").when(ratio >= mixed_min, "mixed").when(total == 0, "und").when(ro >= en, "ro").otherwise("en")
-    confidence = F.when(letters == 0, 1.0).when(ratio > ru_min, F.least(F.lit(1.0), 0.5 + ratio / 2)).when(ratio >= mixed_min, F.greatest(F.lit(0.5), F.least(F.lit(1.0), 0.5 + balance / 2))).when(total == 0, 0.0).otherwise(by_words)
-    return F.struct(language.alias("language"), F.round(confidence, 3).alias("confidence"), ratio.alias("cyrillic_ratio"), ro.cast("double").alias("ro_score"), en.alias("en_score"), letters.cast("long").alias("letters"))
+    counts = F.struct(F.regexp_count(t, F.lit(CYRILLIC)).alias("cyr"), F.regexp_count(t, F.lit(LATIN)).alias("lat"), F.regexp_count(t, F.lit(DIACRITICS)).alias("marks"), words(t).alias("words"))
+    known = [sorted(set(w) - AMBIGUOUS) for w in (ROMANIAN, ENGLISH)]
+
+    def scored(c: Column) -> Column:
+        letters = c["cyr"] + c["lat"]
+        ratio = F.when(letters > 0, c["cyr"] / letters).otherwise(F.lit(0.0))
+        ro, en = (F.when(ratio < mixed_min, hits(c["words"], w).cast("double")).otherwise(F.lit(0.0)) for w in known)
+        return F.struct(letters.alias("letters"), ratio.alias("ratio"), (ro + F.when(ratio < mixed_min, diacritic_weight * c["marks"]).otherwise(F.lit(0.0))).alias("ro"), en.alias("en"))
+
+    def judged(c: Column) -> Column:
+        letters, ratio, ro, en = c["letters"], c["ratio"], c["ro"], c["en"]
+        total = ro + en
+        middle, half = (ru_min + mixed_min) / 2, (ru_min - mixed_min) / 2
+        balance = 1.0 - F.abs(ratio - middle) / half
+        by_words = F.abs(ro - en) / total * (0.5 + 0.5 * F.least(F.lit(1.0), total / 4.0))
+        language = F.when(letters == 0, "und").when(ratio > ru_min, "ru").when(ratio >= mixed_min, "mixed").when(total == 0, "und").when(ro >= en, "ro").otherwise("en")
+        confidence = F.when(letters == 0, 1.0).when(ratio > ru_min, F.least(F.lit(1.0), 0.5 + ratio / 2)).when(ratio >= mixed_min, F.greatest(F.lit(0.5), F.least(F.lit(1.0), 0.5 + balance / 2))).when(total == 0, 0.0).otherwise(by_words)
+        return F.struct(language.alias("language"), F.round(confidence, 3).alias("confidence"), ratio.alias("cyrillic_ratio"), ro.alias("ro_score"), en.alias("en_score"), letters.cast("long").alias("letters"))
+
+    return bound(bound(counts, scored), judged)
 
 
 def word_language(word) -> Column:
@@ -134,9 +145,8 @@ def latin_to_cyrillic(text) -> Column:
 def keyword_list(text) -> Column:
     """Words of three letters and more that are no stopwords, each at its first occurrence, as written."""
     found = F.regexp_extract_all(F.coalesce(_col(text), F.lit("")), F.lit("(?<![\\p{L}\\d_])[A-Za-zĂăÂâÎîȘșȚțА-Яа-яЁё]{3,}(?![\\p{L}\\d_])"), F.lit(0))
-    low = F.transform(found, lambda w: F.lower(w))
-    first = F.filter(found, lambda w, i: (F.array_position(low, F.lower(w)) == i + 1) & ~F.lower(w).isin(*KEYWORD_STOPWORDS))
-    return first
+    both = bound(found, lambda ws: F.struct(ws.alias("words"), F.transform(ws, lambda w: F.lower(w)).alias("low")))
+    return bound(both, lambda c: F.filter(c["words"], lambda w, i: (F.array_position(c["low"], F.lower(w)) == i + 1) & ~F.lower(w).isin(*KEYWORD_STOPWORDS)))
 
 
 def token_estimate(text, chars_per_token: float = 2.0) -> Column:

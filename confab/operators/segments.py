@@ -82,9 +82,9 @@ def needs_rescoring(weak: float = 0.70, confident: float = 0.70) -> Column:
 def hotword_echo(text, hotwords, min_items: int = 3, min_share: float = 0.5) -> Column:
     """The text is mostly the list of hints read back."""
     items = F.filter(F.transform(F.split(F.coalesce(hotwords, F.lit("")), ","), lambda x: F.lower(F.trim(x))), lambda x: x != "")
-    tokens = T.words(F.coalesce(text, F.lit("")))
-    n = F.size(F.filter(tokens, lambda w: F.array_contains(items, w)))
-    return (F.size(tokens) > 0) & ((n >= min_items) | (n / F.size(tokens) >= min_share)) & (F.size(items) > 0)
+    both = F.struct(items.alias("items"), T.words(F.coalesce(text, F.lit(""))).alias("tokens"))
+    n = T.bound(both, lambda c: F.struct(F.size(F.filter(c["tokens"], lambda w: F.array_contains(c["items"], w))).alias("hits"), F.size(c["tokens"]).alias("all")))
+    return T.bound(n, lambda c: (c["hits"] > 0) & ((c["hits"] >= min_items) | (c["hits"] / c["all"] >= min_share)))
 
 
 def reconciled_language(weak: float = 0.70, confident: float = 0.70) -> Column:
