@@ -221,7 +221,7 @@ def meeting_search(spark, sf):
     return M.meeting_search(m, "Urgent", mode="live").select("meeting_id").unionByName(M.meeting_search(m, "build", mode="batch").select("meeting_id"))
 
 
-@query(f"select item_id from {t.ITEMS} where kind = 'action' and status <> 'completed' and priority = 'high' and contains(text, '7')")
+@query(f"select item_id from {t.ITEMS} where kind = 'action' and status <> 'completed' and priority = 'high' and (contains(text, '7') or contains(coalesce(owner, ''), '7'))")
 def open_action_filter(spark, sf):
     return M.item_search(t.items(spark, sf), "action", "7", priority="high", open_only=True).select("item_id")
 
