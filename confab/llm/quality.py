@@ -6,14 +6,16 @@ hashed; per host (the ``source`` column) the documents holding a line are counte
 lines above the limits are host boilerplate. A document of which less than
 ``min_kept_share`` of the words is left without such lines is depleted and rejected.
 
-Copies must not make a text look like boilerplate, so documents are counted by a sketch,
-the hash of the longest of a document's other lines: copies and most near copies share it,
-unrelated documents do not. A line is above the limits if its sketches number at least
-``min_docs`` and at least ``min_share`` of the host's documents, and at least
-``min_distinct`` of the documents holding it.
+Copies must not make a text look like boilerplate, so documents are counted by identity,
+the hash of all of a document's lines: copies share it, and no shared passage decides it.
+A line is above the limits if its identities number at least ``min_docs`` and at least
+``min_share`` of the host's documents, however many copies hold it as well. Lines above
+the limits are counted a second time, as near copies differ in a line: documents with no
+more than ``copy_share`` of their words outside such lines are one if they hold the same
+of them. Near copies that differ in more than that count as documents of their own.
 
 Counts are grouped twice, both times pre-aggregated before the shuffle, so a line that a
-third of all documents hold costs each task one row a sketch. The frequent lines are
+third of all documents hold costs each task one row an identity. Lines above the limits are
 broadcast only if they number at most ``max_broadcast``; otherwise they are joined by
 shuffle.
 
@@ -79,50 +81,63 @@ def text_stats(text: str) -> tuple[int, int, int, int, int]:
     return len(words), len(text) - spaces, sum(map(len, _SYMBOLS.findall(text))), dup, repeated_words(words)
 
 
-def line_hashes(text: str) -> list[tuple[int, int, int]]:
-    """(hash, sketch, words) of each distinct normalised line with a word."""
+def line_hashes(text: str) -> list[tuple[int, int]]:
+    """(hash, words) of each distinct normalised line with a word."""
     words: dict[int, int] = {}
-    rank: dict[int, tuple[int, bytes]] = {}
     for line in text.encode("utf-8").lower().translate(_DIGITS).split(b"\n"):
         parts = line.split()
         if parts:
-            line = b" ".join(parts)
-            h = xxhash.xxh64_intdigest(line) - (1 << 63)
+            h = xxhash.xxh64_intdigest(b" ".join(parts)) - (1 << 63)
             words[h] = words.get(h, 0) + len(parts)
-            rank[h] = (len(parts), line)
-    longest = sorted(words, key=rank.__getitem__)[-2:]
-    first, second = longest[-1] if longest else 0, longest[0] if len(longest) > 1 else 0
-    return [(h, second if h == first else first, n) for h, n in words.items()]
+    return list(words.items())
+
+
+def identity(lines: list[tuple[int, int]]) -> int:
+    """A hash of the set of all lines."""
+    return xxhash.xxh64_intdigest(b"".join(h.to_bytes(8, "little", signed=True) for h in sorted(h for h, _ in lines))) - (1 << 63)
 
 
 STATS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long"
 
 
 def document_stats(docs: DataFrame) -> DataFrame:
-    """doc_id, source, key, the base statistics and the lines of each document."""
-    line = pa.struct([("h", pa.int64()), ("sketch", pa.int64()), ("words", pa.int64())])
-    schema = pa.schema([("doc_id", pa.int64()), ("source", pa.string()), ("key", pa.binary())] + [(c.split()[0], pa.int64()) for c in STATS.split(", ")] + [("lines", pa.list_(line))])
+    """doc_id, source, key, the base statistics, the identity and the lines of each document, and a uid of its row."""
+    line = pa.struct([("h", pa.int64()), ("words", pa.int64())])
+    schema = pa.schema([("doc_id", pa.int64()), ("source", pa.string()), ("key", pa.binary())] + [(c.split()[0], pa.int64()) for c in STATS.split(", ")] + [("ident", pa.int64()), ("lines", pa.list_(line))])
 
     def scan(batches):
         for part in slices(batches):
             rows = []
             for doc, source, key, text in zip(*(c.to_pylist() for c in part.columns), strict=True):
-                lines = [{"h": h, "sketch": s, "words": n} for h, s, n in line_hashes(text or "")]
-                rows.append((doc, source, key, *text_stats(text or ""), lines))
+                lines = line_hashes(text or "")
+                rows.append((doc, source, key, *text_stats(text or ""), identity(lines), [{"h": h, "words": n} for h, n in lines]))
             yield table(schema, zip(*rows, strict=True))
 
     picked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), row_key("doc_id", "source", "text").alias("key"), "text")
-    return picked.mapInArrow(scan, f"doc_id long, source string, key binary, {STATS}, lines array<struct<h:bigint,sketch:bigint,words:bigint>>")
+    stats = picked.mapInArrow(scan, f"doc_id long, source string, key binary, {STATS}, ident long, lines array<struct<h:bigint,words:bigint>>")
+    return materialize(stats.withColumn("uid", F.monotonically_increasing_id()), "quality-stats")
 
 
-def frequent_lines(stats: DataFrame, min_docs: int = 10, min_share: float = 0.001, min_distinct: float = 0.6) -> DataFrame:
-    """(host, h) of lines above the limits; ``host`` is the source, '-' before a null one's place."""
-    lines = stats.select(_host(), F.explode("lines").alias("line")).select("host", "line.h", "line.sketch")
-    counted = lines.groupBy("host", "h", "sketch").agg(F.count("*").alias("n")).groupBy("host", "h").agg(F.count("*").alias("sketches"), F.sum("n").alias("docs"))
+def frequent_lines(stats: DataFrame, min_docs: int = 10, min_share: float = 0.001, copy_share: float = 0.05, max_broadcast: int = 200_000) -> DataFrame:
+    """(uid, key, h, words) of each document's lines above the limits."""
     hosts = stats.groupBy(_host()).agg(F.count("*").alias("host_docs"))
-    # only lines that pass the fixed limits meet the small table of hosts
-    some = counted.where((F.col("sketches") >= min_docs) & (F.col("sketches") >= min_distinct * F.col("docs")))
-    return some.join(hosts, "host").where(F.col("sketches") >= min_share * F.col("host_docs")).select("host", "h")
+
+    def above(lines: DataFrame) -> DataFrame:
+        counted = lines.groupBy("host", "h", "ident").count().groupBy("host", "h").agg(F.count("*").alias("docs"))
+        # only lines that pass the fixed limit meet the small table of hosts
+        return counted.where(F.col("docs") >= min_docs).join(hosts, "host").where(F.col("docs") >= min_share * F.col("host_docs")).select("host", "h")
+
+    def held(lines: DataFrame, limits: DataFrame) -> DataFrame:
+        few = limits.count() <= max_broadcast
+        return lines.join(F.broadcast(limits) if few else limits, ["host", "h"])
+
+    lines = stats.select("uid", "key", _host(), "n_words", "ident", F.explode("lines").alias("line")).select("uid", "key", "host", "n_words", "ident", "line.*")
+    some = materialize(held(lines, materialize(above(lines), "quality-lines")), "quality-held")
+    # near copies: little but such lines, so what they hold of these is their identity
+    own = some.groupBy("uid").agg(F.sum("words").alias("held"), F.bit_xor(F.xxhash64("h")).alias("same"))
+    near = F.col("n_words") - F.col("held") <= copy_share * F.col("n_words")
+    again = some.join(own, "uid").withColumn("ident", F.when(near, F.col("same")).otherwise(F.col("ident")))
+    return held(some, materialize(above(again), "quality-lines")).select("uid", "key", "h", "words")
 
 
 def _host():
@@ -131,14 +146,11 @@ def _host():
 
 def judged(docs: DataFrame, min_words: int = 20, max_repeat_percent: int = 30, min_kept_share: float = 0.3, max_broadcast: int = 200_000, **limits) -> DataFrame:
     """Per document: doc_id, key, the statistics, base_failed, n_frequent_words, kept."""
-    stats = materialize(document_stats(docs).withColumn("uid", F.monotonically_increasing_id()), "quality-stats")
-    frequent = materialize(frequent_lines(stats, **limits), "quality-lines")
-    few = frequent.count() <= max_broadcast
-    lines = stats.select("uid", _host(), F.explode("lines").alias("line")).select("uid", "host", "line.h", "line.words")
-    removed = lines.join(F.broadcast(frequent) if few else frequent, ["host", "h"]).groupBy("uid").agg(F.sum("words").alias("n_frequent_words"))
+    stats = document_stats(docs)
+    removed = frequent_lines(stats, max_broadcast=max_broadcast, **limits).groupBy("uid").agg(F.sum("words").alias("n_frequent_words"))
     names = [c.split()[0] for c in STATS.split(", ")]
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_percent * F.col("n_words"))
-    out = stats.drop("lines", "source").join(removed, "uid", "left").withColumn("n_frequent_words", F.coalesce("n_frequent_words", F.lit(0).cast("long")))
+    out = stats.drop("lines", "source", "ident").join(removed, "uid", "left").withColumn("n_frequent_words", F.coalesce("n_frequent_words", F.lit(0).cast("long")))
     depleted = F.col("n_words") - F.col("n_frequent_words") < min_kept_share * F.col("n_words")
     return out.select("doc_id", "key", *names, failed.alias("base_failed"), "n_frequent_words", (~failed & ~depleted).alias("kept"))
 
@@ -151,10 +163,7 @@ def keep_good(docs: DataFrame, **settings) -> DataFrame:
 
 def without_frequent_lines(docs: DataFrame, **limits) -> DataFrame:
     """``docs`` with the lines above the limits cut from ``text``; all other lines stay as they are."""
-    stats = materialize(document_stats(docs), "quality-stats")
-    frequent = frequent_lines(stats, **limits)
-    lines = stats.select("key", _host(), F.explode("lines").alias("line")).select("key", "host", "line.h")
-    cut = lines.join(frequent, ["host", "h"]).groupBy("key").agg(F.collect_set("h").alias("__cut"))
+    cut = frequent_lines(document_stats(docs), **limits).groupBy("key").agg(F.collect_set("h").alias("__cut"))
     both = docs.withColumn("__key", row_key("doc_id", "source", "text")).join(cut.withColumnRenamed("key", "__key"), "__key", "left").drop("__key")
     at = docs.columns.index("text")
 
@@ -164,7 +173,7 @@ def without_frequent_lines(docs: DataFrame, **limits) -> DataFrame:
             for text, cuts in zip(part.column(at).to_pylist(), part.column(part.num_columns - 1).to_pylist(), strict=True):
                 if text and cuts:
                     cuts = set(cuts)
-                    text = "\n".join(line for line in text.split("\n") if not any(h in cuts for h, _, _ in line_hashes(line)))
+                    text = "\n".join(line for line in text.split("\n") if not any(h in cuts for h, _ in line_hashes(line)))
                 texts.append(text)
             part = part.set_column(at, part.schema.field(at), pa.array(texts, part.schema.field(at).type))
             yield part.select(range(part.num_columns - 1))

@@ -140,6 +140,20 @@ def test_frequent_lines_deplete_but_copies_do_not(spark):
     assert other == kept
 
 
+def test_long_shared_passages_are_frequent_and_copies_hide_no_line(spark):
+    rng = random.Random(2)
+    terms = lined(3, rng, 30)
+    rows = [(i, "\n".join(lined(2, rng, 9) + terms), "a") for i in range(40)]
+    banner = lined(1, rng, 9)
+    rows += [(100 + i, "\n".join(lined(6, rng, 9) + banner), "b") for i in range(40)]
+    copied = "\n".join(lined(6, rng, 9) + banner)
+    rows += [(200 + i, copied, "b") for i in range(100)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = {r.doc_id: r for r in quality.judged(frame).collect()}
+    assert all(got[i].n_frequent_words == 90 and not got[i].kept for i in range(40))
+    assert all(got[i].n_frequent_words == 9 and got[i].kept for i in [*range(100, 140), *range(200, 300)])
+
+
 def test_quality_on_odd_rows(odd, empty):
     rows = quality.judged(odd).collect()
     assert len(rows) == len(ODD)
