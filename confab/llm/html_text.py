@@ -2,12 +2,15 @@
 
 Markup: a page is cut into blocks, each inside or outside an article (or, on pages without
 one, the main element), and each in page furniture or not: menus, headers, footers, asides,
-notices, adverts, forms and reader comments, told by element, role, class or id.
+notices, adverts, forms and reader comments, told by element, role, class or id. A class or
+id is a hint only: it never marks html, body, main or article, a name that tells of a state
+(has-sidebar, comments-open) is none, and where hints would leave no text, as when one is on
+a wrapper of it all, the blocks under the fewest of them stay.
 
 Suffix array: the words of all blocks outside articles are concatenated per host, page by
 page; suffixes are ranked by prefix doubling, and those that share at least ``min_tokens``
 words on ``min_pages`` distinct pages mark repeated substrings. A block mostly covered by
-them is boilerplate.
+them is boilerplate. Pages of a host with equal words are one page, whatever their ids.
 
 Kept are the article's blocks or, where no markup names an article, the blocks that are
 neither furniture nor boilerplate. Repeated passages inside an article stay, as quoting a
@@ -18,8 +21,8 @@ has its own array and passes on its prefix classes with their page counts, which
 up over the host's chunks. So no task holds a host, and a substring that repeats only across
 chunks is still found.
 
-Edge cases: null html is empty; its text is empty. Repeated pages count once as evidence,
-and each has its own row. Unclosed, misnested or cut-off markup is read to the end. Null
+Edge cases: null html is empty; its text is empty. Repeated pages, under one id or many,
+count once as evidence, and each has its own row. Unclosed, misnested or cut-off markup is read to the end. Null
 urls are one host. Other columns are not read.
 """
 
@@ -48,45 +51,54 @@ MARKS = set("ad ads adbox advert adverts advertisement advertising sponsor spons
 #: Of the class words, those that furnish a page but may head an article.
 HEADS = {"header", "head", "top"}
 
+#: Words that make a name tell of a state or layout of the page.
+STATES = set("has no with without not non hide show open closed enabled disabled free layout".split())
+#: Elements that class or id never mark.
+WHOLE = {"html", "body", "main", "article"}
+
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S)
 _ATTR = re.compile(r"(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _NAME = re.compile(r"[a-z]+")
 
 
-def _furniture(name: str, attrs: str, in_article: bool) -> bool:
+def _furniture(name: str, attrs: str, in_article: bool) -> str:
+    """sure, by element or role; hint, by class or id; or nothing."""
     if name in FURNITURE or name == "header" and not in_article:
-        return True
+        return "sure"
+    hint = ""
     for m in _ATTR.finditer(attrs):
         value = (m[2] or m[3] or m[4] or "").lower()
-        words = set(_NAME.findall(value))
         if m[1].lower() == "role":
-            if words & ROLES:
-                return True
-        elif words & MARKS or not in_article and words & HEADS and name not in ("html", "body"):
-            return True
-    return False
-
-
-def blocks(page: str) -> list[tuple[str, str, bool]]:
-    """(text, place, furniture) of each block with text; place is article, main or other."""
-    out: list[tuple[str, str, bool]] = []
-    stack: list[tuple[str, bool]] = []  # block elements, and inline ones that are furniture
+            if set(_NAME.findall(value)) & ROLES:
+                return "sure"
+        elif name not in WHOLE:
+            for words in map(set, map(_NAME.findall, value.split())):
+                if not words & STATES and (words & MARKS or not in_article and words & HEADS):
+                    hint = "hint"
+    return hint
+
+
+def blocks(page: str) -> list[tuple[str, str, int, int]]:
+    """(text, place, sure, hints) of each block with text: place is article, main or other, then the furniture around it."""
+    out: list[tuple[str, str, int, int]] = []
+    stack: list[tuple[str, str]] = []  # block elements, and inline ones that are furniture
     text: list[str] = []
-    articles = mains = flagged = 0
+    articles = mains = sure = hints = 0
 
     def flush():
         joined = " ".join("".join(text).split())
         text.clear()
         if joined:
-            out.append((joined, "article" if articles else "main" if mains else "other", flagged > 0))
+            out.append((joined, "article" if articles else "main" if mains else "other", sure, hints))
 
     def drop(n: int):
-        nonlocal articles, mains, flagged
+        nonlocal articles, mains, sure, hints
         while len(stack) > n:
             name, flag = stack.pop()
             articles -= name == "article"
             mains -= name == "main"
-            flagged -= flag
+            sure -= flag == "sure"
+            hints -= flag == "hint"
 
     at, end = 0, len(page)
     while at < end:
@@ -132,7 +144,8 @@ def blocks(page: str) -> list[tuple[str, str, bool]]:
                 stack.append((name, flag))
                 articles += name == "article"
                 mains += name == "main"
-                flagged += flag
+                sure += flag == "sure"
+                hints += flag == "hint"
     flush()
     return out
 
@@ -140,12 +153,17 @@ def blocks(page: str) -> list[tuple[str, str, bool]]:
 def judged_blocks(page: str | None) -> list[tuple[str, str]]:
     """(text, verdict) of each block: keep, drop, or open where markup names no article."""
     found = blocks(page or "")
-    body = next((p for p in ("article", "main") if any(place == p and not flag for _, place, flag in found)), None)
-    if body == "main":
-        inside = {"main", "article"}
-    else:
-        inside = {body}
-    return [(text, "drop" if flag or body and place not in inside else "keep" if body else "open") for text, place, flag in found]
+    least = {}  # the fewest hints around a block of each place that is surely no furniture
+    for _, place, sure, hints in found:
+        if not sure:
+            least[place] = min(hints, least.get(place, hints))
+    clear = next((p for p in ("article", "main") if least.get(p) == 0), None)
+    body = clear or next((p for p in ("article", "main") if p in least), None)
+    inside = {"main", "article"} if body == "main" else {body}
+    few = min((least[p] for p in inside if p in least), default=0)
+    # without a clear article the rest of the page may be the text
+    rest = -1 if clear else 0 if body else least.get("other", 0)
+    return [(text, "drop" if sure else "keep" if place in inside and hints <= few else "open" if hints <= rest else "drop") for text, place, sure, hints in found]
 
 
 # --- suffix array ---------------------------------------------------------------------
@@ -191,34 +209,36 @@ def prefix_classes(tokens: np.ndarray, pages: np.ndarray, n: int) -> tuple[np.nd
 
 
 def host_streams(pages: DataFrame) -> DataFrame:
-    """key, host, tokens (word hashes of the blocks outside articles) and blocks (the open block of each, or -1)."""
-    schema = pa.schema([("key", pa.binary()), ("host", pa.string()), ("tokens", pa.list_(pa.int64())), ("blocks", pa.list_(pa.int32()))])
+    """key, host, content (a hash of the page's words), tokens (word hashes of the blocks outside articles) and blocks (the open block of each, or -1)."""
+    schema = pa.schema([("key", pa.binary()), ("host", pa.string()), ("content", pa.binary()), ("tokens", pa.list_(pa.int64())), ("blocks", pa.list_(pa.int32()))])
 
     def scan(batches):
         for part in slices(batches):
             rows = []
             for key, host, page in zip(*(c.to_pylist() for c in part.columns), strict=True):
-                tokens, owner = [], []
+                tokens, owner, content = [], [], xxhash.xxh3_128()
                 for k, (text, verdict) in enumerate(judged_blocks(page)):
+                    words = text.lower().split()
+                    content.update(" ".join([*words, ""]).encode("utf-8", "replace"))
                     if verdict != "keep":
-                        words = text.lower().split()
                         tokens += [xxhash.xxh64_intdigest(w) - (1 << 63) for w in words]
                         owner += [k if verdict == "open" else -1] * len(words)
-                rows.append((key, host, tokens, owner))
+                rows.append((key, host, content.digest(), tokens, owner))
             yield table(schema, zip(*rows, strict=True))
 
     host = F.coalesce(F.lower(F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1)), F.lit(""))
     picked = pages.select(row_key("page_id", "url", "html").alias("key"), host.alias("host"), "html")
-    return picked.mapInArrow(scan, "key binary, host string, tokens array<bigint>, blocks array<int>")
+    return picked.mapInArrow(scan, "key binary, host string, content binary, tokens array<bigint>, blocks array<int>")
 
 
 def boilerplate_blocks(pages: DataFrame, min_tokens: int = 8, min_pages: int = 3, chunk_tokens: int = 1_000_000, cover: float = 0.5) -> DataFrame:
     """(key, covered): for each page the open blocks that repeated substrings cover."""
-    # repeated rows have one key: they count once as evidence
     streams = materialize(host_streams(pages).dropDuplicates(["key"]), "html-streams")
-    sizes = streams.groupBy("host").agg(F.sum(F.size("tokens")).alias("size"))
+    # pages with equal words count once as evidence
+    evidence = streams.join(streams.groupBy("host", "content").agg(F.min("key").alias("key")).select("key"), "key", "left_semi")
+    sizes = evidence.groupBy("host").agg(F.sum(F.size("tokens")).alias("size"))
     sizes = sizes.select("host", F.ceil(F.col("size") / chunk_tokens).cast("long").alias("n")).select("host", F.greatest("n", F.lit(1).cast("long")).alias("n"))
-    placed = streams.join(sizes, "host").withColumn("chunk", F.pmod(F.xxhash64("key"), F.col("n")))
+    placed = evidence.join(sizes, "host").withColumn("chunk", F.pmod(F.xxhash64("key"), F.col("n")))
 
     def array(frame: pd.DataFrame) -> pd.DataFrame:
         own = [np.asarray(t, np.int64).view(np.uint64) for t in frame["tokens"]]

@@ -40,6 +40,26 @@ def test_odd_pages(page, text):
     assert [t for t, verdict in html_text.judged_blocks(page) if verdict != "drop"] == text
 
 
+@pytest.mark.parametrize(
+    "page, text",
+    [
+        ("<body class='single has-sidebar'><nav>m</nav><p>x</p></body>", ["x"]), ("<body class='sidebar'><main class='menu'><p>x</p></main></body>", ["x"]),
+        ("<div class='content no-sidebar'><article class='post comments-open'><p>x</p></article></div>", ["x"]),
+        ("<p>o</p><div class='social'><article><p>x</p><div class='comments'>c</div></article></div>", ["o", "x"]),
+        ("<div class='sidebar'>s</div><article><p>x</p><div class='comments'>c</div></article>", ["x"]), ("<div class='widget'><p>x</p><div class='menu'>m</div></div>", ["x"]),
+    ],
+)
+def test_class_words_empty_no_page(page, text):
+    assert [t for t, verdict in html_text.judged_blocks(page) if verdict != "drop"] == text
+
+
+def test_copies_of_a_page_are_no_evidence(spark):
+    text = " ".join(f"w{i}" for i in range(40))
+    pages = [(i, f"http://h.example/{i}", f"<p>{text}</p>") for i in range(5)]
+    frame = spark.createDataFrame(pages, "page_id long, url string, html string")
+    assert [r.text for r in html_text.main_text(frame).collect()] == [text] * 5
+
+
 def brute_classes(tokens, pages, n, least):
     found = defaultdict(set)
     for i in range(len(tokens) - n + 1):
