@@ -3,9 +3,10 @@
 Patterns give the base spans. For the rest, candidate strings (runs of at least
 ``window`` token characters) are cut into runs of one character class; over each run
 a window slides whose Shannon entropy is kept from incremental counts, and the union
-of windows above the class's threshold becomes a span of kind ``entropy_hex`` or
-``entropy_b64``. An allow list suppresses digests, identifiers and placeholders. A span
-that base spans already cover is not repeated. Base spans are never suppressed.
+of windows above the class's threshold becomes a span of the class's kind: hex, base64,
+lower case with digits, upper case with digits, or letters only. An allow list suppresses
+digests and identifiers, and the windows within one window of a placeholder. A span that
+base spans or another class already cover is not repeated. Base spans are never suppressed.
 
 Spans count code points, end exclusive, and cover the whole match.
 
@@ -25,7 +26,7 @@ from pyspark.sql import functions as F
 
 from .common import ddl_schema, slices, table
 
-KINDS = ("assign", "access", "hex", "entropy_hex", "entropy_b64")
+KINDS = ("assign", "access", "hex", "entropy_hex", "entropy_b64", "entropy_lower", "entropy_upper", "entropy_letters")
 _ASSIGN = re.compile(r"""(?ai:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 _ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 _HEX = re.compile(r"[0-9a-f]{24,}")
@@ -33,11 +34,15 @@ _CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
 #: Character classes: (kind, run pattern, bits a window must exceed, patterns a window must hold).
 CLASSES = (
     ("entropy_hex", re.compile(r"[0-9a-f]{20,}|[0-9A-F]{20,}"), 2.9, (re.compile(r"[0-9]"), re.compile(r"[a-fA-F]"))),
-    ("entropy_b64", re.compile(r"[A-Za-z0-9+/_=-]{20,}"), 3.7, (re.compile(r"[0-9].*[0-9]"), re.compile(r"[a-z]"), re.compile(r"[A-Z]"))),
+    ("entropy_b64", re.compile(r"[A-Za-z0-9+/_=-]{20,}"), 3.7, (re.compile(r"[0-9]"), re.compile(r"[a-z]"), re.compile(r"[A-Z]"))),
+    ("entropy_lower", re.compile(r"[a-z0-9]{20,}"), 3.5, (re.compile(r"[0-9]"), re.compile(r"[a-z]"))),
+    ("entropy_upper", re.compile(r"[A-Z0-9]{20,}"), 3.5, (re.compile(r"[0-9]"), re.compile(r"[A-Z]"))),
+    ("entropy_letters", re.compile(r"[A-Za-z]{20,}"), 3.6, ()),
 )
-#: What stands just before a candidate, or in it, that marks it as no secret.
-ALLOW_BEFORE = re.compile(r"(?:sha-?\d{1,3}|md5|crc32|checksum|digest|integrity|etag|commit|rev|base64)\W{0,3}$", re.I)
-ALLOW_WITHIN = re.compile(r"example|sample|placeholder|changeme|your[_-]|xxxx|0000000|1234567|abcdefg|^[0-9a-fA-F]{8}-(?:[0-9a-fA-F]{4}-){3}[0-9a-fA-F]{12}$", re.I)
+#: What stands just before a candidate, is all of it, or stands near a window, that marks it as no secret.
+ALLOW_BEFORE = re.compile(r"(?<![A-Za-z0-9])(?:sha-?\d{1,3}|md5|crc32|checksum|digest|integrity|etag|commit|rev|base64)\W{0,3}$", re.I)
+ALLOW_WITHIN = re.compile(r"example|sample|placeholder|changeme|your[_-]|xxxx|0000000|1234567|abcdefg", re.I)
+ALLOW_WHOLE = re.compile(r"[0-9a-fA-F]{8}-(?:[0-9a-fA-F]{4}-){3}[0-9a-fA-F]{12}")
 
 
 def base_spans(text: str) -> list[tuple[int, int, str]]:
@@ -68,14 +73,18 @@ def entropy_spans(text: str, window: int = 20) -> list[tuple[int, int, str]]:
     found = []
     for m in _CANDIDATE.finditer(text):
         word = m.group()
-        if word.isalpha() or ALLOW_WITHIN.search(word) or ALLOW_BEFORE.search(text, max(0, m.start() - 16), m.start()):
+        if ALLOW_WHOLE.fullmatch(word) or ALLOW_BEFORE.search(text, max(0, m.start() - 16), m.start()):
             continue
+        near = bytearray(len(word))  # starts of windows within one window of a placeholder
+        for p in ALLOW_WITHIN.finditer(word):
+            lo, hi = max(0, p.start() - 2 * window + 1), min(len(word), p.end() + window)
+            near[lo:hi] = b"\x01" * (hi - lo)
         taken: list[tuple[int, int]] = []
         for kind, pattern, least, needs in CLASSES:
             for run in pattern.finditer(word):
                 start = end = -1
                 for i, bits in enumerate(window_entropies(run.group(), window)):
-                    if bits > least and all(p.search(word, run.start() + i, run.start() + i + window) for p in needs):
+                    if bits > least and not near[run.start() + i] and all(p.search(word, run.start() + i, run.start() + i + window) for p in needs):
                         if start < 0 or run.start() + i > end:
                             if start >= 0:
                                 taken.append((start, end))
@@ -110,7 +119,7 @@ def find_secrets(docs: DataFrame, window: int = 20) -> DataFrame:
             for doc, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
                 base, every = all_spans(text or "", window)
                 n = Counter(s[2] for s in every)
-                rows.append((doc, n["assign"], n["access"], n["hex"], n["entropy_hex"] + n["entropy_b64"], hashlib.sha256(joined(base).encode()).hexdigest(), joined(every)))
+                rows.append((doc, n["assign"], n["access"], n["hex"], sum(n[k] for k in KINDS if k.startswith("entropy_")), hashlib.sha256(joined(base).encode()).hexdigest(), joined(every)))
             yield table(schema, zip(*rows, strict=True))
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(scan, ddl)

@@ -79,6 +79,22 @@ def test_entropy_adds_and_allow_list_suppresses():
     assert base == every
 
 
+@pytest.mark.parametrize(
+    "kind, letters", [("entropy_lower", "abcdefghijklmnopqrstuvwxyz0123456789"), ("entropy_upper", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"), ("entropy_letters", "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ")]
+)
+def test_entropy_finds_keys_of_each_class(kind, letters):
+    rng = random.Random(4)
+    hit = sum(kind in {k for _, _, k in secrets.entropy_spans("x " + "".join(rng.choices(letters, k=40)) + " y")} for _ in range(100))
+    assert hit >= 95
+
+
+def test_placeholders_suppress_only_what_is_near():
+    key = "gH7xQ2mZ9LpRt4VbNw8KcYs3"
+    assert secrets.entropy_spans(key + "-" * 40 + "xxxx" + "-" * 40 + key)[0][:1] == (0,)
+    assert len(secrets.entropy_spans(key + "-" * 40 + "xxxx" + "-" * 40 + key)) == 2
+    assert secrets.entropy_spans(f"prev: {key}") and not secrets.entropy_spans(f"rev: {key}") and not secrets.entropy_spans(f"file_md5: {key}")
+
+
 def test_secrets_on_odd_rows(odd, empty):
     rows = secrets.find_secrets(odd).collect()
     assert len(rows) == len(ODD) and all(r.spans == "" for r in rows)
