@@ -17,9 +17,12 @@ WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where none is set."""
+    """The folder that driver and executors share. Where none is set, one process alone gets a
+    temporary one; a cluster is refused, as its executors would each write to their own disk."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = "file://" + tempfile.mkdtemp(prefix="confab-")
         spark.conf.set("spark.checkpoint.dir", base)
     if spark.sparkContext.getCheckpointDir() is None:
@@ -46,6 +49,17 @@ def row_key(*names: str):
     return F.unhex(F.md5(F.concat_ws("\x1f", *parts)))
 
 
+def spread_join(rows: DataFrame, facts: DataFrame, on: list[str], weight: str, deal: str, how: str = "left", most: int = 100_000) -> DataFrame:
+    """Join ``rows`` with ``facts`` (one row a key) where a key may hold a large share of the rows:
+    ``weight`` says how many. A fact of over ``most`` rows is repeated once for each part, and its
+    rows are dealt to the parts by ``deal``. Such facts number at most rows / ``most``."""
+    parts = F.ceil(F.col(weight) / most).cast("int")
+    hot = facts.where(F.col(weight) > most).select(*on, parts.alias("__parts"))
+    dealt = rows.join(F.broadcast(hot), on, "left").withColumn("__part", F.coalesce(F.pmod(F.xxhash64(deal), F.col("__parts")).cast("int"), F.lit(0))).drop("__parts")
+    repeated = facts.withColumn("__part", F.explode(F.sequence(F.lit(0), F.greatest(parts, F.lit(1)) - 1))).drop(weight)
+    return dealt.join(repeated, [*on, "__part"], how).drop("__part")
+
+
 def slices(batches, rows: int = SLICE_ROWS):
     """Cut Arrow batches so that few long texts are Python objects at once."""
     for batch in batches:
@@ -54,7 +68,7 @@ def slices(batches, rows: int = SLICE_ROWS):
 
 
 def ddl_schema(ddl: str) -> pa.Schema:
-    kinds = {"bigint": pa.int64(), "long": pa.int64(), "int": pa.int32(), "string": pa.string(), "double": pa.float64(), "boolean": pa.bool_(), "binary": pa.binary()}
+    kinds = {"bigint": pa.int64(), "long": pa.int64(), "int": pa.int32(), "string": pa.string(), "double": pa.float64(), "boolean": pa.bool_(), "binary": pa.binary(), "array<int>": pa.list_(pa.int32()), "array<string>": pa.list_(pa.string())}
     return pa.schema([(n, kinds[k]) for n, k in (c.split() for c in ddl.split(","))])
 
 

@@ -1,44 +1,49 @@
-"""Main text of web pages, by markup and a suffix array over each host's pages.
-
-Markup: a page is cut into blocks, each inside or outside an article (or, on pages without
-one, the main element), and each in page furniture or not: menus, headers, footers, asides,
-notices, adverts, forms and reader comments, told by element, role, class or id. A class or
-id is a hint only: it never marks html, body, main or article, a name that tells of a state
-(has-sidebar, comments-open) is none, and where hints would leave no text, as when one is on
-a wrapper of it all, the blocks under the fewest of them stay.
-
-Suffix array: the words of all blocks outside articles are concatenated per host, page by
-page; suffixes are ranked by prefix doubling, and those that share at least ``min_tokens``
-words on ``min_pages`` distinct pages mark repeated substrings. A block mostly covered by
-them is boilerplate. Pages of a host with equal words are one page, whatever their ids.
-
-Kept are the article's blocks or, where no markup names an article, the blocks that are
-neither furniture nor boilerplate. Repeated passages inside an article stay, as quoting a
-text does not make it boilerplate.
-
-A host's stream is cut into chunks of about ``chunk_tokens`` words, pages whole; each chunk
-has its own array and passes on its prefix classes with their page counts, which are added
-up over the host's chunks. So no task holds a host, and a substring that repeats only across
-chunks is still found.
+"""Main text of web pages, by a suffix array over each host's pages, and markup.
+
+Markup: a page is read by the states of the HTML tokenizer and cut into blocks, each inside
+or outside an article (or, on pages without one, the main element), and each in page
+furniture or not. Elements, roles and hidden ones tell for sure: menus, headers, footers,
+asides, forms. A class or id only hints: a name hints if all its words are words of
+furniture or of layout (cookie-notice, main-menu; not market-share or has-sidebar). An
+article within an article is a reader's comment or a teaser, which hints too. Hints never
+leave a page without text: the blocks under the fewest of them stay. Of several articles
+those with less than a fifth of the largest one's words outside links are teasers.
+
+Suffix array: the words of all blocks, each page ended by a mark of its own, are
+concatenated per host; suffixes are sorted by prefix doubling, and from the lengths that
+neighbours share follows, for every position, the longest substring that starts there and
+stands on at least so many distinct pages. A block is repeated if such substrings of
+``min_tokens`` words or more cover at least ``cover`` of its words. What markup leaves open
+(pages without article or main) goes if it is repeated on ``min_pages`` pages, or stands in
+a run of three or more blocks that are links alone. What an article holds goes only if it
+is repeated on ``article_share`` of the host's pages, ``article_pages`` at least, and if
+such blocks are less than half of the article: so a template's lines go, and quoted or
+copied passages stay. Pages of a host with equal words are one page, whatever their ids.
+
+A host of more than ``chunk_tokens`` words is dealt to chunks by pages. Each chunk counts
+the pages of its substrings of ``min_tokens`` words, the counts are added up over the
+chunks, and the covered words follow from them: the same words that one array would give,
+as a longer repeat is covered by its shorter ones. So no task holds a host.
 
 Edge cases: null html is empty; its text is empty. Repeated pages, under one id or many,
-count once as evidence, and each has its own row. Unclosed, misnested or cut-off markup is read to the end. Null
-urls are one host. Other columns are not read.
+count once as evidence, and each has its own row. Unclosed, misnested or cut-off markup is
+read to the end in linear time; a tag cut off by the page's end is no text. Null urls are
+one host. Near copies of a page on one host are evidence each. Other columns are not read.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from collections import Counter, deque
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ddl_schema, materialize, row_key, slices, table
+from .common import ddl_schema, materialize, slices, spread_join, table
 
 # HTML element names by role.
 RAW = {"script", "style", "title", "textarea", "noscript", "template", "iframe", "xmp", "noembed", "noframes"}
@@ -46,256 +51,476 @@ VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "met
 BLOCK = set("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre section select summary table tbody td tfoot th thead tr ul caption".split())
 FURNITURE = {"nav", "footer", "aside", "form", "menu", "dialog", "button", "select", "head", "svg", "object", "canvas", "audio", "video", "map"}
 ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alertdialog", "alert", "menu", "menubar", "toolbar", "status"}
-#: Words in class or id names that mark page furniture.
-MARKS = set("ad ads adbox advert adverts advertisement advertising sponsor sponsored promo promotion banner sidebar sidenav menu nav navbar navigation breadcrumb breadcrumbs footer masthead topbar cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login search share sharing social related recommended recommendations trending comment comments commentlist disqus respond replies reply widget widgets toolbar pagination pager copyright disclaimer form skip".split())
-#: Of the class words, those that furnish a page but may head an article.
+#: Words that mark page furniture in class or id names.
+MARKS = set("ad ads adbox advert adverts advertisement advertising sponsor sponsored promo promotion banner sidebar sidenav menu nav navbar navigation breadcrumb breadcrumbs footer masthead topbar cookie cookies consent gdpr notice notices popup modal overlay newsletter subscribe subscription signup login search share sharing social related recommended recommendations trending comment comments commentlist disqus respond replies reply widget widgets toolbar pagination pager copyright disclaimer form skip teaser teasers".split())
+#: Words that mark furniture outside an article, but may head one.
 HEADS = {"header", "head", "top"}
-
-#: Words that make a name tell of a state or layout of the page.
-STATES = set("has no with without not non hide show open closed enabled disabled free layout".split())
+#: Words of layout, which say nothing but may stand beside a mark.
+LAYOUT = set("site page main global left right upper lower bottom box block wrapper wrap container area list section slot unit bar panel item items link links button buttons btn inner outer group row col column content primary secondary post posts article articles text more icons follow us policy module region zone".split())
 #: Elements that class or id never mark.
-WHOLE = {"html", "body", "main", "article"}
-
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S)
-_ATTR = re.compile(r"(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
-_NAME = re.compile(r"[a-z]+")
-
-
-def _furniture(name: str, attrs: str, in_article: bool) -> str:
-    """sure, by element or role; hint, by class or id; or nothing."""
-    if name in FURNITURE or name == "header" and not in_article:
+WHOLE = {"html", "body", "main"}
+
+_NAME = re.compile(r"[a-zA-Z][^\s/>]*")
+_SKIP, _ATTR, _EQUALS, _BARE = re.compile(r"[\s/]*"), re.compile(r"[^\s/>][^\s/>=]*"), re.compile(r"\s*=\s*"), re.compile(r"[^\s>]*")
+_WORDS = re.compile(r"[a-z0-9]+")
+_HIDDEN = re.compile(r"(?:display\s*:\s*none|visibility\s*:\s*hidden)", re.I)
+
+
+def tag_end(page: str, at: int) -> tuple[dict[str, str], int]:
+    """Attributes of the tag whose name ends at ``at``, and where it ends; -1 if the page ends in it."""
+    attrs: dict[str, str] = {}
+    while True:
+        at = _SKIP.match(page, at).end()
+        if at >= len(page):
+            return attrs, -1
+        if page[at] == ">":
+            return attrs, at + 1
+        m = _ATTR.match(page, at)
+        name, at, value = m[0].lower(), m.end(), ""
+        if m := _EQUALS.match(page, at):
+            at = m.end()
+            quote = page[at : at + 1]
+            if quote in ('"', "'") and quote:
+                close = page.find(quote, at + 1)
+                if close < 0:
+                    return attrs, -1
+                value, at = page[at + 1 : close], close + 1
+            else:
+                m = _BARE.match(page, at)
+                value, at = m[0], m.end()
+        attrs.setdefault(name, value)
+
+
+def furniture(name: str, attrs: dict[str, str], in_article: bool) -> str:
+    """sure, by element, role or hiding; hint, by class or id; or nothing."""
+    if name in FURNITURE or name == "header" and not in_article or "hidden" in attrs or _HIDDEN.search(attrs.get("style", "")):
+        return "sure" if name not in WHOLE else ""
+    if set(_WORDS.findall(attrs.get("role", "").lower())) & ROLES and name not in WHOLE:
         return "sure"
-    hint = ""
-    for m in _ATTR.finditer(attrs):
-        value = (m[2] or m[3] or m[4] or "").lower()
-        if m[1].lower() == "role":
-            if set(_NAME.findall(value)) & ROLES:
-                return "sure"
-        elif name not in WHOLE:
-            for words in map(set, map(_NAME.findall, value.split())):
-                if not words & STATES and (words & MARKS or not in_article and words & HEADS):
-                    hint = "hint"
-    return hint
-
-
-def blocks(page: str) -> list[tuple[str, str, int, int]]:
-    """(text, place, sure, hints) of each block with text: place is article, main or other, then the furniture around it."""
-    out: list[tuple[str, str, int, int]] = []
+    if name in WHOLE:
+        return ""
+    marks = MARKS if in_article else MARKS | HEADS
+    for token in f"{attrs.get('class', '')} {attrs.get('id', '')}".lower().split():
+        words = set(_WORDS.findall(token))
+        if words & marks and words <= marks | LAYOUT:
+            return "hint"
+    return "hint" if name == "article" and in_article else ""
+
+
+def blocks(page: str) -> list[tuple[str, str, int, int, int, float]]:
+    """(text, place, article, sure, hints, linked) of each block with text: place is article,
+    main or other, article the number of the outermost article, sure and hints the furniture
+    around it, linked the share of its text in links."""
+    out: list[tuple] = []
     stack: list[tuple[str, str]] = []  # block elements, and inline ones that are furniture
+    depth: Counter = Counter()  # how often each name is in the stack
     text: list[str] = []
-    articles = mains = sure = hints = 0
+    article = mains = sure = hints = linked = 0
+    link = False
+
+    def say(piece: str):
+        nonlocal linked
+        piece = html.unescape(piece)
+        text.append(piece)
+        if link:
+            linked += len("".join(piece.split()))
 
     def flush():
-        joined = " ".join("".join(text).split())
+        nonlocal linked
+        words = "".join(text).split()
         text.clear()
-        if joined:
-            out.append((joined, "article" if articles else "main" if mains else "other", sure, hints))
-
-    def drop(n: int):
-        nonlocal articles, mains, sure, hints
-        while len(stack) > n:
-            name, flag = stack.pop()
-            articles -= name == "article"
-            mains -= name == "main"
-            sure -= flag == "sure"
-            hints -= flag == "hint"
+        if words:
+            place = "article" if depth["article"] else "main" if mains else "other"
+            out.append((" ".join(words), place, article if depth["article"] else 0, sure, hints, linked / sum(map(len, words))))
+        linked = 0
+
+    def pop():
+        nonlocal mains, sure, hints
+        name, flag = stack.pop()
+        depth[name] -= 1
+        mains -= name == "main"
+        sure -= flag == "sure"
+        hints -= flag == "hint"
 
     at, end = 0, len(page)
     while at < end:
-        m = _TOKEN.search(page, at)
-        if m is None:
-            text.append(html.unescape(page[at:]))
+        start = page.find("<", at)
+        if start < 0:
+            say(page[at:])
             break
-        if m.start() > at:
-            text.append(html.unescape(page[at : m.start()]))
-        at = m.end()
-        name = (m[2] or "").lower()
-        if not name:
+        if start > at:
+            say(page[at:start])
+        after = page[start + 1 : start + 2]
+        if after in ("!", "?") and after:
+            close = page.find("-->", start + 2) if page.startswith("<!--", start) else page.find(">", start)
+            at = end if close < 0 else close + (3 if page.startswith("<!--", start) else 1)
             continue
+        closing = after == "/"
+        m = _NAME.match(page, start + 1 + closing)
+        if m is None:
+            if closing:
+                close = page.find(">", start)
+                at = end if close < 0 else close + 1
+            else:
+                say("<")
+                at = start + 1
+            continue
+        name = m[0].lower()
+        attrs, at = tag_end(page, m.end())
+        if at < 0:
+            break
+        whole = not closing and page[at - 2] == "/"
         if name in RAW:
-            if not m[1] and not m[3].endswith("/"):
-                close = re.compile(rf"</{re.escape(name)}(?=[\s/>])[^>]*>", re.I).search(page, at)
-                at = close.end() if close else end
+            if not closing and not whole:
+                close = re.compile(rf"</{re.escape(name)}(?=[\s/>])", re.I).search(page, at)
+                at = page.find(">", close.end()) + 1 or end if close else end
             continue
-        block = name in BLOCK
         if name == "br":
             text.append(" ")
             continue
+        if name == "a":
+            link = not closing and not whole
+        block = name in BLOCK
         if block:
             flush()
         if name in VOID:
             continue
-        if m[1]:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == name:
-                    flush() if stack[k][1] else None
-                    drop(k)
-                    break
+        if closing:
+            if depth[name]:
+                flush()
+                while stack[-1][0] != name:
+                    pop()
+                pop()
             continue
-        if block and stack and stack[-1][0] == "p":
-            drop(len(stack) - 1)
-        if name in ("li", "dt", "dd", "tr", "td", "th", "option") and stack and stack[-1][0] == name:
-            drop(len(stack) - 1)
-        flag = _furniture(name, m[3], articles + mains > 0)
+        if stack and (block and stack[-1][0] == "p" or name in ("li", "dt", "dd", "tr", "td", "th", "option") and stack[-1][0] == name):
+            pop()
+        flag = furniture(name, attrs, depth["article"] + mains > 0)
         if flag:
             flush()
-        if block or flag:
-            if not m[3].endswith("/"):
-                stack.append((name, flag))
-                articles += name == "article"
-                mains += name == "main"
-                sure += flag == "sure"
-                hints += flag == "hint"
+        if (block or flag) and not whole:
+            article += name == "article" and not depth["article"]
+            stack.append((name, flag))
+            depth[name] += 1
+            mains += name == "main"
+            sure += flag == "sure"
+            hints += flag == "hint"
     flush()
     return out
 
 
-def judged_blocks(page: str | None) -> list[tuple[str, str]]:
-    """(text, verdict) of each block: keep, drop, or open where markup names no article."""
+def judged_blocks(page: str | None, teaser: float = 0.2) -> list[tuple[str, str]]:
+    """(text, verdict) of each block: keep, drop, or open where markup does not tell."""
     found = blocks(page or "")
-    least = {}  # the fewest hints around a block of each place that is surely no furniture
-    for _, place, sure, hints in found:
+    least: dict[str, int] = {}  # the fewest hints around a block of each place that is surely no furniture
+    weight: Counter = Counter()  # characters outside links of each article
+    for text, place, article, sure, hints, linked in found:
         if not sure:
             least[place] = min(hints, least.get(place, hints))
-    clear = next((p for p in ("article", "main") if least.get(p) == 0), None)
-    body = clear or next((p for p in ("article", "main") if p in least), None)
+            weight[article] += (place == "article") * len(text) * (1 - linked)
+    largest = max((w for k, w in weight.items() if k), default=0)
+    body = next((p for p in ("article", "main") if least.get(p) == 0), None) or next((p for p in ("article", "main") if p in least), None)
     inside = {"main", "article"} if body == "main" else {body}
     few = min((least[p] for p in inside if p in least), default=0)
-    # without a clear article the rest of the page may be the text
-    rest = -1 if clear else 0 if body else least.get("other", 0)
-    return [(text, "drop" if sure else "keep" if place in inside and hints <= few else "open" if hints <= rest else "drop") for text, place, sure, hints in found]
+    # where even the article's own blocks have hints, the rest of the page may be the text
+    rest = least.get("other", 0) if body is None else 0 if few else -1
+    out, run = [], 0
+    for k, (text, place, article, sure, hints, linked) in enumerate(found):
+        if sure:
+            verdict = "drop"
+        elif place in inside and hints <= few:
+            verdict = "keep" if not article or weight[article] >= teaser * largest else "drop"
+        else:
+            verdict = "open" if hints <= rest and place not in inside else "drop"
+        run = run + 1 if verdict == "open" and linked > 0.99 else 0
+        out.append((text, verdict))
+        if run >= 3:
+            for j in range(k - run + 1, k + 1):
+                out[j] = (out[j][0], "drop")
+    return out
 
 
 # --- suffix array ---------------------------------------------------------------------
 
+
+def suffix_array(tokens: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """The suffixes that share ``least`` tokens with another one, sorted, and how many tokens
+    each shares with the one before it.
+
+    Prefix doubling: a rank is the number of suffixes that are smaller by their first tokens,
+    and each round ranks those that still tie by twice as many. Suffixes that no longer tie
+    drop out, so text without repeats costs log2(least) rounds. All rounds' ranks are kept, as
+    equal ranks tell equal substrings: shared lengths are read off from the longest round down."""
+    n = len(tokens)
+    _, inverse, counts = np.unique(tokens, return_inverse=True, return_counts=True)
+    rank = (np.cumsum(counts) - counts)[inverse]
+    levels, width, live, found = [rank.astype(np.int32)], 1, np.flatnonzero(counts[inverse] > 1), None
+    while len(live):
+        if found is None and 2 * width > least:
+            found = live
+        after = np.where(live + width < n, rank[np.minimum(live + width, n - 1)], -1)
+        order = np.lexsort((after, rank[live]))
+        r, a = rank[live][order], after[order]
+        at = np.arange(len(r))
+        fresh = np.concatenate(([True], r[1:] != r[:-1]))
+        head = fresh | np.concatenate(([True], a[1:] != a[:-1]))
+        new = r + np.maximum.accumulate(np.where(head, at, 0)) - np.maximum.accumulate(np.where(fresh, at, 0))
+        rank = rank.copy()
+        rank[live[order]] = new
+        levels.append(rank.astype(np.int32))
+        width *= 2
+        alone = head & np.concatenate((head[1:], [True]))
+        live = np.sort(live[order[~alone]])
+    if found is None:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    array = found[np.argsort(rank[found])]
+    left, right, lcp = array[:-1], array[1:], np.zeros(max(0, len(array) - 1), np.int64)
+    for k in range(len(levels) - 1, -1, -1):
+        i, j = left + lcp, right + lcp
+        ok = (i < n) & (j < n)
+        same = ok & (levels[k][np.minimum(i, n - 1)] == levels[k][np.minimum(j, n - 1)])
+        lcp += same * (1 << k)
+    return array, np.concatenate((np.zeros(min(1, len(array)), np.int64), lcp))
+
+
+def shared_lengths(array: np.ndarray, lcp: np.ndarray, pages: np.ndarray, k: int, least: int) -> np.ndarray:
+    """For each suffix of the array the longest prefix that ``k`` distinct pages share, 0 if under ``least``.
+
+    The smallest windows of the array with ``k`` pages are found with two ends that only move
+    on; a window shares the least length within it. A suffix has the best of the windows it is
+    in, or what it shares with a neighbour that has more."""
+    n, page, common = len(array), pages[array].tolist(), lcp.tolist()
+    windows: list[tuple[int, int, int]] = []
+    low: deque = deque()  # places of the window's least lengths, increasing
+    seen: Counter = Counter()
+    start = distinct = 0
+    for end in range(n):
+        if common[end] < least:
+            start, distinct = end, 0
+            seen.clear()
+            low.clear()
+        else:
+            while low and common[low[-1]] >= common[end]:
+                low.pop()
+            low.append(end)
+        distinct += not seen[page[end]]
+        seen[page[end]] += 1
+        while distinct >= k:
+            while low and low[0] <= start:
+                low.popleft()
+            if not low:  # one page is enough
+                break
+            windows.append((start, end, common[low[0]]))
+            seen[page[start]] -= 1
+            distinct -= not seen[page[start]]
+            start += 1
+    out, best, at = [0] * n, deque(), 0
+    for s in range(n):
+        while at < len(windows) and windows[at][0] <= s:
+            while best and best[-1][2] <= windows[at][2]:
+                best.pop()
+            best.append(windows[at])
+            at += 1
+        while best and best[0][1] < s:
+            best.popleft()
+        out[s] = max(best[0][2] if best else 0, min(out[s - 1], common[s]) if s else 0)
+    for s in range(n - 2, -1, -1):
+        out[s] = max(out[s], min(out[s + 1], common[s + 1]))
+    return np.where(np.array(out) >= least, out, 0).astype(np.int64)
+
+
+def covered_tokens(array: np.ndarray, lengths: np.ndarray, n: int) -> np.ndarray:
+    """Whether each of ``n`` positions is inside a substring."""
+    steps = np.zeros(n + 1, np.int64)
+    np.add.at(steps, array, lengths > 0)
+    np.add.at(steps, array + lengths, -(lengths > 0).astype(np.int64))
+    return np.cumsum(steps)[:-1] > 0
+
+
+def covered_blocks(owner: np.ndarray, hit: np.ndarray, cover: float) -> list[int]:
+    """The blocks, numbered from 0 in ``owner``, that are covered."""
+    if not hit.any():
+        return []
+    return np.flatnonzero(np.bincount(owner, hit) >= cover * np.maximum(np.bincount(owner), 1)).tolist()
+
+
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
 def gram_hashes(tokens: np.ndarray, n: int) -> np.ndarray:
     """A hash of the ``n`` tokens from each position that has so many."""
-    out = np.zeros(max(0, len(tokens) - n + 1), np.uint64)
+    own = tokens.astype(np.int64).view(np.uint64)
+    out = np.zeros(max(0, len(own) - n + 1), np.uint64)
     with np.errstate(over="ignore"):
         for k in range(n):
-            out = (out ^ tokens[k : k + len(out)]) * _MIX
+            out = (out ^ own[k : k + len(out)]) * _MIX
             out ^= out >> np.uint64(29)
-    return out
+    return out.view(np.int64)
 
 
-def prefix_classes(tokens: np.ndarray, pages: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """A suffix array of the stream, ordered by its suffixes' first ``n`` tokens.
-
-    Ranks by prefix doubling: after each round suffixes are ranked by twice as many tokens.
-    Returns the start and the number of distinct pages of each class of suffixes with equal
-    first ``n`` tokens, all on one page each.
-    """
-    rank = np.unique(tokens, return_inverse=True)[1].astype(np.int64)
-    width = 1
-    while width < n:
-        step = min(width, n - width)
-        nxt = np.full(len(rank), -1, np.int64)
-        nxt[: max(0, len(rank) - step)] = rank[step:]
-        rank = np.unique(rank * (len(rank) + 2) + nxt + 1, return_inverse=True)[1].astype(np.int64)
-        width += step
-    start = np.arange(len(tokens))
-    start = start[: max(0, len(tokens) - n + 1)]
-    start = start[pages[start] == pages[start + n - 1]] if len(start) else start
-    if not len(start):
-        return start, start
-    order = start[np.lexsort((pages[start], rank[start]))]
-    r, p = rank[order], pages[order]
-    head = np.concatenate(([True], r[1:] != r[:-1]))
-    fresh = head | np.concatenate(([True], p[1:] != p[:-1]))
-    return order[head], np.add.reduceat(fresh.astype(np.int64), np.flatnonzero(head))
-
-
-def host_streams(pages: DataFrame) -> DataFrame:
-    """key, host, content (a hash of the page's words), tokens (word hashes of the blocks outside articles) and blocks (the open block of each, or -1)."""
-    schema = pa.schema([("key", pa.binary()), ("host", pa.string()), ("content", pa.binary()), ("tokens", pa.list_(pa.int64())), ("blocks", pa.list_(pa.int32()))])
+# --- pages ----------------------------------------------------------------------------
 
-    def scan(batches):
-        for part in slices(batches):
-            rows = []
-            for key, host, page in zip(*(c.to_pylist() for c in part.columns), strict=True):
-                tokens, owner, content = [], [], xxhash.xxh3_128()
-                for k, (text, verdict) in enumerate(judged_blocks(page)):
-                    words = text.lower().split()
-                    content.update(" ".join([*words, ""]).encode("utf-8", "replace"))
-                    if verdict != "keep":
-                        tokens += [xxhash.xxh64_intdigest(w) - (1 << 63) for w in words]
-                        owner += [k if verdict == "open" else -1] * len(words)
-                rows.append((key, host, content.digest(), tokens, owner))
-            yield table(schema, zip(*rows, strict=True))
 
+def with_host(pages: DataFrame) -> DataFrame:
     host = F.coalesce(F.lower(F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1)), F.lit(""))
-    picked = pages.select(row_key("page_id", "url", "html").alias("key"), host.alias("host"), "html")
-    return picked.mapInArrow(scan, "key binary, host string, content binary, tokens array<bigint>, blocks array<int>")
-
-
-def boilerplate_blocks(pages: DataFrame, min_tokens: int = 8, min_pages: int = 3, chunk_tokens: int = 1_000_000, cover: float = 0.5) -> DataFrame:
-    """(key, covered): for each page the open blocks that repeated substrings cover."""
-    streams = materialize(host_streams(pages).dropDuplicates(["key"]), "html-streams")
-    # pages with equal words count once as evidence
-    evidence = streams.join(streams.groupBy("host", "content").agg(F.min("key").alias("key")).select("key"), "key", "left_semi")
-    sizes = evidence.groupBy("host").agg(F.sum(F.size("tokens")).alias("size"))
-    sizes = sizes.select("host", F.ceil(F.col("size") / chunk_tokens).cast("long").alias("n")).select("host", F.greatest("n", F.lit(1).cast("long")).alias("n"))
-    placed = evidence.join(sizes, "host").withColumn("chunk", F.pmod(F.xxhash64("key"), F.col("n")))
-
-    def array(frame: pd.DataFrame) -> pd.DataFrame:
-        own = [np.asarray(t, np.int64).view(np.uint64) for t in frame["tokens"]]
-        tokens = np.concatenate(own)
-        starts, counts = prefix_classes(tokens, np.repeat(np.arange(len(own)), [len(t) for t in own]), min_tokens)
-        if frame["n"].iloc[0] == 1:
-            starts, counts = starts[counts >= min_pages], counts[counts >= min_pages]
-        grams = gram_hashes(tokens, min_tokens)[starts].view(np.int64)
-        return pd.DataFrame({"host": frame["host"].iloc[0], "gram": grams, "pages": counts})
-
-    classes = placed.select("host", "chunk", "n", "tokens").groupBy("host", "chunk").applyInPandas(array, "host string, gram long, pages long")
-    repeated = classes.groupBy("host", "gram").agg(F.sum("pages").alias("pages")).where(F.col("pages") >= min_pages).select("host", "gram")
-    schema = pa.schema([("key", pa.binary()), ("host", pa.string()), ("at", pa.int32()), ("gram", pa.int64())])
+    return pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"), host.alias("host"))
+
+
+def content_of(found: list[tuple[str, str]]) -> bytes:
+    digest = xxhash.xxh3_128()
+    for text, _ in found:
+        digest.update(text.lower().encode("utf-8", "replace") + b"\n")
+    return digest.digest()
 
-    def grams(batches):
-        for part in slices(batches):
-            for key, host, tokens in zip(*(c.to_pylist() for c in part.columns), strict=True):
-                got = gram_hashes(np.asarray(tokens, np.int64).view(np.uint64), min_tokens).view(np.int64)
-                yield table(schema, [[key] * len(got), [host] * len(got), np.arange(len(got), dtype=np.int32), got])
 
-    left_open = streams.where(F.exists("blocks", lambda b: b >= 0))
-    hits = left_open.select("key", "host", "tokens").mapInArrow(grams, "key binary, host string, at int, gram long").join(repeated, ["host", "gram"]).groupBy("key").agg(F.collect_list("at").alias("at"))
+STREAM = "host string, n long, content binary, copies long, tokens array<int>, owner array<int>"
+EVIDENCE = "host string, content binary, copies long, repeated array<int>, common array<int>, gram long, pages long"
 
-    def covered(batches):
-        schema = pa.schema([("key", pa.binary()), ("covered", pa.list_(pa.int32()))])
+
+def host_streams(placed: DataFrame) -> DataFrame:
+    """Of pages (host, n, html): content (a hash of the page's words), how many copies of it the
+    task has met, the hashes of its words and the block of each. A task passes a content on once."""
+    schema = ddl_schema(STREAM)
+
+    def scan(batches):
+        copies: Counter = Counter()
         for part in slices(batches):
             rows = []
-            for key, owner, at in zip(*(c.to_pylist() for c in part.columns), strict=True):
-                owner = np.array(owner)
-                hit = np.zeros(len(owner) + 1, np.int64)
-                np.add.at(hit, at, 1)
-                np.add.at(hit, np.array(at) + min_tokens, -1)
-                hit = np.cumsum(hit)[:-1] > 0
-                got = [int(b) for b in np.unique(owner[owner >= 0]) if hit[owner == b].mean() >= cover]
-                rows.append((key, got))
-            yield table(schema, zip(*rows, strict=True))
+            for host, n, page in zip(*(c.to_pylist() for c in part.columns), strict=True):
+                found = judged_blocks(page)
+                content = content_of(found)
+                copies[host, n, content] += 1
+                if copies[host, n, content] == 1:
+                    words = [(xxhash.xxh32_intdigest(w) >> 1, k) for k, (text, _) in enumerate(found) for w in text.lower().split()]
+                    rows.append((host, n, content, 1, [w for w, _ in words], [k for _, k in words]))
+            yield table(schema, zip(*rows, strict=True) if rows else [[]] * 6)
+        more = [(*key, c - 1) for key, c in copies.items() if c > 1]
+        for at in range(0, len(more), 4096):
+            some = list(zip(*more[at : at + 4096], strict=True))
+            yield table(schema, [*some, [None] * len(some[0]), [None] * len(some[0])])
+
+    return placed.select("host", "n", "html").mapInArrow(scan, STREAM)
+
+
+def repeats(pages: DataFrame, min_tokens: int = 8, min_pages: int = 3, article_share: float = 0.5, article_pages: int = 10, chunk_tokens: int = 1_000_000, cover: float = 0.5, max_broadcast: int = 100_000) -> DataFrame:
+    """(host, content, copies, repeated, common): of pages (host, html) with covered blocks, those
+    repeated on ``min_pages`` pages and those on ``article_share`` of the host's, each a content once."""
+    hosts = pages.groupBy("host").agg(F.sum(F.coalesce(F.length("html"), F.lit(0))).alias("chars"))
+    # a token and its markup are about 8 characters
+    large = materialize(hosts.where(F.col("chars") > 8 * chunk_tokens).select("host", F.ceil(F.col("chars") / (8 * chunk_tokens)).cast("long").alias("n")), "html-large")
+    few = large.count() <= max_broadcast
+    placed = pages.join(F.broadcast(large) if few else large, "host", "left").withColumn("n", F.coalesce("n", F.lit(1).cast("long")))
+    streams = host_streams(placed).withColumn("chunk", F.pmod(F.xxhash64("content"), F.col("n")))
+    schema = ddl_schema(EVIDENCE)
+
+    def evidence(host, n, own):
+        """Rows of one chunk from its contents: [content, copies, tokens, owner]."""
+        lengths = [len(x[2]) for x in own]
+        need = max(article_pages, int(np.ceil(article_share * len(own))))
+        if n > 1:
+            grams = [np.unique(gram_hashes(np.asarray(x[2], np.int32), min_tokens)) for x in own]
+            values, pages_of = np.unique(np.concatenate(grams), return_counts=True)
+            yield [host, None, len(own), None, None, None, None]
+            for g, c in zip(values.tolist(), pages_of.tolist(), strict=True):
+                yield [host, None, None, None, None, g, c]
+            return
+        # each page ends with a mark of its own, so that no substring runs over pages
+        stream = np.concatenate([np.append(np.asarray(x[2], np.int64), -1 - k) for k, x in enumerate(own)])
+        page = np.repeat(np.arange(len(own)), np.array(lengths) + 1)
+        array, lcp = suffix_array(stream, min_tokens)
+        hit = covered_tokens(array, shared_lengths(array, lcp, page, min_pages, min_tokens), len(stream))
+        if not hit.any():
+            return
+        often = covered_tokens(array, shared_lengths(array, lcp, page, need, min_tokens), len(stream)) if len(own) >= need else np.zeros(len(stream), bool)
+        ends = np.cumsum(np.array(lengths) + 1)
+        for (content, copies, _, owner), size, end in zip(own, lengths, ends, strict=True):
+            got = covered_blocks(np.asarray(owner, np.int64), hit[end - 1 - size : end - 1], cover)
+            if got:
+                yield [host, content, copies, got, covered_blocks(np.asarray(owner, np.int64), often[end - 1 - size : end - 1], cover), None, None]
+
+    def arrays(batches):
+        at, own, ready = None, [], []
+        for part in slices(batches):
+            for host, n, content, copies, tokens, owner, chunk in zip(*(c.to_pylist() for c in part.columns), strict=True):
+                if at is not None and at != (host, n, chunk):
+                    ready += evidence(*at[:2], own)
+                    own = []
+                at = (host, n, chunk)
+                if own and own[-1][0] == content:
+                    own[-1][1] += copies
+                    own[-1][2:] = [own[-1][2] if tokens is None else tokens, own[-1][3] if owner is None else owner]
+                else:
+                    own.append([content, copies, tokens or [], owner or []])
+                if len(ready) > 4096:
+                    yield table(schema, zip(*ready, strict=True))
+                    ready = []
+        if own:
+            ready += evidence(*at[:2], own)
+        if ready:
+            yield table(schema, zip(*ready, strict=True))
+
+    sorted_ = streams.repartition("host", "chunk").sortWithinPartitions("host", "n", "chunk", "content")
+    found = materialize(sorted_.mapInArrow(arrays, EVIDENCE), "html-evidence")
+    whole = found.where("content is not null").select("host", "content", "copies", "repeated", "common")
+    if large.isEmpty():
+        return whole
+    # hosts of several chunks: counts of substrings are added up, and what they cover follows
+    totals = found.where("content is null and gram is null").groupBy("host").agg(F.sum("copies").alias("n_pages"))
+    often = F.col("pages") >= F.greatest(F.lit(article_pages), F.ceil(article_share * F.col("n_pages")))
+    known = found.where("gram is not null").groupBy("host", "gram").agg(F.sum("pages").alias("pages")).where(F.col("pages") >= min_pages)
+    known = known.join(totals, "host").select("host", "gram", often.alias("often"))
+    streams = materialize(streams.where("n > 1").groupBy("host", "content").agg(F.sum("copies").alias("copies"), F.max("tokens").alias("tokens"), F.max("owner").alias("owner")), "html-streams")
+    grams_ddl = "host string, content binary, at int, gram long"
 
-    return left_open.select("key", "blocks").join(hits, "key").mapInArrow(covered, "key binary, covered array<int>").where(F.size("covered") > 0)
+    def grams(batches):
+        out = ddl_schema(grams_ddl)
+        for part in slices(batches):
+            for host, content, tokens in zip(*(c.to_pylist() for c in part.columns), strict=True):
+                got = gram_hashes(np.asarray(tokens or [], np.int32), min_tokens)
+                yield table(out, [[host] * len(got), [content] * len(got), np.arange(len(got), dtype=np.int32), got])
 
+    hits = streams.select("host", "content", "tokens").mapInArrow(grams, grams_ddl).join(known, ["host", "gram"]).groupBy("host", "content").agg(F.collect_list("at").alias("at"), F.collect_list(F.when(F.col("often"), F.col("at"))).alias("often"))
+    covers_ddl = "host string, content binary, copies long, repeated array<int>, common array<int>"
 
-def main_text(pages: DataFrame, max_broadcast: int = 20_000, **settings) -> DataFrame:
-    """Per page: page_id, url, text, n_chars, n_blocks and n_boilerplate (blocks the suffix array removed)."""
-    covered = materialize(boilerplate_blocks(pages, **settings), "html-covered")
-    few = covered.count() <= max_broadcast
-    ddl = "page_id long,url string,text string,n_chars long,n_blocks long,n_boilerplate long"
+    def covers(batches):
+        out = ddl_schema(covers_ddl)
+        for part in slices(batches):
+            rows = []
+            for host, content, copies, owner, at, often in zip(*(c.to_pylist() for c in part.columns), strict=True):
+                owner = np.asarray(owner, np.int64)
+                both = [covered_blocks(owner, covered_tokens(np.asarray(x, np.int64), np.full(len(x), min_tokens), len(owner)), cover) for x in (at, often)]
+                if both[0]:
+                    rows.append((host, content, copies, *both))
+            if rows:
+                yield table(out, zip(*rows, strict=True))
+
+    return whole.unionByName(streams.join(hits, ["host", "content"]).select("host", "content", "copies", "owner", "at", "often").mapInArrow(covers, covers_ddl))
+
+
+def main_text(pages: DataFrame, **settings) -> DataFrame:
+    """Per page: page_id, url, text, n_chars, n_blocks (kept), n_repeated (blocks of the page that
+    the suffix array covers) and n_boilerplate (those of them that markup would have kept)."""
+    pages = with_host(pages)
+    covered = materialize(repeats(pages, **settings), "html-covered")
+    ddl = "page_id long, url string, host string, content binary, texts array<string>, verdicts array<string>"
     schema = ddl_schema(ddl)
 
     def extract(batches):
         for part in slices(batches):
             rows = []
-            for page_id, url, page, cut in zip(*(part.column(k).to_pylist() for k in range(4)), strict=True):
-                cut = set(cut or ())
-                kept = [t for k, (t, verdict) in enumerate(judged_blocks(page)) if verdict == "keep" or verdict == "open" and k not in cut]
-                text = "\n\n".join(kept)
-                rows.append((page_id, url, text, len(text), len(kept), len(cut)))
+            for page_id, url, page, host in zip(*(c.to_pylist() for c in part.columns), strict=True):
+                found = judged_blocks(page)
+                rows.append((page_id, url, host, content_of(found), [t if v != "drop" else "" for t, v in found], [v for _, v in found]))
             yield table(schema, zip(*rows, strict=True))
 
-    keyed = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), "html", row_key("page_id", "url", "html").alias("key"))
-    both = keyed.join(F.broadcast(covered) if few else covered, "key", "left").select("page_id", "url", "html", "covered")
-    return both.mapInArrow(extract, ddl)
+    both = spread_join(pages.mapInArrow(extract, ddl), covered, ["host", "content"], "copies", "page_id")
+    none = F.array().cast("array<int>")
+    at = lambda i, name: F.array_contains(F.coalesce(name, none), i)
+    words = lambda keep: F.aggregate(F.transform("texts", lambda t, i: F.when(keep(i), F.length(t)).otherwise(0)), F.lit(0), lambda a, b: a + b)
+    kept = lambda i: F.get("verdicts", i) == "keep"
+    some = both.withColumn("some", 2 * words(lambda i: kept(i) & at(i, "common")) < words(kept))
+    gone = lambda i: (F.get("verdicts", i) == "open") & at(i, "repeated") | kept(i) & F.col("some") & at(i, "common")
+    left = some.withColumn("left", F.filter("texts", lambda t, i: (F.get("verdicts", i) != "drop") & ~gone(i)))
+    text = F.array_join("left", "\n\n")
+    lost = F.size(F.filter("texts", lambda t, i: (F.get("verdicts", i) != "drop") & gone(i)))
+    out = left.select("page_id", "url", text.alias("text"), F.size("left").cast("long").alias("n_blocks"), F.size(F.coalesce("repeated", none)).cast("long").alias("n_repeated"), lost.cast("long").alias("n_boilerplate"))
+    return out.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"), "n_blocks", "n_repeated", "n_boilerplate")

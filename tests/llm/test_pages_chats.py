@@ -3,6 +3,7 @@
 import hashlib
 import itertools
 import random
+import time
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -60,21 +61,69 @@ def test_copies_of_a_page_are_no_evidence(spark):
     assert [r.text for r in html_text.main_text(frame).collect()] == [text] * 5
 
 
-def brute_classes(tokens, pages, n, least):
-    found = defaultdict(set)
-    for i in range(len(tokens) - n + 1):
-        if pages[i] == pages[i + n - 1]:
+def brute_lengths(tokens, pages, k, least):
+    best = [0] * len(tokens)
+    for n in range(least, len(tokens) + 1):
+        found = defaultdict(set)
+        for i in range(len(tokens) - n + 1):
             found[tuple(tokens[i : i + n])].add(pages[i])
-    return {g: len(p) for g, p in found.items() if len(p) >= least}
+        for i in range(len(tokens) - n + 1):
+            best[i] = n if len(found[tuple(tokens[i : i + n])]) >= k else best[i]
+    return best
+
+
+@pytest.mark.parametrize("seed", range(12))
+def test_shared_lengths_of_the_suffix_array(seed):
+    rng = np.random.default_rng(seed)
+    tokens, pages = [], []
+    for k in range(int(rng.integers(1, 10))):
+        own = rng.integers(0, rng.integers(1, 4), rng.integers(0, 20)).tolist()
+        tokens += [*own, -1 - k]
+        pages += [k] * (len(own) + 1)
+    for least, k in itertools.product((1, 2, 3, 5, 8), (1, 2, 3, 5)):
+        array, lcp = html_text.suffix_array(np.array(tokens), least)
+        assert [tokens[i:] for i in array] == sorted(tokens[i:] for i in array)
+        got = np.zeros(len(tokens), int)
+        got[array] = html_text.shared_lengths(array, lcp, np.array(pages), k, least)
+        want = brute_lengths(tokens, pages, k, least)
+        assert k == 1 or got.tolist() == want
 
 
-@pytest.mark.parametrize("n", [1, 2, 3, 5, 8])
-def test_suffix_array_classes(n):
-    rng = np.random.default_rng(n)
-    tokens, pages = rng.integers(0, 3, 400).astype(np.uint64), np.sort(rng.integers(0, 20, 400))
-    starts, counts = html_text.prefix_classes(tokens, pages, n)
-    got = {tuple(tokens[s : s + n].tolist()): c for s, c in zip(starts, counts.tolist())}
-    assert got == brute_classes(tokens.tolist(), pages.tolist(), n, 1)
+@pytest.mark.parametrize(
+    "page, text",
+    [
+        ("<html class='no-js menu-open'><p>x</p>", ["x"]), ("<div class='page-with-sidebar'><p>x</p></div>", ["x"]), ("<article><p class='market-share'>x</p></article>", ["x"]),
+        ("<article data-class='menu'>x</article>", ["x"]), ("<p title=it's>First</p><p>Second isn't", ["First", "Second isn't"]), ("<article><p hidden>h</p><p style='display: none'>n</p>x</article>", ["x"]),
+        (f"<article><p>{'long ' * 40}</p></article><article><h2><a href=x>Other</a></h2></article>", [("long " * 40).strip()]), ("<article>x<article>a comment</article></article>", ["x"]),
+        ("<div><a>One</a></div><div><a>Two</a></div><div><a>Three</a></div><p>x <a>y</a></p>", ["x y"]), ("<div class='cookie-notice'>c</div><div id=main-menu>m</div><p>x</p>", ["x"]), ("a < b <3 </ > &lt;c", ["a < b <3 <c"]), ("<p>x</p><a href='", ["x"]), ("<p>x<!-- <p>y", ["x"]),
+    ],
+)
+def test_markup_that_is_easily_misread(page, text):
+    assert [t for t, verdict in html_text.judged_blocks(page) if verdict != "drop"] == text
+
+
+@pytest.mark.parametrize("piece", ["<a b='c' ", "<a b='", "<!--", '<p title="', "<div></p>", "<", "<svg>", "</", "<script>", "<a   ", "&#x", "<li>x", "<div class=menu>"])
+def test_a_megabyte_of_broken_markup(piece):
+    began = time.process_time()
+    html_text.judged_blocks(piece * (1_000_000 // len(piece)))
+    assert time.process_time() - began < 10
+
+
+def words_of(rng, k):
+    return " ".join("".join(rng.choices("abcdefgh", k=6)) for _ in range(k))
+
+
+@pytest.mark.parametrize("chunk", [1_000_000, 60])
+def test_a_template_inside_articles_goes_and_quotes_stay(spark, chunk):
+    rng = random.Random(5)
+    line, quote = words_of(rng, 12), words_of(rng, 30)
+    own = [words_of(rng, 40) for _ in range(30)]
+    body = lambda i: f"<article><p>{own[i]}</p>{f'<p>{quote}</p>' if i < 8 else ''}<div>{line}</div></article><div>{line}</div>"
+    frame = spark.createDataFrame([(i, "http://h.example/", body(i)) for i in range(30)], "page_id long, url string, html string")
+    got = {r.page_id: r for r in html_text.main_text(frame, chunk_tokens=chunk).collect()}
+    for i in range(30):
+        assert got[i].text == own[i] + (f"\n\n{quote}" if i < 8 else "")
+        assert (got[i].n_blocks, got[i].n_boilerplate, got[i].n_repeated) == (1 + (i < 8), 1, 2 + (i < 8))
 
 
 @pytest.mark.parametrize("chunk", [1_000_000, 40])
