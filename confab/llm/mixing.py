@@ -2,20 +2,24 @@
 
 Sizes are word counts. Each source's target is its share by weight of all words, never
 over ``max_epochs`` times its size; what a stopped source leaves is shared again by weight
-until none is above. Targets become integer quotas of equal blocks: all words are
-``seats`` blocks, dealt to sources by highest quotients target / (2k + 1), and each
-source's blocks are dealt in the same way to its shards by their sizes. A shard orders its
-documents by a seeded hash and the mix takes its quota of blocks from the start of that
-stream, whole passes first, so only one document a shard is taken in part.
+until none is above. Targets become integer quotas of equal blocks of ``block_words`` words,
+dealt to sources by highest quotients target / (2k + 1), and each source's blocks are dealt in
+the same way to its shards by their sizes. Blocks have one size whatever the input, and what a
+source's target leaves over or under its blocks is settled in words, so sources smaller than a
+block meet their targets too. A shard orders its documents by a seeded hash and the mix takes
+its quota from the start of that stream, whole passes first, so only one document a shard is
+taken in part.
 
 Shards are hashed, so a source holding a third of all rows is spread over many. Their
-number follows the words, up to ``max_shards`` in all and one a source: the quota table
-on the driver has at most ``max_shards`` + sources rows, whatever the input. The table of
+number follows the words, up to ``max_shards`` in all and one a source: the tables of quotas
+and of the documents taken in part have at most ``max_shards`` + sources rows, whatever the
+input, and the second is all that a document needs to know what is taken of it. The table of
 sources is the mix's recipe; more than ``max_sources`` of them are refused by an error.
 
 Edge cases: a null text has size 0 and is never taken. A null source is a source, last in
-order. Repeated rows are documents of their own. No words at all: targets are 0. Reruns
-agree, as all choices follow from the seed and the rows. Other columns are not read.
+order. Repeated rows are documents of their own, held as one row and its count until the end.
+No words at all: targets are 0. Reruns agree, as all choices follow from the seed and the
+rows. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -64,7 +68,7 @@ def sainte_lague(votes, seats: int, caps=None) -> np.ndarray:
     # with divisor d party i holds round(votes / d) seats; a larger d than the final one deals too few
     d = votes.sum() / seats
     while (start := np.minimum(np.floor(votes / d + 0.5).astype(np.int64), caps)).sum() > seats:
-        d *= 1 + max(1e-6, (start.sum() - seats) / seats)
+        d *= 1 + max(1e-12, (start.sum() - seats) / seats)
     out, left = start, seats - int(start.sum())
     heap = [(-v / (2 * k + 1), i) for i, (v, k) in enumerate(zip(votes, out.tolist(), strict=True)) if v > 0 and k < caps[i]]
     heapq.heapify(heap)
@@ -77,52 +81,107 @@ def sainte_lague(votes, seats: int, caps=None) -> np.ndarray:
     return out
 
 
+def quotas(goal: list[float], held: list[list[int]], block: int, max_epochs: int) -> list[list[int]]:
+    """Words to take from each shard of each source: ``held`` has the shards' words.
+
+    Blocks go to sources, then to their shards, by Sainte-Lague; the words between a source's
+    blocks and its target are then taken from, or added to, its shards in order, within their caps."""
+    blocks = sainte_lague(goal, int(sum(goal)) // block)
+    out = []
+    for target, seats, own in zip(goal, blocks.tolist(), held, strict=True):
+        caps = [max_epochs * s for s in own]
+        took = [block * int(q) for q in sainte_lague(own, seats, [c // block for c in caps])]
+        left = min(round(target), sum(caps)) - sum(took)
+        for k, cap in enumerate(caps):
+            step = max(-took[k], min(left, cap - took[k]))
+            took[k], left = took[k] + step, left - step
+        out.append(took)
+    return out
+
+
 def sized(docs: DataFrame) -> DataFrame:
-    """doc_id, key, source, size of each document, in the shared folder."""
+    """doc_id, key, source, size and number of equal rows of each document, in the shared folder."""
     size = F.coalesce(F.regexp_count("text", F.lit(WORD_PATTERN)), F.lit(0)).cast("long")
     picked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_key("doc_id", "source", "text").alias("key"), F.col("source").cast("string").alias("source"), size.alias("size"))
-    return materialize(picked, "mix-sizes")
+    return materialize(picked.groupBy("key", "doc_id", "source", "size").agg(F.count("*").alias("copies")), "mix-sizes")
 
 
-def mix(docs: DataFrame, weights=(1, 2, 3), max_epochs: int = 3, seed: int = 42, seats: int = 1_000_000, shard_words: int = 1_000_000, max_shards: int = 65_536, max_sources: int = 100_000) -> DataFrame:
-    """Per document: doc_id, key, size, source_size, target (its source's), taken (words, repeats counted)."""
-    spark = docs.sparkSession
-    rows = sized(docs)
-    host = F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("~"))
-    recipe = rows.groupBy("source").agg(F.sum("size").alias("size")).limit(max_sources + 1).collect()
-    if len(recipe) > max_sources:
+def _host():
+    return F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit("~"))
+
+
+class Recipe:
+    """What the mix takes: ``sources`` (host, source_size, target, shards) and, one row a shard,
+    ``cuts`` (host, shard, passes, at, at_key, words): every document is taken ``passes`` times,
+    those before (at, at_key) in the shard's order once more, and of that document ``words`` more."""
+
+    def __init__(self, sources: DataFrame, cuts: DataFrame, seed: int):
+        self.sources, self.cuts, self.seed = sources, cuts, seed
+
+    def placed(self, rows: DataFrame) -> DataFrame:
+        """Rows with a ``key`` and a ``host``, with shard, order and what their source and shard know."""
+        # at most max_sources rows, and at most max_shards more
+        known = rows.join(F.broadcast(self.sources), "host").withColumns({"shard": self.shard(), "order": self.order()})
+        return known.join(F.broadcast(self.cuts), ["host", "shard"])
+
+    def order(self):
+        return F.xxhash64(F.lit(self.seed), F.col("key"))
+
+    def shard(self):
+        return F.pmod(F.xxhash64(F.lit(self.seed + 1), F.col("key")), F.col("shards"))
+
+
+def before():
+    return (F.col("order") < F.col("at")) | (F.col("order") == F.col("at")) & (F.col("key") < F.col("at_key"))
+
+
+def at_cut():
+    return F.col("key") == F.col("at_key")
+
+
+def recipe(rows: DataFrame, weights=(1, 2, 3), max_epochs: int = 3, seed: int = 42, block_words: int = 128, shard_words: int = 1_000_000, max_shards: int = 65_536, max_sources: int = 100_000) -> Recipe:
+    """The mix of ``rows`` (see ``sized``)."""
+    spark = rows.sparkSession
+    found = rows.groupBy("source").agg(F.sum(F.col("size") * F.col("copies")).alias("size")).limit(max_sources + 1).collect()
+    if len(found) > max_sources:
         raise ValueError(f"more than {max_sources} sources: raise max_sources or mix coarser sources")
-    recipe.sort(key=lambda r: (r.source is None, r.source or ""))
-    sizes = [int(r["size"]) for r in recipe]
+    found.sort(key=lambda r: (r.source is None, r.source or ""))
+    sizes = [int(r["size"]) for r in found]
     total = sum(sizes)
-    goal = targets(sizes, [weights[i % len(weights)] for i in range(len(recipe))], max_epochs)
-    block = max(1, -(-total // seats))
+    goal = targets(sizes, [weights[i % len(weights)] for i in range(len(found))], max_epochs)
     per_shard = max(shard_words, -(-total // max_shards))
     shards = [max(1, -(-s // per_shard)) for s in sizes]
-    facts = [("~" if r.source is None else "=" + r.source, s, float(g), n) for r, s, g, n in zip(recipe, sizes, goal, shards, strict=True)]
-    # one row a source: bounded by max_sources, checked above
-    known = spark.createDataFrame(facts, "host string, source_size long, target double, shards long")
-    order = F.xxhash64(F.lit(seed), F.col("key"))
-    dealt = rows.withColumn("host", host).join(F.broadcast(known), "host").withColumn("order", order)
-    dealt = dealt.withColumn("shard", F.pmod(F.xxhash64(F.lit(seed + 1), F.col("key")), F.col("shards")))
-    found = dealt.groupBy("host", "shard").agg(F.sum("size").alias("size")).collect()
-    quota = []
-    by_source = sainte_lague(goal, total // block)
-    held: dict[str, list] = {}
-    for r in found:
-        held.setdefault(r.host, []).append((r.shard, int(r["size"])))
-    for (name, *_), blocks in zip(facts, by_source.tolist(), strict=True):
-        own = sorted(held.get(name, []))
-        caps = [max_epochs * s // block for _, s in own]
-        for (shard, s), q in zip(own, sainte_lague([s for _, s in own], blocks, caps).tolist(), strict=True):
-            passes = q * block // s if s else 0
-            quota.append((name, shard, passes, q * block - passes * s))
-    # at most max_shards rows and one a source
-    quotas = F.broadcast(spark.createDataFrame(quota, "host string, shard long, passes long, rest long"))
-    stream = Window.partitionBy("host", "shard").orderBy("order", "key", "size", "doc_id").rowsBetween(Window.unboundedPreceding, -1)
-    out = dealt.withColumn("before", F.coalesce(F.sum("size").over(stream), F.lit(0))).join(quotas, ["host", "shard"])
-    part = F.least(F.col("size"), F.greatest(F.lit(0).cast("long"), F.col("rest") - F.col("before")))
-    return out.select("doc_id", "key", "size", "source_size", "target", (F.col("passes") * F.col("size") + part).alias("taken"))
+    facts = [("~" if r.source is None else "=" + r.source, s, float(g), n) for r, s, g, n in zip(found, sizes, goal, shards, strict=True)]
+    sources = spark.createDataFrame(facts, "host string, source_size long, target double, shards long")
+    out = Recipe(sources, sources, seed)
+    dealt = rows.withColumn("host", _host()).join(F.broadcast(sources), "host").withColumns({"shard": out.shard(), "order": out.order(), "words": F.col("size") * F.col("copies")})
+    held: dict[str, list] = {f[0]: [] for f in facts}
+    for r in dealt.groupBy("host", "shard").agg(F.sum("words").alias("size")).collect():
+        held[r.host].append((r.shard, int(r["size"])))
+    own = [sorted(held[f[0]]) for f in facts]
+    plan = []
+    for (host, *_), mine, words in zip(facts, own, quotas(goal, [[s for _, s in x] for x in own], block_words, max_epochs), strict=True):
+        plan += [(host, shard, w // s if s else 0, w % s if s else 0) for (shard, s), w in zip(mine, words, strict=True)]
+    # one row a shard
+    quota = F.broadcast(spark.createDataFrame(plan, "host string, shard long, passes long, rest long"))
+    stream = Window.partitionBy("host", "shard").orderBy("order", "key").rowsBetween(Window.unboundedPreceding, -1)
+    run = dealt.withColumn("before", F.coalesce(F.sum("words").over(stream), F.lit(0))).join(quota, ["host", "shard"])
+    cut = run.where((F.col("before") <= F.col("rest")) & (F.col("rest") < F.col("before") + F.col("words")))
+    cuts = cut.select("host", "shard", "passes", F.col("order").alias("at"), F.col("key").alias("at_key"), (F.col("rest") - F.col("before")).alias("words"), (F.col("copies") > 1).alias("several"))
+    return Recipe(sources, materialize(cuts, "mix-cuts"), seed)
+
+
+def mix(docs: DataFrame, **settings) -> DataFrame:
+    """Per document: doc_id, key, size, source_size, target (its source's), taken (words, repeats counted)."""
+    rows = sized(docs)
+    r = recipe(rows, **settings)
+    known = rows.withColumn("host", _host()).join(F.broadcast(r.sources), "host").withColumns({"shard": r.shard(), "order": r.order()})
+    # a shard without words has no cut
+    both = known.join(F.broadcast(r.cuts), ["host", "shard"], "left")
+    each = both.withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)))
+    part = F.when(before(), F.col("size")).when(at_cut(), F.least(F.col("size"), F.greatest(F.lit(0).cast("long"), F.col("words") - F.col("copy") * F.col("size")))).otherwise(0)
+    taken = F.when(F.col("size") > 0, F.coalesce(F.col("passes") * F.col("size") + part, F.lit(0))).otherwise(0)
+    return each.select("doc_id", "key", "size", "source_size", "target", taken.cast("long").alias("taken"))
 
 
 def cut_after_words(text: str, n: int) -> str:
@@ -136,10 +195,21 @@ def cut_after_words(text: str, n: int) -> str:
 def apply_mix(docs: DataFrame, **settings) -> DataFrame:
     """The mixed corpus: a row for each whole pass over a document, and one, cut after the
     words taken, for a pass in part. Columns are those of ``docs``; ``n_chars``, if there is
-    one, follows a cut. Repeated rows are interchangeable, so they are mixed by their sum."""
-    taken = mix(docs, **settings).groupBy(F.col("key").alias("__key")).agg(F.first("size").alias("__size"), F.sum("taken").alias("__taken")).where("__taken > 0")
-    keyed = docs.withColumn("__key", row_key("doc_id", "source", "text"))
-    both = keyed.join(taken, "__key").dropDuplicates(["__key"]).select(*docs.columns, "__size", "__taken")
+    one, follows a cut. Texts are not shuffled: what is taken of a document follows from its
+    own key and the table of cuts. Only repeated rows at a cut, which share the words there,
+    are brought together, and each such group as one row."""
+    rows = sized(docs)
+    r = recipe(rows, **settings)
+    names = [f"__{c}" for c in ("size", "taken")]
+    size = F.coalesce(F.regexp_count("text", F.lit(WORD_PATTERN)), F.lit(0)).cast("long")
+    cells = docs.select(F.struct("*").alias("__doc"), row_key("doc_id", "source", "text").alias("key"), _host().alias("host"), size.alias("size"))
+    both = r.placed(cells)
+    shared = at_cut() & F.col("several")
+    part = F.when(before(), F.col("size")).when(at_cut(), F.col("words")).otherwise(0)
+    single = both.where(~shared).select("__doc.*", F.col("size").alias(names[0]), (F.col("passes") * F.col("size") + part).alias(names[1]))
+    counts = F.broadcast(rows.join(F.broadcast(r.cuts.where("several").select(F.col("at_key").alias("key"))), "key").select("key", "copies"))  # at most a row a shard
+    groups = both.where(shared).join(counts, "key").dropDuplicates(["key"]).select("__doc.*", F.col("size").alias(names[0]), (F.col("passes") * F.col("size") * F.col("copies") + F.col("words")).alias(names[1]))
+    taken = single.unionByName(groups).where(F.col(names[1]) > 0)
     at, chars = docs.columns.index("text"), docs.columns.index("n_chars") if "n_chars" in docs.columns else None
 
     def passes(batches):
@@ -154,4 +224,4 @@ def apply_mix(docs: DataFrame, **settings) -> DataFrame:
                 out = out.set_column(chars, out.schema.field(chars), pa.array([len(t) for t in texts]).cast(out.schema.field(chars).type))
             yield out
 
-    return both.mapInArrow(passes, docs.schema)
+    return taken.mapInArrow(passes, docs.schema)
