@@ -3,7 +3,7 @@
 Base rules read one document at a time. The method then looks across documents: every
 line with a word is normalised (lower case, digits as 0, words one space apart) and
 hashed; per host (the ``source`` column) the documents holding a line are counted, and
-lines above the limits are host boilerplate. A document of which less than
+lines above the limits are host boilerplate and removed. A document of which less than
 ``min_kept_share`` of the words is left without such lines is depleted and rejected.
 
 Copies must not make a text look like boilerplate, so documents are counted by identity,
@@ -17,11 +17,12 @@ of them. Near copies that differ in more than that count as documents of their o
 Counts are grouped twice, both times pre-aggregated before the shuffle, so a line that a
 third of all documents hold costs each task one row an identity. Lines above the limits are
 broadcast only if they number at most ``max_broadcast``; otherwise they are joined by
-shuffle.
+shuffle. With the broadcast, ``keep_good`` judges and cuts each document where it is read:
+only hashes of lines are shuffled, no texts.
 
 Edge cases: null texts have no words and fail the base rules. A null source is a host of
 its own. Repeated rows and null or repeated ids each get their own row. Empty tables give
-empty results. Other columns are not read.
+empty results. Other columns are not read, and ``keep_good`` passes them on.
 """
 
 from __future__ import annotations
@@ -118,36 +119,41 @@ def document_stats(docs: DataFrame) -> DataFrame:
     return materialize(stats.withColumn("uid", F.monotonically_increasing_id()), "quality-stats")
 
 
-def frequent_lines(stats: DataFrame, min_docs: int = 10, min_share: float = 0.001, copy_share: float = 0.05, max_broadcast: int = 200_000) -> DataFrame:
-    """(uid, key, h, words) of each document's lines above the limits."""
+def _held(lines: DataFrame, limits: DataFrame, max_broadcast: int) -> DataFrame:
+    few = limits.count() <= max_broadcast
+    return lines.join(F.broadcast(limits) if few else limits, ["host", "h"])
+
+
+def line_limits(stats: DataFrame, min_docs: int = 10, min_share: float = 0.001, copy_share: float = 0.05, max_broadcast: int = 200_000) -> tuple[DataFrame, DataFrame]:
+    """(host, h) of the lines above the limits, and the documents' lines (uid, key, host, h, words) that may be."""
     hosts = stats.groupBy(_host()).agg(F.count("*").alias("host_docs"))
 
     def above(lines: DataFrame) -> DataFrame:
         counted = lines.groupBy("host", "h", "ident").count().groupBy("host", "h").agg(F.count("*").alias("docs"))
         # only lines that pass the fixed limit meet the small table of hosts
-        return counted.where(F.col("docs") >= min_docs).join(hosts, "host").where(F.col("docs") >= min_share * F.col("host_docs")).select("host", "h")
-
-    def held(lines: DataFrame, limits: DataFrame) -> DataFrame:
-        few = limits.count() <= max_broadcast
-        return lines.join(F.broadcast(limits) if few else limits, ["host", "h"])
+        return materialize(counted.where(F.col("docs") >= min_docs).join(hosts, "host").where(F.col("docs") >= min_share * F.col("host_docs")).select("host", "h"), "quality-lines")
 
     lines = stats.select("uid", "key", _host(), "n_words", "ident", F.explode("lines").alias("line")).select("uid", "key", "host", "n_words", "ident", "line.*")
-    some = materialize(held(lines, materialize(above(lines), "quality-lines")), "quality-held")
+    some = materialize(_held(lines, above(lines), max_broadcast), "quality-held")
     # near copies: little but such lines, so what they hold of these is their identity
     own = some.groupBy("uid").agg(F.sum("words").alias("held"), F.bit_xor(F.xxhash64("h")).alias("same"))
     near = F.col("n_words") - F.col("held") <= copy_share * F.col("n_words")
     again = some.join(own, "uid").withColumn("ident", F.when(near, F.col("same")).otherwise(F.col("ident")))
-    return held(some, materialize(above(again), "quality-lines")).select("uid", "key", "h", "words")
+    return above(again), some
+
+
+def frequent_lines(stats: DataFrame, max_broadcast: int = 200_000, **limits) -> DataFrame:
+    """(uid, key, h, words) of each document's lines above the limits."""
+    above, some = line_limits(stats, max_broadcast=max_broadcast, **limits)
+    return _held(some, above, max_broadcast).select("uid", "key", "h", "words")
 
 
 def _host():
     return F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("-")).alias("host")
 
 
-def judged(docs: DataFrame, min_words: int = 20, max_repeat_percent: int = 30, min_kept_share: float = 0.3, max_broadcast: int = 200_000, **limits) -> DataFrame:
-    """Per document: doc_id, key, the statistics, base_failed, n_frequent_words, kept."""
-    stats = document_stats(docs)
-    removed = frequent_lines(stats, max_broadcast=max_broadcast, **limits).groupBy("uid").agg(F.sum("words").alias("n_frequent_words"))
+def _judged(stats: DataFrame, frequent: DataFrame, min_words: int, max_repeat_percent: int, min_kept_share: float) -> DataFrame:
+    removed = frequent.groupBy("uid").agg(F.sum("words").alias("n_frequent_words"))
     names = [c.split()[0] for c in STATS.split(", ")]
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_percent * F.col("n_words"))
     out = stats.drop("lines", "source", "ident").join(removed, "uid", "left").withColumn("n_frequent_words", F.coalesce("n_frequent_words", F.lit(0).cast("long")))
@@ -155,27 +161,66 @@ def judged(docs: DataFrame, min_words: int = 20, max_repeat_percent: int = 30, m
     return out.select("doc_id", "key", *names, failed.alias("base_failed"), "n_frequent_words", (~failed & ~depleted).alias("kept"))
 
 
-def keep_good(docs: DataFrame, **settings) -> DataFrame:
-    """The rows and columns of ``docs`` that the rules keep."""
-    kept = judged(docs, **settings).where("kept").select(F.col("key").alias("__key")).distinct()
-    return docs.withColumn("__key", row_key("doc_id", "source", "text")).join(kept, "__key", "left_semi").drop("__key")
+def judged(docs: DataFrame, min_words: int = 20, max_repeat_percent: int = 30, min_kept_share: float = 0.3, max_broadcast: int = 200_000, **limits) -> DataFrame:
+    """Per document: doc_id, key, the statistics, base_failed, n_frequent_words, kept."""
+    stats = document_stats(docs)
+    return _judged(stats, frequent_lines(stats, max_broadcast=max_broadcast, **limits), min_words, max_repeat_percent, min_kept_share)
+
 
+def without_lines(text: str, cuts) -> str:
+    return "\n".join(line for line in text.split("\n") if not any(h in cuts for h, _ in line_hashes(line)))
+
+
+def _with_text(part: pa.RecordBatch, names: list[str], texts: list) -> pa.RecordBatch:
+    """The batch with other texts; ``n_chars``, if there is one, follows where a text changed."""
+    at = names.index("text")
+    if "n_chars" in names:
+        k = names.index("n_chars")
+        old = zip(part.column(at).to_pylist(), part.column(k).to_pylist(), texts, strict=True)
+        counts = pa.array([n if t == new else len(new) for t, n, new in old]).cast(part.schema.field(k).type)
+        part = part.set_column(k, part.schema.field(k), counts)
+    return part.set_column(at, part.schema.field(at), pa.array(texts, part.schema.field(at).type))
 
-def without_frequent_lines(docs: DataFrame, **limits) -> DataFrame:
-    """``docs`` with the lines above the limits cut from ``text``; all other lines stay as they are."""
-    cut = frequent_lines(document_stats(docs), **limits).groupBy("key").agg(F.collect_set("h").alias("__cut"))
-    both = docs.withColumn("__key", row_key("doc_id", "source", "text")).join(cut.withColumnRenamed("key", "__key"), "__key", "left").drop("__key")
-    at = docs.columns.index("text")
 
-    def clean(batches):
+def keep_good(docs: DataFrame, min_words: int = 20, max_repeat_percent: int = 30, min_kept_share: float = 0.3, max_broadcast: int = 200_000, **limits) -> DataFrame:
+    """The rows of ``docs`` that the rules keep, without the lines above the limits; columns as in ``docs``."""
+    stats = document_stats(docs)
+    above, some = line_limits(stats, max_broadcast=max_broadcast, **limits)
+    names = docs.columns
+    if above.count() > max_broadcast:
+        verdicts = _judged(stats, _held(some, above, max_broadcast), min_words, max_repeat_percent, min_kept_share).where("kept").select(F.col("key").alias("__key"), "n_frequent_words").distinct()
+        cuts = _held(some, above, max_broadcast).groupBy(F.col("key").alias("__key")).agg(F.collect_set("h").alias("__cut"))
+        keyed = docs.withColumn("__key", row_key("doc_id", "source", "text"))
+        both = keyed.join(verdicts, "__key", "left_semi").join(cuts, "__key", "left").select(*names, "__cut")
+
+        def cut(batches):
+            for part in slices(batches):
+                given = zip(part.column(names.index("text")).to_pylist(), part.column(part.num_columns - 1).to_pylist(), strict=True)
+                texts = [without_lines(t, set(c)) if t and c else t for t, c in given]
+                yield _with_text(part.select(range(len(names))), names, texts)
+
+        return both.mapInArrow(cut, docs.schema)
+    # at most max_broadcast lines
+    held: dict[str, set[int]] = {}
+    for r in above.collect():
+        held.setdefault(r.host, set()).add(r.h)
+    known = docs.sparkSession.sparkContext.broadcast(held)
+
+    def judge(batches):
         for part in slices(batches):
-            texts = []
-            for text, cuts in zip(part.column(at).to_pylist(), part.column(part.num_columns - 1).to_pylist(), strict=True):
-                if text and cuts:
-                    cuts = set(cuts)
-                    text = "\n".join(line for line in text.split("\n") if not any(h in cuts for h, _ in line_hashes(line)))
-                texts.append(text)
-            part = part.set_column(at, part.schema.field(at), pa.array(texts, part.schema.field(at).type))
-            yield part.select(range(part.num_columns - 1))
-
-    return both.mapInArrow(clean, docs.schema)
+            keep, texts = [], []
+            for text, source in zip(*(part.column(names.index(c)).to_pylist() for c in ("text", "source")), strict=True):
+                words = (text or "").encode("utf-8").split()
+                good = len(words) >= min_words and 100 * repeated_words(words) <= max_repeat_percent * len(words)
+                cuts = known.value.get("-" if source is None else f"={source}") if good else None
+                lost = sum(n for h, n in line_hashes(text) if h in cuts) if cuts else 0
+                keep.append(good and len(words) - lost >= min_kept_share * len(words))
+                texts.append(without_lines(text, cuts) if lost else text)
+            yield _with_text(part, names, texts).filter(pa.array(keep, pa.bool_()))
+
+    return docs.mapInArrow(judge, docs.schema)
+
+
+def without_frequent_lines(docs: DataFrame, **limits) -> DataFrame:
+    """``docs`` with the lines above the limits cut from ``text``, all rows kept."""
+    return keep_good(docs, min_words=0, max_repeat_percent=100, min_kept_share=0.0, **limits)

@@ -66,13 +66,16 @@ rep as (select doc_id, count(distinct p) as n from (select doc_id, unnest(range(
 raw as (select doc_id, unnest(string_split(text, chr(10))) as line from d),
 dup as (select doc_id, count(*) - count(distinct line) as n from raw where regexp_replace(line, '{_SPACE}', '', 'g') <> '' group by 1),
 norm as (select doc_id, trim(regexp_replace(translate(translate(line, {_ASCII_LOWER}), '123456789', '000000000'), '{_SPACE}', ' ', 'g')) as line from raw),
-ln as (select doc_id, line, count(*) * len(string_split(line, ' ')) as words, len(string_split(line, ' ')) as size from norm where line <> '' group by doc_id, line),
-rk as (select *, row_number() over (partition by doc_id order by size desc, line desc) as r from ln),
-sk as (select rk.*, d.host, case when r = 1 then max(line) filter (where r = 2) over (partition by doc_id) else max(line) filter (where r = 1) over (partition by doc_id) end as sketch from rk join d using (doc_id)),
-fq as (select host, line, count(distinct coalesce(sketch, '')) as sketches, count(*) as docs from sk group by all),
+ln as (select doc_id, line, count(*) * len(string_split(line, ' ')) as words from norm where line <> '' group by doc_id, line),
+hl as (select ln.*, d.host from ln join d using (doc_id)),
+id as (select doc_id, string_agg(line, chr(10) order by line) as ident from ln group by 1),
 hs as (select host, count(*) as host_docs from d group by 1),
-bad as (select host, line from fq join hs using (host) where sketches >= 10 and sketches >= 0.6e0 * docs and sketches >= 0.001e0 * host_docs),
-cut as (select doc_id, sum(words)::bigint as n from sk semi join bad using (host, line) group by 1),
+f1 as (select host, line from (select host, line, count(distinct ident) as docs from hl join id using (doc_id) group by all) join hs using (host) where docs >= 10 and docs >= 0.001e0 * host_docs),
+held as (select hl.* from hl semi join f1 using (host, line)),
+own as (select doc_id, sum(words) as held, string_agg(line, chr(10) order by line) as same from held group by 1),
+id2 as (select doc_id, case when len(ws) - held <= 0.05e0 * len(ws) then same else ident end as ident from own join id using (doc_id) join w using (doc_id)),
+bad as (select host, line from (select host, line, count(distinct ident) as docs from held join id2 using (doc_id) group by all) join hs using (host) where docs >= 10 and docs >= 0.001e0 * host_docs),
+cut as (select doc_id, sum(words)::bigint as n from held semi join bad using (host, line) group by 1),
 s as (select w.doc_id, len(ws) as n_words, length(regexp_replace(w.text, '{_SPACE}', '', 'g')) as word_chars, len(regexp_extract_all(w.text, '[#*$%&|<>]')) as n_symbols, coalesce(dup.n, 0) as n_dup_lines, coalesce(rep.n, 0) as n_repeat_words, coalesce(cut.n, 0) as n_frequent_words
   from w left join dup using (doc_id) left join rep using (doc_id) left join cut using (doc_id))
 select *, n_words < 20 or 100 * n_repeat_words > 30 * n_words as base_failed, not (n_words < 20 or 100 * n_repeat_words > 30 * n_words) and n_words - n_frequent_words >= 0.3e0 * n_words as kept from s
