@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, row_key, slices, table
+from .common import materialize, row_key, slices, spread_join, table
 
 BITS = 64
 
@@ -326,23 +326,26 @@ def links(distinct: DataFrame, plan: Plan) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(part[where])], ["bucket", "fp"])
 
     def compare(batches):
-        kept_k, kept_f = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        kept_k, kept_f = [], []
 
         def out(keys, fps):
             a, b = bucket_links(keys, fps.view(np.uint64), distance)
             a, b = stars(a.view(np.int64), b.view(np.int64))
             return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
+        # pieces of the last bucket, which may go on in the next batch; joined once it ends
         for batch in batches:
-            k = np.concatenate((kept_k, batch.column(0).to_numpy(zero_copy_only=False)))
-            f = np.concatenate((kept_f, batch.column(1).to_numpy(zero_copy_only=False)))
-            # the last bucket may go on in the next batch
-            cut = int(np.searchsorted(k, k[-1])) if len(k) else 0
-            if cut:
-                yield out(k[:cut], f[:cut])
-            kept_k, kept_f = k[cut:], f[cut:]
-        if len(kept_k):
-            yield out(kept_k, kept_f)
+            k, f = (batch.column(c).to_numpy(zero_copy_only=False) for c in (0, 1))
+            if not len(k):
+                continue
+            cut = int(np.searchsorted(k, k[-1]))
+            if cut or kept_k and kept_k[-1][-1] != k[-1]:
+                yield out(np.concatenate([*kept_k, k[:cut]]), np.concatenate([*kept_f, f[:cut]]))
+                kept_k, kept_f = [], []
+            kept_k.append(k[cut:])
+            kept_f.append(f[cut:])
+        if kept_k:
+            yield out(np.concatenate(kept_k), np.concatenate(kept_f))
 
     filed = distinct.select("fp").mapInArrow(file_under, "bucket long, fp long")
     return filed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(compare, "a long, b long").distinct()
@@ -353,17 +356,17 @@ def components(edges: DataFrame) -> DataFrame:
 
     Large-star links a node's larger neighbours to its least one, small-star its smaller
     ones; the fixed point is a star a component. Neighbour minima are pre-aggregated, and
-    hot nodes meet them in a join that adaptive execution splits.
+    nodes with very many neighbours are dealt to several parts of the join.
     """
     now = materialize(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "cc")
     mark = None
     while True:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        least = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n")
+        large = spread_join(both, least, ["u"], "n", "v", "inner").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         large = materialize(large, "cc")
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
+        least = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+        small = spread_join(large, least, ["u"], "n", "v", "inner").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
         now = materialize(small.where("u <> v").distinct(), "cc")
         new = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
         if new == mark:
@@ -381,21 +384,30 @@ def groups(docs: DataFrame, width: int = 4, distance: int = 4, bucket_cap: int =
     """
     fps = materialize(fingerprints(docs, width), "simhash-fps")
     rank = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("key").alias("key"))
-    distinct = materialize(fps.groupBy("fp").agg(F.min(rank).alias("first")), "simhash-distinct")
+    distinct = materialize(fps.groupBy("fp").agg(F.min(rank).alias("first"), F.count("*").alias("n")), "simhash-distinct")
     found = components(links(distinct, make_plan(distinct, distance, bucket_cap)))
     found = materialize(found, "simhash-roots")
-    rooted = distinct.join(found.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), "first")
-    best = rooted.groupBy("root").agg(F.min("first").alias("best"))
-    named = rooted.join(best, "root").select("fp", F.col("best.id").alias("component_id"), F.col("best.key").alias("leader"))
-    return fps.join(named, "fp").select("doc_id", "key", "fp", "component_id", "leader")
+    rooted = distinct.join(found.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), "first", "n")
+    best = rooted.groupBy("root").agg(F.min("first").alias("best"), F.count("*").alias("m"))
+    named = spread_join(rooted, best, ["root"], "m", "fp", "inner").select("fp", F.col("best.id").alias("component_id"), F.col("best.key").alias("leader"), "n")
+    return spread_join(fps, named, ["fp"], "n", "key", "inner").select("doc_id", "key", "fp", "component_id", "leader")
 
 
 def hex16(fp):
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
 
-def keep_one(docs: DataFrame, **settings) -> DataFrame:
-    """``docs`` with one row of each group, its columns unchanged."""
-    leaders = groups(docs, **settings).select(F.col("leader").alias("__key")).distinct()
+def keep_one(docs: DataFrame, max_broadcast: int = 1_000_000, **settings) -> DataFrame:
+    """``docs`` with one row of each group, its columns unchanged.
+
+    What goes is told by row keys. Up to ``max_broadcast`` of them are broadcast, so texts are
+    not shuffled; more are joined by shuffle. Rows that are equal in id and text share a key, so
+    one of them is picked."""
+    found = materialize(groups(docs, **settings).groupBy("key").agg(F.count("*").alias("n"), F.first("leader").alias("leader")).where("n > 1 or not (key <=> leader)"), "simhash-gone")
+    few = found.count() <= max_broadcast
+    gone = found.select(F.col("key").alias("__key"))
+    equal = found.where("key <=> leader").select(F.col("key").alias("__key"))
     keyed = docs.withColumn("__key", row_key("doc_id", "text"))
-    return keyed.join(leaders, "__key", "left_semi").dropDuplicates(["__key"]).select(*docs.columns)
+    rest = keyed.join(F.broadcast(gone) if few else gone, "__key", "left_anti")
+    picked = keyed.join(F.broadcast(equal) if few else equal, "__key", "left_semi").dropDuplicates(["__key"])
+    return rest.select(*docs.columns).unionByName(picked.select(*docs.columns))
