@@ -7,9 +7,11 @@ Tasks scan the words of each document against the set: runs of words that all
 occur in the benchmark are found first, only windows inside them are looked up,
 and a lookup compares the whole window, so a hash collision never counts as a hit.
 
-The set is broadcast in slices of at most ``max_windows`` windows. A benchmark that
-fits is scanned in one pass; a larger one takes one scan of the documents a slice,
-whose hits are merged per document, so memory stays bounded and no hit is lost.
+The set is broadcast in slices of at most about ``max_windows`` windows. A benchmark that
+fits is scanned in one pass; a larger one takes one scan of the documents a slice, one after
+another: a slice's hits are written and its set is dropped everywhere before the next is
+read, so driver and workers hold one slice at a time, and no hit is lost. A worker builds
+its set once, not once a task.
 
 Edge cases: null or wordless texts have no words, no hits and are clean. Null items
 have no windows. Repeated items count once, by id; a null item id is the text
@@ -20,6 +22,8 @@ results. Other columns, whatever their names, are neither read nor changed.
 from __future__ import annotations
 
 import hashlib
+import re
+import uuid
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -114,20 +118,35 @@ def benchmark_windows(benchmark: DataFrame, n: int) -> DataFrame:
     return benchmark.select(F.col("item_id").cast("string"), "text").mapInArrow(cut, "item string, window binary").distinct()
 
 
-def window_slices(benchmark: DataFrame, n: int, max_windows: int) -> list:
-    """The windows as broadcast sets of at most about ``max_windows`` each."""
-    windows = materialize(benchmark_windows(benchmark, n), "bench-windows")
-    count = max(1, -(-windows.count() // max_windows))
-    part = F.pmod(F.xxhash64("window"), F.lit(count))
-    sc = benchmark.sparkSession.sparkContext
-    return [sc.broadcast([(r.item, bytes(r.window)) for r in windows.where(part == k).toLocalIterator()]) for k in range(count)]
+class Slices:
+    """The windows in slices of at most about ``max_windows``, each read and broadcast when asked for."""
+
+    def __init__(self, benchmark: DataFrame, n: int, max_windows: int):
+        self.windows = materialize(benchmark_windows(benchmark, n), "bench-windows")
+        self.count = max(1, -(-self.windows.count() // max_windows))
+        self.context = benchmark.sparkSession.sparkContext
+
+    def broadcast(self, k: int):
+        part = F.pmod(F.xxhash64("window"), F.lit(self.count))
+        return self.context.broadcast([(r.item, bytes(r.window)) for r in self.windows.where(part == k).toLocalIterator()])
+
+
+_SETS: dict[str, WindowSet] = {}
+
+
+def known_set(broadcast, key: str, n: int) -> WindowSet:
+    """The set of a broadcast; a worker process keeps the last one it built."""
+    if key not in _SETS:
+        _SETS.clear()
+        _SETS[key] = WindowSet(broadcast.value, n)
+    return _SETS[key]
 
 
 def _scan_slice(docs: DataFrame, broadcast, n: int) -> DataFrame:
-    schema = pa.schema([("doc_id", pa.int64()), ("key", pa.binary()), ("n_words", pa.int64()), ("hits", pa.list_(pa.list_(pa.int64()))), ("items", pa.list_(pa.string()))])
+    schema, name = pa.schema([("doc_id", pa.int64()), ("key", pa.binary()), ("n_words", pa.int64()), ("hits", pa.list_(pa.list_(pa.int64()))), ("items", pa.list_(pa.string()))]), uuid.uuid4().hex
 
     def scan(batches):
-        known = WindowSet(broadcast.value, n)
+        known = known_set(broadcast, name, n)
         for part in slices(batches):
             rows = []
             for doc, key, text in zip(*(part.column(k).to_pylist() for k in range(3)), strict=True):
@@ -140,18 +159,34 @@ def _scan_slice(docs: DataFrame, broadcast, n: int) -> DataFrame:
     return picked.mapInArrow(scan, "doc_id long, key binary, n_words long, hits array<array<bigint>>, items array<string>")
 
 
+def _hits_by_slices(docs: DataFrame, cut: Slices, n: int) -> DataFrame:
+    """(key, hits, items) of the documents with hits, from one scan a slice.
+
+    Repeated documents share a key and their hits, so distinct values serve all of them."""
+    paths = []
+    for k in range(cut.count):
+        known = cut.broadcast(k)
+        paths.append(materialize(_scan_slice(docs, known, n).select("key", "hits", "items").where(F.size("items") > 0).dropDuplicates(["key"]), "bench-hits"))
+        known.destroy()
+    found = paths[0]
+    for p in paths[1:]:
+        found = found.unionByName(p)
+    return found.groupBy("key").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("hits")))).alias("hits"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+
+
 def scan_documents(docs: DataFrame, benchmark: DataFrame, n: int = 13, max_windows: int = 2_000_000) -> DataFrame:
     """One row per document: doc_id, n_words, hits (word intervals) and items (sorted ids)."""
-    sets = window_slices(benchmark, n, max_windows)
-    parts = [_scan_slice(docs, b, n) for b in sets]
-    if len(parts) == 1:
-        return parts[0].drop("key")
-    found = parts[0].select("key", "hits", "items").where(F.size("items") > 0)
-    for p in parts[1:]:
-        found = found.unionByName(p.select("key", "hits", "items").where(F.size("items") > 0))
-    # repeated documents share a key and their hits, so distinct values serve all of them
-    found = found.groupBy("key").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("hits")))).alias("hits"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
-    every = parts[0].select("doc_id", "key", "n_words")
+    cut = Slices(benchmark, n, max_windows)
+    if cut.count == 1:
+        return _scan_slice(docs, cut.broadcast(0), n).drop("key")
+    found = _hits_by_slices(docs, cut, n)
+
+    def count(batches):
+        schema = ddl_schema("doc_id long,key binary,n_words long")
+        for part in slices(batches):
+            yield table(schema, [part.column(0), part.column(1), [len(normal_words(t)) for t in part.column(2).to_pylist()]])
+
+    every = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_key("doc_id", "text").alias("key"), "text").mapInArrow(count, "doc_id long, key binary, n_words long")
     empty = F.array().cast
     return every.join(found, "key", "left").select("doc_id", "n_words", F.coalesce("hits", empty("array<array<bigint>>")).alias("hits"), F.coalesce("items", empty("array<string>")).alias("items"))
 
@@ -180,31 +215,46 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = 13, share: int
 
     All columns of ``docs`` are kept as they are, but for ``text`` in spans mode.
     """
-    import re
+    cut, at, name = Slices(benchmark, n, max_windows), docs.columns.index("text"), uuid.uuid4().hex
+
+    def judged(part, at, all_hits):
+        keep, texts = [], []
+        for text, hits in zip(part.column(at).to_pylist(), all_hits, strict=True):
+            n_hit = sum(e - s for s, e in hits)
+            keep.append(mode == "spans" or not (n_hit and share * n_hit >= len(normal_words(text))))
+            texts.append(without_spans(text, hits) if mode == "spans" and hits else text)
+        if mode == "spans":
+            part = part.set_column(at, part.schema.field(at), pa.array(texts, part.schema.field(at).type))
+        return part.filter(pa.array(keep, pa.bool_()))
+
+    if cut.count == 1:
+        whole = cut.broadcast(0)
+
+        def clean(batches):
+            known = known_set(whole, name, n)
+            for part in slices(batches):
+                yield judged(part, at, [known.scan(normal_words(t))[0] for t in part.column(at).to_pylist()])
+
+        return docs.mapInArrow(clean, docs.schema)
+    found = _hits_by_slices(docs, cut, n).select(F.col("key").alias("__key"), F.col("hits").alias("__hits"))
+    both = docs.withColumn("__key", row_key("doc_id", "text")).join(found, "__key", "left").select(*docs.columns, "__hits")
+
+    def clean_joined(batches):
+        for part in slices(batches):
+            hits = part.column(part.num_columns - 1).to_pylist()
+            yield judged(part.select(range(part.num_columns - 1)), at, [merged(map(tuple, h or [])) for h in hits])
 
-    sets = window_slices(benchmark, n, max_windows)
-    word = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
-    at = docs.columns.index("text")
+    return both.mapInArrow(clean_joined, docs.schema)
 
-    def clean(batches):
-        known = [WindowSet(b.value, n) for b in sets]
-        for part in slices(batches):
-            keep, texts = [], []
-            for text in part.column(at).to_pylist():
-                words = normal_words(text)
-                hits = merged(h for k in known for h in k.scan(words)[0])
-                n_hit = sum(e - s for s, e in hits)
-                keep.append(mode == "spans" or not (n_hit and share * n_hit >= len(words)))
-                if mode == "spans" and hits:
-                    where = [m.span() for m in word.finditer(re.sub(r"[A-Z]", lambda m: m[0].lower(), text))]
-                    out, last = [], 0
-                    for s, e in hits:
-                        out.append(text[last : where[s][0]])
-                        last = where[e - 1][1]
-                    text = " ".join([*out, text[last:]])
-                texts.append(text)
-            if mode == "spans":
-                part = part.set_column(at, part.schema.field(at), pa.array(texts, part.schema.field(at).type))
-            yield part.filter(pa.array(keep, pa.bool_()))
-
-    return docs.mapInArrow(clean, docs.schema)
+
+_WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+
+
+def without_spans(text: str, hits: list[tuple[int, int]]) -> str:
+    """``text`` without the words of ``hits``; each cut leaves one space."""
+    where = [m.span() for m in _WORD.finditer(re.sub(r"[A-Z]", lambda m: m[0].lower(), text))]
+    out, last = [], 0
+    for s, e in hits:
+        out.append(text[last : where[s][0]])
+        last = where[e - 1][1]
+    return " ".join([*out, text[last:]])
