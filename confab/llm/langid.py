@@ -7,8 +7,10 @@ algorithm, and a text's is the product over its words (runs of letters, lower-ca
 Piece probabilities are learned by expectation maximisation: expected piece counts over
 all segmentations (forward-backward), summed over tasks, one Spark job a round.
 
-Training reads at most about ``train_docs`` labelled documents a language, chosen by a
-hash of the id; that bound is a parameter. Language priors count all labelled documents.
+Training reads at most about ``train_docs`` labelled documents a language, chosen by a 63-bit
+hash of id and text, so a share of any size can be asked for; that bound is a parameter. The
+document of a language with the least hash is always read, so none goes unlearned. Language
+priors count all labelled documents.
 The model is languages x pieces numbers, whatever the input. Scoring maps over the
 documents without a shuffle; each worker remembers the scores of words it has met.
 
@@ -34,6 +36,8 @@ from .common import ddl_schema, materialize, slices, table
 _WORD = re.compile(r"[^\W\d_]+")
 LONGEST = 40
 FLOOR = 1e-7
+#: The highest hash by which documents are drawn for training.
+LOTS = (1 << 63) - 1
 
 
 def letter_words(text: str | None) -> list[str]:
@@ -162,10 +166,15 @@ def is_held_out():
     return F.pmod(F.crc32(text_key().cast("binary")), F.lit(3)) == 1
 
 
+def most_lot(n: int, train_docs: int) -> int:
+    """The highest lot of a sample of about ``train_docs`` of ``n`` documents."""
+    return LOTS if n <= train_docs else LOTS * train_docs // n
+
+
 def fit(docs: DataFrame, vocabulary: str, train_docs: int = 1500, rounds: int = 3, max_langs: int = 1000) -> Model:
     """Learn from text and lang of ``docs``; rows without either teach nothing."""
-    labelled = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select(F.col("lang").cast("string").alias("lang"), "text", F.pmod(F.xxhash64(text_key(), F.lit(7)), F.lit(1_000_000)).alias("lot"))
-    counts = labelled.groupBy("lang").count().limit(max_langs + 1).collect()
+    labelled = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select(F.col("lang").cast("string").alias("lang"), "text", F.xxhash64(text_key(), F.col("text"), F.lit(7)).bitwiseAND(F.lit(LOTS)).alias("lot"))
+    counts = labelled.groupBy("lang").agg(F.count("*").alias("count"), F.min("lot").alias("least")).limit(max_langs + 1).collect()
     if len(counts) > max_langs:
         raise ValueError(f"more than {max_langs} languages: raise max_langs")
     langs = sorted(r["lang"] for r in counts)
@@ -174,8 +183,8 @@ def fit(docs: DataFrame, vocabulary: str, train_docs: int = 1500, rounds: int =
     if not langs:
         return Model(vocabulary, [], np.zeros(0), np.zeros((n_pieces, 0)))
     # at most max_langs rows
-    lots = docs.sparkSession.createDataFrame([(x, int(min(1.0, train_docs / s) * 1_000_000)) for x, s in zip(langs, sizes, strict=True)], "lang string, most long")
-    sample = labelled.join(F.broadcast(lots), "lang").where("lot < most").select("lang", "text")
+    lots = docs.sparkSession.createDataFrame([(r["lang"], max(r["least"], most_lot(r["count"], train_docs))) for r in counts], "lang string, most long")
+    sample = labelled.join(F.broadcast(lots), "lang").where("lot <= most").select("lang", "text")
 
     def count(batches):
         found: Counter = Counter()
