@@ -29,7 +29,7 @@ import zlib
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ddl_schema, materialize, new_path, slices, table
+from .common import ddl_schema, materialize, new_path, slices, spread_join, table
 
 DATE = "2024-01-01T00:00:00Z"
 
@@ -84,9 +84,10 @@ def write_archives(pages: DataFrame, path: str, min_revisit: int = 100, file_byt
     digest = F.sha2(body.cast("binary"), 256)
     some = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), body.alias("html"), digest.alias("digest"))
     sizes = some.where(F.octet_length("html") >= min_revisit).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n"))
-    twice = materialize(sizes.where("n > 1").select("digest", "first"), "warc-twice")
+    twice = materialize(sizes.where("n > 1").select("digest", "first", "n"), "warc-twice")
     few = twice.count() <= max_broadcast
-    marked = some.join(F.broadcast(twice) if few else twice, "digest", "left").select("page_id", "url", "html", "digest", "first")
+    joined = some.join(F.broadcast(twice), "digest", "left") if few else spread_join(some, twice, ["digest"], "n", "page_id")
+    marked = joined.select("page_id", "url", "html", "digest", "first")
 
     def write(batches):
         from pyarrow import fs
@@ -182,10 +183,14 @@ def read_records(spark: SparkSession, path: str, manifest: DataFrame, with_body:
 
 def assemble(records: DataFrame) -> DataFrame:
     """One nested row a capture: id, page_id, request, response, metadata (structs)."""
-    main = records.where("kind in ('response', 'revisit')").groupBy("id").agg(F.first(F.struct("kind", "uri", "digest", "bytes", "refers_to", "body")).alias("response"), F.count("*").alias("copies"))
-    request = records.where("kind = 'request'").groupBy(F.col("concurrent_to").alias("id")).agg(F.first(F.struct(F.col("id").alias("request_id"), "uri", "body")).alias("request"))
-    metadata = records.where("kind = 'metadata'").groupBy(F.col("concurrent_to").alias("id")).agg(F.first(F.struct(F.col("id").alias("metadata_id"), "page_id", "body")).alias("metadata"))
-    joined = main.join(request, "id", "left").join(metadata, "id", "left")
+    # one grouping, so the archives are read once; a record's capture is what it is concurrent to, or itself
+    is_main = F.col("kind").isin("response", "revisit")
+    own = lambda kind, *cells: F.first(F.when(F.col("kind") == kind, F.struct(*cells)), ignorenulls=True)
+    main = F.first(F.when(is_main, F.struct("kind", "uri", "digest", "bytes", "refers_to", "body")), ignorenulls=True)
+    request = own("request", F.col("id").alias("request_id"), "uri", "body")
+    metadata = own("metadata", F.col("id").alias("metadata_id"), "page_id", "body")
+    joined = records.groupBy(F.coalesce("concurrent_to", "id").alias("capture")).agg(main.alias("response"), request.alias("request"), metadata.alias("metadata"), F.count_if(is_main).alias("copies"))
+    joined = joined.where("copies > 0").withColumnRenamed("capture", "id")
     page = F.nullif(F.col("metadata.page_id"), F.lit("")).cast("long")
     every = joined.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
     return every.select("id", page.alias("page_id"), "request", "response", "metadata")
@@ -198,8 +203,11 @@ def capture_digest(pages: DataFrame, **settings) -> DataFrame:
     path = new_path(spark, "warc")
     manifest = write_archives(pages, path, **settings)
     captures = materialize(assemble(read_records(spark, path, manifest)).select("id", "page_id", F.col("response.kind").alias("kind"), F.col("response.digest").alias("digest"), F.col("response.bytes").alias("bytes"), F.col("response.refers_to").alias("refers_to")), "warc-captures")
-    firsts = captures.where("kind = 'response'").groupBy(F.col("id").alias("refers_to")).agg(F.first("page_id").alias("first_page"), F.first("bytes").alias("first_bytes"))
-    revisits = captures.where("kind = 'revisit'").join(firsts, "refers_to", "left")
+    old = captures.where("kind = 'revisit'")
+    # only responses that are referred to; one of very many revisits is dealt to several parts
+    asked = old.groupBy("refers_to").agg(F.count("*").alias("n"))
+    firsts = captures.where("kind = 'response'").groupBy(F.col("id").alias("refers_to")).agg(F.first("page_id").alias("first_page"), F.first("bytes").alias("first_bytes")).join(asked, "refers_to")
+    revisits = spread_join(old, firsts, ["refers_to"], "n", "id")
     columns = ("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
     old = revisits.select("page_id", F.col("first_bytes").alias("payload_bytes"), F.col("digest").alias("payload_digest"), F.lit("revisit").alias("record_type"), F.col("first_page").alias("refers_to"))
     new = captures.where("kind = 'response'").select("page_id", F.col("bytes").alias("payload_bytes"), F.col("digest").alias("payload_digest"), F.lit("response").alias("record_type"), F.lit(None).cast("long").alias("refers_to"))
