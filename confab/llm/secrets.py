@@ -5,7 +5,8 @@ Patterns give the base spans. For the rest, candidate strings (runs of at least
 a window slides whose Shannon entropy is kept from incremental counts, and the union
 of windows above the class's threshold becomes a span of the class's kind: hex, base64,
 lower case with digits, upper case with digits, or letters only. An allow list suppresses
-digests and identifiers, and the windows within one window of a placeholder. A span that
+digests, identifiers and keys of public examples, and the windows that hold part of a
+placeholder or of the letters and digits joined to it, as far as one window. A span that
 base spans or another class already cover is not repeated. Base spans are never suppressed.
 
 Spans count code points, end exclusive, and cover the whole match.
@@ -39,9 +40,11 @@ CLASSES = (
     ("entropy_upper", re.compile(r"[A-Z0-9]{20,}"), 3.5, (re.compile(r"[0-9]"), re.compile(r"[A-Z]"))),
     ("entropy_letters", re.compile(r"[A-Za-z]{20,}"), 3.6, ()),
 )
-#: What stands just before a candidate, is all of it, or stands near a window, that marks it as no secret.
+#: What stands just before a candidate, is all of it, or stands in a window, that marks it as no secret.
 ALLOW_BEFORE = re.compile(r"(?<![A-Za-z0-9])(?:sha-?\d{1,3}|md5|crc32|checksum|digest|integrity|etag|commit|rev|base64)\W{0,3}$", re.I)
 ALLOW_WITHIN = re.compile(r"example|sample|placeholder|changeme|your[_-]|xxxx|0000000|1234567|abcdefg", re.I)
+# Keys of public documentation.
+ALLOW_KEYS = {"wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY", "je7MtGbClwBF/2Zp9Utk/h3yCo8nvbEXAMPLEKEY"}
 ALLOW_WHOLE = re.compile(r"[0-9a-fA-F]{8}-(?:[0-9a-fA-F]{4}-){3}[0-9a-fA-F]{12}")
 
 
@@ -73,11 +76,12 @@ def entropy_spans(text: str, window: int = 20) -> list[tuple[int, int, str]]:
     found = []
     for m in _CANDIDATE.finditer(text):
         word = m.group()
-        if ALLOW_WHOLE.fullmatch(word) or ALLOW_BEFORE.search(text, max(0, m.start() - 16), m.start()):
+        if word in ALLOW_KEYS or ALLOW_WHOLE.fullmatch(word) or ALLOW_BEFORE.search(text, max(0, m.start() - 16), m.start()):
             continue
-        near = bytearray(len(word))  # starts of windows within one window of a placeholder
+        near = bytearray(len(word))  # starts of windows that a placeholder suppresses
         for p in ALLOW_WITHIN.finditer(word):
-            lo, hi = max(0, p.start() - 2 * window + 1), min(len(word), p.end() + window)
+            before, after = (re.match(r"[A-Za-z0-9]*", x).end() for x in (word[max(0, p.start() - window) : p.start()][::-1], word[p.end() : p.end() + window]))
+            lo, hi = max(0, p.start() - before - window + 1), p.end() + after
             near[lo:hi] = b"\x01" * (hi - lo)
         taken: list[tuple[int, int]] = []
         for kind, pattern, least, needs in CLASSES:
