@@ -14,7 +14,7 @@ exit state, and each piece is then repaired alone. So no task or driver holds a
 conversation, and a piece's repair is the whole conversation's.
 
 Output is one row for every turn read and every empty turn inserted; joining ``fragment``
-by ``pos`` gives the rendered conversation.
+by ``pos`` gives the rendered conversation, as ``render_chats`` does.
 
 Edge cases: turns order by turn (nulls last), then role and text. A null or unknown role
 takes the role that fits. Null text is empty. Rows with a null conv_id are one
@@ -213,6 +213,32 @@ def format_chats(turns: DataFrame) -> DataFrame:
     return placed.mapInArrow(repair, ddl)
 
 
+def render_chats(turns: DataFrame, part_chars: int = 1_000_000) -> DataFrame:
+    """conv_id, pos, text: the repaired conversations as text. A conversation is one row, or, over
+    ``part_chars`` or over partitions, several: its text is theirs joined by ``pos``."""
+    ddl = "conv_id long,pos long,text string"
+    schema = ddl_schema(ddl)
+
+    def join(batches):
+        at, start, held, size, ready = None, 0, [], 0, []
+        for batch in batches:
+            for conv, pos, fragment in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+                if held and (at != conv or size >= part_chars):
+                    ready.append((at, start, "".join(held)))
+                    held, size = [], 0
+                if not held:
+                    at, start = conv, pos
+                held.append(fragment)
+                size += len(fragment)
+            if ready:
+                yield table(schema, zip(*ready, strict=True))
+                ready = []
+        if held:
+            yield table(schema, [[at], [start], ["".join(held)]])
+
+    return format_chats(turns).select("conv_id", "pos", "fragment").mapInArrow(join, ddl)
+
+
 def runs(batches):
     """The rows of each conversation in a sorted partition."""
     held: list[tuple] = []

@@ -92,6 +92,9 @@ def test_placeholders_suppress_only_what_is_near():
     key = "gH7xQ2mZ9LpRt4VbNw8KcYs3"
     assert secrets.entropy_spans(key + "-" * 40 + "xxxx" + "-" * 40 + key)[0][:1] == (0,)
     assert len(secrets.entropy_spans(key + "-" * 40 + "xxxx" + "-" * 40 + key)) == 2
+    found = secrets.entropy_spans("/example/path/Zx9Qw8Er7Ty6Ui5Op4As3Df2G")
+    assert found and all(s >= 8 for s, _, _ in found)
+    assert secrets.entropy_spans("key wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY end") == []
     assert secrets.entropy_spans(f"prev: {key}") and not secrets.entropy_spans(f"rev: {key}") and not secrets.entropy_spans(f"file_md5: {key}")
 
 
@@ -170,6 +173,19 @@ def test_long_shared_passages_are_frequent_and_copies_hide_no_line(spark):
     assert all(got[i].n_frequent_words == 9 and got[i].kept for i in [*range(100, 140), *range(200, 300)])
 
 
+def test_kept_rows_lose_frequent_lines(spark):
+    """Broadcast or joined, kept documents come without the lines above the limits, and ``n_chars`` follows."""
+    rng = random.Random(3)
+    footer = lined(2, rng, 6)
+    rows = [(i, "\n".join([*lined(5, rng, 9), *footer, ""]), "a", 7, "x") for i in range(30)]
+    rows += [(100, "\n".join([*footer, *lined(1, rng, 3)]), "a", 7, "x"), (101, None, None, None, None), (102, "\n".join(lined(4, rng, 9)), "b", 7, "x"), (102, "same", "b", 7, "x")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, source string, n_chars int, key string")
+    want = sorted((i, "\n".join([*t.split("\n")[:5], ""]) if i < 30 else t, s, len("\n".join([*t.split("\n")[:5], ""])) if i < 30 else 7, k) for i, t, s, _, k in rows if i < 30 or t and len(t.split()) > 20 and i == 102)
+    for bound in (200_000, -1):
+        assert sorted(map(tuple, quality.keep_good(frame, max_broadcast=bound).collect())) == want
+    assert quality.without_frequent_lines(frame).count() == len(rows)
+
+
 def test_quality_on_odd_rows(odd, empty):
     rows = quality.judged(odd).collect()
     assert len(rows) == len(ODD)
@@ -303,10 +319,14 @@ def test_contamination_by_brute_force(spark, docs, sf_dir):
         got = decontaminate.contamination(both, bench, max_windows=windows).collect()
         assert {r.doc_id: tuple(r)[1:] for r in got} == want
     assert any(w[4] for w in want.values())
-    clean = decontaminate.decontaminate(both, bench)
-    assert sorted(r.doc_id for r in clean.collect()) == sorted(d for d, w in want.items() if not w[4])
-    cut = {r.doc_id: r.text for r in decontaminate.decontaminate(both, bench, mode="spans").collect()}
-    assert cut[70_000] == "a   here" and len(cut) == len(texts)
+    cuts = []
+    for windows in (2_000_000, 40):
+        clean = decontaminate.decontaminate(both, bench, max_windows=windows)
+        assert clean.columns == both.columns and sorted(r.doc_id for r in clean.collect()) == sorted(d for d, w in want.items() if not w[4])
+        cut = {r.doc_id: r.text for r in decontaminate.decontaminate(both, bench, mode="spans", max_windows=windows).collect()}
+        assert cut[70_000] == "a   here" and len(cut) == len(texts)
+        cuts.append(cut)
+    assert cuts[0] == cuts[1]
 
 
 def test_decontamination_on_odd_rows(spark, odd, empty):
@@ -368,6 +388,36 @@ def test_mix_over_many_shards(docs):
     assert all(abs(n - target) <= 0.02 * target + 3 for (_, target), n in taken.items())
 
 
+def test_small_sources_and_equal_rows_meet_targets(spark):
+    """Sources far smaller than a block, or held by one row many times, are mixed to the word."""
+    rows = [(1, "a b c d e", "tiny")] + [(2, "same words here", "equal")] * 40 + [(10 + i, "w " * 700, "vast") for i in range(30)]
+    frame = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, source string, shard int")
+    for block in (1, 128, 100_000):
+        got = mixing.mix(frame, block_words=block, shard_words=5_000).collect()
+        assert len(got) == len(rows)
+        sums = Counter()
+        for r in got:
+            assert 0 <= r.taken <= 3 * r.size
+            sums[r.source_size, r.target] += r.taken
+        assert all(abs(n - goal) <= 1 for (_, goal), n in sums.items()) and len(sums) == 3
+        out = mixing.apply_mix(frame, block_words=block, shard_words=5_000)
+        assert out.columns == frame.columns
+        words = Counter()
+        for r in out.collect():
+            words[r.source] += len(r.text.split())
+        assert {(5, words["tiny"]), (120, words["equal"]), (21_000, words["vast"])} == {(size, n) for (size, _), n in sums.items()}
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_quotas_hold_caps_and_targets(seed):
+    rng = random.Random(seed)
+    held = [[rng.choice([0, 1, 3, 50, 700]) for _ in range(rng.randrange(1, 6))] for _ in range(rng.randrange(1, 8))]
+    goal = mixing.targets([sum(x) for x in held], [1 + k % 3 for k in range(len(held))])
+    for block in (1, 10, 1000):
+        for target, own, took in zip(goal, held, mixing.quotas(goal, held, block, 3)):
+            assert all(0 <= t <= 3 * s for t, s in zip(took, own)) and sum(took) == min(round(target), 3 * sum(own))
+
+
 def test_mixed_rows_hold_what_is_taken(docs, odd, empty):
     want = Counter()
     for r in mixing.mix(docs).collect():

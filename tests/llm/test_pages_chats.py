@@ -241,7 +241,12 @@ def test_rendered_conversations(spark):
         4: turn("system", "only") + turn("user", ""), 5: turn("user", ""), None: turn("user", "x\n\nx"),
     }
     assert sum(r.action != "insert" for r in got) == len(rows)
-    assert chat_format.format_chats(frame.limit(0)).count() == 0
+    for size in (1, 1_000_000):
+        parts = defaultdict(str)
+        for r in sorted(chat_format.render_chats(frame, part_chars=size).collect(), key=lambda r: (r.conv_id or 0, r.pos)):
+            parts[r.conv_id] += r.text
+        assert parts == rendered(got)
+    assert chat_format.format_chats(frame.limit(0)).count() == 0 and chat_format.render_chats(frame.limit(0)).count() == 0
 
 
 def test_long_conversations_over_partitions(spark):

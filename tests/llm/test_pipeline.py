@@ -7,36 +7,49 @@ import numpy as np
 import public_tokenizers
 from test_documents import WORD, brute_components, brute_contamination, brute_fingerprint, brute_stats
 
+from pyspark.sql import Row
+
 import corpus_pipeline
 from confab.llm import mixing
 from confab.llm.common import documents, materialize
 
 
-def brute_quality(rows, min_docs=10, min_share=0.001, min_distinct=0.6):
-    lines, frequent = {}, set()
+def plain_lines(text):
+    """(line, its normal form, words) of each line."""
+    for line in text.split("\n"):
+        words = bytes(48 if 49 <= c <= 57 else c for c in line.encode().lower()).split()
+        yield line, b" ".join(words), len(words)
+
+
+def brute_quality(rows, min_docs=10, min_share=0.001):
+    lines = {r.doc_id: Counter() for r in rows}
     for r in rows:
-        own = Counter()
-        for line in (r.text or "").encode().lower().split(b"\n"):
-            words = bytes(48 if 49 <= c <= 57 else c for c in line).split()
-            if words:
-                own[b" ".join(words)] += len(words)
-        lines[r.doc_id] = own
+        for _, line, n in plain_lines(r.text or ""):
+            if n:
+                lines[r.doc_id][line] += n
     hosts = Counter(r.source for r in rows)
-    held = {}
+
+    def above(of):
+        held = {}
+        for r in rows:
+            for line in of[r.doc_id]:
+                held.setdefault((r.source, line), set()).add(frozenset(lines[r.doc_id]) if r.doc_id not in same else same[r.doc_id])
+        return {k for k, who in held.items() if len(who) >= max(min_docs, min_share * hosts[k[0]])}
+
+    same = {}
+    once = above(lines)
+    some = {r.doc_id: [x for x in lines[r.doc_id] if (r.source, x) in once] for r in rows}
     for r in rows:
-        order = sorted(lines[r.doc_id], key=lambda x: (len(x.split()), x))
-        for line in lines[r.doc_id]:
-            other = [x for x in order if x != line]
-            held.setdefault((r.source, line), []).append(other[-1] if other else None)
-    for (host, line), sketches in held.items():
-        n = len(set(sketches))
-        if n >= min_docs and n >= min_distinct * len(sketches) and n >= min_share * hosts[host]:
-            frequent.add((host, line))
+        n = sum(lines[r.doc_id].values())
+        if some[r.doc_id] and n - sum(lines[r.doc_id][x] for x in some[r.doc_id]) <= 0.05 * n:
+            same[r.doc_id] = ("near", frozenset(some[r.doc_id]))
+    frequent = above(some)
     for r in rows:
         n, _, _, _, repeat = brute_stats(r.text)
         left = n - sum(k for x, k in lines[r.doc_id].items() if (r.source, x) in frequent)
         if n >= 20 and 100 * repeat <= 30 * n and left >= 0.3 * n:
-            yield r
+            text = "\n".join(line for line, x, _ in plain_lines(r.text) if (r.source, x) not in frequent)
+            yield Row(**r.asDict() | {"text": text, "n_chars": r.n_chars if text == r.text else len(text)})
 
 
 def test_stages(spark, sf_dir):
