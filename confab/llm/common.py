@@ -68,7 +68,7 @@ def slices(batches, rows: int = SLICE_ROWS):
 
 
 def ddl_schema(ddl: str) -> pa.Schema:
-    kinds = {"bigint": pa.int64(), "long": pa.int64(), "int": pa.int32(), "string": pa.string(), "double": pa.float64(), "boolean": pa.bool_(), "binary": pa.binary(), "array<int>": pa.list_(pa.int32()), "array<string>": pa.list_(pa.string())}
+    kinds = {"bigint": pa.int64(), "long": pa.int64(), "int": pa.int32(), "string": pa.string(), "double": pa.float64(), "boolean": pa.bool_(), "binary": pa.binary(), "array<int>": pa.list_(pa.int32()), "array<long>": pa.list_(pa.int64()), "array<string>": pa.list_(pa.string())}
     return pa.schema([(n, kinds[k]) for n, k in (c.split() for c in ddl.split(","))])
 
 

@@ -14,16 +14,18 @@ concatenated per host; suffixes are sorted by prefix doubling, and from the leng
 neighbours share follows, for every position, the longest substring that starts there and
 stands on at least so many distinct pages. A block is repeated if such substrings of
 ``min_tokens`` words or more cover at least ``cover`` of its words. What markup leaves open
-(pages without article or main) goes if it is repeated on ``min_pages`` pages, or stands in
-a run of three or more blocks that are links alone. What an article holds goes only if it
-is repeated on ``article_share`` of the host's pages, ``article_pages`` at least, and if
-such blocks are less than half of the article: so a template's lines go, and quoted or
-copied passages stay. Pages of a host with equal words are one page, whatever their ids.
-
-A host of more than ``chunk_tokens`` words is dealt to chunks by pages. Each chunk counts
-the pages of its substrings of ``min_tokens`` words, the counts are added up over the
-chunks, and the covered words follow from them: the same words that one array would give,
-as a longer repeat is covered by its shorter ones. So no task holds a host.
+(pages without article or main) goes if it is repeated on ``min_pages`` pages and
+``min_share`` of the host's, or stands in a run of three or more blocks that are links alone.
+What an article holds goes only if it is repeated on ``article_share`` of the host's pages,
+``article_pages`` at least, and if such blocks are less than half of the article: so a
+template's lines go, and quoted or copied passages stay. Pages of a host with equal words are
+one page, whatever their ids.
+
+A host of more than ``chunk_tokens`` words is dealt to chunks by pages. What stands on a
+share of the host's pages stands on that share of the pages of one chunk at least, so each
+chunk names its substrings of ``min_tokens`` words that do; these few are then counted over
+all the host's pages, and the covered words follow from them: the same words that one array
+would give, as a longer repeat is covered by its shorter ones. So no task holds a host.
 
 Edge cases: null html is empty; its text is empty. Repeated pages, under one id or many,
 count once as evidence, and each has its own row. Unclosed, misnested or cut-off markup is
@@ -372,13 +374,15 @@ def content_of(found: list[tuple[str, str]]) -> bytes:
     return digest.digest()
 
 
-STREAM = "host string, n long, content binary, copies long, tokens array<int>, owner array<int>"
-EVIDENCE = "host string, content binary, copies long, repeated array<int>, common array<int>, gram long, pages long"
+STREAM = "host string, n long, content binary, copies long, tokens array<int>, sizes array<int>, open array<int>"
+EVIDENCE = "host string, content binary, copies long, repeated array<int>, common array<int>, gram long"
+COVERS = "host string, content binary, copies long, repeated array<int>, common array<int>"
 
 
 def host_streams(placed: DataFrame) -> DataFrame:
     """Of pages (host, n, html): content (a hash of the page's words), how many copies of it the
-    task has met, the hashes of its words and the block of each. A task passes a content on once."""
+    task has met, the hashes of its words, how many each block has, and which blocks are open. A
+    task passes a content on once."""
     schema = ddl_schema(STREAM)
 
     def scan(batches):
@@ -390,66 +394,89 @@ def host_streams(placed: DataFrame) -> DataFrame:
                 content = content_of(found)
                 copies[host, n, content] += 1
                 if copies[host, n, content] == 1:
-                    words = [(xxhash.xxh32_intdigest(w) >> 1, k) for k, (text, _) in enumerate(found) for w in text.lower().split()]
-                    rows.append((host, n, content, 1, [w for w, _ in words], [k for _, k in words]))
-            yield table(schema, zip(*rows, strict=True) if rows else [[]] * 6)
+                    words = [text.lower().split() for text, _ in found]
+                    rows.append((host, n, content, 1, [xxhash.xxh32_intdigest(w) >> 1 for x in words for w in x], list(map(len, words)), [k for k, (_, v) in enumerate(found) if v == "open"]))
+            yield table(schema, zip(*rows, strict=True) if rows else [[]] * 7)
         more = [(*key, c - 1) for key, c in copies.items() if c > 1]
         for at in range(0, len(more), 4096):
             some = list(zip(*more[at : at + 4096], strict=True))
-            yield table(schema, [*some, [None] * len(some[0]), [None] * len(some[0])])
+            yield table(schema, [*some, *[[None] * len(some[0])] * 3])
 
     return placed.select("host", "n", "html").mapInArrow(scan, STREAM)
 
 
-def repeats(pages: DataFrame, min_tokens: int = 8, min_pages: int = 3, article_share: float = 0.5, article_pages: int = 10, chunk_tokens: int = 1_000_000, cover: float = 0.5, max_broadcast: int = 100_000) -> DataFrame:
-    """(host, content, copies, repeated, common): of pages (host, html) with covered blocks, those
-    repeated on ``min_pages`` pages and those on ``article_share`` of the host's, each a content once."""
+def verdict_rows(host, content, copies, sizes, open_, hit, often, cover) -> list[tuple]:
+    """The row of a page if the array has a say on it: its open blocks that are repeated, and its other blocks that are common."""
+    owner = np.repeat(np.arange(len(sizes)), sizes)
+    repeated = sorted(set(covered_blocks(owner, hit, cover)) & set(open_))
+    common = sorted(set(covered_blocks(owner, often, cover)) - set(open_))
+    return [(host, content, copies, repeated, common)] if repeated or common else []
+
+
+def host_grams(host: str, tokens, n: int) -> np.ndarray:
+    return gram_hashes(np.asarray(tokens, np.int64), n) ^ np.int64(xxhash.xxh64_intdigest(host) - (1 << 63))
+
+
+class Limits:
+    """How many of a host's pages must share what is boilerplate: (for open blocks, for an article's)."""
+
+    def __init__(self, min_pages: int, min_share: float, article_pages: int, article_share: float):
+        self.rules = ((min_pages, min_share), (article_pages, article_share))
+
+    def of(self, pages: int) -> tuple[int, int]:
+        return tuple(max(least, int(np.ceil(share * pages))) for least, share in self.rules)
+
+    def columns(self, pages):
+        return [F.greatest(F.lit(least), F.ceil(F.lit(share) * pages)) for least, share in self.rules]
+
+
+def repeats(pages: DataFrame, min_tokens: int = 8, min_pages: int = 3, min_share: float = 0.002, article_pages: int = 10, article_share: float = 0.5, chunk_tokens: int = 2_000_000, cover: float = 0.5, max_broadcast: int = 1_000_000) -> DataFrame:
+    """(host, content, copies, repeated, common): of pages (host, html) the open blocks that are
+    repeated, and the other blocks that are common, each content once; only pages that have any."""
+    limits = Limits(min_pages, min_share, article_pages, article_share)
     hosts = pages.groupBy("host").agg(F.sum(F.coalesce(F.length("html"), F.lit(0))).alias("chars"))
     # a token and its markup are about 8 characters
     large = materialize(hosts.where(F.col("chars") > 8 * chunk_tokens).select("host", F.ceil(F.col("chars") / (8 * chunk_tokens)).cast("long").alias("n")), "html-large")
-    few = large.count() <= max_broadcast
+    few = large.count() <= max_broadcast // 10
     placed = pages.join(F.broadcast(large) if few else large, "host", "left").withColumn("n", F.coalesce("n", F.lit(1).cast("long")))
     streams = host_streams(placed).withColumn("chunk", F.pmod(F.xxhash64("content"), F.col("n")))
     schema = ddl_schema(EVIDENCE)
 
     def evidence(host, n, own):
-        """Rows of one chunk from its contents: [content, copies, tokens, owner]."""
-        lengths = [len(x[2]) for x in own]
-        need = max(article_pages, int(np.ceil(article_share * len(own))))
+        """Rows of one chunk from its contents: [content, copies, tokens, sizes, open]."""
         if n > 1:
-            grams = [np.unique(gram_hashes(np.asarray(x[2], np.int32), min_tokens)) for x in own]
+            grams = [np.unique(host_grams(host, x[2], min_tokens)) for x in own]
             values, pages_of = np.unique(np.concatenate(grams), return_counts=True)
-            yield [host, None, len(own), None, None, None, None]
-            for g, c in zip(values.tolist(), pages_of.tolist(), strict=True):
-                yield [host, None, None, None, None, g, c]
+            share = min(min_share, article_share)
+            yield host, None, len(own), None, None, None
+            for g in values[pages_of >= share * len(own)].tolist():
+                yield host, None, None, None, None, g
             return
         # each page ends with a mark of its own, so that no substring runs over pages
         stream = np.concatenate([np.append(np.asarray(x[2], np.int64), -1 - k) for k, x in enumerate(own)])
-        page = np.repeat(np.arange(len(own)), np.array(lengths) + 1)
+        lengths = np.array([len(x[2]) for x in own])
+        page = np.repeat(np.arange(len(own)), lengths + 1)
         array, lcp = suffix_array(stream, min_tokens)
-        hit = covered_tokens(array, shared_lengths(array, lcp, page, min_pages, min_tokens), len(stream))
-        if not hit.any():
-            return
-        often = covered_tokens(array, shared_lengths(array, lcp, page, need, min_tokens), len(stream)) if len(own) >= need else np.zeros(len(stream), bool)
-        ends = np.cumsum(np.array(lengths) + 1)
-        for (content, copies, _, owner), size, end in zip(own, lengths, ends, strict=True):
-            got = covered_blocks(np.asarray(owner, np.int64), hit[end - 1 - size : end - 1], cover)
-            if got:
-                yield [host, content, copies, got, covered_blocks(np.asarray(owner, np.int64), often[end - 1 - size : end - 1], cover), None, None]
+        hit, often = (covered_tokens(array, shared_lengths(array, lcp, page, k, min_tokens), len(stream)) for k in limits.of(len(own)))
+        for (content, copies, _, sizes, open_), size, end in zip(own, lengths, np.cumsum(lengths + 1), strict=True):
+            at = slice(end - 1 - size, end - 1)
+            for row in verdict_rows(host, content, copies, sizes, open_, hit[at], often[at], cover):
+                yield *row, None
 
     def arrays(batches):
         at, own, ready = None, [], []
         for part in slices(batches):
-            for host, n, content, copies, tokens, owner, chunk in zip(*(c.to_pylist() for c in part.columns), strict=True):
+            for host, n, content, copies, tokens, sizes, open_, chunk in zip(*(c.to_pylist() for c in part.columns), strict=True):
                 if at is not None and at != (host, n, chunk):
                     ready += evidence(*at[:2], own)
                     own = []
                 at = (host, n, chunk)
                 if own and own[-1][0] == content:
                     own[-1][1] += copies
-                    own[-1][2:] = [own[-1][2] if tokens is None else tokens, own[-1][3] if owner is None else owner]
+                    if tokens is not None:
+                        own[-1][2:] = [np.array(tokens, np.int32), sizes, open_]
                 else:
-                    own.append([content, copies, tokens or [], owner or []])
+                    own.append([content, copies, np.array(tokens or [], np.int32), sizes or [], open_ or []])
                 if len(ready) > 4096:
                     yield table(schema, zip(*ready, strict=True))
                     ready = []
@@ -463,42 +490,65 @@ def repeats(pages: DataFrame, min_tokens: int = 8, min_pages: int = 3, article_s
     whole = found.where("content is not null").select("host", "content", "copies", "repeated", "common")
     if large.isEmpty():
         return whole
-    # hosts of several chunks: counts of substrings are added up, and what they cover follows
-    totals = found.where("content is null and gram is null").groupBy("host").agg(F.sum("copies").alias("n_pages"))
-    often = F.col("pages") >= F.greatest(F.lit(article_pages), F.ceil(article_share * F.col("n_pages")))
-    known = found.where("gram is not null").groupBy("host", "gram").agg(F.sum("pages").alias("pages")).where(F.col("pages") >= min_pages)
-    known = known.join(totals, "host").select("host", "gram", often.alias("often"))
-    streams = materialize(streams.where("n > 1").groupBy("host", "content").agg(F.sum("copies").alias("copies"), F.max("tokens").alias("tokens"), F.max("owner").alias("owner")), "html-streams")
-    grams_ddl = "host string, content binary, at int, gram long"
-
-    def grams(batches):
-        out = ddl_schema(grams_ddl)
-        for part in slices(batches):
-            for host, content, tokens in zip(*(c.to_pylist() for c in part.columns), strict=True):
-                got = gram_hashes(np.asarray(tokens or [], np.int32), min_tokens)
-                yield table(out, [[host] * len(got), [content] * len(got), np.arange(len(got), dtype=np.int32), got])
-
-    hits = streams.select("host", "content", "tokens").mapInArrow(grams, grams_ddl).join(known, ["host", "gram"]).groupBy("host", "content").agg(F.collect_list("at").alias("at"), F.collect_list(F.when(F.col("often"), F.col("at"))).alias("often"))
-    covers_ddl = "host string, content binary, copies long, repeated array<int>, common array<int>"
+    # hosts of several chunks: the pages of what a chunk named are counted over all chunks
+    some = materialize(found.where("gram is not null").select("gram").distinct(), "html-named")
+    totals = found.where("content is null and gram is null").groupBy("host").agg(F.sum("copies").alias("pages"))
+    own = streams.where("n > 1").groupBy("host", "content").agg(F.sum("copies").alias("copies"), F.max("tokens").alias("tokens"), F.max("sizes").alias("sizes"), F.max("open").alias("open"))
+    own = materialize(own, "html-streams")
+    counts = _positions(own, some, min_tokens, max_broadcast).select("host", F.explode(F.array_distinct("grams")).alias("gram")).groupBy("host", "gram").agg(F.count("*").alias("n")).join(totals, "host")
+    for_open, for_article = limits.columns(F.col("pages"))
+    known = materialize(counts.where(F.col("n") >= F.least(for_open, for_article)).select("gram", (F.col("n") >= for_open).alias("hit"), (F.col("n") >= for_article).alias("often")), "html-known")
+    at = _positions(own, known.where("hit"), min_tokens, max_broadcast).select("host", "content", "copies", "sizes", "open", F.col("at").alias("hit"))
+    often = _positions(own, known.where("often"), min_tokens, max_broadcast).select("host", "content", "copies", "sizes", "open", F.col("at").alias("often"))
+    out = ddl_schema(COVERS)
 
     def covers(batches):
-        out = ddl_schema(covers_ddl)
         for part in slices(batches):
             rows = []
-            for host, content, copies, owner, at, often in zip(*(c.to_pylist() for c in part.columns), strict=True):
-                owner = np.asarray(owner, np.int64)
-                both = [covered_blocks(owner, covered_tokens(np.asarray(x, np.int64), np.full(len(x), min_tokens), len(owner)), cover) for x in (at, often)]
-                if both[0]:
-                    rows.append((host, content, copies, *both))
+            for host, content, copies, sizes, open_, hit, often in zip(*(c.to_pylist() for c in part.columns), strict=True):
+                hits = (covered_tokens(np.asarray(x or [], np.int64), np.full(len(x or []), min_tokens), sum(sizes)) for x in (hit, often))
+                rows += verdict_rows(host, content, copies, sizes, open_, *hits, cover)
             if rows:
                 yield table(out, zip(*rows, strict=True))
 
-    return whole.unionByName(streams.join(hits, ["host", "content"]).select("host", "content", "copies", "owner", "at", "often").mapInArrow(covers, covers_ddl))
+    both = at.join(often.select("host", "content", "often"), ["host", "content"], "left").unionByName(often.join(at, ["host", "content"], "left_anti").withColumn("hit", F.lit(None).cast("array<int>")), allowMissingColumns=True)
+    return whole.unionByName(both.select("host", "content", "copies", "sizes", "open", "hit", "often").mapInArrow(covers, COVERS))
+
+
+def _positions(streams: DataFrame, grams: DataFrame, n: int, max_broadcast: int) -> DataFrame:
+    """Streams with the positions and hashes of their substrings of ``n`` words that are in ``grams``;
+    those without any are left out. Up to ``max_broadcast`` hashes are sent to the tasks, more are joined."""
+    names = ["host", "content", "copies", "sizes", "open"]
+    ddl = "host string, content binary, copies long, sizes array<int>, open array<int>, at array<int>, grams array<long>"
+    schema = ddl_schema(ddl)
+    few = grams.count() <= max_broadcast
+    wanted = streams.sparkSession.sparkContext.broadcast(np.sort(np.array([r.gram for r in grams.select("gram").collect()], np.int64))) if few else None
+
+    def find(batches):
+        for part in slices(batches):
+            rows = []
+            for *cells, tokens in zip(*(c.to_pylist() for c in part.columns), strict=True):
+                got = host_grams(cells[0], tokens or [], n)
+                at = np.arange(len(got))
+                if wanted is not None:
+                    known = wanted.value
+                    at = np.flatnonzero(known[np.minimum(np.searchsorted(known, got), len(known) - 1)] == got) if len(known) else at[:0]
+                if len(at):
+                    rows.append((*cells, at.tolist(), got[at].tolist()))
+            if rows:
+                yield table(schema, zip(*rows, strict=True))
+
+    found = streams.select(*names, "tokens").mapInArrow(find, ddl)
+    if few:
+        return found
+    each = found.select("host", "content", F.explode(F.arrays_zip("at", "grams")).alias("x")).select("host", "content", "x.at", F.col("x.grams").alias("gram"))
+    kept = each.join(grams.select("gram"), "gram").groupBy("host", "content").agg(F.collect_list("at").alias("at"), F.collect_list("gram").alias("grams"))
+    return streams.select(*names).join(kept, ["host", "content"])
 
 
 def main_text(pages: DataFrame, **settings) -> DataFrame:
-    """Per page: page_id, url, text, n_chars, n_blocks (kept), n_repeated (blocks of the page that
-    the suffix array covers) and n_boilerplate (those of them that markup would have kept)."""
+    """Per page: page_id, url, text, n_chars, n_blocks (kept) and n_boilerplate (blocks that
+    markup would have kept and the suffix array took)."""
     pages = with_host(pages)
     covered = materialize(repeats(pages, **settings), "html-covered")
     ddl = "page_id long, url string, host string, content binary, texts array<string>, verdicts array<string>"
@@ -516,11 +566,14 @@ def main_text(pages: DataFrame, **settings) -> DataFrame:
     none = F.array().cast("array<int>")
     at = lambda i, name: F.array_contains(F.coalesce(name, none), i)
     words = lambda keep: F.aggregate(F.transform("texts", lambda t, i: F.when(keep(i), F.length(t)).otherwise(0)), F.lit(0), lambda a, b: a + b)
-    kept = lambda i: F.get("verdicts", i) == "keep"
-    some = both.withColumn("some", 2 * words(lambda i: kept(i) & at(i, "common")) < words(kept))
-    gone = lambda i: (F.get("verdicts", i) == "open") & at(i, "repeated") | kept(i) & F.col("some") & at(i, "common")
-    left = some.withColumn("left", F.filter("texts", lambda t, i: (F.get("verdicts", i) != "drop") & ~gone(i)))
+    verdict = lambda i: F.get("verdicts", i)
+    kept = lambda i: verdict(i) == "keep"
+    # a template is less than half of an article
+    some = F.col("common").isNotNull() & (2 * words(lambda i: kept(i) & at(i, "common")) < words(kept))
+    both = both.withColumn("some", some)
+    gone = lambda i: (verdict(i) == "open") & at(i, "repeated") | kept(i) & F.col("some") & at(i, "common")
+    left = both.withColumn("left", F.filter("texts", lambda t, i: (verdict(i) != "drop") & ~gone(i)))
     text = F.array_join("left", "\n\n")
-    lost = F.size(F.filter("texts", lambda t, i: (F.get("verdicts", i) != "drop") & gone(i)))
-    out = left.select("page_id", "url", text.alias("text"), F.size("left").cast("long").alias("n_blocks"), F.size(F.coalesce("repeated", none)).cast("long").alias("n_repeated"), lost.cast("long").alias("n_boilerplate"))
-    return out.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"), "n_blocks", "n_repeated", "n_boilerplate")
+    lost = F.size(F.filter("verdicts", lambda v: v != "drop")) - F.size("left")
+    out = left.select("page_id", "url", text.alias("text"), F.size("left").cast("long").alias("n_blocks"), lost.cast("long").alias("n_boilerplate"))
+    return out.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"), "n_blocks", "n_boilerplate")
