@@ -71,6 +71,8 @@ _HIDDEN = re.compile(r"(?:display\s*:\s*none|visibility\s*:\s*hidden)", re.I)
 def tag_end(page: str, at: int) -> tuple[dict[str, str], int]:
     """Attributes of the tag whose name ends at ``at``, and where it ends; -1 if the page ends in it."""
     attrs: dict[str, str] = {}
+    if page[at : at + 1] == ">":
+        return attrs, at + 1
     while True:
         at = _SKIP.match(page, at).end()
         if at >= len(page):
@@ -95,7 +97,11 @@ def tag_end(page: str, at: int) -> tuple[dict[str, str], int]:
 
 def furniture(name: str, attrs: dict[str, str], in_article: bool) -> str:
     """sure, by element, role or hiding; hint, by class or id; or nothing."""
-    if name in FURNITURE or name == "header" and not in_article or "hidden" in attrs or _HIDDEN.search(attrs.get("style", "")):
+    if name in FURNITURE or name == "header" and not in_article:
+        return "sure"
+    if not attrs:
+        return "hint" if name == "article" and in_article else ""
+    if "hidden" in attrs or _HIDDEN.search(attrs.get("style", "")):
         return "sure" if name not in WHOLE else ""
     if set(_WORDS.findall(attrs.get("role", "").lower())) & ROLES and name not in WHOLE:
         return "sure"
@@ -122,7 +128,8 @@ def blocks(page: str) -> list[tuple[str, str, int, int, int, float]]:
 
     def say(piece: str):
         nonlocal linked
-        piece = html.unescape(piece)
+        if "&" in piece:
+            piece = html.unescape(piece)
         text.append(piece)
         if link:
             linked += len("".join(piece.split()))
@@ -379,6 +386,24 @@ EVIDENCE = "host string, content binary, copies long, repeated array<int>, commo
 COVERS = "host string, content binary, copies long, repeated array<int>, common array<int>"
 
 
+class WordHashes(dict):
+    """31-bit hashes of words, remembered."""
+
+    def __missing__(self, word: str) -> int:
+        if len(self) > 500_000:
+            self.clear()
+        self[word] = h = xxhash.xxh32_intdigest(word) >> 1
+        return h
+
+
+def list_values(column: pa.ListArray):
+    """The lists of a column as numpy arrays; nulls are empty."""
+    values, edges = column.values.to_numpy(zero_copy_only=False), column.offsets.to_numpy()
+    valid = column.is_valid().to_numpy(zero_copy_only=False)
+    for a, b, ok in zip(edges[:-1], edges[1:], valid, strict=True):
+        yield values[a : b if ok else a]
+
+
 def host_streams(placed: DataFrame) -> DataFrame:
     """Of pages (host, n, html): content (a hash of the page's words), how many copies of it the
     task has met, the hashes of its words, how many each block has, and which blocks are open. A
@@ -387,6 +412,7 @@ def host_streams(placed: DataFrame) -> DataFrame:
 
     def scan(batches):
         copies: Counter = Counter()
+        known = WordHashes()
         for part in slices(batches):
             rows = []
             for host, n, page in zip(*(c.to_pylist() for c in part.columns), strict=True):
@@ -395,7 +421,7 @@ def host_streams(placed: DataFrame) -> DataFrame:
                 copies[host, n, content] += 1
                 if copies[host, n, content] == 1:
                     words = [text.lower().split() for text, _ in found]
-                    rows.append((host, n, content, 1, [xxhash.xxh32_intdigest(w) >> 1 for x in words for w in x], list(map(len, words)), [k for k, (_, v) in enumerate(found) if v == "open"]))
+                    rows.append((host, n, content, 1, [known[w] for x in words for w in x], list(map(len, words)), [k for k, (_, v) in enumerate(found) if v == "open"]))
             yield table(schema, zip(*rows, strict=True) if rows else [[]] * 7)
         more = [(*key, c - 1) for key, c in copies.items() if c > 1]
         for at in range(0, len(more), 4096):
@@ -437,9 +463,15 @@ def repeats(pages: DataFrame, min_tokens: int = 8, min_pages: int = 3, min_share
     hosts = pages.groupBy("host").agg(F.sum(F.coalesce(F.length("html"), F.lit(0))).alias("chars"))
     # a token and its markup are about 8 characters
     large = materialize(hosts.where(F.col("chars") > 8 * chunk_tokens).select("host", F.ceil(F.col("chars") / (8 * chunk_tokens)).cast("long").alias("n")), "html-large")
+    several = not large.isEmpty()
     few = large.count() <= max_broadcast // 10
     placed = pages.join(F.broadcast(large) if few else large, "host", "left").withColumn("n", F.coalesce("n", F.lit(1).cast("long")))
-    streams = host_streams(placed).withColumn("chunk", F.pmod(F.xxhash64("content"), F.col("n")))
+    streams = host_streams(placed.where("n = 1")).withColumn("chunk", F.lit(0).cast("long"))
+    if several:
+        # read more than once below
+        sums = [F.sum("copies").alias("copies"), *[F.max(c).alias(c) for c in ("tokens", "sizes", "open")]]
+        own = materialize(host_streams(placed.where("n > 1")).groupBy("host", "n", "content").agg(*sums), "html-streams")
+        streams = streams.unionByName(own.withColumn("chunk", F.pmod(F.xxhash64("content"), F.col("n"))))
     schema = ddl_schema(EVIDENCE)
 
     def evidence(host, n, own):
@@ -466,17 +498,18 @@ def repeats(pages: DataFrame, min_tokens: int = 8, min_pages: int = 3, min_share
     def arrays(batches):
         at, own, ready = None, [], []
         for part in slices(batches):
-            for host, n, content, copies, tokens, sizes, open_, chunk in zip(*(c.to_pylist() for c in part.columns), strict=True):
+            cells = [list_values(c) if k == 4 else c.to_pylist() for k, c in enumerate(part.columns)]
+            for host, n, content, copies, tokens, sizes, open_, chunk in zip(*cells, strict=True):
                 if at is not None and at != (host, n, chunk):
                     ready += evidence(*at[:2], own)
                     own = []
                 at = (host, n, chunk)
                 if own and own[-1][0] == content:
                     own[-1][1] += copies
-                    if tokens is not None:
-                        own[-1][2:] = [np.array(tokens, np.int32), sizes, open_]
+                    if sizes is not None:
+                        own[-1][2:] = [tokens.copy(), sizes, open_]
                 else:
-                    own.append([content, copies, np.array(tokens or [], np.int32), sizes or [], open_ or []])
+                    own.append([content, copies, tokens.copy(), sizes or [], open_ or []])
                 if len(ready) > 4096:
                     yield table(schema, zip(*ready, strict=True))
                     ready = []
@@ -488,61 +521,64 @@ def repeats(pages: DataFrame, min_tokens: int = 8, min_pages: int = 3, min_share
     sorted_ = streams.repartition("host", "chunk").sortWithinPartitions("host", "n", "chunk", "content")
     found = materialize(sorted_.mapInArrow(arrays, EVIDENCE), "html-evidence")
     whole = found.where("content is not null").select("host", "content", "copies", "repeated", "common")
-    if large.isEmpty():
+    if not several:
         return whole
     # hosts of several chunks: the pages of what a chunk named are counted over all chunks
-    some = materialize(found.where("gram is not null").select("gram").distinct(), "html-named")
+    named = materialize(found.where("gram is not null").select("gram", F.lit(True).alias("hit"), F.lit(False).alias("often")).distinct(), "html-named")
     totals = found.where("content is null and gram is null").groupBy("host").agg(F.sum("copies").alias("pages"))
-    own = streams.where("n > 1").groupBy("host", "content").agg(F.sum("copies").alias("copies"), F.max("tokens").alias("tokens"), F.max("sizes").alias("sizes"), F.max("open").alias("open"))
-    own = materialize(own, "html-streams")
-    counts = _positions(own, some, min_tokens, max_broadcast).select("host", F.explode(F.array_distinct("grams")).alias("gram")).groupBy("host", "gram").agg(F.count("*").alias("n")).join(totals, "host")
+    counts = _positions(own, named, min_tokens, max_broadcast).select("host", F.explode(F.array_distinct("grams")).alias("gram")).groupBy("host", "gram").agg(F.count("*").alias("k")).join(totals, "host")
     for_open, for_article = limits.columns(F.col("pages"))
-    known = materialize(counts.where(F.col("n") >= F.least(for_open, for_article)).select("gram", (F.col("n") >= for_open).alias("hit"), (F.col("n") >= for_article).alias("often")), "html-known")
-    at = _positions(own, known.where("hit"), min_tokens, max_broadcast).select("host", "content", "copies", "sizes", "open", F.col("at").alias("hit"))
-    often = _positions(own, known.where("often"), min_tokens, max_broadcast).select("host", "content", "copies", "sizes", "open", F.col("at").alias("often"))
+    known = materialize(counts.select("gram", (F.col("k") >= for_open).alias("hit"), (F.col("k") >= for_article).alias("often")).where("hit or often"), "html-known")
     out = ddl_schema(COVERS)
 
     def covers(batches):
         for part in slices(batches):
             rows = []
             for host, content, copies, sizes, open_, hit, often in zip(*(c.to_pylist() for c in part.columns), strict=True):
-                hits = (covered_tokens(np.asarray(x or [], np.int64), np.full(len(x or []), min_tokens), sum(sizes)) for x in (hit, often))
+                hits = (covered_tokens(np.asarray(x, np.int64), np.full(len(x), min_tokens), sum(sizes)) for x in (hit, often))
                 rows += verdict_rows(host, content, copies, sizes, open_, *hits, cover)
             if rows:
                 yield table(out, zip(*rows, strict=True))
 
-    both = at.join(often.select("host", "content", "often"), ["host", "content"], "left").unionByName(often.join(at, ["host", "content"], "left_anti").withColumn("hit", F.lit(None).cast("array<int>")), allowMissingColumns=True)
-    return whole.unionByName(both.select("host", "content", "copies", "sizes", "open", "hit", "often").mapInArrow(covers, COVERS))
+    return whole.unionByName(_positions(own, known, min_tokens, max_broadcast).drop("grams").mapInArrow(covers, COVERS))
 
 
 def _positions(streams: DataFrame, grams: DataFrame, n: int, max_broadcast: int) -> DataFrame:
-    """Streams with the positions and hashes of their substrings of ``n`` words that are in ``grams``;
-    those without any are left out. Up to ``max_broadcast`` hashes are sent to the tasks, more are joined."""
+    """Streams with the positions of their substrings of ``n`` words that are in ``grams`` (gram,
+    hit, often), of those marked hit and of those marked often, and the hashes of them all; streams
+    without any are left out. Up to ``max_broadcast`` hashes are sent to the tasks, more are joined."""
     names = ["host", "content", "copies", "sizes", "open"]
-    ddl = "host string, content binary, copies long, sizes array<int>, open array<int>, at array<int>, grams array<long>"
+    ddl = "host string, content binary, copies long, sizes array<int>, open array<int>, hit array<int>, often array<int>, grams array<long>"
     schema = ddl_schema(ddl)
     few = grams.count() <= max_broadcast
-    wanted = streams.sparkSession.sparkContext.broadcast(np.sort(np.array([r.gram for r in grams.select("gram").collect()], np.int64))) if few else None
+    wanted = None
+    if few:
+        rows = sorted((r.gram, r.hit, r.often) for r in grams.collect())
+        wanted = streams.sparkSession.sparkContext.broadcast((np.array([r[0] for r in rows], np.int64), *(np.array([r[k] for r in rows], bool) for k in (1, 2))))
 
     def find(batches):
         for part in slices(batches):
             rows = []
-            for *cells, tokens in zip(*(c.to_pylist() for c in part.columns), strict=True):
-                got = host_grams(cells[0], tokens or [], n)
-                at = np.arange(len(got))
-                if wanted is not None:
-                    known = wanted.value
-                    at = np.flatnonzero(known[np.minimum(np.searchsorted(known, got), len(known) - 1)] == got) if len(known) else at[:0]
-                if len(at):
-                    rows.append((*cells, at.tolist(), got[at].tolist()))
+            cells = [list_values(c) if k == 5 else c.to_pylist() for k, c in enumerate(part.columns)]
+            for *facts, tokens in zip(*cells, strict=True):
+                got = host_grams(facts[0], tokens, n)
+                if wanted is None:
+                    rows.append((*facts, range(len(got)), [], got.tolist()))
+                    continue
+                known, hit, often = wanted.value
+                if len(known) and len(got):
+                    k = np.minimum(np.searchsorted(known, got), len(known) - 1)
+                    at = np.flatnonzero(known[k] == got)
+                    if len(at):
+                        rows.append((*facts, at[hit[k[at]]].tolist(), at[often[k[at]]].tolist(), got[at].tolist()))
             if rows:
                 yield table(schema, zip(*rows, strict=True))
 
     found = streams.select(*names, "tokens").mapInArrow(find, ddl)
     if few:
         return found
-    each = found.select("host", "content", F.explode(F.arrays_zip("at", "grams")).alias("x")).select("host", "content", "x.at", F.col("x.grams").alias("gram"))
-    kept = each.join(grams.select("gram"), "gram").groupBy("host", "content").agg(F.collect_list("at").alias("at"), F.collect_list("gram").alias("grams"))
+    each = found.select("host", "content", F.explode(F.arrays_zip("hit", "grams")).alias("x")).select("host", "content", F.col("x.hit").alias("at"), F.col("x.grams").alias("gram"))
+    kept = each.join(grams, "gram").groupBy("host", "content").agg(F.collect_list(F.when(F.col("hit"), F.col("at"))).alias("hit"), F.collect_list(F.when(F.col("often"), F.col("at"))).alias("often"), F.collect_list("gram").alias("grams"))
     return streams.select(*names).join(kept, ["host", "content"])
 
 
