@@ -34,6 +34,12 @@ def function(ddl: str):
     return wrap
 
 
+def dealt(df):
+    """``df`` over as many partitions as there are cores, if it has fewer: a single file's rows would all be one Python task's."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if not df.isStreaming and df.rdd.getNumPartitions() < cores else df
+
+
 _WORD = re.compile(r"[^\W\d_]+(?:[-'][^\W\d_]+)*")
 #: Numbers with a unit of dose.
 DOSE = re.compile(r"\d+(?:[.,]\d+)?\s*(?:mg|mcg|ml|g|kg|ui|mmol|mmhg|%|мг|мкг|мл|г|кг|ед)(?!\w)|\d", re.I)
@@ -72,8 +78,10 @@ def edit_counts(reference: list, hypothesis: list) -> tuple[int, int, int]:
     """(substitutions, deletions, insertions) of a cheapest edit; of equally cheap steps at a
     cell, substitution comes before deletion and deletion before insertion.
 
-    Cells of a diagonal depend on the two diagonals before it only, so each is one pass of
-    numpy. A cell holds its three counts in one integer. Equal tokens at the end cost nothing
+    Cells of a diagonal depend on the two diagonals before it only, so each is one pass of numpy,
+    and a cell holds its three counts in one integer. An edit of cost t stays within t cells of
+    the main diagonal, so a band is searched that doubles until it holds the edit it finds:
+    texts that are alike cost their length times their edits. Equal tokens at the end cost nothing
     and are cut first; those at the start are not, as they can change which edit is found."""
     n, m = len(reference), len(hypothesis)
     while n and m and reference[n - 1] == hypothesis[m - 1]:
@@ -83,11 +91,26 @@ def edit_counts(reference: list, hypothesis: list) -> tuple[int, int, int]:
     codes: dict = {}
     ref = np.array([codes.setdefault(x, len(codes)) for x in reference[:n]], np.int32)
     hyp = np.array([codes.setdefault(x, len(codes)) for x in hypothesis[:m]], np.int32)[::-1].copy()
-    substitute, delete, insert = (1 << _TOTAL) + 1, (1 << _TOTAL) + (1 << _DELETED), 1 << _TOTAL
-    older, old = np.zeros(n + 1, np.int64), np.zeros(n + 1, np.int64)
+    band = max(abs(n - m), 16)
+    while True:
+        total = _banded(ref, hyp, n, m, band)
+        if total >> _TOTAL <= band or band >= max(n, m):
+            break
+        band *= 2
+    mask = (1 << _DELETED) - 1
+    s, d = total & mask, total >> _DELETED & mask
+    return s, d, (total >> _TOTAL) - s - d
+
+
+def _banded(ref: np.ndarray, hyp: np.ndarray, n: int, m: int, band: int) -> int:
+    """The last cell of the edit table, from cells at most ``band`` off the main diagonal; ``hyp`` is reversed."""
+    substitute, delete, insert, never = (1 << _TOTAL) + 1, (1 << _TOTAL) + (1 << _DELETED), 1 << _TOTAL, 1 << 62
+    older, old, new = (np.full(n + 2, never, np.int64) for _ in range(3))
+    old[0] = 0
     for k in range(1, n + m + 1):
-        new = np.empty(n + 1, np.int64)
-        lo, hi = max(1, k - m), min(n, k - 1)
+        lo, hi = max(1, k - m, (k - band + 1) // 2), min(n, k - 1, (k + band) // 2)
+        # cells beside the band, which the next diagonals read
+        new[max(0, lo - 1)] = new[max(0, hi + 1)] = never
         if lo <= hi:
             best = older[lo - 1 : hi]
             same = ref[lo - 1 : hi] == hyp[m - k + lo : m - k + hi + 1]
@@ -95,14 +118,14 @@ def edit_counts(reference: list, hypothesis: list) -> tuple[int, int, int]:
             for other in (old[lo - 1 : hi] + delete, old[lo : hi + 1] + insert):
                 cell = np.where(other >> _TOTAL < cell >> _TOTAL, other, cell)
             new[lo : hi + 1] = np.where(same, best, cell)
-        if k <= m:
-            new[0] = k * insert
-        if k <= n:
-            new[k] = k * delete
-        older, old = old, new
-    total, mask = int(old[n]), (1 << _DELETED) - 1
-    s, d = total & mask, total >> _DELETED & mask
-    return s, d, (total >> _TOTAL) - s - d
+        if k <= band:
+            new[0] = k * insert if k <= m else never
+            if k <= n:
+                new[k] = k * delete
+        else:
+            new[0] = never
+        older, old, new = old, new, older
+    return int(old[n])
 
 
 EDITS = "struct<substitutions:bigint,deletions:bigint,insertions:bigint>"

@@ -33,14 +33,22 @@ def attendee_terms(attendees: DataFrame) -> DataFrame:
     return a.select("meeting_id", F.explode(F.array_compact(terms)).alias("t")).select("meeting_id", "t.*")
 
 
+def _contained(inner: DataFrame, outer: DataFrame, a: str, b: str) -> DataFrame:
+    """(a, b) where the text a of ``inner`` stands in the text b of ``outer``: joined by a's first three letters."""
+    parts = F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(1), F.length(b)), lambda i: F.array(*[F.substr(F.col(b), i, F.lit(n)) for n in (1, 2, 3)]))))
+    left = inner.where(F.length(a) > 0).withColumn("__part", F.substring(a, 1, 3))
+    return left.join(outer.where(F.length(b) > 0).withColumn("__part", F.explode(parts)), "__part").where(F.contains(b, a)).select(a, b)
+
+
 def department_terms(meetings: DataFrame, vocabulary: DataFrame) -> DataFrame:
     """Terms of the vocabulary (department, term, category, weight) whose department holds a
-    meeting's or stands in it, and the meeting's department itself. Departments are few and
-    distinct, so they meet once each, however many meetings there are."""
+    meeting's or stands in it, and the meeting's department itself. Departments are distinct, so
+    they meet once each, however many meetings there are; a name meets only those that have its
+    first three letters somewhere, so no pair is compared that shares nothing."""
     own = meetings.where(F.trim(F.coalesce("department", F.lit(""))) != "").select("meeting_id", F.trim("department").alias("d"))
     names = own.select(F.lower("d").alias("k")).distinct()
-    keys = vocabulary.select("department").distinct()
-    pairs = names.join(F.broadcast(keys.limit(10_000)), F.contains("k", "department") | F.contains("department", "k"))
+    keys = vocabulary.select("department").where("department <> ''").distinct()
+    pairs = _contained(names, keys, "k", "department").unionByName(_contained(keys, names, "department", "k").select("k", "department")).distinct()
     found = pairs.join(vocabulary, "department").select("k", "term", "category", F.concat(F.lit("department_vocab:"), F.col("department")).alias("source"), F.col("weight").cast("double").alias("weight"))
     a = own.withColumn("k", F.lower("d")).join(found, "k").select("meeting_id", "term", "category", "source", "weight")
     return a.unionByName(own.select("meeting_id", _term(F.col("d"), "department", "meeting_department", 2.0).alias("t")).select("meeting_id", "t.*"))

@@ -17,7 +17,7 @@ def ratio(a, b) -> Column:
 def error_counts(pairs: DataFrame, reference: str = "reference", hypothesis: str = "hypothesis") -> DataFrame:
     """Pairs with word edits s, d, i, reference words n, and character edits cs, cd, ci, cn. Null texts are empty."""
     chars = lambda c: F.filter(F.split(F.replace(T.scoring_form(c), F.lit(" "), F.lit("")), ""), lambda x: x != "")
-    out = pairs.withColumns({"__w": arrow.token_edits(T.scoring_words(reference), T.scoring_words(hypothesis)), "__c": arrow.token_edits(chars(reference), chars(hypothesis)), "n": F.size(T.scoring_words(reference)).cast("long"), "cn": F.size(chars(reference)).cast("long")})
+    out = arrow.dealt(pairs).withColumns({"__w": arrow.token_edits(T.scoring_words(reference), T.scoring_words(hypothesis)), "__c": arrow.token_edits(chars(reference), chars(hypothesis)), "n": F.size(T.scoring_words(reference)).cast("long"), "cn": F.size(chars(reference)).cast("long")})
     kinds = ("substitutions", "deletions", "insertions")
     return out.withColumns({n: F.col(f"__w.{k}") for n, k in zip(("s", "d", "i"), kinds)} | {n: F.col(f"__c.{k}") for n, k in zip(("cs", "cd", "ci"), kinds)}).drop("__w", "__c")
 
@@ -86,28 +86,61 @@ def entity_recall(entities: DataFrame) -> DataFrame:
     return some.agg(F.count_if("hit").alias("found"), F.count("*").alias("entities")).withColumn("recall", ratio(F.col("found"), F.col("entities")))
 
 
+def draw_hash(recording) -> Column:
+    """28 bits of a recording's id, the start of its random numbers."""
+    return F.conv(F.substring(F.md5(F.col(recording).cast("string")), 1, 7), 16, 10).cast("long")
+
+
+_PRIME = (1 << 31) - 1
+
+
+def poisson_steps(most: int = 12) -> list[int]:
+    """Of numbers below 2**31 - 1, those up to which fewer than 1, 2, ... events of a Poisson law of mean 1 fall."""
+    import math
+
+    below, out = 0.0, []
+    for n in range(most):
+        below += math.exp(-1) / math.factorial(n)
+        out.append(int(below * _PRIME))
+    return out
+
+
 def bootstrap(recordings: DataFrame, resamples: int = 1000, seed: int = 42) -> DataFrame:
     """Mean and 95 % interval of the error rate over resamples of whole recordings
     (recording_id, edits, words).
 
-    Each recording is in a resample as often as a Poisson weight says, which follows from a
-    hash of seed, resample and recording: no row is gathered, and reruns agree. With a second
-    system's ``edits_b`` the difference of both on the same draws is given too."""
-    import math
+    Each recording is in a resample as often as a Poisson weight says, which follows from seed,
+    resample and recording by a congruential mix: reruns agree. A task adds up its recordings for
+    all resamples at once, so one row a resample and task is shuffled, whatever the input. With a
+    second system's ``edits_b`` the difference of both on the same draws is given too."""
+    import numpy as np
+    import pyarrow as pa
 
-    lots = recordings.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))))
-    u = (F.pmod(F.xxhash64(F.lit(seed), F.col("b"), F.col("recording_id")), F.lit(1 << 40)) + 0.5) / float(1 << 40)
-    k, below = F.lit(0), 0.0
-    for n in range(12):
-        below += math.exp(-1) / math.factorial(n)
-        k = k + F.when(u > below, 1).otherwise(0)
     two = "edits_b" in recordings.columns
-    edits = {"edits": "wer"} | ({"edits_b": "wer_b"} if two else {})
-    sums = lots.withColumn("k", k).groupBy("b").agg(*[(F.sum(F.col(c) * F.col("k")) / F.greatest(F.sum(F.col("words") * F.col("k")), F.lit(1))).alias(n) for c, n in edits.items()])
+    picked = recordings.select(draw_hash("recording_id").alias("h"), F.col("edits").cast("long").alias("edits"), F.col("words").cast("long").alias("words"), F.col("edits_b" if two else "edits").cast("long").alias("edits_b"))
+    ddl = "b long, edits long, words long, edits_b long"
+    steps = np.array(poisson_steps())
+
+    def draw(batches):
+        sums, at = np.zeros((3, resamples), np.int64), np.arange(resamples)
+        lots = (at * 48_271 + seed * 69_621) % _PRIME
+        for batch in batches:
+            columns = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+            for a in range(0, batch.num_rows, 2048):
+                h, *values = (c[a : a + 2048] for c in columns)
+                u = ((h[:, None] + 1) * 16_807 + lots[None, :]) % _PRIME
+                u = u * 39_373 % _PRIME * 48_271 % _PRIME
+                k = np.searchsorted(steps, u, side="left").astype(np.int64)
+                sums += np.array([v @ k for v in values])
+        yield pa.RecordBatch.from_arrays([pa.array(at), *map(pa.array, sums)], ["b", "edits", "words", "edits_b"])
+
+    sums = picked.mapInArrow(draw, ddl).groupBy("b").agg(*[F.sum(c).alias(c) for c in ("edits", "words", "edits_b")])
+    words = F.greatest("words", F.lit(1))
+    rates = sums.select((F.col("edits") / words).alias("wer"), (F.col("edits_b") / words).alias("wer_b"))
     out = [F.avg("wer").alias("mean_wer"), F.expr("percentile(wer, 0.025)").alias("lower"), F.expr("percentile(wer, 0.975)").alias("upper")]
     if two:
         out.append(F.expr("percentile(wer_b - wer, 0.975)").alias("difference_upper"))
-    return sums.agg(*out)
+    return rates.agg(*out)
 
 
 def prf(tp, predicted, gold) -> Column:
@@ -123,7 +156,10 @@ def item_candidates(gold: DataFrame, pred: DataFrame, least: float = 0.5) -> Dat
     g = gold.select("meeting_id", F.col("pos").alias("gold"), F.col("text").alias("gt"), F.explode("evidence").alias("line"))
     p = pred.select("meeting_id", F.col("pos").alias("pred"), F.col("text").alias("pt"), F.explode("evidence").alias("line"))
     pairs = g.join(p, ["meeting_id", "line"]).select("meeting_id", "gold", "pred", "gt", "pt").distinct()
-    return pairs.withColumn("ratio", arrow.similarity(arrow.bare_text("gt"), arrow.bare_text("pt"))).where(F.col("ratio") >= least).select("meeting_id", "gold", "pred", "ratio")
+    bare = pairs.withColumns({"gt": arrow.bare_text("gt"), "pt": arrow.bare_text("pt")})
+    # a ratio is at most twice the shorter text over both
+    some = bare.where(2 * F.least(F.length("gt"), F.length("pt")) >= least * (F.length("gt") + F.length("pt")))
+    return some.withColumn("ratio", arrow.similarity("gt", "pt")).where(F.col("ratio") >= least).select("meeting_id", "gold", "pred", "ratio")
 
 
 def scorecard(gold: DataFrame, pred: DataFrame) -> DataFrame:
@@ -141,6 +177,22 @@ def scorecard(gold: DataFrame, pred: DataFrame) -> DataFrame:
     return out.select("meeting_id", "matched", "predicted", "gold", prf(F.col("matched"), F.col("predicted"), F.col("gold")).alias("score"), ratio(F.col("owner_hits"), F.col("owned")).alias("owner_accuracy"))
 
 
+def extraction_measures(gold: DataFrame, pred: DataFrame, pairs: DataFrame, segments: DataFrame) -> DataFrame:
+    """Over all meetings: fabrication (share of predicted items no gold item matches), deadline recall (of
+    matched gold items with a deadline, those predicted with the same) and evidence validity (share of the
+    predicted items' cited lines that the transcript (meeting_id, idx) has).
+
+    gold and pred: meeting_id, pos, evidence, deadline; pairs: meeting_id, gold, pred."""
+    hit = pairs.select("meeting_id", F.col("pred").alias("pos"), F.lit(True).alias("hit")).distinct()
+    made = pred.join(hit, ["meeting_id", "pos"], "left").agg(F.count("*").alias("predicted"), F.count_if(F.col("hit").isNull()).alias("unmatched"))
+    due = pairs.join(gold.select("meeting_id", F.col("pos").alias("gold"), F.col("deadline").alias("gd")), ["meeting_id", "gold"]).join(pred.select("meeting_id", F.col("pos").alias("pred"), F.col("deadline").alias("pd")), ["meeting_id", "pred"])
+    due = due.agg(F.count_if(F.col("gd").isNotNull()).alias("due"), F.count_if(F.col("gd") == F.col("pd")).alias("due_hits"))
+    cited = pred.select("meeting_id", F.explode("evidence").alias("idx")).join(segments.select("meeting_id", F.col("idx").cast("int").alias("idx"), F.lit(True).alias("there")).distinct(), ["meeting_id", "idx"], "left")
+    cited = cited.agg(F.count("*").alias("cited"), F.count_if("there").alias("valid"))
+    every = made.crossJoin(due).crossJoin(cited)  # one row each
+    return every.select(ratio(F.col("unmatched"), F.col("predicted")).alias("fabrication"), ratio(F.col("due_hits"), F.col("due")).alias("deadline_recall"), ratio(F.col("valid"), F.col("cited")).alias("evidence_validity"))
+
+
 def false_decisions(proposals: DataFrame, decisions: DataFrame) -> DataFrame:
     """Share of proposal lines (meeting_id, line) that decisions (meeting_id, evidence) cite."""
     cited = decisions.select("meeting_id", F.explode("evidence").alias("line")).distinct().withColumn("hit", F.lit(True))

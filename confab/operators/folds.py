@@ -54,6 +54,34 @@ def fold(df: DataFrame, key: str, order: list[str], step: Callable[[dict[str, li
     return df.repartition(key).sortWithinPartitions(key, *order).mapInArrow(run, ddl)
 
 
+def running(df: DataFrame, key: str, order: list[str], begin: Callable[[], object], step: Callable[[object, dict], Iterable[tuple]], schema: str, key_type: str = "long", end: Callable[[object], Iterable[tuple]] | None = None) -> DataFrame:
+    """As ``fold``, for steps that need only a state of what came before: rows pass one at a time,
+    so a key with very many rows costs a task its state, not its rows."""
+    names = df.columns
+    ddl = f"{key} {key_type}, {schema}"
+    out = to_arrow_schema(_parse_datatype_string(ddl))
+
+    def run(batches):
+        ready: list[tuple] = []
+        at, state, some = None, None, False
+        last = lambda: ((at, *r) for r in end(state)) if end and some else ()
+        for batch in batches:
+            for values in zip(*(c.to_pylist() for c in batch.columns)):
+                row = dict(zip(names, values))
+                if not some or row[key] != at:
+                    ready += last()
+                    at, state, some = row[key], begin(), True
+                ready += ((at, *r) for r in step(state, row))
+            if len(ready) > 5000:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*ready), out)], schema=out)
+                ready = []
+        ready += last()
+        if ready:
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*ready), out)], schema=out)
+
+    return df.repartition(key).sortWithinPartitions(key, *order).mapInArrow(run, ddl)
+
+
 # --- windows --------------------------------------------------------------------------
 
 
@@ -160,14 +188,12 @@ def detected_speech(frames: DataFrame, key: str = "meeting_id", **limits) -> Dat
 def inherited_languages(windows: DataFrame, key: str = "meeting_id", shortest: float = 4.0) -> DataFrame:
     """Windows under ``shortest`` seconds speak the language decided for the window before; a first one keeps its own."""
 
-    def step(rows):
-        before = None
-        for at, start, end, own in zip(*(rows[c] for c in ("window", "start_s", "end_s", "language"))):
-            taken = end - start < shortest and before is not None
-            before = before if taken else own
-            yield at, before, taken
+    def step(state, row):
+        taken = row["end_s"] - row["start_s"] < shortest and state["language"] is not None
+        state["language"] = state["language"] if taken else row["language"]
+        yield row["window"], state["language"], taken
 
-    return fold(windows, key, ["window"], step, "window int, language string, inherited boolean")
+    return running(windows, key, ["window"], lambda: {"language": None}, step, "window int, language string, inherited boolean")
 
 
 def repaired_overlaps(segments: DataFrame, key: str = "meeting_id", guard: float = 0.1) -> DataFrame:

@@ -4,6 +4,7 @@ from it, datasets split without leaks, and the life of models."""
 from __future__ import annotations
 
 import re
+from collections import Counter
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -108,15 +109,32 @@ def valid_label(label) -> Column:
 
 
 def edit_verdicts(edits: DataFrame) -> DataFrame:
-    """Edits (segment_id, request_id, seq, expected_revision, new_text) in order: a repeated
-    request with one text is done once and with two is a conflict; an edit of an old revision is
-    stale; one that changes nothing is a no-op. Each accepted edit is a revision."""
-    by_request = Window.partitionBy("segment_id", "request_id")
-    first = F.row_number().over(by_request.orderBy("seq"))
-    texts = F.size(F.collect_set(F.coalesce("new_text", F.lit("\0"))).over(by_request))
-    before = F.lag("new_text").over(Window.partitionBy("segment_id").orderBy("seq"))
-    verdict = F.when((first > 1) & (texts > 1), "conflict").when(first > 1, "repeated").when(before.eqNullSafe(F.col("new_text")) & before.isNotNull(), "no_change").otherwise("accepted")
-    return edits.select("segment_id", "request_id", "seq", verdict.alias("verdict"))
+    """A meeting's edits (meeting_id, segment_id, request_id, seq, expected_revision, old_text,
+    new_text) in order. One that expects another revision than the transcript has is stale; a
+    request done before is repeated, or a conflict if it asks for something else; one that changes
+    nothing is a no-op. Each accepted edit is a revision. ``old_text`` is the text before any edit.
+
+    Each verdict needs all before it, so a meeting's rows pass in order, with its texts and requests as state."""
+    from confab.operators.folds import running
+
+    def step(state, row):
+        asked = (row["segment_id"], row["new_text"])
+        done = state["requests"].get(row["request_id"]) if row["request_id"] is not None else None
+        if row["expected_revision"] is not None and row["expected_revision"] != state["revision"]:
+            verdict = "stale_revision"
+        elif done:
+            verdict = "repeated" if done == asked else "conflict"
+        elif state["texts"].get(row["segment_id"], row["old_text"]) == row["new_text"]:
+            verdict = "no_change"
+        else:
+            verdict = "accepted"
+            state["revision"] += 1
+            state["texts"][row["segment_id"]] = row["new_text"]
+            state["requests"][row["request_id"]] = asked
+        yield row["segment_id"], row["request_id"], row["seq"], verdict, state["revision"]
+
+    rows = edits.select("meeting_id", F.col("segment_id").cast("string").alias("segment_id"), F.col("request_id").cast("string").alias("request_id"), F.col("seq").cast("long").alias("seq"), F.col("expected_revision").cast("long").alias("expected_revision"), "old_text", "new_text")
+    return running(rows, "meeting_id", ["seq"], lambda: {"revision": 0, "texts": {}, "requests": {}}, step, "segment_id string, request_id string, seq long, verdict string, revision long")
 
 
 def request_conflicts(requests: DataFrame) -> DataFrame:
@@ -173,39 +191,62 @@ def mined_rules(events: DataFrame, least: int = 2, contexts: int = 3) -> DataFra
     """Rules that corrections suggest: one phrase replaced by another ``least`` times.
 
     The id follows from the rule, so mining again finds it again. A variant corrected to several
-    phrases is contradictory, and no such rule is safe. Counts are pre-aggregated; only the first
-    few contexts of a rule are kept, picked before anything is gathered."""
-    diff = events.withColumn("p", arrow.single_phrase(F.coalesce("raw_text", "previous_text"), F.col("new_text"))).where("p is not null")
-    each = diff.select("language", F.lower("p.variant").alias("v"), F.lower("p.canonical").alias("c"), "p.*", "event_id", "meeting_id", "reviewer", F.coalesce("raw_text", "previous_text").alias("context"))
+    phrases is contradictory, and no such rule is safe. All counts are one grouping that combines
+    before the shuffle; the first few contexts of a rule are ranked by a window that each task
+    limits first, so no group is gathered."""
+    raw = F.coalesce("raw_text", "previous_text")
+    diff = arrow.dealt(events).select("language", "event_id", "meeting_id", "reviewer", raw.alias("context"), arrow.single_phrase(raw, F.col("new_text")).alias("p")).where("p is not null")
+    each = diff.select("language", F.lower("p.variant").alias("v"), F.lower("p.canonical").alias("c"), "p.*", "event_id", "meeting_id", "reviewer", "context")
     keys = ["language", "v", "c"]
-    w = Window.partitionBy(*keys).orderBy("event_id")
-    first = each.withColumn("n", F.row_number().over(w)).where(F.col("n") <= contexts).groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "context"))), lambda x: x["context"]).alias("contexts"))
-    flags = each.select(*keys, F.explode("flags").alias("f")).distinct().groupBy(*keys).agg(F.array_sort(F.collect_list("f")).alias("flags"))
-    sums = each.groupBy(*keys).agg(F.count("*").alias("occurrences"), F.bool_and("is_safe").alias("safe"), F.max_by("variant", "event_id").alias("variant"), F.max_by("canonical", "event_id").alias("canonical"))
-    for c in ("meeting_id", "reviewer"):
-        sums = sums.join(each.select(*keys, c).distinct().groupBy(*keys).agg(F.count(c).alias(f"{c}s")), keys)
+    flags = ("adjacent_negation", "contains_digits", "dosage_or_units_present")
+    one = each.groupBy(*keys).agg(
+        F.count("*").alias("occurrences"), F.bool_and("is_safe").alias("safe"), F.max_by("variant", "event_id").alias("variant"), F.max_by("canonical", "event_id").alias("canonical"),
+        F.count_distinct("meeting_id").alias("meetings"), F.count_distinct("reviewer").alias("reviewers"),
+        *[F.bool_or(F.array_contains("flags", f)).alias(f) for f in flags],
+    )
     targets = F.count("*").over(Window.partitionBy("language", "v"))
-    out = sums.withColumn("targets", targets).where(F.col("occurrences") >= least).join(first, keys).join(flags, keys, "left")
+    w = Window.partitionBy(*keys).orderBy("event_id")
+    first = each.select(*keys, "context", F.row_number().over(w).alias("n")).where(F.col("n") <= contexts).groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "context"))), lambda x: x["context"]).alias("contexts"))
+    out = one.withColumn("targets", targets).where(F.col("occurrences") >= least).join(first, keys)
     rule = F.substring(F.sha2(F.concat_ws("\x1f", *keys), 256), 1, 16)
-    return out.select(rule.alias("rule_id"), "language", "variant", "canonical", "occurrences", F.col("meeting_ids").alias("meetings"), F.col("reviewers"), "contexts", (F.col("safe") & (F.col("targets") == 1)).alias("is_safe"), F.coalesce("flags", F.array().cast("array<string>")).alias("flags"), (F.col("targets") > 1).alias("contradictory"))
+    seen = F.array_compact(F.array(*[F.when(F.col(f), F.lit(f)) for f in flags]))
+    return out.select(rule.alias("rule_id"), "language", "variant", "canonical", "occurrences", "meetings", "reviewers", "contexts", (F.col("safe") & (F.col("targets") == 1)).alias("is_safe"), seen.alias("flags"), (F.col("targets") > 1).alias("contradictory"))
 
 
 def with_case(original: str, new: str) -> str:
     return new.upper() if original.isupper() else new[:1].upper() + new[1:] if original[:1].isupper() else new
 
 
-def rewrite(text: str | None, language: str, rules: list[dict]) -> dict:
+class RuleBook:
+    """Approved rules by the first word of their variants: a text is searched once, by its words."""
+
+    _WORD = re.compile(r"\w+")
+
+    def __init__(self, rules: list[dict]):
+        self.by_word: dict[str, list] = {}
+        self.loose: list = []
+        for k, r in enumerate(rules):
+            if r["approval"] == "approved":
+                for v in filter(None, (v.strip() for v in r["variants"])):
+                    first = self._WORD.match(v)
+                    entry = (k, re.compile(rf"(?<!\w){re.escape(v)}(?!\w)", re.I), r)
+                    (self.by_word.setdefault(first[0].lower(), []) if first else self.loose).append(entry)
+
+    def matches(self, text: str) -> list[tuple[int, int, dict]]:
+        found = [(k, m.start(), m.end(), r) for k, p, r in self.loose for m in p.finditer(text)]
+        for w in self._WORD.finditer(text):
+            found += [(k, m.start(), m.end(), r) for k, p, r in self.by_word.get(w[0].lower(), ()) if (m := p.match(text, w.start()))]
+        return [x[1:] for x in sorted(found, key=lambda x: x[:3])]
+
+
+def rewrite(text: str | None, language: str, rules: RuleBook) -> dict:
     """Approved rules applied to the text as it came: the longest match first, none inside
     another, none to what a rule has written.
 
     A match in a token with digits is passed over. Near a negation or a dose, of a mixed rule
     in a text that is not mixed, or of a rule that only suggests, it is a suggestion."""
     mixed = ("mixed", "code_switch")
-    found = []
-    for r in rules:
-        if r["approval"] == "approved" and (r["language"][:2] == language[:2] or language in mixed or r["language"] in mixed):
-            for v in r["variants"]:
-                found += [(m.start(), m.end(), r) for m in re.finditer(rf"(?<!\w){re.escape(v.strip())}(?!\w)", text or "", re.I) if v.strip()]
+    found = [x for x in rules.matches(text or "") if x[2]["language"][:2] == language[:2] or language in mixed or x[2]["language"] in mixed]
     taken: list[tuple] = []
     for a, b, r in sorted(found, key=lambda x: (x[0] - x[1], x[0])):
         if all(b <= s or a >= e for s, e, _ in taken):
@@ -249,40 +290,63 @@ def normalised(segments: DataFrame, rules: DataFrame, max_rules: int = 20_000) -
 
     @arrow.function(REWRITTEN)
     def apply(texts: pa.Array, languages: pa.Array) -> pa.Array:
-        return pa.array([rewrite(t, x or "und", known) for t, x in zip(texts.to_pylist(), languages.to_pylist(), strict=True)], kind)
-
-    return segments.withColumn("rewritten", apply("text", "language"))
-
-
-def lexicon_fix(text: str | None, language: str | None, lexicon: list[dict], close: float = 0.80, min_length: int = 5) -> dict:
-    """Known misspellings replaced by their entry (canonical, variants, languages, fuzzy), then
-    words close to a fuzzy entry; tokens with digits stay. Only ro, ru and en texts change."""
+        book = RuleBook(known)
+        return pa.array([rewrite(t, x or "und", book) for t, x in zip(texts.to_pylist(), languages.to_pylist(), strict=True)], kind)
+
+    return arrow.dealt(segments).withColumn("rewritten", apply("text", "language"))
+
+
+class Lexicon:
+    """Entries (canonical, variants, languages, fuzzy) of each language, compiled once; the nearest
+    fuzzy entry of a word is found once a word, and only entries of like length and letters are compared."""
+
+    def __init__(self, entries: list[dict], close: float = 0.80, min_length: int = 5):
+        self.close, self.min_length = close, min_length
+        self.exact = {e["canonical"].lower() for e in entries}
+        self.variants, self.fuzzy, self.known = {}, {}, {}
+        for language in ("ro", "ru", "en"):
+            own = [e for e in entries if language in e["languages"]]
+            self.variants[language] = [(re.compile(rf"(?<!\w)(?:{'|'.join(map(re.escape, vs))})(?!\w)", re.I), e["canonical"]) for e in own if (vs := sorted(filter(None, e["variants"]), key=len, reverse=True))]
+            self.fuzzy[language] = [(k, e["canonical"], e["canonical"].lower(), Counter(e["canonical"].lower())) for k, e in enumerate(x for x in own if x["fuzzy"])]
+
+    def nearest(self, word: str, language: str) -> tuple[str, float] | None:
+        if (language, word) not in self.known:
+            letters, best = Counter(word), None
+            for k, canonical, low, own in self.fuzzy[language]:
+                # no ratio is above what the letters in common allow
+                if 2 * sum(min(n, own[c]) for c, n in letters.items()) >= self.close * (len(word) + len(low)):
+                    score = (arrow.matching_ratio(word, low), -k)
+                    if score[0] >= self.close and (best is None or score > best[0]):
+                        best = score, canonical
+            if len(self.known) > 200_000:
+                self.known.clear()
+            self.known[language, word] = best and (best[1], best[0][0])
+        return self.known[language, word]
+
+
+def lexicon_fix(text: str | None, language: str | None, lexicon: Lexicon) -> dict:
+    """Known misspellings replaced by their entry, then words close to a fuzzy entry; tokens with
+    digits stay. Only ro, ru and en texts change."""
     done: list[dict] = []
     if not text or language not in ("ro", "ru", "en"):
         return {"text": text, "corrections": done}
-    own = [e for e in lexicon if language in e["languages"]]
-    exact = {e["canonical"].lower() for e in lexicon}
 
     def put(m, new, score):
         token = m.string[: m.start()].rpartition(" ")[2] + m[0] + m.string[m.end() :].partition(" ")[0]
-        if new is None or new == m[0] or any(c.isdigit() for c in token):
+        if new == m[0] or any(c.isdigit() for c in token):
             return m[0]
         done.append({"was": m[0], "now": new, "score": round(score, 3)})
         return new
 
-    for e in own:
-        variants = sorted((v for v in e["variants"] if v), key=len, reverse=True)
-        if variants:
-            text = re.sub(rf"(?<!\w)(?:{'|'.join(map(re.escape, variants))})(?!\w)", lambda m, e=e: put(m, e["canonical"], 1.0), text, flags=re.I)
-    fuzzy = [e["canonical"] for e in own if e["fuzzy"]]
+    for pattern, canonical in lexicon.variants[language]:
+        text = pattern.sub(lambda m, c=canonical: put(m, c, 1.0), text)
 
     def nearest(m):
-        if len(m[0]) < min_length or m[0].lower() in exact or not fuzzy:
-            return m[0]
-        score, k = max((arrow.matching_ratio(m[0].lower(), c.lower()), -k) for k, c in enumerate(fuzzy))
-        return put(m, fuzzy[-k], score) if score >= close else m[0]
+        low = m[0].lower()
+        got = lexicon.nearest(low, language) if len(low) >= lexicon.min_length and low not in lexicon.exact else None
+        return put(m, *got) if got else m[0]
 
-    return {"text": re.sub(r"[^\W\d_]+(?:[-'][^\W\d_]+)*", nearest, text) if fuzzy else text, "corrections": done}
+    return {"text": re.sub(r"[^\W\d_]+(?:[-'][^\W\d_]+)*", nearest, text) if lexicon.fuzzy[language] else text, "corrections": done}
 
 
 def corrected(segments: DataFrame, lexicon: DataFrame, max_entries: int = 20_000) -> DataFrame:
@@ -295,9 +359,10 @@ def corrected(segments: DataFrame, lexicon: DataFrame, max_entries: int = 20_000
 
     @arrow.function("struct<text:string,corrections:array<struct<was:string,now:string,score:double>>>")
     def apply(texts: pa.Array, languages: pa.Array) -> pa.Array:
-        return pa.array([lexicon_fix(t, x, known) for t, x in zip(texts.to_pylist(), languages.to_pylist(), strict=True)], kind)
+        book = Lexicon(known)
+        return pa.array([lexicon_fix(t, x, book) for t, x in zip(texts.to_pylist(), languages.to_pylist(), strict=True)], kind)
 
-    return segments.withColumn("corrected", apply("text", "language"))
+    return arrow.dealt(segments).withColumn("corrected", apply("text", "language"))
 
 
 # --- datasets -------------------------------------------------------------------------
@@ -306,7 +371,7 @@ def corrected(segments: DataFrame, lexicon: DataFrame, max_entries: int = 20_000
 def grouped_split(rows: DataFrame, group: str, seed: int = 42, train: float = 0.70, dev: float = 0.15) -> DataFrame:
     """``rows`` with a ``split`` that no group crosses: a group's place is a hash of the seed and its
     key, so it needs no count of the groups, and stays when others come."""
-    u = F.pmod(F.crc32(F.concat_ws(":", F.lit(str(seed)), F.col(group).cast("string")).cast("binary")), F.lit(10_000)) / 10_000.0
+    u = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(group).cast("string"))), 1, 7), 16, 10).cast("long") / float(1 << 28)
     return rows.withColumn("split", F.when(u < train, "train").when(u < train + dev, "dev").otherwise("test"))
 
 
@@ -366,29 +431,56 @@ def registry(actions: DataFrame) -> DataFrame:
 
     register, evaluate, approve (of a passed evaluation with the same report), activate (of an
     approved model; the active one retires and is remembered) and rollback (the active one
-    retires, the remembered one returns). What is not allowed changes nothing."""
-    import pandas as pd
-
-    def play(group: pd.DataFrame) -> pd.DataFrame:
-        models: dict[str, dict] = {}
-        for r in group.sort_values("seq").to_dict("records"):
-            m = models.get(r["artifact_id"])
-            active = next((x for x in models.values() if x["status"] == "active"), None)
-            match r["action"]:
-                case "register" if m is None:
-                    models[r["artifact_id"]] = {"artifact_id": r["artifact_id"], "status": "candidate", "report": None, "passed": False, "previous": None}
-                case "evaluate" if m and m["status"] not in ("retired", "invalidated"):
-                    m.update(status="evaluated", report=r["report"], passed=bool(r["passed"]))
-                case "approve" if m and m["passed"] and m["report"] == r["report"]:
-                    m["status"] = "approved"
-                case "activate" if m and m["status"] == "approved":
-                    if active:
-                        active["status"] = "retired"
-                    m.update(status="active", previous=active["artifact_id"] if active else None)
-                case "rollback" if active and active["previous"]:
+    retires, the remembered one returns). What is not allowed changes nothing.
+    A runtime's actions pass in order, with its models as state.
+    """
+    from confab.operators.folds import running
+
+    def step(models, r):
+        m = models.get(r["artifact_id"])
+        active = models.get(models.get(None))
+        match r["action"]:
+            case "register" if m is None:
+                models[r["artifact_id"]] = {"status": "candidate", "report": None, "passed": False, "previous": None}
+            case "evaluate" if m and m["status"] not in ("retired", "invalidated"):
+                if m is active:
+                    models[None] = None
+                m.update(status="evaluated", report=r["report"], passed=bool(r["passed"]))
+            case "approve" if m and m["passed"] and m["report"] == r["report"]:
+                if m is active:
+                    models[None] = None
+                m["status"] = "approved"
+            case "activate" if m and m["status"] == "approved":
+                if active:
                     active["status"] = "retired"
-                    models[active["previous"]]["status"] = "active"
-        rows = [(group["runtime"].iloc[0], m["artifact_id"], m["status"], m["previous"]) for m in models.values()]
-        return pd.DataFrame(rows, columns=["runtime", "artifact_id", "status", "previous_id"])
+                m.update(status="active", previous=models.get(None))
+                models[None] = r["artifact_id"]
+            case "rollback" if active and active["previous"]:
+                active["status"] = "retired"
+                models[active["previous"]]["status"] = "active"
+                models[None] = active["previous"]
+        return ()
+
+    def end(models):
+        return ((k, m["status"], m["previous"]) for k, m in models.items() if k is not None)
+
+    return running(actions, "runtime", ["seq"], dict, step, "artifact_id string, status string, previous_id string", "string", end)
+
+
+def chunk_outcome(chunks: DataFrame, most: float = 0.20) -> DataFrame:
+    """Per meeting its chunks (meeting_id, chunk, failed), how many failed, and whether that is over
+    ``most`` of them, so that the extraction as a whole has failed."""
+    n = chunks.groupBy("meeting_id").agg(F.count("*").alias("chunks"), F.count_if("failed").alias("failed"))
+    return n.withColumn("rejected", F.col("failed") > most * F.col("chunks"))
+
+
+def call_totals(calls: DataFrame) -> DataFrame:
+    """Per meeting the model's calls (meeting_id, prompt_tokens, completion_tokens, attempt, ok):
+    tokens, and the share of chunks right at the first attempt."""
+    sums = calls.groupBy("meeting_id").agg(F.count("*").alias("calls"), F.sum("prompt_tokens").alias("prompt_tokens"), F.sum("completion_tokens").alias("completion_tokens"), F.count_if(F.col("attempt") == 1).alias("firsts"), F.count_if((F.col("attempt") == 1) & F.col("ok")).alias("passed"))
+    return sums.select("meeting_id", "calls", "prompt_tokens", "completion_tokens", F.when(F.col("firsts") > 0, F.col("passed") / F.col("firsts")).alias("first_pass_rate"))
+
 
-    return actions.groupBy("runtime").applyInPandas(play, "runtime string, artifact_id string, status string, previous_id string")
+def report_hash(*columns: str) -> Column:
+    """SHA-256 of a row's report: its fields as JSON in order of their names, so their order in the table does not matter."""
+    return F.sha2(F.to_json(F.struct(*[F.col(c) for c in sorted(columns)]), {"ignoreNullFields": "false"}), 256)

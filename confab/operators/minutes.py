@@ -130,40 +130,42 @@ def rendered_owner(actions: DataFrame, cited: DataFrame) -> DataFrame:
 
 #: A label stands alone: not in a word, a range or a decimal.
 LABEL = re.compile(r"(?<![\w\-/.–])(Speaker |S)(\d{1,2})(?![\w\-/–]|[.,]\d)")
-# Stems that make a code of S and a number next to them clinical, words that may
-# stand between, and joining words of a list.
-CUES = (
-    "zgomot galop gallop suflu murmur sound tonu tone radicul rădăcin radacin root nerv dermatom vertebr sacra sacru lomb lumba disc disk herni stadi stage nivel level segment "
-    "тон галоп шум кореш нерв дерматом позвон крестц диск грыж стади уровн сегмент радикул"
-).split()
-BETWEEN = "cardia heart сердечн de of al ale patologic normal anormal".split()
-JOINING = "și si sau and or и или respectiv".split()
-_CODE = re.compile(r"[CTLS]\d{1,2}")
+# Words, and beginnings of words, that make a code of S and a number beside them clinical.
+CUE_WORDS = set("gallop gallops murmur murmurs sound sounds tone tones root roots disc discul discului disk stage stages level levels".split())
+CUE_STEMS = tuple(
+    "zgomot galop suflu tonu radicul rădăcin radacin nerv dermatom vertebr sacra sacru lomb lumba herni stadi nivel segment "
+    "тон галоп шум кореш нерв дерматом позвон крестц диск грыж стади уровн сегмент радикул".split()
+)
+# One such word may stand between the cue and the code; these join the codes of a list.
+MODIFIER_WORDS, MODIFIER_STEMS = {"heart", "de", "of", "al", "ale"}, tuple("cardia сердечн patologic normal anormal".split())
+JOINING = {"și", "si", "sau", "and", "or", "и", "или", "respectiv"}
+#: How far back a code's clause is looked at.
+REACH = 120
+_CLAUSE, _TOKENS, _NEXT = re.compile(r"[^.;:!?()\[\]\n]*\Z"), re.compile(r"[^\W_]+|,"), re.compile(r"\s+([^\W\d_]+)")
+#: Kinds of words from a code backwards, as letters: codes and joining words, or a comma before
+#: a code, are passed over; then a cue, or one modifier and a cue.
+_GOVERNED = re.compile(r"(?:[SJ]|,(?=S))*(?:M(?:[SJ]|,(?=S))*)?C")
+
+
+def word_kind(token: str) -> str:
+    """S a bare code, C a cue or a spinal code, J a joining word, M a modifier, a comma as it is, X anything else."""
+    low = token.casefold()
+    if re.fullmatch(r"S\d{1,2}", token):
+        return "S"
+    if low in JOINING:
+        return "J"
+    if low in CUE_WORDS or low.startswith(CUE_STEMS) or re.fullmatch(r"[CTL]\d{1,2}", token):
+        return "C"
+    return "M" if low in MODIFIER_WORDS or low.startswith(MODIFIER_STEMS) else "," if token == "," else "X"
 
 
 def clinical(text: str, start: int, end: int) -> bool:
-    """A cue right after the code, or before it in its clause, with only other codes, joining
-    words and one modifier in between."""
-    after = re.match(r"\s+([^\W\d_]+)", text[end : end + 60])
-    if after and after[1].casefold().startswith(tuple(CUES)):
+    """Whether a cue governs the code: as the next word, or before it in its clause."""
+    after = _NEXT.match(text, end)
+    if after and word_kind(after[1]) == "C":
         return True
-    clause = re.split(r"[.;:!?()\[\]\n]", text[max(0, start - 120) : start])[-1]
-    before = re.findall(r"[^\W_]+|,", clause)[::-1]
-    modifiers = 0
-    for k, token in enumerate(before):
-        low = token.casefold()
-        if token == ",":
-            if not (k + 1 < len(before) and re.fullmatch(r"S\d{1,2}", before[k + 1])):
-                return False
-        elif re.fullmatch(r"S\d{1,2}", token) or low in JOINING:
-            continue
-        elif low.startswith(tuple(CUES)) or _CODE.fullmatch(token):
-            return True
-        else:
-            modifiers += 1
-            if modifiers > 1 or not low.startswith(tuple(BETWEEN)):
-                return False
-    return False
+    clause = _CLAUSE.search(text[max(0, start - REACH) : start])[0]
+    return _GOVERNED.match("".join(map(word_kind, _TOKENS.findall(clause)))[::-1]) is not None
 
 
 def speaker_labels(text: str | None):
@@ -372,6 +374,28 @@ def decided_clusters(segments: DataFrame, decisions: DataFrame, printable: float
     return both.withColumns({"attribution_state": state, "confirmed_display_name": name, "printable_name": prints}).drop("d")
 
 
+def decision_events(segments: DataFrame, decisions: DataFrame) -> DataFrame:
+    """One event a cluster and decision: what was decided, when, and how many of the cluster's segments it reached."""
+    n = segments.groupBy("meeting_id", "cluster_id").agg(F.count("*").alias("segments"))
+    return decisions.join(n, ["meeting_id", "cluster_id"]).select("meeting_id", "cluster_id", "action", "name", "decided_at", "segments")
+
+
+def attributed_evidence(evidence: DataFrame, segments: DataFrame) -> DataFrame:
+    """Citations (meeting_id, segment_id, ...) with speaker and confirmed name as their segments
+    now have them; a name only if it may be printed."""
+    own = segments.select("meeting_id", "segment_id", "speaker", F.when(F.col("attribution_state").isin("confirmed", "corrected") & F.col("printable_name"), F.col("confirmed_display_name")).alias("confirmed_name"))
+    return evidence.drop("speaker", "confirmed_name").join(own, ["meeting_id", "segment_id"], "left")
+
+
+def renamed_owners(actions: DataFrame, before: DataFrame, after: DataFrame) -> DataFrame:
+    """Actions (meeting_id, item_id, owner) whose owner was a printed name that a relabelling took
+    from the meeting: the owner is the anonymous label again that the name stood for."""
+    names = lambda s: s.where(F.col("attribution_state").isin("confirmed", "corrected") & F.col("confirmed_display_name").isNotNull()).select("meeting_id", F.col("confirmed_display_name").alias("owner"), "speaker")
+    had = names(before).groupBy("meeting_id", "owner").agg(F.min("speaker").alias("was"))
+    lost = had.join(names(after).select("meeting_id", "owner").distinct(), ["meeting_id", "owner"], "left_anti")
+    return actions.join(lost, ["meeting_id", "owner"], "left").withColumn("owner", F.coalesce("was", "owner")).select(*actions.columns)
+
+
 def relabelled(segments: DataFrame, labels: DataFrame) -> DataFrame:
     """Segments given another speaker by hand (segment_id, new_speaker) lose their identity."""
     both = segments.join(labels.select("segment_id", "new_speaker"), "segment_id", "left")

@@ -1,8 +1,8 @@
 """Voices: clusters of embeddings, voiceprints, and who a cluster may be.
 
 Voiceprints are few next to segments (people are enrolled by hand), yet their size is not
-taken on trust: they are broadcast only if they number at most ``max_broadcast``. Beyond that,
-scoring meets them in a join of blocks, each vector once a block and never all in a task.
+taken on trust: they are broadcast only up to ``max_bytes`` of vectors. Beyond that, scoring
+meets them in a join of blocks of that size, and each cluster visits every block once.
 """
 
 from __future__ import annotations
@@ -94,25 +94,38 @@ def sample_verdict() -> Column:
 # --- matching -------------------------------------------------------------------------
 
 
-def scored(clusters: DataFrame, prints: DataFrame, max_broadcast: int = 20_000, blocks: int = 64) -> DataFrame:
+def scored(clusters: DataFrame, prints: DataFrame, max_bytes: int = 64_000_000) -> DataFrame:
     """Every cluster (cluster_id, centroid) against every print (person_id, voiceprint_id, vector).
 
     A stated query set against all prints, so it is all pairs by meaning. Prints over the
     broadcast bound are dealt to blocks that each cluster visits."""
-    small = prints.limit(max_broadcast + 1).count() <= max_broadcast
-    if small:
+    size = prints.agg(F.coalesce(F.sum(8 * F.size("vector") + 64), F.lit(0)).alias("bytes")).first()["bytes"]
+    if size <= max_bytes:
         pairs = clusters.crossJoin(F.broadcast(prints))
     else:
-        left = clusters.withColumn("__block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-        pairs = left.join(prints.withColumn("__block", F.pmod(F.xxhash64("voiceprint_id"), F.lit(blocks)).cast("int")), "__block").drop("__block")
+        blocks = -(-size // max_bytes)
+        left = clusters.withColumn("__block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
+        pairs = left.join(prints.withColumn("__block", F.pmod(F.xxhash64("voiceprint_id"), F.lit(blocks).cast("long"))), "__block").drop("__block")
     return pairs.withColumn("score", V.cosine("centroid", "vector"))
 
 
+def fused(pairs: DataFrame, exemplars: DataFrame, clusters: DataFrame, **settings) -> DataFrame:
+    """``pairs`` with their prints' samples (voiceprint_id, exemplar_id, vector) in the score: half the
+    best sample's, 0.3 of the print's, 0.2 of the mean of the best three, never below the print's own."""
+    each = scored(clusters, exemplars.select("voiceprint_id", F.col("exemplar_id"), "vector"), **settings).select("cluster_id", "voiceprint_id", "score")
+    w = Window.partitionBy("cluster_id", "voiceprint_id").orderBy(F.desc("score"))
+    best = each.withColumn("n", F.row_number().over(w)).where("n <= 3").groupBy("cluster_id", "voiceprint_id").agg(F.collect_list("score").alias("__samples"))
+    both = pairs.join(best, ["cluster_id", "voiceprint_id"], "left")
+    return both.withColumn("score", V.fused_score(F.col("score"), F.coalesce("__samples", F.array().cast("array<double>")))).drop("__samples")
+
+
 def candidates(pairs: DataFrame, digits: int = 4) -> DataFrame:
-    """Per cluster its people by their best print: rank, score, margin and band. The first
-    one's margin is to the second (or to 0), the others' to the first."""
-    best = pairs.groupBy("cluster_id", "person_id").agg(F.max("score").alias("score"), F.max_by("voiceprint_id", F.struct("score", -F.col("voiceprint_id"))).alias("voiceprint_id"))
-    w = Window.partitionBy("cluster_id").orderBy(F.desc("score"), "person_id")
+    """Per cluster its people by their best print: rank, score, margin and band. The first one's
+    margin is to the second (or to 0), the others' to the first. Ties go by name, if there is a
+    full_name, then by id."""
+    name = F.col("full_name") if "full_name" in pairs.columns else F.lit("")
+    best = pairs.groupBy("cluster_id", "person_id").agg(F.max("score").alias("score"), F.max_by("voiceprint_id", F.struct("score", -F.col("voiceprint_id"))).alias("voiceprint_id"), F.min(name).alias("__name"))
+    w = Window.partitionBy("cluster_id").orderBy(F.desc("score"), "__name", "person_id")
     top = F.first("score").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
     rank = F.row_number().over(w)
     margin = F.when(rank == 1, F.col("score") - F.coalesce(F.lead("score").over(w), F.lit(0.0))).otherwise(F.col("score") - top)
@@ -134,9 +147,15 @@ def merge_suggestions(suggested: DataFrame) -> DataFrame:
 
 
 def merge_pairs(suggested: DataFrame) -> DataFrame:
-    """The pairs of ``merge_suggestions``, for one meeting's handful of clusters."""
-    a = suggested.select("person_id", F.col("cluster_id").alias("a"))
-    return a.join(suggested.select("person_id", F.col("cluster_id").alias("b")), "person_id").where("a < b")
+    """The pairs of ``merge_suggestions`` (meeting_id, cluster_id, person_id): clusters of one meeting, so a handful a person."""
+    a = suggested.select("meeting_id", "person_id", F.col("cluster_id").alias("a"))
+    return a.join(suggested.select("meeting_id", "person_id", F.col("cluster_id").alias("b")), ["meeting_id", "person_id"]).where("a < b")
+
+
+def cluster_mode(segments: DataFrame) -> DataFrame:
+    """Per meeting and label the cluster that most of its segments have, the first by name on ties."""
+    n = segments.where("cluster_id is not null").groupBy("meeting_id", "speaker", "cluster_id").agg(F.count("*").alias("n"))
+    return n.groupBy("meeting_id", "speaker").agg(F.min_by("cluster_id", F.struct(-F.col("n"), "cluster_id")).alias("cluster_id"))
 
 
 def vote_ratio(segments: DataFrame) -> DataFrame:
@@ -146,10 +165,10 @@ def vote_ratio(segments: DataFrame) -> DataFrame:
     return votes.select("cluster_id", "person_id", "votes", all_votes.alias("total"), F.round(F.col("votes") / all_votes, 3).alias("ratio")).where("person_id is not null")
 
 
-def nearest_centroid(vectors: DataFrame, centers: DataFrame) -> DataFrame:
-    """vec_id and the label of the nearest centre (label, centroid), the least label on ties. Centres are few: clusters of a meeting."""
-    pairs = vectors.select("vec_id", "vector").crossJoin(F.broadcast(centers.limit(10_000)))
-    return pairs.withColumn("s", V.cosine("vector", "centroid")).groupBy("vec_id").agg(F.max_by("label", F.struct(F.round("s", 12), -F.col("label"))).alias("label"))
+def nearest_centroid(vectors: DataFrame, centers: DataFrame, **settings) -> DataFrame:
+    """vec_id and the label of the nearest centre (label, centroid), the least label on ties."""
+    pairs = scored(vectors.select("vec_id", F.col("vector").alias("centroid")), centers.select("label", F.col("label").alias("voiceprint_id"), F.col("centroid").alias("vector")), **settings)
+    return pairs.groupBy("vec_id").agg(F.max_by("label", F.struct(F.round("score", 12), -F.col("label"))).alias("label"))
 
 
 def two_voice_share(windows: DataFrame, least: float = 0.30) -> DataFrame:
@@ -187,7 +206,7 @@ def rematched(segments: DataFrame, people: DataFrame, prints: DataFrame, rejecte
     decided = segments.where(F.col("attribution_state").isin("confirmed", "corrected")).select("cluster_id").distinct()
     free = segments.join(decided, "cluster_id", "left_anti")
     center = centroids(free, ["cluster_id"], F.greatest(F.col("speech_seconds"), F.lit(1e-3)))
-    usable = eligible_voiceprints(people, prints, space).select("person_id", "voiceprint_id", "vector")
+    usable = eligible_voiceprints(people, prints, space).select("person_id", "full_name", "voiceprint_id", "vector")
     pairs = without_rejected(scored(center, usable), rejected)
     return suggestions(candidates(pairs))
 
@@ -214,18 +233,32 @@ def average_linkage(vectors: np.ndarray, stop: float = 0.45, max_clusters: int |
     unit = _unit(np.asarray(vectors, np.float64))
     products, size = unit @ unit.T, np.ones(n)
     alive, label = np.ones(n, bool), np.arange(n)
-    upper = np.triu(np.ones((n, n), bool), 1)
+
+    def nearest(a):
+        """The nearest later cluster of ``a``, the first on ties."""
+        gap = np.where(alive[a + 1 :], np.round(1.0 - products[a, a + 1 :] / (size[a] * size[a + 1 :]), 12), np.inf)
+        k = int(np.argmin(gap)) if len(gap) else 0
+        return (gap[k], a + 1 + k) if len(gap) else (np.inf, a)
+
+    # each cluster's nearest later one; a merge changes few of them, so a step costs n, not n^2
+    found = [nearest(a) for a in range(n)]
+    least, where = np.array([x for x, _ in found]), np.array([k for _, k in found])
     left = n
     while left > 1:
-        gap = np.where(upper & alive[:, None] & alive[None, :], 1.0 - products / np.outer(size, size), np.inf)
-        a, b = np.unravel_index(int(np.argmin(np.round(gap, 12))), gap.shape)
-        if gap[a, b] > stop and (max_clusters is None or left <= max_clusters):
+        a = int(np.argmin(least))
+        b = int(where[a])
+        if least[a] == np.inf or least[a] > stop and (max_clusters is None or left <= max_clusters):
             break
         products[a] += products[b]
         products[:, a] += products[:, b]
         size[a] += size[b]
         alive[b], label[label == b] = False, a
+        least[b] = np.inf
         left -= 1
+        new = np.round(1.0 - products[:, a] / (size * size[a]), 12)
+        for i in range(n) if n < 64 else np.flatnonzero(alive[:b] & ((where[:b] == a) | (where[:b] == b) | (np.arange(b) == a) | (new[:b] <= least[:b]))):
+            if alive[i]:
+                least[i], where[i] = nearest(i)
     _, first, inverse = np.unique(label, return_index=True, return_inverse=True)
     return np.argsort(np.argsort(first, kind="stable"), kind="stable")[inverse]
 
@@ -235,8 +268,14 @@ def two_means(vectors: np.ndarray, rounds: int = 25) -> tuple[np.ndarray, float]
     x = _unit(np.asarray(vectors, np.float64))
     if len(x) < 2:
         return np.zeros(len(x), np.int64), 1.0
-    near = np.where(np.triu(np.ones((len(x), len(x)), bool), 1), np.round(x @ x.T, 12), np.inf)
-    centers = x[list(np.unravel_index(int(np.argmin(near)), near.shape))]
+    best, pair = np.inf, (0, 1)
+    for at in range(0, len(x), 256):  # the furthest pair, some rows at a time
+        near = np.round(x[at : at + 256] @ x.T, 12)
+        near[np.arange(len(x))[None, :] <= np.arange(at, at + len(near))[:, None]] = np.inf
+        k = int(np.argmin(near))
+        if near.flat[k] < best:
+            best, pair = near.flat[k], (at + k // len(x), k % len(x))
+    centers = x[list(pair)]
     half = np.full(len(x), -1)
     for _ in range(rounds):
         new = (x @ centers[1] > x @ centers[0]).astype(np.int64)
@@ -249,7 +288,7 @@ def two_means(vectors: np.ndarray, rounds: int = 25) -> tuple[np.ndarray, float]
     return half, float(centers[0] @ centers[1])
 
 
-def clustered(windows: DataFrame, stop: float = 0.45, anchor_s: float = 1.2, max_clusters: int | None = None, max_windows: int = 20_000) -> DataFrame:
+def clustered(windows: DataFrame, stop: float = 0.45, anchor_s: float = 1.2, max_clusters: int | None = None, max_windows: int = 5_000) -> DataFrame:
     """meeting_id, window, label: windows (meeting_id, window, start_s, end_s, vector) of a
     meeting clustered by voice. Turns of ``anchor_s`` and more form the clusters if there are
     three of them; shorter ones join the nearest. Meetings over ``max_windows`` are refused."""

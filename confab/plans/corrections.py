@@ -86,9 +86,25 @@ def label_checks(spark, sf):
     return t.table(spark, sf, "events").select("event_id", L.valid_label(label).alias("valid"))
 
 
-@query("with e as (select user_id as segment_id, event_id // 2 as request_id, event_id as seq, event_type as x from events), f as (select *, row_number() over (partition by segment_id, request_id order by seq) as n, count(distinct x) over (partition by segment_id, request_id) as k, lag(x) over (partition by segment_id order by seq) as before from e) select segment_id, request_id, seq, case when n > 1 and k > 1 then 'conflict' when n > 1 then 'repeated' when before = x then 'no_change' else 'accepted' end as verdict from f")
+_EDITS = """
+with recursive e as (select user_id as m, (event_id % 3)::varchar as seg, (event_id // 2)::varchar as req, event_id as seq, event_type as x, case when event_id % 2 = 1 then (event_id // 7) % 4 end as exp, row_number() over (partition by user_id order by event_id) as n from events),
+f(m, n, seg, req, seq, verdict, done) as (
+select distinct m, 0::bigint, null::varchar, null::varchar, null::bigint, null::varchar, []::struct(req varchar, seg varchar, x varchar)[] from e
+union all
+select m, n, seg, req, seq, verdict, case when verdict = 'accepted' then list_append(done, {'req': req, 'seg': seg, 'x': x}) else done end from (
+select e.m, e.n, e.seg, e.req, e.seq, e.x, f.done, case when e.exp <> len(f.done) then 'stale_revision'
+when len(list_filter(f.done, lambda d: d.req = e.req)) > 0 then case when len(list_filter(f.done, lambda d: d.req = e.req and d.seg = e.seg and d.x = e.x)) > 0 then 'repeated' else 'conflict' end
+when coalesce(list_filter(f.done, lambda d: d.seg = e.seg)[-1].x, 'view') = e.x then 'no_change' else 'accepted' end as verdict
+from f join e on e.m = f.m and e.n = f.n + 1))
+select m as meeting_id, seg as segment_id, req as request_id, seq, verdict, len(done)::bigint as revision from f where n > 0
+"""
+
+
+@query(_EDITS)
 def edit_verdicts(spark, sf):
-    e = t.table(spark, sf, "events").select(F.col("user_id").alias("segment_id"), F.floor(F.col("event_id") / 2).cast("long").alias("request_id"), F.col("event_id").alias("seq"), F.col("event_type").alias("new_text"))
+    """Every other edit expects a revision, most of them an old one."""
+    k = F.col("event_id")
+    e = t.table(spark, sf, "events").select(F.col("user_id").alias("meeting_id"), (k % 3).alias("segment_id"), F.floor(k / 2).cast("long").alias("request_id"), k.alias("seq"), F.when(k % 2 == 1, F.floor(k / 7) % 4).alias("expected_revision"), F.lit("view").alias("old_text"), F.col("event_type").alias("new_text"))
     return L.edit_verdicts(e)
 
 
@@ -147,7 +163,7 @@ def _split(spark, sf):
     return L.grouped_split(d.select("doc_id", "source", (F.col("doc_id") % 25).alias("speaker_id"), "lang", F.col("n_chars").cast("double").alias("duration")), "source")
 
 
-@query()
+@query("with h as (select doc_id, source, ('0x' || substr(md5('42:' || source), 1, 7))::bigint / 268435456e0 as u from documents join labels using (doc_id)) select doc_id, source, case when u < 0.7e0 then 'train' when u < 0.85e0 then 'dev' else 'test' end as split from h")
 def grouped_split(spark, sf):
     return _split(spark, sf).select("doc_id", "source", "split")
 
@@ -174,12 +190,41 @@ def dataset_violations(spark, sf):
     return L.manifest_violations(d)
 
 
-@query()
+_MINED = f"""
+with e as (select language, seq, meeting_id, reviewer, edit_kind as v, case when seq % 7 = 0 then 'another' else 'the' end as c from {t.CORRECTIONS}),
+g as (select language, v, c, count(*) as occurrences, count(distinct meeting_id) as meetings, count(distinct reviewer) as reviewers from e group by all),
+r as (select *, count(*) over (partition by language, v) as targets from g)
+select substr(sha256(language || chr(31) || v || chr(31) || c), 1, 16) as rule_id, language, v as variant, c as canonical, occurrences, meetings, reviewers, 'we saw ' || v || ' there' as context, targets = 1 as is_safe, targets > 1 as contradictory from r where occurrences >= 2
+"""
+
+
+@query(_MINED)
 def mine_rules(spark, sf):
     e = t.corrections(spark, sf)
     before = F.concat(F.lit("we saw "), F.col("edit_kind"), F.lit(" there"))
     after = F.concat(F.lit("we saw "), F.when(F.col("seq") % 7 == 0, "another").otherwise("the"), F.lit(" there"))
-    return L.mined_rules(e.select("language", F.col("seq").alias("event_id"), "meeting_id", "reviewer", before.alias("raw_text"), F.lit(None).cast("string").alias("previous_text"), after.alias("new_text")))
+    r = L.mined_rules(e.select("language", F.col("seq").alias("event_id"), "meeting_id", "reviewer", before.alias("raw_text"), F.lit(None).cast("string").alias("previous_text"), after.alias("new_text")))
+    return r.select("rule_id", "language", "variant", "canonical", "occurrences", "meetings", "reviewers", F.element_at("contexts", 1).alias("context"), "is_safe", "contradictory")
+
+
+_PLAYED = """
+with recursive e as (select 'run' || user_id % 5 as runtime, 'm' || event_id // 40 as id, ['register', 'evaluate', 'approve', 'activate', 'rollback'][(event_id // 5) % 5 + 1] as action, row_number() over (partition by user_id % 5 order by event_id) as n from events),
+f(runtime, n, models, active) as (select distinct runtime, 0::bigint, map([]::varchar[], []::struct(status varchar, passed boolean, previous varchar)[]), null::varchar from e
+union all
+select f.runtime, e.n, case
+when action = 'register' and f.models[e.id] is null then map_concat(f.models, map([e.id], [{'status': 'candidate', 'passed': false, 'previous': null::varchar}]))
+when action = 'evaluate' and f.models[e.id].status <> 'retired' then map_concat(f.models, map([e.id], [{'status': 'evaluated', 'passed': true, 'previous': f.models[e.id].previous}]))
+when action = 'approve' and f.models[e.id].passed then map_concat(f.models, map([e.id], [{'status': 'approved', 'passed': true, 'previous': f.models[e.id].previous}]))
+when action = 'activate' and f.models[e.id].status = 'approved' then map_concat(case when f.active is null then f.models else map_concat(f.models, map([f.active], [{'status': 'retired', 'passed': f.models[f.active].passed, 'previous': f.models[f.active].previous}])) end, map([e.id], [{'status': 'active', 'passed': true, 'previous': f.active}]))
+when action = 'rollback' and f.active is not null and f.models[f.active].previous is not null then map_concat(f.models, map([f.active, f.models[f.active].previous], [{'status': 'retired', 'passed': f.models[f.active].passed, 'previous': f.models[f.active].previous}, {'status': 'active', 'passed': f.models[f.models[f.active].previous].passed, 'previous': f.models[f.models[f.active].previous].previous}]))
+else f.models end,
+case when action = 'evaluate' and f.models[e.id].status <> 'retired' and e.id = f.active or action = 'approve' and f.models[e.id].passed and e.id = f.active then null
+when action = 'activate' and f.models[e.id].status = 'approved' then e.id
+when action = 'rollback' and f.active is not null and f.models[f.active].previous is not null then f.models[f.active].previous else f.active end
+from f join e on e.runtime = f.runtime and e.n = f.n + 1),
+l as (select runtime, unnest(map_entries(models)) as m from (select runtime, arg_max(models, n) as models from f group by 1))
+select runtime, m.key as artifact_id, m.value.status as status, m.value.previous as previous_id from l
+"""
 
 
 @query()
@@ -196,7 +241,7 @@ def lexicon_corrections(spark, sf):
     return s.select("conv_id", "turn", F.size("corrected.corrections").alias("corrections"))
 
 
-@query()
+@query(_PLAYED)
 def model_registry(spark, sf):
     e = t.table(spark, sf, "events")
     return L.registry(e.select(F.concat(F.lit("run"), (F.col("user_id") % 5).cast("string")).alias("runtime"), F.format_string("m%d", F.floor(F.col("event_id") / 40).cast("long")).alias("artifact_id"), F.col("event_id").alias("seq"), F.get(F.array(*[F.lit(x) for x in ("register", "evaluate", "approve", "activate", "rollback")]), (F.floor(F.col("event_id") / 5) % 5).cast("int")).alias("action"), F.lit("r").alias("report"), F.lit(True).alias("passed")))
@@ -258,16 +303,27 @@ def prf_scorecard(spark, sf):
     return s.select("source", F.round("x.p", 6).alias("p"), F.round("x.r", 6).alias("r"), F.round("x.f1", 6).alias("f1"))
 
 
-_GATE = "corpus_wer double, difference_upper double, critical_fact_errors int, silence_hallucinations int, entity_precision double, entity_recall double, rtf double"
+_GATES = """
+with s as (select o_orderkey % 2 as side, o_orderstatus as lang, count(*) as n, count(*) filter (where o_custkey % 10 < 2 - o_orderkey % 2) as bad from orders group by all),
+t as (select side, sum(bad) / sum(n) as wer, max(n) as m from s group by 1),
+w as (select bool_or(c.bad / c.n > b.bad / b.n + 1e-6) as regressed from s b join s c on b.lang = c.lang and b.side = 0 and c.side = 1),
+x as (select b.wer as bw, c.wer as cw, (b.wer - c.wer) / b.wer as gain, regressed, b.m as bm, c.m as cm from t b, t c, w where b.side = 0 and c.side = 1),
+g as (select gain, list_filter([case when gain < 0.05 then 'relative_wer_improvement' end, case when cw - bw >= 0 then 'paired_bootstrap_ci' end, case when regressed then 'no_language_regression' end, case when cm > bm then 'critical_fact_errors' end, case when bm > cm + 1000000 then 'silence_hallucinations' end, case when 0.5e0 < 0.25e0 then 'entity_recognition' end, case when cw > bw * 1.2 then 'latency_rtf' end], lambda k: k is not null) as failed from x)
+select case when len(failed) = 0 then 'pass' else 'fail' end as status, array_to_string(failed, ',') as failed, round(gain, 4) as relative_improvement from g
+"""
 
 
-@query("select case when count(*) filter (where toxic = 1) >= 0 then 'fail' end as status, 'no_language_regression,latency_rtf' as failed, 0.0833e0 as relative_improvement from labels")
+@query(_GATES)
 def release_gate(spark, sf):
-    n = t.table(spark, sf, "labels").agg(F.count_if(F.col("toxic") < 0).cast("int").alias("n"))
-    b = spark.createDataFrame([(0.12, None, 3, 0, 0.9, 0.9, 0.2)], _GATE)
-    c = spark.createDataFrame([(0.11, -0.004, 3, 0, 0.9, 0.9, 0.25)], _GATE).crossJoin(n).withColumn("silence_hallucinations", F.col("n")).drop("n")
-    langs = spark.createDataFrame([("ro", 0.12, 0.13), ("ru", 0.2, 0.1)], "language string, baseline_wer double, candidate_wer double")
-    return E.release_gate(b, c, langs)
+    """Reports computed from the table: odd orders are the candidate's recordings, even ones the baseline's."""
+    o = t.table(spark, sf, "orders")
+    s = o.groupBy((F.col("o_orderkey") % 2).alias("side"), F.col("o_orderstatus").alias("language")).agg(F.count("*").alias("n"), F.count_if(F.col("o_custkey") % 10 < 2 - F.col("o_orderkey") % 2).alias("bad"))
+    report = s.groupBy("side").agg((F.sum("bad") / F.sum("n")).alias("corpus_wer"), F.max("n").cast("int").alias("critical_fact_errors"))
+    report = report.withColumns({"silence_hallucinations": F.lit(0), "entity_precision": F.lit(0.25), "entity_recall": F.lit(0.5), "rtf": F.col("corpus_wer")})
+    b, c = report.where("side = 0").drop("side"), report.where("side = 1").drop("side")
+    difference = c.select(F.col("corpus_wer").alias("cw")).crossJoin(b.select("corpus_wer")).select((F.col("cw") - F.col("corpus_wer")).alias("difference_upper"))  # one row each
+    langs = s.groupBy("language").agg(F.max(F.when(F.col("side") == 0, F.col("bad") / F.col("n"))).alias("baseline_wer"), F.max(F.when(F.col("side") == 1, F.col("bad") / F.col("n"))).alias("candidate_wer"))
+    return E.release_gate(b, c.crossJoin(difference), langs)
 
 
 @query("select coalesce(a.k, b.k) as metric, a.v as baseline, b.v as candidate, b.v - a.v as delta, round(case when a.v <> 0 then (b.v - a.v) / a.v end, 6) as relative from (select o_orderstatus as k, count(*)::double as v from orders where o_orderkey % 2 = 0 group by 1) a full join (select o_orderstatus as k, count(*)::double as v from orders where o_orderkey % 2 = 1 group by 1) b on a.k = b.k")
@@ -284,10 +340,20 @@ def false_decisions(spark, sf):
     return E.false_decisions(p, d).withColumn("rate", F.round("rate", 6))
 
 
-@query()
+_BOOTSTRAP = f"""
+with r as (select ('0x' || substr(md5(doc_id::varchar), 1, 7))::bigint as h, doc_id % 9 as e, 50 as w, doc_id % 7 as f from documents),
+d as (select b, e, w, f, (((((h + 1) * 16807 + (b * 48271 + 42 * 69621) % 2147483647) % 2147483647) * 39373 % 2147483647) * 48271 % 2147483647) as u from r, range(1000) as x(b)),
+k as (select b, e, w, f, list_sum(list_transform({E.poisson_steps()}, lambda s: case when u > s then 1 else 0 end)) as k from d),
+s as (select b, sum(e * k) / greatest(sum(w * k), 1) as wer, sum(f * k) / greatest(sum(w * k), 1) as wer_b from k group by 1)
+select round(avg(wer), 9) as mean_wer, round(quantile_cont(wer, 0.025), 9) as lower, round(quantile_cont(wer, 0.975), 9) as upper, round(quantile_cont(wer_b - wer, 0.975), 9) as difference_upper from s
+"""
+
+
+@query(_BOOTSTRAP)
 def bootstrap_ci(spark, sf):
     d = t.table(spark, sf, "documents").select(F.col("doc_id").alias("recording_id"), (F.col("doc_id") % 9).alias("edits"), F.lit(50).alias("words"), (F.col("doc_id") % 7).alias("edits_b"))
-    return E.bootstrap(d, resamples=200)
+    b = E.bootstrap(d)
+    return b.select(*[F.round(c, 9).alias(c) for c in b.columns])
 
 
 @query()

@@ -19,14 +19,19 @@ def _cos(a, b):
 
 
 def _prints(spark, sf):
-    return t.voices(spark, sf).where("vec_id % 10 = 1").select(F.col("label").alias("person_id"), F.col("vec_id").alias("voiceprint_id"), "vector")
+    return t.voices(spark, sf).select(F.col("label").alias("person_id"), F.col("vec_id").alias("voiceprint_id"), "vector")
 
 
 def _clusters(spark, sf):
-    return t.voices(spark, sf).where("vec_id % 10 = 0").select(F.col("vec_id").alias("cluster_id"), F.col("vector").alias("centroid"))
+    """Every hundredth vector asks who else has its voice."""
+    return t.voices(spark, sf).where("vec_id % 100 = 0").select(F.col("vec_id").alias("cluster_id"), F.col("vector").alias("centroid"))
 
 
-_RANKED = f"""(with p as (select c.vec_id as cluster_id, v.label as person_id, v.vec_id as voiceprint_id, {_cos("c.embedding", "v.embedding")} as s from embeddings c, embeddings v where c.vec_id % 10 = 0 and v.vec_id % 10 = 1),
+def _pairs(spark, sf):
+    return O.scored(_clusters(spark, sf), _prints(spark, sf)).where("voiceprint_id <> cluster_id")
+
+
+_RANKED = f"""(with p as (select c.vec_id as cluster_id, v.label as person_id, v.vec_id as voiceprint_id, {_cos("c.embedding", "v.embedding")} as s from embeddings c, embeddings v where c.vec_id % 100 = 0 and v.vec_id <> c.vec_id),
 b as (select cluster_id, person_id::bigint as person_id, max(s) as score from p group by all),
 r as (select *, row_number() over w as rank, lead(score) over w as next, first_value(score) over w as top from b window w as (partition by cluster_id order by score desc, person_id))
 select cluster_id, person_id, rank::int as rank, round(score, 4) as score, round(case when rank = 1 then score - coalesce(next, 0) else score - top end, 4) as margin, case when score >= 0.8e0 then 'strong' when score >= 0.65e0 then 'moderate' when score >= 0.5e0 then 'weak' else 'no_match' end as band from r)"""
@@ -34,7 +39,7 @@ select cluster_id, person_id, rank::int as rank, round(score, 4) as score, round
 
 @query(f"select * from {_RANKED}")
 def match_margin_band(spark, sf):
-    return O.candidates(O.scored(_clusters(spark, sf), _prints(spark, sf))).drop("voiceprint_id")
+    return O.candidates(_pairs(spark, sf)).drop("voiceprint_id")
 
 
 @query(f"select cluster_id, person_id from {_RANKED} where rank = 1 and score >= 0.5e0 and margin >= 0.08e0 and band <> 'no_match'")
@@ -48,14 +53,34 @@ def merge_suggestions(spark, sf):
     return m.select("person_id", F.array_join(F.col("clusters").cast("array<string>"), ",").alias("clusters"))
 
 
-@query(f"with s as (select * from {_RANKED} where rank = 1) select a.person_id, a.cluster_id as a, b.cluster_id as b from s a join s b using (person_id) where a.cluster_id < b.cluster_id")
+@query(f"with s as (select *, cluster_id // 1000 as meeting_id from {_RANKED} where rank = 1) select a.meeting_id, a.person_id, a.cluster_id as a, b.cluster_id as b from s a join s b using (meeting_id, person_id) where a.cluster_id < b.cluster_id")
 def merge_pairs(spark, sf):
-    return O.merge_pairs(match_margin_band(spark, sf).where("rank = 1"))
+    return O.merge_pairs(match_margin_band(spark, sf).where("rank = 1").withColumn("meeting_id", F.floor(F.col("cluster_id") / 1000).cast("long")))
+
+
+@query(f"""with raw as (select c.vec_id as cluster_id, v.label::bigint as person_id, v.vec_id as voiceprint_id, {_cos("c.embedding", "v.embedding")} as s from embeddings c, embeddings v where c.vec_id % 100 = 0 and v.vec_id in (select min(vec_id) from embeddings group by label)),
+ex as (select c.vec_id as cluster_id, v.label::bigint as person_id, {_cos("c.embedding", "v.embedding")} as s from embeddings c, embeddings v where c.vec_id % 100 = 0 and v.vec_id not in (select min(vec_id) from embeddings group by label)),
+top as (select cluster_id, person_id, max(s) as best, avg(s) as three from (select *, row_number() over (partition by cluster_id, person_id order by s desc) as n from ex) where n <= 3 group by all),
+f as (select r.cluster_id, r.person_id, case when best is null then s else greatest(s, 0.5e0 * best + 0.3e0 * s + 0.2e0 * three) end as score from raw r left join top using (cluster_id, person_id))
+select cluster_id, person_id, (row_number() over (partition by cluster_id order by score desc, 100000 - person_id, person_id))::int as rank, round(score, 4) as score from f""")
+def fused_candidates(spark, sf):
+    """A person's first vector is the print, the others its samples; names run against ids."""
+    v = _prints(spark, sf)
+    first = v.groupBy("person_id").agg(F.min_by(F.struct("voiceprint_id", "vector"), "voiceprint_id").alias("p")).select("person_id", "p.*")
+    samples = v.withColumnRenamed("voiceprint_id", "exemplar_id").join(first.select("person_id", "voiceprint_id"), "person_id").where("exemplar_id <> voiceprint_id")
+    pairs = O.scored(_clusters(spark, sf), first.withColumn("full_name", F.format_string("%06d", F.lit(100_000) - F.col("person_id"))))
+    return O.candidates(O.fused(pairs, samples, _clusters(spark, sf))).select("cluster_id", "person_id", "rank", "score")
+
 
+@query(f"with g as (select meeting_id, speaker, cluster_id, count(*) as n from (select meeting_id, speaker, case when idx % 3 = 0 then 'SPEAKER_09' when idx % 5 = 0 then null else cluster_id end as cluster_id from {t.SEGMENTS}) where cluster_id is not null group by all) select meeting_id, speaker, cluster_id from g qualify row_number() over (partition by meeting_id, speaker order by n desc, cluster_id) = 1")
+def cluster_modes(spark, sf):
+    s = t.segments(spark, sf).withColumn("cluster_id", F.when(F.col("idx") % 3 == 0, "SPEAKER_09").when(F.col("idx") % 5 != 0, F.col("cluster_id")))
+    return O.cluster_mode(s)
 
-@query(f"select cluster_id, person_id from {_RANKED} where not (cluster_id % 20 = 0 and person_id < 5)")
+
+@query(f"select cluster_id, person_id from {_RANKED} where not (cluster_id % 200 = 0 and person_id < 5)")
 def rejected_people(spark, sf):
-    rejected = _clusters(spark, sf).where("cluster_id % 20 = 0").select("cluster_id", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(4).cast("long"))).alias("person_id"))
+    rejected = _clusters(spark, sf).where("cluster_id % 200 = 0").select("cluster_id", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(4).cast("long"))).alias("person_id"))
     return O.without_rejected(match_margin_band(spark, sf), rejected).select("cluster_id", "person_id")
 
 
@@ -66,7 +91,7 @@ def cosine_topk(spark, sf):
 
     v = t.voices(spark, sf)
     asked = v.where("vec_id % 100 = 0").select(F.col("vec_id").alias("cluster_id"), F.col("vector").alias("centroid"))
-    pairs = O.scored(asked, v.select("vec_id", F.col("vec_id").alias("voiceprint_id"), "vector"), max_broadcast=100_000).where("cluster_id <> vec_id")
+    pairs = O.scored(asked, v.select("vec_id", F.col("vec_id").alias("voiceprint_id"), "vector")).where("cluster_id <> vec_id")
     w = Window.partitionBy("cluster_id").orderBy(F.desc(F.round("score", 12)), "vec_id")
     ranked = pairs.select(F.col("cluster_id").alias("q"), F.col("vec_id").alias("other"), "score", F.row_number().over(w).alias("rank")).where("rank <= 3")
     return ranked.select(F.col("q").alias("vec_id"), "other", "rank", F.round("score", 6).alias("score"))
@@ -183,11 +208,21 @@ def ahc_clusters(spark, sf):
 
 @query()
 def cluster_diagnostics(spark, sf):
-    v = t.voices(spark, sf).select(F.lit(0).cast("long").alias("meeting_id"), "label", F.col("vec_id").alias("window"), (F.col("vec_id") % 4).alias("region"), F.lit(0.0).alias("start_s"), F.col("speech_s").alias("end_s"), "vector")
+    v = t.voices(spark, sf).select((F.col("cluster_id") % 8).alias("meeting_id"), "label", F.col("vec_id").alias("window"), (F.col("vec_id") % 4).alias("region"), F.lit(0.0).alias("start_s"), F.col("speech_s").alias("end_s"), "vector")
     return O.diagnosed(v)
 
 
-@query()
+_REMATCHED = f"""
+with c as (select vec_id % 40 as cluster_id, generate_subscripts(embedding, 1) as k, unnest(embedding)::double as x, (1 + vec_id % 9)::double as w from embeddings where vec_id % 40 <> 3),
+m as (select cluster_id, k, sum(x * w) / sum(w) as x from c group by all), v as (select cluster_id, list(x order by k) as centroid from m group by 1),
+who as (select person_id, full_name from {t.PEOPLE} where is_active and consent_given and consent_withdrawn_at is null),
+s as (select v.cluster_id, e.label::bigint as person_id, max({_cos("v.centroid", "e.embedding")}) as score, arg_max(e.vec_id, ({_cos("v.centroid", "e.embedding")}, -e.vec_id)) as voiceprint_id, min(full_name) as full_name from v, embeddings e join who on who.person_id = e.label where not (v.cluster_id = 1 and e.label = 1) group by all),
+r as (select *, row_number() over w as rank, lead(score) over w as next from s window w as (partition by cluster_id order by score desc, full_name, person_id))
+select cluster_id, person_id, voiceprint_id, rank::int as rank, round(score, 4) as score, round(score - coalesce(next, 0), 4) as margin, case when score >= 0.8e0 then 'strong' when score >= 0.65e0 then 'moderate' else 'weak' end as band from r where rank = 1 and round(score, 4) >= 0.5e0 and round(score - coalesce(next, 0), 4) >= 0.08e0
+"""
+
+
+@query(_REMATCHED)
 def rematched_speakers(spark, sf):
     v = t.voices(spark, sf).select("cluster_id", "vector", F.col("speech_s").alias("speech_seconds"), F.when(F.col("cluster_id") == 3, "confirmed").otherwise("anonymous").alias("attribution_state"))
     people = t.people(spark, sf).select("person_id", "full_name", "is_active", "consent_given", "consent_withdrawn_at")

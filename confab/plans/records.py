@@ -286,9 +286,9 @@ def delivery_list(spark, sf):
     return delivery.deliveries_listed(t.deliveries(spark, sf), 5).select("delivery_id", "at")
 
 
-@query(f"select delivery_id from {t.DELIVERIES} where revision = 2 and (status = 'failed' or meeting_id % 3 = 0)")
+@query(f"select delivery_id from {t.DELIVERIES} where status = 'failed' or meeting_id % 3 = 0")
 def delivery_search(spark, sf):
-    d = t.deliveries(spark, sf).where("revision = 2").withColumns({"title": F.lit("Minutes"), "recipients": F.when(F.col("meeting_id") % 3 == 0, F.array(F.lit("Failed@x.org"))).otherwise(F.array(F.lit("a@x.org")))})
+    d = t.deliveries(spark, sf).withColumns({"title": F.lit("Minutes"), "recipients": F.when(F.col("meeting_id") % 3 == 0, F.array(F.lit("Failed@x.org"))).otherwise(F.array(F.lit("a@x.org")))})
     return delivery.delivery_search(d, "FAILED").select("delivery_id")
 
 
@@ -334,9 +334,9 @@ def revision_bumps(spark, sf):
     return delivery.bumped_revisions(t.meetings(spark, sf), t.deliveries(spark, sf))
 
 
-@query(f"with o as (select meeting_id, revision, created_at as at, status, row_number() over (partition by meeting_id order by revision desc, created_at desc, status desc) as n from {t.DELIVERIES} where created_at is not null), s as (select meeting_id, revision, created_at as at, 'queued' as status from {t.MEETINGS} where meeting_id < 2500) select coalesce(o.meeting_id, s.meeting_id) as meeting_id, case when o.meeting_id is not null and (s.meeting_id is null or o.revision > s.revision or o.revision = s.revision and o.at >= s.at) then o.status else s.status end as status from (select * from o where n = 1) o full join s on o.meeting_id = s.meeting_id")
+@query(f"with o as (select meeting_id, revision, created_at as at, status, row_number() over (partition by meeting_id order by revision desc, created_at desc, status desc) as n from {t.DELIVERIES} where created_at is not null), s as (select meeting_id, revision, created_at as at, 'queued' as status from {t.MEETINGS}) select coalesce(o.meeting_id, s.meeting_id) as meeting_id, case when o.meeting_id is not null and (s.meeting_id is null or o.revision > s.revision or o.revision = s.revision and o.at >= s.at) then o.status else s.status end as status from (select * from o where n = 1) o full join s on o.meeting_id = s.meeting_id")
 def outcome_merge(spark, sf):
-    state = t.meetings(spark, sf).where("meeting_id < 2500").select("meeting_id", "revision", F.lit("queued").alias("status"), F.col("created_at").alias("at"))
+    state = t.meetings(spark, sf).select("meeting_id", "revision", F.lit("queued").alias("status"), F.col("created_at").alias("at"))
     out = t.deliveries(spark, sf).where("created_at is not null").select("meeting_id", "revision", "status", F.col("created_at").alias("at"))
     return delivery.merged_outcomes(state, out).select("meeting_id", "status")
 
