@@ -242,3 +242,8 @@ def space_id(model, digest) -> Column:
 
 def chunk_budget(context: int, output: int, overhead: int, wanted: int, least: int = 256) -> int:
     return max(least, min(wanted, context - output - overhead))
+
+
+def chunk_budgets(context, output, overhead, wanted, least: int = 256) -> Column:
+    """``chunk_budget`` of columns."""
+    return F.greatest(F.lit(least), F.least(_col(wanted), _col(context) - _col(output) - _col(overhead)))

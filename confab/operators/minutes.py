@@ -298,10 +298,19 @@ def possible_names(texts: pa.Array) -> pa.Array:
     return pa.array([capitalised_runs(t) for t in texts.to_pylist()], pa.list_(pa.string()))
 
 
-def unknown_names(prose: DataFrame, known: DataFrame, min_length: int = 3) -> DataFrame:
-    """(item_id, token) of name-like words of ``text`` that are not in ``known`` (word)."""
-    tokens = prose.select("item_id", F.explode(F.flatten(F.transform(possible_names("text"), lambda r: F.split(r, " ")))).alias("token")).withColumn("word", arrow.base_text("token"))
-    return tokens.where(F.length("word") >= min_length).join(known.select(arrow.base_text("word").alias("word")).distinct(), "word", "left_anti").select("item_id", "token").distinct()
+def unknown_names(prose: DataFrame, known: DataFrame, min_length: int = 3, close: float = 0.85) -> DataFrame:
+    """(item_id, token) of name-like words of ``text`` that are not in ``known`` (word), nor ``close`` to a word there.
+
+    Words that are so close share two letters in a row, so each meets only those that do, once."""
+    tokens = arrow.dealt(prose).select("item_id", F.explode(F.flatten(F.transform(possible_names("text"), lambda r: F.split(r, " ")))).alias("token")).withColumn("word", arrow.base_text("token")).where(F.length("word") >= min_length)
+    words = known.select(arrow.base_text("word").alias("word")).distinct()
+    left = tokens.select("word").distinct().join(words, "word", "left_anti")
+    pairs = lambda c: F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(c) - 1), lambda i: F.substr(F.col(c), i, F.lit(2))))
+    a = left.withColumn("__pair", F.explode(pairs("word")))
+    b = words.where(F.length("word") >= 2).select(F.col("word").alias("other"), F.explode(pairs("word")).alias("__pair"))
+    near = a.join(b, "__pair").where(2 * F.least(F.length("word"), F.length("other")) >= close * (F.length("word") + F.length("other"))).select("word", "other").distinct()
+    like = near.where(arrow.similarity("word", "other") >= close).select("word").distinct()
+    return tokens.join(left.join(like, "word", "left_anti"), "word", "left_semi").select("item_id", "token").distinct()
 
 
 @arrow.function("string")

@@ -7,10 +7,12 @@ from __future__ import annotations
 
 import io
 import struct
+import tempfile
+import uuid
 import wave
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from confab.functions.arrow import function
@@ -19,6 +21,17 @@ RECORDINGS = "recording_id string, checksum_sha256 string, duration_seconds doub
 HYPOTHESES = "recording_id string, segments array<struct<start:double,end:double,text:string>>"
 
 
+def scratch(spark: SparkSession, label: str) -> str:
+    """A new path in the folder that driver and executors share; one process alone gets a temporary one where none is set."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="confab-")
+        spark.conf.set("spark.checkpoint.dir", base)
+    return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+
+
 def keyed_store(spark: SparkSession, path: str, entity: str) -> DataFrame:
     """(key, entity columns) of a JSON object that maps keys to entities; ``entity`` is their DDL.
     An empty file is an empty store, a broken one an error."""
@@ -75,6 +88,15 @@ def recogniser_segments(spark: SparkSession, path: str) -> DataFrame:
     return s.select("path", "idx", (F.col("s.offsets.from") / 1000).alias("start_s"), (F.col("s.offsets.to") / 1000).alias("end_s"), F.trim("s.text").alias("text"), mean(p).alias("mean_prob"), mean(F.transform(p, lambda x: F.log(F.greatest(x, F.lit(1e-10))))).alias("mean_logprob"))
 
 
+def recogniser_violations(segments: DataFrame, key: str = "path") -> DataFrame:
+    """(key, idx, rule) of a recogniser's segments that cannot be used: times that are missing, infinite
+    or below zero, end before they start, or start before the segment before them."""
+    before = F.lag("start_s").over(Window.partitionBy(key).orderBy("idx"))
+    bad = lambda c: F.col(c).isNull() | F.isnan(c) | (F.abs(F.col(c)) == float("inf"))
+    rules = F.array(F.when(bad("start_s") | bad("end_s"), "not_finite"), F.when(F.col("start_s") < 0, "negative"), F.when(F.col("end_s") < F.col("start_s"), "ends_before_start"), F.when(F.col("start_s") < F.col("before"), "goes_back"))
+    return segments.withColumn("before", before).select(key, "idx", F.explode(F.array_compact(rules)).alias("rule"))
+
+
 def rule_packs(spark: SparkSession, packaged: list[str], local: str | None = None) -> DataFrame:
     """Rules of packs (a JSON object with language, version, rules each): rule_id, language, variants,
     canonical, action, version, approval, priority, pack. Later folders and local rules have a higher priority."""
@@ -122,10 +144,11 @@ def file_checksums(spark: SparkSession, path: str) -> DataFrame:
 
 
 def folder_checksum(spark: SparkSession, path: str) -> DataFrame:
-    """One checksum of a folder from its files' names and checksums in order: contents never meet in a task."""
-    each = file_checksums(spark, path).select(F.concat_ws(":", F.element_at(F.split("path", "/"), -1), "sha256").alias("x"), "path")
-    listed = each.agg(F.transform(F.array_sort(F.collect_list(F.struct("path", "x"))), lambda v: v["x"]).alias("all"))
-    return listed.select(F.sha2(F.array_join("all", "\n"), 256).alias("sha256"))
+    """One checksum of a folder from its files' names and checksums: files are dealt to 256 lists by a
+    hash of their path, each list has a checksum, and these have one. No task holds all files."""
+    each = file_checksums(spark, path).select(F.concat_ws(":", F.element_at(F.split("path", "/"), -1), "sha256").alias("x"), "path", F.substring(F.md5(F.element_at(F.split("path", "/"), -1)), 1, 2).alias("b"))
+    listed = each.groupBy("b").agg(F.sha2(F.array_join(F.array_sort(F.collect_list("x")), "\n"), 256).alias("d"))
+    return listed.agg(F.array_sort(F.collect_list(F.struct("b", "d"))).alias("all")).select(F.sha2(F.array_join(F.transform("all", lambda v: v["d"]), "\n"), 256).alias("sha256"))
 
 
 def audio_kind(content="content") -> Column:
@@ -160,10 +183,15 @@ def recordings(spark: SparkSession, path: str, rate: int = 16_000) -> DataFrame:
     return some.where(F.col("w.rate") == rate).select("path", "w.frames", "w.samples")
 
 
+def vector_digests(vectors: DataFrame) -> DataFrame:
+    """Per meeting its number of vectors (meeting_id, idx, vector) and the checksum of their values in
+    order: each vector is hashed where it is, so a meeting's digests are gathered, not its vectors."""
+    own = F.sha2(F.array_join(F.transform("vector", lambda x: F.format_string("%.6f", x.cast("double"))), ","), 256)
+    each = vectors.select("meeting_id", F.struct("idx", own.alias("d")).alias("r"))
+    return each.groupBy("meeting_id").agg(F.count("*").alias("rows"), F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list("r")), lambda r: r["d"]), ","), 256).alias("sha256"))
+
+
 def cached_vectors(vectors: DataFrame, sidecar: DataFrame) -> DataFrame:
-    """Vectors (meeting_id, idx, vector) of meetings whose sidecar (meeting_id, rows, sha256) they
-    still agree with: the number of rows, and the checksum of their values in order."""
-    text = F.array_join(F.transform("vector", lambda x: F.hex(F.cast(x, "float").cast("string"))), ",")
-    now = vectors.groupBy("meeting_id").agg(F.count("*").alias("n"), F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("idx", F.sha2(text, 256).alias("d")))), lambda r: r["d"]), ","), 256).alias("digest"))
-    good = now.join(sidecar, "meeting_id").where((F.col("n") == F.col("rows")) & (F.col("digest") == F.col("sha256"))).select("meeting_id")
+    """Vectors of meetings whose sidecar (meeting_id, rows, sha256) they still agree with."""
+    good = vector_digests(vectors).join(sidecar, ["meeting_id", "rows", "sha256"], "left_semi").select("meeting_id")
     return vectors.join(good, "meeting_id", "left_semi")

@@ -183,7 +183,7 @@ def test_sliding(spark):
 # --- labels, names and rules ----------------------------------------------------------
 
 
-@pytest.mark.parametrize("text, labels", [("S3 a propus, S1 nu", [3, 1]), ("nivel L5-S1", []), ("zgomotele S1, S2 și S3", []), ("galop S3", []), ("S2,5 mg", []), ("zgomote cardiace S1", []), ("stadiul bolii, S2 a zis", [2]), ("Speaker 2 și S12", [2, 12]), ("S1 zgomotos", []), (None, [])])
+@pytest.mark.parametrize("text, labels", [("S3 a propus, S1 nu", [3, 1]), ("nivel L5-S1", []), ("zgomotele S1, S2 și S3", []), ("galop S3", []), ("S2,5 mg", []), ("zgomote cardiace S1", []), ("stadiul bolii, S2 a zis", [2]), ("Speaker 2 și S12", [2, 12]), ("S1 zgomotos", []), ("We discussed S2 first", [2]), ("S3 discussed it", [3]), ("murmur department S2", [2]), ("murmur also S2", [2]), ("galop S1, dar S2", [2]), ("discul de S1", []), ("nivel L5-S2, S3", []), (None, [])])
 def test_speaker_labels(text, labels):
     assert [int(m[2]) for m in minutes.speaker_labels(text)] == labels
 
