@@ -239,13 +239,14 @@ class RuleBook:
         return [x[1:] for x in sorted(found, key=lambda x: x[:3])]
 
 
-def rewrite(text: str | None, language: str, rules: RuleBook) -> dict:
+def rewrite(text: str | None, language: str, rules: RuleBook | list[dict]) -> dict:
     """Approved rules applied to the text as it came: the longest match first, none inside
     another, none to what a rule has written.
 
     A match in a token with digits is passed over. Near a negation or a dose, of a mixed rule
     in a text that is not mixed, or of a rule that only suggests, it is a suggestion."""
     mixed = ("mixed", "code_switch")
+    rules = rules if isinstance(rules, RuleBook) else RuleBook(rules)
     found = [x for x in rules.matches(text or "") if x[2]["language"][:2] == language[:2] or language in mixed or x[2]["language"] in mixed]
     taken: list[tuple] = []
     for a, b, r in sorted(found, key=lambda x: (x[0] - x[1], x[0])):
@@ -324,9 +325,10 @@ class Lexicon:
         return self.known[language, word]
 
 
-def lexicon_fix(text: str | None, language: str | None, lexicon: Lexicon) -> dict:
+def lexicon_fix(text: str | None, language: str | None, lexicon: Lexicon | list[dict]) -> dict:
     """Known misspellings replaced by their entry, then words close to a fuzzy entry; tokens with
     digits stay. Only ro, ru and en texts change."""
+    lexicon = lexicon if isinstance(lexicon, Lexicon) else Lexicon(lexicon)
     done: list[dict] = []
     if not text or language not in ("ro", "ru", "en"):
         return {"text": text, "corrections": done}

@@ -199,7 +199,7 @@ def test_voices_on_odd_rows(spark):
     clusters = voices.centroids(v, ["cluster_id"])
     prints = spark.createDataFrame([(7, 70, [1.0, 0.0]), (8, 80, [0.6, 0.8]), (8, 81, [0.0, 1.0])], "person_id long, voiceprint_id long, vector array<double>")
     few = voices.candidates(voices.scored(clusters, prints)).collect()
-    many = voices.candidates(voices.scored(clusters, prints, max_broadcast=1, blocks=3)).collect()
+    many = voices.candidates(voices.scored(clusters, prints, max_bytes=100)).collect()
     assert sorted(few) == sorted(many) and len(few) == 4
     assert voices.candidates(voices.scored(clusters, prints.limit(0))).count() == 0
 
