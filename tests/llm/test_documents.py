@@ -522,3 +522,14 @@ def test_language_id_on_odd_rows(odd, empty):
     none = langid.fit(empty, VOCABULARY)
     assert {r.lang_pred for r in langid.identify(odd, none).collect()} == {"und"}
     assert langid.identify(empty, model).count() == 0
+
+
+def test_training_sample_never_empties(spark):
+    """Billions of documents leave a sample, and so do few, null ids and equal rows."""
+    assert 0 < langid.most_lot(10**12, 1500) < langid.most_lot(2 * 10**9, 1500) < langid.LOTS == langid.most_lot(1500, 1500)
+    rows = [(None, "the cat and the dog are there", "en")] * 40 + [(None, f"le chat et le chien sont la {'abcdefgh'[i % 8]}", "fr") for i in range(40)] + [(7, "der hund ist da", "de")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.fit(frame, public_tokenizers.path("byte_bpe_50k.tiktoken"), train_docs=5)
+    assert model.langs == ["de", "en", "fr"]
+    got = Counter(r.lang_pred for r in langid.identify(frame, model).collect())
+    assert got == {"en": 40, "fr": 40, "de": 1}

@@ -100,3 +100,16 @@ def test_run_is_registered(spark, sf_dir):
 
     assert sorted(entry.queries()["pipeline"](spark, sf_dir).columns) == ["doc_id", "ids_crc32", "n_tokens", "start"]
     assert corpus_pipeline.ORACLE_SQL is None and "pipeline" not in entry.oracle_sql()
+
+
+def test_stages_on_odd_rows(spark, sf_dir):
+    """Nulls in any column, repeated rows, empty and long texts, clashing columns and empty tables pass every stage."""
+    long = " ".join(f"w{i}" for i in range(20_000))
+    rows = [(1, long, "en", "a", 1, "k"), (1, long, "en", "a", 1, "k"), (2, None, None, None, None, None), (3, "", "en", "a", 0, "k"), (None, "some words " * 3 + " ".join("abcdefghijklmnopqrstuvwxyz"), None, None, None, None), (4, " \n\t ", "en", "b", 3, "k")]
+    odd = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, key string")
+    for docs, most in ((odd, 2), (odd.limit(0), 0)):
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            docs = materialize(stage(spark, docs, sf_dir), name)
+            assert docs.columns == odd.columns
+        assert len({r.doc_id for r in docs.collect()}) == most
+        assert corpus_pipeline.STAGES[-1][1](spark, docs, sf_dir).count() == docs.count()
