@@ -15,7 +15,7 @@ from confab.llm.common import documents, materialize
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules keep."""
+    """Documents that the quality rules keep, without the lines that are boilerplate of their host."""
     return quality.keep_good(docs)
 
 
@@ -33,7 +33,7 @@ def without_benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The sources at their target weights; a document taken n times is n rows."""
+    """The sources at their target weights; a document taken n times is n rows, the last maybe cut."""
     return mixing.apply_mix(docs)
 
 
