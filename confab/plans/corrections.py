@@ -257,7 +257,17 @@ def _pairs(spark, sf):
     return d.select("conv_id", "turn", "role", F.col("text").alias("reference"), hyp.alias("hypothesis"), (F.col("conv_id") % 3).alias("condition"))
 
 
-@query()
+_FORM = "trim(regexp_replace(regexp_replace(lower({}), '[.,;:!?\"''“”«»()\\[\\]{{}}]', ' ', 'g'), '[ \\t\\n\\r\\f\\x0b]+', ' ', 'g'))"
+_HEARD_THE = "len(regexp_extract_all(text, '(?i)(^|[^\\pL\\pN_])the\\b'))"
+# Each 'the' heard as 'a' is a word substituted, or a letter substituted and two deleted.
+_EDITS = f"""
+with p as (select conv_id, turn, role, conv_id % 3 as condition, {_FORM.format("text")} as form, (conv_id + turn) % 20 = 0 as mute, case when conv_id % 7 = 0 then {_HEARD_THE} else 0 end::bigint as k from conversations),
+c as (select *, len(list_filter(string_split(form, ' '), lambda w: w <> ''))::bigint as n, length(replace(form, ' ', ''))::bigint as cn from p)
+select conv_id, turn, role, condition, n, cn, case when mute then 0 else k end as s, case when mute then n else 0 end as d, 0::bigint as i, case when mute then 0 else k end as cs, case when mute then cn else 2 * k end as cd, 0::bigint as ci from c
+"""
+
+
+@query(_EDITS)
 def edit_counts(spark, sf):
     return E.error_counts(_pairs(spark, sf)).drop("reference", "hypothesis")
 
@@ -275,7 +285,7 @@ def slice_error_rates_rollup(spark, sf):
     return E.error_slices(c, ["language", "condition"]).select("language", "condition", "s", "n", "rows", F.round("wer", 6).alias("wer"), F.round("cer", 6).alias("cer"))
 
 
-@query()
+@query(f"select coalesce(sum(case when mute or form = '' then len(list_filter(string_split(form, ' '), lambda w: w <> '')) else 0 end), 0)::bigint as silence_insertions from (select (conv_id + turn) % 20 = 0 as mute, {_FORM.format('text')} as form from conversations)")
 def silence_insertions(spark, sf):
     return E.silence_insertions(_pairs(spark, sf).select(F.col("hypothesis").alias("reference"), F.col("reference").alias("hypothesis")))
 

@@ -262,18 +262,70 @@ def numbered_clusters(spark, sf):
     return S.numbered_clusters(t.segments(spark, sf).withColumnRenamed("cluster_id", "cluster"), "cluster")
 
 
-@query()
+_VAD = f"select meeting_id, start_s / 300 as start_s, end_s / 300 as end_s from {t.REGIONS}"
+_PIECES = """select {key}, unnest(range(0, greatest(n, 1))) as k, case when n > 1 then round(a + k * (b - a) / n, 3) else a end as start_s, case when n > 1 then round(a + (k + 1) * (b - a) / n, 3) else b end as end_s from (select {key}, {a} as a, {b} as b, ceil(({b} - {a}) / {most}e0)::int as n from {rows})"""
+# Each step of a recursion decides on one more row of every recording.
+_PACKED = f"""
+with recursive cut as ({_PIECES.format(key="meeting_id", a="start_s", b="end_s", most=28, rows=f"({_VAD} where end_s > start_s)")}),
+p as (select *, row_number() over (partition by meeting_id order by start_s, end_s) as n from cut),
+w as (
+  select meeting_id, n, 1 as win, start_s as a, end_s as b from p where n = 1
+  union all
+  select meeting_id, p.n, case when takes then win else win + 1 end, case when takes then a else start_s end, end_s
+  from (select w.*, p.n as m, p.start_s, p.end_s, p.start_s - w.b <= 3 and p.end_s - w.a <= case when w.b - w.a < 1.5e0 then 20 else 12 end as takes from w join p on p.meeting_id = w.meeting_id and p.n = w.n + 1) x join (select meeting_id, n from p) p using (meeting_id) where p.n = x.m
+),
+g as (select meeting_id, win, min(w.a) as a, arg_max(w.b, n) as b, count(*) as regions, sum(end_s - start_s) as speech from w join p using (meeting_id, n) group by all),
+j as (
+  select meeting_id, win, 0 as k, a from g where win = 1
+  union all
+  select meeting_id, g.win, case when g.b - g.a < 1.5e0 and g.b - j.a <= 28 then k else k + 1 end, case when g.b - g.a < 1.5e0 and g.b - j.a <= 28 then j.a else g.a end from j join g using (meeting_id) where g.win = j.win + 1
+)
+select meeting_id, k::int as "window", min(g.a) as start_s, arg_max(g.b, win) as end_s, sum(regions)::int as regions, round(sum(speech), 6) as speech_s from j join g using (meeting_id, win) group by meeting_id, k
+"""
+
+
+@query(_PACKED)
 def pack_windows(spark, sf):
     r = t.regions(spark, sf).withColumns({"start_s": F.col("start_s") / 300, "end_s": F.col("end_s") / 300})
-    return folds.packed_windows(r.where("end_s > start_s"))
+    return folds.packed_windows(r.where("end_s > start_s")).withColumn("speech_s", F.round("speech_s", 6))
+
+
+_MERGED = f"""
+with recursive p as (select *, row_number() over (partition by meeting_id order by start_s, end_s) as n from ({_VAD})),
+m as (
+  select meeting_id, n, 1 as run, start_s as a, end_s as b from p where n = 1
+  union all
+  select meeting_id, p.n, case when start_s - b < 0.45e0 and end_s - a <= 12 then run else run + 1 end, case when start_s - b < 0.45e0 and end_s - a <= 12 then a else start_s end, end_s from m join p using (meeting_id) where p.n = m.n + 1
+),
+g as (select meeting_id, run, min(a) as a, arg_max(b, n) as b from m group by all)
+select meeting_id, (row_number() over (partition by meeting_id order by run, k) - 1)::int as region, start_s, end_s from ({_PIECES.format(key="meeting_id, run", a="a", b="b", most=12, rows="g")})
+"""
 
 
-@query()
+@query(_MERGED)
 def merged_vad_regions(spark, sf):
     return folds.merged_regions(t.regions(spark, sf).withColumns({"start_s": F.col("start_s") / 300, "end_s": F.col("end_s") / 300}))
 
 
-@query()
+_HEARD = """
+with recursive f as (select user_id as meeting_id, least(1e0, value / 150) as p, row_number() over (partition by user_id order by event_id) as n from events),
+h as (
+  select 0::bigint as n, meeting_id, null::double as since, null::double as quiet, null::double as a, null::double as b from f where n = 1
+  union all
+  select n, meeting_id, case when since is null then case when p >= 0.5e0 then here end when overlong then stop when ended then null else since end,
+    case when since is null or overlong or ended or p >= 0.5e0 then null when p >= 0.35e0 then quiet else coalesce(quiet, here) end,
+    case when overlong or ended then since end, case when overlong then stop when ended then coalesce(quiet, here) end
+  from (select *, since is not null and p >= 0.35e0 and stop - since >= 20 as overlong, since is not null and p < 0.35e0 and stop - coalesce(quiet, here) >= 0.4e0 as ended
+    from (select f.n, f.meeting_id, f.p, h.since, h.quiet, (f.n - 1) * 0.032e0 as here, (f.n - 1) * 0.032e0 + 0.032e0 as stop from h join f on f.meeting_id = h.meeting_id and f.n = h.n + 1))
+),
+l as (select meeting_id, max(n) * 0.032e0 as stop, arg_max(coalesce(since, -1e0), n) as open from h group by 1),
+s as (select meeting_id, a, b from h where a is not null union all select meeting_id, open, stop from l where open >= 0 and open < stop),
+k as (select *, lag(b) over w as before, lead(a) over w as after, row_number() over w as r from s join l using (meeting_id) where b - a >= 0.25e0 window w as (partition by meeting_id order by a))
+select meeting_id, (r - 1)::int as region, round(a - least(0.2e0, coalesce((a - before) / 2, a)), 3) as start_s, round(b + least(0.2e0, coalesce((after - b) / 2, stop - b)), 3) as end_s from k
+"""
+
+
+@query(_HEARD)
 def hysteresis_regions(spark, sf):
     f = t.table(spark, sf, "events").select(F.col("user_id").alias("meeting_id"), F.col("event_id").alias("frame"), F.least(F.lit(1.0), F.col("value") / 150).alias("probability"))
     return folds.detected_speech(f)
@@ -284,12 +336,31 @@ def build_chunks(spark, sf):
     return folds.chunks(S.indexed_lines(t.segments(spark, sf)), budget=300, overlap=80)
 
 
-@query()
+_INHERITED = f"""
+with w as (select meeting_id, idx, case (meeting_id + idx) % 3 when 0 then 'ro' when 1 then 'ru' else 'en' end as language, end_s - start_s < 4 as short, row_number() over (partition by meeting_id order by idx) as n from {t.SEGMENTS})
+select meeting_id, idx as "window", last_value(case when n = 1 or not short then language end ignore nulls) over (partition by meeting_id order by n rows unbounded preceding) as language, short and n > 1 as inherited from w
+"""
+
+
+@query(_INHERITED)
 def inherited_languages(spark, sf):
-    s = t.segments(spark, sf).select("meeting_id", F.col("idx").alias("window"), "start_s", "end_s", "language")
+    kind = (F.col("meeting_id") + F.col("idx")) % 3
+    s = t.segments(spark, sf).select("meeting_id", F.col("idx").alias("window"), "start_s", "end_s", F.when(kind == 0, "ro").when(kind == 1, "ru").otherwise("en").alias("language"))
     return folds.inherited_languages(s)
 
 
-@query()
+_REPAIRED = f"""
+with recursive s as (select *, lead(speaker) over w as other, lead(start_s) over w as next_start, lead(end_s) over w as next_end, row_number() over w as n from {t.SEGMENTS} window w as (partition by meeting_id order by start_s, end_s, segment_id)),
+p as (select meeting_id, segment_id, n, start_s, end_s, next_start, round((end_s + next_start) / 2, 3) as middle, coalesce(speaker <> other and end_s > next_start and middle < next_end - 0.1e0, false) as meets from s),
+r as (
+  select meeting_id, n, start_s as here from p where n = 1
+  union all
+  select meeting_id, n + 1, case when meets and here + 0.1e0 < middle then middle else next_start end from r join p using (meeting_id, n) where next_start is not null
+)
+select meeting_id, segment_id, here as start_s, case when meets and here + 0.1e0 < middle then middle else end_s end as end_s from r join p using (meeting_id, n)
+"""
+
+
+@query(_REPAIRED)
 def overlap_repair(spark, sf):
     return folds.repaired_overlaps(t.segments(spark, sf).select("meeting_id", "segment_id", "start_s", "end_s", "speaker"))
