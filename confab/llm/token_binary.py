@@ -245,9 +245,13 @@ def read_tokens(spark: SparkSession, path: str, manifest: DataFrame, with_ids: b
                     rows = [doc_ids[at : at + 1024], [start + a for a, _ in spans], [b - a for a, b in spans], [zlib.crc32(raw[4 * a : 4 * b]) for a, b in spans]]
                     yield table(schema, rows + ([[bytes(raw[4 * a : 4 * b]) for a, b in spans]] if with_ids else []))
 
-    # a row a file, so the one task that adds up the starts sees little
-    before = F.sum("n_ids").over(Window.orderBy("part", "seq").rowsBetween(Window.unboundedPreceding, -1))
-    files = manifest.select("file", F.coalesce(before, F.lit(0)).cast("long").alias("start"))
+    # a row a task that wrote, so the one task that adds up the parts sees few; files are added up by part
+    ahead = Window.rowsBetween(Window.unboundedPreceding, -1)
+    parts = manifest.groupBy("part").agg(F.sum("n_ids").alias("held"))
+    parts = parts.select("part", F.sum("held").over(ahead.orderBy("part")).alias("before"))
+    within = F.sum("n_ids").over(ahead.partitionBy("part").orderBy("seq"))
+    files = manifest.select("part", "file", within.alias("within")).join(parts, "part")
+    files = files.select("file", (F.coalesce("before", F.lit(0)) + F.coalesce("within", F.lit(0))).cast("long").alias("start"))
     return files.repartition(max(1, min(manifest.count(), 10_000))).mapInArrow(read, ddl)
 
 
