@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontaminate, html_text, langid, mixing, quality, secrets, simhash, token_binary, warc
+from . import chat_format, decontaminate, fill_middle, html_text, langid, mixing, pieces, quality, resampling, secrets, simhash, token_binary, warc
 from .common import documents
 
 
@@ -53,7 +53,19 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs, model)
 
 
-QUERIES = {f.__name__: f for f in (op1_chat_format, op2_simhash, op3_html_text, op4_secrets, op5_mixing, op6_quality, op7_warc, op8_decontaminate, op9_token_binary, op10_language_id)}
+def op11_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.round_trip(documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op12_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_middle.digest(documents(spark, sf_dir))
+
+
+def op13_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resample(documents(spark, sf_dir), documents(spark, sf_dir, "benchmark"))
+
+
+QUERIES = {f.__name__: f for f in (op1_chat_format, op2_simhash, op3_html_text, op4_secrets, op5_mixing, op6_quality, op7_warc, op8_decontaminate, op9_token_binary, op10_language_id, op11_pieces, op12_fill_middle, op13_resample)}
 
 _SPACE = r"[ \t\n\x0b\f\r]+"
 _ASCII_LOWER = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
@@ -97,5 +109,15 @@ k as (select doc_id, count(*) as n_items, string_agg(item, ',' order by item) as
 select d.doc_id, len(ws) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items, sha256(coalesce(ids, '')) as items_sha256, coalesce(n_hit, 0) > 0 and 20 * coalesce(n_hit, 0) >= len(ws) as contaminated from d left join c using (doc_id) left join k using (doc_id)
 """
 
+_FILL_MIDDLE = r"""
+with d as (select doc_id, coalesce(text, '') as text, sha256('42:' || coalesce(cast(doc_id as varchar), '')) as x from documents),
+u as (select doc_id, text, regexp_extract_all(text, '[ \t\n\x0b\f\r]*[^ \t\n\x0b\f\r]+|[ \t\n\x0b\f\r]+') as us, cast('0x' || x[1:8] as bigint) as h1, cast('0x' || x[9:16] as bigint) as h2, cast('0x' || x[17:24] as bigint) as h3, cast('0x' || x[25:32] as bigint) as h4 from d),
+c as (select doc_id, text, us, len(us) as n, least(h1 % (len(us) + 1), h2 % (len(us) + 1)) as a, greatest(h1 % (len(us) + 1), h2 % (len(us) + 1)) as b,
+  case when text = '' or contains(text, '<P>') or contains(text, '<S>') or contains(text, '<M>') or h3 % 100 >= 50 then 'plain' when h4 % 100 < 80 then 'spm' else 'psm' end as form from u),
+p as (select doc_id, text, n, form, array_to_string(us[1:a], '') as pre, array_to_string(us[a + 1:b], '') as mid, array_to_string(us[b + 1:], '') as suf from c)
+select doc_id, n, form, case when form <> 'plain' then length(pre) end as prefix_chars, case when form <> 'plain' then length(mid) end as middle_chars,
+  sha256(case form when 'plain' then text when 'psm' then '<P>' || pre || '<S>' || suf || '<M>' || mid else '<S>' || suf || '<P>' || pre || '<M>' || mid end) as output_sha256, sha256(text) as restored_sha256 from p
+"""
+
 #: SQL of the queries that SQL can express; the others rest on hashes, tokenizers, markup or dynamic programmes.
-ORACLES: dict[str, str] = {"op6_quality": _QUALITY, "op7_warc": _WARC, "op8_decontaminate": _CONTAMINATION}
+ORACLES: dict[str, str] = {"op6_quality": _QUALITY, "op7_warc": _WARC, "op8_decontaminate": _CONTAMINATION, "op12_fill_middle": _FILL_MIDDLE}
