@@ -35,9 +35,15 @@ def function(ddl: str):
 
 
 def dealt(df):
-    """``df`` over as many partitions as there are cores, if it has fewer: a single file's rows would all be one Python task's."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if not df.isStreaming and df.rdd.getNumPartitions() < cores else df
+    """``df`` over as many partitions as there are cores, if the planner's estimate says that its files would
+    make fewer: a single file's rows would all be one Python task's. Nothing is run to find out."""
+    if df.isStreaming:
+        return df
+    spark = df.sparkSession
+    estimate = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    split = int(spark.conf.get("spark.sql.files.maxPartitionBytes").rstrip("bB") or 0)
+    cores = spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if estimate < cores * split else df
 
 
 _WORD = re.compile(r"[^\W\d_]+(?:[-'][^\W\d_]+)*")

@@ -33,11 +33,11 @@ def keyed_store_scan(spark, sf):
 
 @query("select o_orderkey, o_orderstatus as status from orders where o_orderkey % 2 = 1")
 def store_replaced(spark, sf):
-    """The second write replaces the first as a whole."""
+    """The second write replaces the first, from which it reads, as a whole."""
     o, path = t.table(spark, sf, "orders").select("o_orderkey", F.col("o_orderstatus").alias("status")), R.scratch(spark, "store")
     R.write_store(o, path)
-    R.write_store(o.where("o_orderkey % 2 = 1"), path)
-    return spark.read.parquet(path)
+    R.write_store(R.read_store(spark, path).where("o_orderkey % 2 = 1"), path)
+    return R.read_store(spark, path)
 
 
 @query("select vec_id % 40 as meeting_id, vec_id as idx from embeddings where vec_id % 40 % 4 >= 2")

@@ -52,9 +52,80 @@ def _nested(ddl: str) -> str:
     return ",".join(out)
 
 
-def write_store(df: DataFrame, path: str) -> None:
-    """Replaces a store; the committer publishes all files or none."""
-    df.write.mode("overwrite").parquet(path)
+# --- replaced stores ------------------------------------------------------------------
+
+
+def _files(spark: SparkSession, path: str):
+    """Hadoop's view of the file system that ``path`` is on, and a maker of its paths."""
+    fs, conf = spark._jvm.org.apache.hadoop.fs, spark._jsc.hadoopConfiguration()
+    return fs.FileContext.getFileContext(*([fs.Path(path).toUri()] if "://" in path else []), conf), fs.Path
+
+
+def _listed(spark: SparkSession, path: str) -> list[str]:
+    context, at = _files(spark, path)
+    if not context.util().exists(at(path)):
+        return []
+    return sorted(f.getPath().getName() for f in context.util().listStatus(at(path)))
+
+
+def store_versions(spark: SparkSession, path: str) -> list[str]:
+    """Published versions of a store, oldest first."""
+    return [n for n in _listed(spark, f"{path}/published") if not n.startswith((".", "_"))]
+
+
+def write_store(df: DataFrame, path: str, keep: int = 2) -> str:
+    """Replace a store, all of it or nothing, and return the version.
+
+    Rows go to a folder of their own, which readers do not know until it is whole. A small file that
+    names the folder then gets the version's number by one rename that refuses an existing target.
+    A write that fails leaves the store as it was, so ``df`` may be read from the store itself. Of
+    two writers of one version the second gets an error. All but the last ``keep`` versions are
+    removed afterwards, with what failed writes before them left; a reader of a version that old has
+    to begin again."""
+    spark = df.sparkSession
+    old = store_versions(spark, path)
+    version = f"{int(old[-1]) + 1 if old else 0:020d}"
+    folder = f"{version}-{uuid.uuid4().hex}"
+    df.write.mode("errorifexists").parquet(f"{path}/data/{folder}")
+    _publish(spark, path, version, folder)
+    if len(old) >= keep:
+        _clean(spark, path, [*old, version][-keep])
+    return version
+
+
+def _publish(spark: SparkSession, path: str, version: str, folder: str) -> None:
+    context, at = _files(spark, path)
+    fs, gateway = spark._jvm.org.apache.hadoop.fs, spark.sparkContext._gateway
+    context.mkdir(at(f"{path}/published"), None, True)
+    pointer = at(f"{path}/published/.{folder}")
+    out = context.create(pointer, spark._jvm.java.util.EnumSet.of(fs.CreateFlag.CREATE), gateway.new_array(fs.Options.CreateOpts, 0))
+    out.write(bytearray(folder.encode()))
+    out.close()
+    try:
+        context.rename(pointer, at(f"{path}/published/{version}"), gateway.new_array(fs.Options.Rename, 0))
+    except Exception as e:
+        raise RuntimeError(f"version {version} of {path} was written by another") from e
+
+
+def _clean(spark: SparkSession, path: str, first: str) -> None:
+    """Remove versions before ``first``, and folders of writes that never became one of them."""
+    context, at = _files(spark, path)
+    for part in ("published", "data"):
+        for name in _listed(spark, f"{path}/{part}"):
+            if name.lstrip(".").split("-")[0] < first:
+                context.delete(at(f"{path}/{part}/{name}"), True)
+
+
+def read_store(spark: SparkSession, path: str, version: str | None = None) -> DataFrame:
+    """The rows of a store's last published version, or of a given one."""
+    known = store_versions(spark, path)
+    if not known or version is not None and version not in known:
+        raise FileNotFoundError(f"no version {version or ''} of a store at {path}")
+    folder = spark.read.text(f"{path}/published/{version or known[-1]}").first()[0]
+    return spark.read.parquet(f"{path}/data/{folder}")
+
+
+# --- files of the engine's inputs -----------------------------------------------------
 
 
 def gold_manifest(spark: SparkSession, path: str) -> DataFrame:

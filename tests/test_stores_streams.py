@@ -42,7 +42,60 @@ def test_store_round_trip(spark, folder):
     df = spark.createDataFrame([(1, "x")], "a int, b string")
     for _ in range(2):
         stores.write_store(df, f"{folder}/s")
-    assert spark.read.parquet(f"{folder}/s").collect() == df.collect()
+    assert stores.read_store(spark, f"{folder}/s").collect() == df.collect()
+    with pytest.raises(FileNotFoundError):
+        stores.read_store(spark, f"{folder}/none")
+
+
+def test_a_failed_write_leaves_the_store(spark, folder):
+    """The second write fails in its last rows: readers see the first, and a third write goes through."""
+    path, rows = f"{folder}/s", spark.range(100)
+    stores.write_store(rows, path)
+    broken = spark.range(10).select(F.when(F.col("id") == 9, F.raise_error(F.lit("lost"))).otherwise(F.col("id")).cast("long").alias("id"))
+    with pytest.raises(Exception, match="lost"):
+        stores.write_store(broken, path)
+    assert stores.read_store(spark, path).count() == 100 and len(stores.store_versions(spark, path)) == 1
+    stores.write_store(stores.read_store(spark, path).where("id < 50"), path)
+    assert stores.read_store(spark, path).count() == 50
+
+
+def test_store_versions_are_kept_and_removed(spark, folder):
+    path = f"{folder}/s"
+    names = [stores.write_store(spark.range(n), path, keep=2) for n in range(1, 6)]
+    assert stores.store_versions(spark, path) == names[-2:]
+    assert [stores.read_store(spark, path, v).count() for v in names[-2:]] == [4, 5]
+    with pytest.raises(FileNotFoundError):
+        stores.read_store(spark, path, names[0])
+    assert len(stores._listed(spark, f"{path}/data")) == 2
+
+
+def test_two_writers_of_one_version(spark, folder):
+    path = f"{folder}/s"
+    stores.write_store(spark.range(3), path)
+    version = f"{1:020d}"
+    for k in "ab":
+        spark.range(7 if k == "a" else 9).write.parquet(f"{path}/data/{version}-{k}")
+    stores._publish(spark, path, version, f"{version}-a")
+    with pytest.raises(RuntimeError, match="another"):
+        stores._publish(spark, path, version, f"{version}-b")
+    assert stores.read_store(spark, path).count() == 7
+
+
+def test_dealing_runs_nothing(spark, folder):
+    """Rows of a shuffle above are read once, by the action alone."""
+    from confab.functions import arrow
+
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    df = spark.range(1000).mapInArrow(count, "id long").groupBy((F.col("id") % 7).alias("k")).agg(F.sum("id").alias("s"))
+    out = arrow.dealt(df)
+    assert seen.value == 0
+    assert out.count() == 7 and seen.value == 1000
 
 
 MANIFEST = {"recordings": [
