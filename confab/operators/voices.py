@@ -227,11 +227,15 @@ def average_linkage(vectors: np.ndarray, stop: float = 0.45, max_clusters: int |
     a merge adds two of its rows. The closest pair merges first, of equals that with the lowest
     first members, until all are further apart than ``stop``. With ``max_clusters``, merging
     goes on beyond ``stop`` while there are more."""
-    n = len(vectors)
+    return linked(_unit(np.asarray(vectors, np.float64)), np.ones(len(vectors)), stop, max_clusters)
+
+
+def linked(totals: np.ndarray, sizes: np.ndarray, stop: float, max_clusters: int | None = None) -> np.ndarray:
+    """As ``average_linkage``, from clusters given by their sums of unit vectors and their sizes."""
+    n = len(totals)
     if n == 0:
         return np.zeros(0, np.int64)
-    unit = _unit(np.asarray(vectors, np.float64))
-    products, size = unit @ unit.T, np.ones(n)
+    products, size = totals @ totals.T, sizes.astype(np.float64)
     alive, label = np.ones(n, bool), np.arange(n)
 
     def nearest(a):
@@ -288,45 +292,6 @@ def two_means(vectors: np.ndarray, rounds: int = 25) -> tuple[np.ndarray, float]
     return half, float(centers[0] @ centers[1])
 
 
-def clustered(windows: DataFrame, stop: float = 0.45, anchor_s: float = 1.2, max_clusters: int | None = None, max_windows: int = 5_000) -> DataFrame:
-    """meeting_id, window, label: windows (meeting_id, window, start_s, end_s, vector) of a
-    meeting clustered by voice. Turns of ``anchor_s`` and more form the clusters if there are
-    three of them; shorter ones join the nearest. Meetings over ``max_windows`` are refused."""
-
-    def cluster(group: pd.DataFrame) -> pd.DataFrame:
-        rows = group.sort_values("window")
-        if len(rows) > max_windows:
-            raise ValueError(f"a meeting of {len(rows)} windows: raise max_windows or cut it")
-        x = np.array(rows["vector"].tolist(), np.float64)
-        long = (rows["end_s"] - rows["start_s"]).to_numpy() >= anchor_s
-        if long.sum() >= 3 and not long.all():
-            label = np.empty(len(x), np.int64)
-            label[long] = average_linkage(x[long], stop, max_clusters)
-            centers = np.array([x[long][label[long] == k].mean(axis=0) for k in range(label[long].max() + 1)])
-            label[~long] = np.argmax(np.round(_unit(x[~long]) @ _unit(centers).T, 12), axis=1)
-        else:
-            label = average_linkage(x, stop, max_clusters)
-        return pd.DataFrame({"meeting_id": rows["meeting_id"], "window": rows["window"], "label": label})
-
-    return windows.groupBy("meeting_id").applyInPandas(cluster, "meeting_id long, window long, label long")
-
-
-def diagnosed(windows: DataFrame, min_regions: int = 3, min_half: float = 0.30, max_cosine: float = 0.55) -> DataFrame:
-    """Per meeting and label, of windows with label, region, start_s, end_s and vector: speech,
-    regions, and whether the cluster is short of evidence or may hold two voices."""
-
-    def look(group: pd.DataFrame) -> pd.DataFrame:
-        rows = group.sort_values("window")
-        seconds = (rows["end_s"] - rows["start_s"]).to_numpy()
-        half, cosine = two_means(np.array(rows["vector"].tolist(), np.float64))
-        shares = [float(seconds[half == k].sum() / seconds.sum()) if seconds.sum() > 0 else 0.0 for k in (0, 1)]
-        regions = int(rows["region"].nunique())
-        mixed = len(rows) >= 2 and min(shares) >= min_half and cosine < max_cosine
-        return pd.DataFrame([(rows["meeting_id"].iloc[0], rows["label"].iloc[0], round(float(seconds.sum()), 3), regions, regions < min_regions, mixed, round(cosine, 4))], columns=["meeting_id", "label", "seconds", "regions", "short", "mixed", "split_cosine"])
-
-    return windows.groupBy("meeting_id", "label").applyInPandas(look, "meeting_id long, label long, seconds double, regions long, short boolean, mixed boolean, split_cosine double")
-
-
 def assigned_speakers(segments: DataFrame, windows: DataFrame, straddle: float = 0.30) -> DataFrame:
     """Segments with the cluster that speaks most in them (the nearest one in silence), numbered by
     first appearance, their speech, and whether two clusters each hold ``straddle`` of it."""

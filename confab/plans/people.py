@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from confab.functions import vectors as V
+from confab.operators import linkage as L
 from confab.operators import voices as O
 
 from . import tables as t
@@ -203,13 +204,28 @@ def signal_levels(spark, sf):
 @query()
 def ahc_clusters(spark, sf):
     v = t.voices(spark, sf).select(F.col("cluster_id").alias("meeting_id"), F.col("vec_id").alias("window"), F.lit(0.0).alias("start_s"), F.col("speech_s").alias("end_s"), "vector")
-    return O.clustered(v, stop=0.9)
+    return L.clustered(v, stop=0.9)
+
+
+@query("with r as (select vec_id % 40 as meeting_id, vec_id as window, label, min(vec_id) over (partition by vec_id % 40, label) as root from embeddings) select meeting_id, window, (dense_rank() over (partition by meeting_id order by root) - 1)::bigint as label from r")
+def ahc_separated(spark, sf):
+    """Voices of known speakers with what the table's vectors add to them: clusters are the speakers."""
+    v = t.voices(spark, sf)
+    own = F.transform(F.sequence(F.lit(0), F.lit(63)), lambda k: F.when(k == F.pmod("label", F.lit(64)), 1.0).otherwise(0.0))
+    far = F.concat(own, F.transform("vector", lambda x: x.cast("double") * 0.2))
+    return L.clustered(v.select(F.col("cluster_id").alias("meeting_id"), F.col("vec_id").alias("window"), F.lit(0.0).alias("start_s"), F.lit(2.0).alias("end_s"), far.alias("vector")))
+
+
+@query("select (vec_id % 40) % 8 as meeting_id, label::bigint as label, round(sum(1 + vec_id % 9), 3)::double as seconds, count(distinct vec_id % 4) as regions, count(distinct vec_id % 4) < 3 as short from embeddings group by all")
+def cluster_evidence(spark, sf):
+    v = t.voices(spark, sf).select((F.col("cluster_id") % 8).alias("meeting_id"), "label", (F.col("vec_id") % 4).alias("region"), F.lit(0.0).alias("start_s"), F.col("speech_s").alias("end_s"))
+    return L.evidence(v)
 
 
 @query()
 def cluster_diagnostics(spark, sf):
     v = t.voices(spark, sf).select((F.col("cluster_id") % 8).alias("meeting_id"), "label", F.col("vec_id").alias("window"), (F.col("vec_id") % 4).alias("region"), F.lit(0.0).alias("start_s"), F.col("speech_s").alias("end_s"), "vector")
-    return O.diagnosed(v)
+    return L.diagnosed(v)
 
 
 _REMATCHED = f"""

@@ -5,7 +5,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from confab.operators import evaluation, folds, intervals, learning, minutes, voices
+from confab.operators import evaluation, folds, intervals, learning, linkage, minutes, voices
 
 
 def spans(windows):
@@ -151,7 +151,7 @@ def test_two_means():
 def test_diagnostics(spark):
     rows = [(1, 0, k, k, 0.0, 2.0, [1.0, 0.0] if k < 3 else [0.0, 1.0]) for k in range(6)] + [(1, 1, k, k, 0.0, 2.0, [1.0, 0.0]) for k in range(6, 10)] + [(1, 2, k, 9, 0.0, 2.0, [1.0, 0.0]) for k in range(10, 12)]
     w = spark.createDataFrame(rows, "meeting_id long, label long, window long, region long, start_s double, end_s double, vector array<double>")
-    assert {r.label: (r.mixed, r.short) for r in voices.diagnosed(w).collect()} == {0: (True, False), 1: (False, False), 2: (False, True)}
+    assert {r.label: (r.mixed, r.short) for r in linkage.diagnosed(w).collect()} == {0: (True, False), 1: (False, False), 2: (False, True)}
 
 
 # --- intervals ------------------------------------------------------------------------
