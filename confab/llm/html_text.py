@@ -3,19 +3,22 @@
 Markup: a page is read by the states of the HTML tokenizer and cut into blocks, each inside
 or outside an article (or, on pages without one, the main element), and each in page
 furniture or not. Elements, roles and hidden ones tell for sure: menus, headers, footers,
-asides, forms. A class or id only hints: a name hints if all its words are words of
-furniture or of layout (cookie-notice, main-menu; not market-share or has-sidebar). An
-article within an article is a reader's comment or a teaser, which hints too. Hints never
+asides, forms. A class or id only hints: a name hints if one of its words is a word of
+furniture and all others are such words, words of layout or numbers (cookie-notice, reader-comments,
+ad-slot-top-728x90; not market-share or has-sidebar); words that an article may use for its own
+parts (notice, share, search) hint by class alone there. An article within an article is a
+reader's comment or a teaser, which hints too; an article within main is not. Hints never
 leave a page without text: the blocks under the fewest of them stay. Of several articles
-those with less than a fifth of the largest one's words outside links are teasers.
+those whose text is all in links are teasers.
 
 Suffix array: the words of all blocks, each page ended by a mark of its own, are
 concatenated per host; suffixes are sorted by prefix doubling, and from the lengths that
 neighbours share follows, for every position, the longest substring that starts there and
 stands on at least so many distinct pages. A block is repeated if such substrings of
 ``min_tokens`` words or more cover at least ``cover`` of its words. What markup leaves open
-(pages without article or main) goes if it is repeated on ``min_pages`` pages and
-``min_share`` of the host's, or stands in a run of three or more blocks that are links alone.
+(pages without article or main; what main holds beside an article) goes if it is repeated on ``min_pages``
+pages and ``min_share`` of the host's, or, beside other text, stands in a run of three or more blocks
+that are links alone.
 What an article holds goes only if it is repeated on ``article_share`` of the host's pages,
 ``article_pages`` at least, and if such blocks are less than half of the article: so a
 template's lines go, and quoted or copied passages stay. Pages of a host with equal words are
@@ -54,31 +57,36 @@ BLOCK = set("address article aside blockquote body center dd details dialog dir
 FURNITURE = {"nav", "footer", "aside", "form", "menu", "dialog", "button", "select", "head", "svg", "object", "canvas", "audio", "video", "map"}
 ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alertdialog", "alert", "menu", "menubar", "toolbar", "status"}
 #: Words that mark page furniture in class or id names.
-MARKS = set("ad ads adbox advert adverts advertisement advertising sponsor sponsored promo promotion banner sidebar sidenav menu nav navbar navigation breadcrumb breadcrumbs footer masthead topbar cookie cookies consent gdpr notice notices popup modal overlay newsletter subscribe subscription signup login search share sharing social related recommended recommendations trending comment comments commentlist disqus respond replies reply widget widgets toolbar pagination pager copyright disclaimer form skip teaser teasers".split())
+MARKS = set("ad ads adbox advert adverts advertisement advertising sponsor sponsored promo promotion banner sidebar sidenav menu nav navbar navigation breadcrumb breadcrumbs footer masthead topbar cookie cookies consent gdpr popup modal overlay newsletter newsletters subscribe subscription signup login sharing social trending comments commentlist commenters disqus adslot adunit replies widget widgets toolbar pagination pager copyright skip teaser teasers".split())
+#: Words that mark furniture too, but that an article may use as the name of a part of it.
+SOFT = set("notice notices search share related recommended recommendations comment respond reply reviews disclaimer".split())
 #: Words that mark furniture outside an article, but may head one.
 HEADS = {"header", "head", "top"}
 #: Words of layout, which say nothing but may stand beside a mark.
-LAYOUT = set("site page main global left right upper lower bottom box block wrapper wrap container area list section slot unit bar panel item items link links button buttons btn inner outer group row col column content primary secondary post posts article articles text more icons follow us policy module region zone".split())
+LAYOUT = set("top reader readers user users customer visitor body sticky fixed code id div sm md lg xl x site page main global left right upper lower bottom box block wrapper wrap container area list section slot unit bar panel item items link links button buttons btn inner outer group row col column content primary secondary post posts article articles text more icons follow us policy module region zone".split())
 #: Elements that class or id never mark.
 WHOLE = {"html", "body", "main"}
 
 _NAME = re.compile(r"[a-zA-Z][^\s/>]*")
 _SKIP, _ATTR, _EQUALS, _BARE = re.compile(r"[\s/]*"), re.compile(r"[^\s/>][^\s/>=]*"), re.compile(r"\s*=\s*"), re.compile(r"[^\s>]*")
-_WORDS = re.compile(r"[a-z0-9]+")
+_WORDS = re.compile(r"[a-z]+")
+_HUMPS = re.compile(r"(?<=[a-z])(?=[A-Z])")
 _HIDDEN = re.compile(r"(?:display\s*:\s*none|visibility\s*:\s*hidden)", re.I)
 
 
-def tag_end(page: str, at: int) -> tuple[dict[str, str], int]:
-    """Attributes of the tag whose name ends at ``at``, and where it ends; -1 if the page ends in it."""
+def tag_end(page: str, at: int) -> tuple[dict[str, str], int, bool]:
+    """Attributes of the tag whose name ends at ``at``, where it ends (-1 if the page ends in it), and
+    whether a slash that is no part of a value stands before its end."""
     attrs: dict[str, str] = {}
     if page[at : at + 1] == ">":
-        return attrs, at + 1
+        return attrs, at + 1, False
     while True:
-        at = _SKIP.match(page, at).end()
+        skipped = _SKIP.match(page, at)
+        at = skipped.end()
         if at >= len(page):
-            return attrs, -1
+            return attrs, -1, False
         if page[at] == ">":
-            return attrs, at + 1
+            return attrs, at + 1, skipped[0].endswith("/")
         m = _ATTR.match(page, at)
         name, at, value = m[0].lower(), m.end(), ""
         if m := _EQUALS.match(page, at):
@@ -87,7 +95,7 @@ def tag_end(page: str, at: int) -> tuple[dict[str, str], int]:
             if quote in ('"', "'") and quote:
                 close = page.find(quote, at + 1)
                 if close < 0:
-                    return attrs, -1
+                    return attrs, -1, False
                 value, at = page[at + 1 : close], close + 1
             else:
                 m = _BARE.match(page, at)
@@ -95,24 +103,31 @@ def tag_end(page: str, at: int) -> tuple[dict[str, str], int]:
         attrs.setdefault(name, value)
 
 
-def furniture(name: str, attrs: dict[str, str], in_article: bool) -> str:
-    """sure, by element, role or hiding; hint, by class or id; or nothing."""
-    if name in FURNITURE or name == "header" and not in_article:
+def marked(token: str, marks: set[str]) -> bool:
+    """Whether a class or id is made of furniture's words, one at least, and words of layout."""
+    words = set(_WORDS.findall(token.lower()))
+    if not words & marks:
+        words = set(_WORDS.findall(_HUMPS.sub("-", token).lower()))
+    return bool(words & marks) and words <= marks | LAYOUT
+
+
+def furniture(name: str, attrs: dict[str, str], in_body: bool, in_article: bool) -> str:
+    """sure, by element, role or hiding; hint, by class or id; or nothing. ``in_body`` is inside an article or main."""
+    if name in FURNITURE or name == "header" and not in_body:
         return "sure"
+    nested = "hint" if name == "article" and in_article else ""
     if not attrs:
-        return "hint" if name == "article" and in_article else ""
+        return nested
     if "hidden" in attrs or _HIDDEN.search(attrs.get("style", "")):
         return "sure" if name not in WHOLE else ""
     if set(_WORDS.findall(attrs.get("role", "").lower())) & ROLES and name not in WHOLE:
         return "sure"
     if name in WHOLE:
         return ""
-    marks = MARKS if in_article else MARKS | HEADS
-    for token in f"{attrs.get('class', '')} {attrs.get('id', '')}".lower().split():
-        words = set(_WORDS.findall(token))
-        if words & marks and words <= marks | LAYOUT:
-            return "hint"
-    return "hint" if name == "article" and in_article else ""
+    marks = MARKS | SOFT if in_body else MARKS | SOFT | HEADS
+    if any(marked(token, marks) for token in attrs.get("class", "").split()):
+        return "hint"
+    return "hint" if any(marked(token, MARKS if in_body else marks) for token in attrs.get("id", "").split()) else nested
 
 
 def blocks(page: str) -> list[tuple[str, str, int, int, int, float]]:
@@ -175,10 +190,11 @@ def blocks(page: str) -> list[tuple[str, str, int, int, int, float]]:
                 at = start + 1
             continue
         name = m[0].lower()
-        attrs, at = tag_end(page, m.end())
+        attrs, at, slash = tag_end(page, m.end())
         if at < 0:
             break
-        whole = not closing and page[at - 2] == "/"
+        # HTML's own elements do not close themselves
+        whole = slash and not closing and (name in ("svg", "math") or depth["svg"] > 0)
         if name in RAW:
             if not closing and not whole:
                 close = re.compile(rf"</{re.escape(name)}(?=[\s/>])", re.I).search(page, at)
@@ -203,7 +219,7 @@ def blocks(page: str) -> list[tuple[str, str, int, int, int, float]]:
             continue
         if stack and (block and stack[-1][0] == "p" or name in ("li", "dt", "dd", "tr", "td", "th", "option") and stack[-1][0] == name):
             pop()
-        flag = furniture(name, attrs, depth["article"] + mains > 0)
+        flag = furniture(name, attrs, depth["article"] + mains > 0, depth["article"] > 0)
         if flag:
             flush()
         if (block or flag) and not whole:
@@ -217,7 +233,7 @@ def blocks(page: str) -> list[tuple[str, str, int, int, int, float]]:
     return out
 
 
-def judged_blocks(page: str | None, teaser: float = 0.2) -> list[tuple[str, str]]:
+def judged_blocks(page: str | None) -> list[tuple[str, str]]:
     """(text, verdict) of each block: keep, drop, or open where markup does not tell."""
     found = blocks(page or "")
     least: dict[str, int] = {}  # the fewest hints around a block of each place that is surely no furniture
@@ -226,25 +242,29 @@ def judged_blocks(page: str | None, teaser: float = 0.2) -> list[tuple[str, str]
         if not sure:
             least[place] = min(hints, least.get(place, hints))
             weight[article] += (place == "article") * len(text) * (1 - linked)
-    largest = max((w for k, w in weight.items() if k), default=0)
+    said = any(w > 0 for k, w in weight.items() if k)
     body = next((p for p in ("article", "main") if least.get(p) == 0), None) or next((p for p in ("article", "main") if p in least), None)
-    inside = {"main", "article"} if body == "main" else {body}
-    few = min((least[p] for p in inside if p in least), default=0)
-    # where even the article's own blocks have hints, the rest of the page may be the text
-    rest = least.get("other", 0) if body is None else 0 if few else -1
-    out, run = [], 0
-    for k, (text, place, article, sure, hints, linked) in enumerate(found):
+    few = min((least[p] for p in (body,) if p in least), default=0)
+    # what main holds beside an article may be its title or lead; where even the article's own
+    # blocks have hints, the rest of the page may be the text
+    rest = {"main": few, "article": few, "other": least.get("other", 0) if body is None else 0 if few else -1}
+    out = []
+    for text, place, article, sure, hints, linked in found:
         if sure:
             verdict = "drop"
-        elif place in inside and hints <= few:
-            verdict = "keep" if not article or weight[article] >= teaser * largest else "drop"
+        elif place == body and hints <= few:
+            verdict = "keep" if not article or weight[article] > 0 or not said else "drop"
         else:
-            verdict = "open" if hints <= rest and place not in inside else "drop"
-        run = run + 1 if verdict == "open" and linked > 0.99 else 0
+            verdict = "open" if hints <= rest[place] and place != body else "drop"
         out.append((text, verdict))
-        if run >= 3:
-            for j in range(k - run + 1, k + 1):
-                out[j] = (out[j][0], "drop")
+    # runs of open blocks that are links alone
+    lone = [v == "open" and x[5] > 0.99 for x, (_, v) in zip(found, out, strict=True)]
+    if any(v != "drop" and not alone for (_, v), alone in zip(out, lone, strict=True)):
+        run = 0
+        for k, alone in enumerate([*lone, False]):
+            if not alone and run >= 3:
+                out[k - run : k] = [(t, "drop") for t, _ in out[k - run : k]]
+            run = run + 1 if alone else 0
     return out
 
 

@@ -109,6 +109,85 @@ def test_a_megabyte_of_broken_markup(piece):
     assert time.process_time() - began < 10
 
 
+@pytest.mark.parametrize(
+    "page, text",
+    [
+        # an article in main is no comment, and what main holds beside it stays
+        ("<main><h1>Title</h1><article><p>x</p></article></main>", ["Title", "x"]), ("<main><p>Lead</p><article><p>x</p></article></main><footer>f</footer>", ["Lead", "x"]),
+        ("<main><article><header><h1>T</h1></header><p>x</p></article><div class='reader-comments'>c</div></main>", ["T", "x"]), ("<main><article><p>x</p><article>a comment</article></article></main>", ["x"]),
+        ("<main><article><p>x</p></article><ul><li><a>One</a><li><a>Two</a><li><a>Three</a></ul></main>", ["x"]), ("<div role=main><p>x</p></div>", ["x"]),
+        # a slash at the end of a value closes nothing, nor does any in HTML's elements
+        ("<article><p>x</p><aside data-u=/a/>Ad</aside><p>y</p></article>", ["x", "y"]), ("<nav data-x=/top/>Menu</nav><p>x</p>", ["x"]), ("<p>x</p><script src=/js/app/>var code;</script><p>y</p>", ["x", "y"]),
+        ("<nav/>Menu</nav><p>x</p>", ["x"]), ("<article><p/>x<svg/><p>y</p></article>", ["x", "y"]), ("<article><svg><path d='M0'/><text>no</text></svg><p>x</p></article>", ["x"]),
+        # a short article is an article
+        (f"<article><p>{'long ' * 40}</p></article><article><p>short</p></article>", [("long " * 40).strip(), "short"]),
+        # names of furniture with numbers, humps and layout, and names of an article's own parts
+        *((f"<article><p>x</p><div class='{c}'>no</div></article>", ["x"]) for c in ("comment-body", "reader-comments", "user-reviews", "ad-slot-top-728x90", "adslot", "sticky-ad-unit", "promo-code-list", "newsletter-box-2", "relatedPosts", "cookieConsent", "x share-buttons")),
+        *((f"<article><p>x</p><div {a}>yes</div></article>", ["x", "yes"]) for a in ("id='notice'", "class='article-form'", "class='market-share'", "id='related'", "class='formula'", "class='adventure'", "class='header'")),
+        # links alone are the text of a page of links
+        ("<div><a>One</a></div><div><a>Two</a></div><div><a>Three</a></div>", ["One", "Two", "Three"]),
+    ],
+)
+def test_layouts_and_names(page, text):
+    assert [t for t, verdict in html_text.judged_blocks(page) if verdict != "drop"] == text
+
+
+class Plain:
+    """What a page's reader sees, by the library's own parser, outside elements that are no text."""
+
+    def __new__(cls, page, skip=("nav", "footer", "aside", "form", "script", "style", "title")):
+        from html.parser import HTMLParser
+
+        class Reader(HTMLParser):
+            out, depth, parts = (), 0, None
+
+            def handle_starttag(self, tag, attrs):
+                self.depth += tag in skip
+                self.cut(tag)
+
+            def handle_endtag(self, tag):
+                self.cut(tag)
+                self.depth -= tag in skip
+
+            def handle_data(self, data):
+                if not self.depth:
+                    self.parts = [*(self.parts or []), data]
+
+            def cut(self, tag):
+                if tag in ("p", "div", "h1", "main", "article", "section", "li", "ul", *skip):
+                    words = "".join(self.parts or []).split()
+                    self.out = (*self.out, " ".join(words)) if words else self.out
+                    self.parts = None
+
+        reader = Reader()
+        reader.feed(page)
+        reader.close()
+        reader.cut("p")
+        return reader.out
+
+
+def test_a_table_of_main_layouts(spark):
+    """Pages with a title and lead beside the article and template lines in main and body: the array
+    takes the lines, and what is left is what a plain parser finds less the lines."""
+    rng = random.Random(8)
+    lines = [words_of(rng, 10) for _ in range(3)]
+    rows, want = [], {}
+    for i in range(45):
+        own = [words_of(rng, rng.randint(3, 25)) for _ in range(4)]
+        article = f"<article><p>{own[2]}</p><p>{own[3]} <a href=/x/>{own[0]}</a></p></article>"
+        page = (
+            f"<body><nav>menu {i}</nav><main><h1>{own[0]}</h1><p>{own[1]}</p>{article}<div>{lines[0]}</div><div>{lines[1]} {i}</div></main><footer>foot {i}</footer>",
+            f"<body><script src=/a/>x</script><main><div>{lines[0]}</div><p>{own[1]}</p>{article}</main><aside data-u=/x/>ad {i}</aside>",
+            f"<body><div>{lines[2]}</div><p>{own[0]}</p><p>{own[1]}</p><p>{own[2]}</p><div>{lines[1]}</div><form>name</form>",
+        )[i % 3]
+        rows.append((i, f"http://h.example/{i}", page))
+        want[i] = [t for t in Plain(page) if not any(x in t for x in lines)]
+    frame = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: r for r in html_text.main_text(frame).collect()}
+    assert {i: r.text.split("\n\n") for i, r in got.items()} == want
+    assert {i: r.n_boilerplate for i, r in got.items()} == {i: (2, 1, 2)[i % 3] for i in range(45)}
+
+
 def words_of(rng, k):
     return " ".join("".join(rng.choices("abcdefgh", k=6)) for _ in range(k))
 
