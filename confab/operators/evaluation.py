@@ -3,6 +3,8 @@ of extraction. A measure without a denominator is null."""
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -94,52 +96,92 @@ def draw_hash(recording) -> Column:
 _PRIME = (1 << 31) - 1
 
 
-def poisson_steps(most: int = 12) -> list[int]:
-    """Of numbers below 2**31 - 1, those up to which fewer than 1, 2, ... events of a Poisson law of mean 1 fall."""
-    import math
-
-    below, out = 0.0, []
-    for n in range(most):
-        below += math.exp(-1) / math.factorial(n)
-        out.append(int(below * _PRIME))
+def split_draws(draws: np.ndarray, bucket: int, ends: np.ndarray, seed: int) -> np.ndarray:
+    """How many of each resample's draws fall to a bucket, of a power of two of them, when ``ends`` are
+    the running sums of their rows: down a tree of halves, each seeded binomial given the count above it.
+    All buckets of a node draw the same, so theirs add up to the node's."""
+    lo, hi, node = 0, len(ends), 1
+    while hi - lo > 1:
+        mid = (lo + hi) // 2
+        begin = int(ends[lo - 1]) if lo else 0
+        left, all_ = int(ends[mid - 1]) - begin, int(ends[hi - 1]) - begin
+        share = np.random.default_rng([seed, node]).binomial(draws, left / all_ if all_ else 0.0)
+        node *= 2
+        if bucket < mid:
+            draws, hi = share, mid
+        else:
+            draws, lo, node = draws - share, mid, node + 1
+    return draws
+
+
+def _fifth(u: np.ndarray) -> np.ndarray:
+    """The fifth power modulo the prime, which permutes the numbers below it."""
+    square = u * u % _PRIME
+    return square * square % _PRIME * u % _PRIME
+
+
+def bucket_sums(draws: np.ndarray, bucket: int, values: np.ndarray, seed: int) -> np.ndarray:
+    """Sums of a bucket's ``values`` (a column each) over its draws of each resample, with replacement."""
+    rows, at = values.shape[1], np.arange(len(draws))
+    lots = (at * 48_271 + seed * 69_621 + bucket * 40_014) % _PRIME
+    out = np.zeros((len(values), len(draws)), np.int64)
+    for a in range(0, len(draws), 64):  # some resamples at a time
+        n = draws[a : a + 64]
+        b = np.repeat(at[a : a + 64], n)
+        j = np.arange(len(b)) - np.repeat(np.cumsum(n) - n, n)
+        u = _fifth(((j + 1) * 16_807 + lots[b]) % _PRIME)
+        row = _fifth((u * 39_373 + lots[b]) % _PRIME) * rows // _PRIME
+        for k, v in enumerate(values):
+            np.add.at(out[k], b, v[row])
     return out
 
 
-def bootstrap(recordings: DataFrame, resamples: int = 1000, seed: int = 42) -> DataFrame:
+def bootstrap(recordings: DataFrame, resamples: int = 1000, seed: int = 42, leaf: int = 4_096) -> DataFrame:
     """Mean and 95 % interval of the error rate over resamples of whole recordings
-    (recording_id, edits, words).
+    (recording_id, edits, words): as many draws with replacement as there are recordings.
 
-    Each recording is in a resample as often as a Poisson weight says, which follows from seed,
-    resample and recording by a congruential mix: reruns agree. A task adds up its recordings for
-    all resamples at once, so one row a resample and task is shuffled, whatever the input. With a
+    Recordings are dealt to buckets by a hash. Seeded binomials down a tree of the buckets say how many
+    draws of each resample a bucket gets, exactly as if all were drawn one by one; a bucket draws its own,
+    of about ``leaf`` rows at most. A task adds up its buckets for all resamples at once, so one row a resample
+    and task is shuffled. Bounds are those at the places int(0.025 n) and int(0.975 n) of the sorted rates. With a
     second system's ``edits_b`` the difference of both on the same draws is given too."""
-    import numpy as np
-    import pyarrow as pa
-
     two = "edits_b" in recordings.columns
-    picked = recordings.select(draw_hash("recording_id").alias("h"), F.col("edits").cast("long").alias("edits"), F.col("words").cast("long").alias("words"), F.col("edits_b" if two else "edits").cast("long").alias("edits_b"))
+    picked = recordings.select(draw_hash("recording_id").alias("h"), F.col("recording_id").cast("string").alias("id"), *(F.coalesce(F.col(c).cast("long"), F.lit(0)).alias(name) for c, name in (("edits", "edits"), ("words", "words"), ("edits_b" if two else "edits", "edits_b"))))
+    total = picked.count()
+    bits = 0 if total <= leaf else min(20, (4 * total // (3 * leaf)).bit_length())
+    placed = picked.withColumn("bucket", F.shiftright("h", 28 - bits).cast("int"))
+    sizes = np.zeros(1 << bits, np.int64)
+    for r in placed.groupBy("bucket").agg(F.count("*").alias("n")).collect():  # at most a row for every 3/4 leaf, and 2**20
+        sizes[r.bucket] = r.n
+    ends = np.cumsum(sizes)
     ddl = "b long, edits long, words long, edits_b long"
-    steps = np.array(poisson_steps())
 
     def draw(batches):
-        sums, at = np.zeros((3, resamples), np.int64), np.arange(resamples)
-        lots = (at * 48_271 + seed * 69_621) % _PRIME
+        sums, at, held = np.zeros((3, resamples), np.int64), None, []
+
+        def drawn():
+            values = np.array(held, np.int64).T
+            return bucket_sums(split_draws(np.full(resamples, total), at, ends, seed), at, values, seed)
+
         for batch in batches:
-            columns = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
-            for a in range(0, batch.num_rows, 2048):
-                h, *values = (c[a : a + 2048] for c in columns)
-                u = ((h[:, None] + 1) * 16_807 + lots[None, :]) % _PRIME
-                u = u * 39_373 % _PRIME * 48_271 % _PRIME
-                k = np.searchsorted(steps, u, side="left").astype(np.int64)
-                sums += np.array([v @ k for v in values])
-        yield pa.RecordBatch.from_arrays([pa.array(at), *map(pa.array, sums)], ["b", "edits", "words", "edits_b"])
-
-    sums = picked.mapInArrow(draw, ddl).groupBy("b").agg(*[F.sum(c).alias(c) for c in ("edits", "words", "edits_b")])
-    words = F.greatest("words", F.lit(1))
-    rates = sums.select((F.col("edits") / words).alias("wer"), (F.col("edits_b") / words).alias("wer_b"))
-    out = [F.avg("wer").alias("mean_wer"), F.expr("percentile(wer, 0.025)").alias("lower"), F.expr("percentile(wer, 0.975)").alias("upper")]
+            for bucket, *row in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
+                if bucket != at and held:
+                    sums += drawn()
+                    held = []
+                at = bucket
+                held.append(row)
+        if held:
+            sums += drawn()
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(resamples)), *map(pa.array, sums)], ["b", "edits", "words", "edits_b"])
+
+    dealt = placed.repartition("bucket").sortWithinPartitions("bucket", "h", "id", "edits", "words", "edits_b")
+    sums = dealt.select("bucket", "edits", "words", "edits_b").mapInArrow(draw, ddl).groupBy("b").agg(*[F.sum(c).alias(c) for c in ("edits", "words", "edits_b")])
+    rate = lambda c: F.when(F.col("words") > 0, F.col(c) / F.col("words")).otherwise(0.0)
+    rates = sums.select(rate("edits").alias("wer"), rate("edits_b").alias("wer_b"))
+    place = lambda values, share: F.coalesce(F.get(F.array_sort(F.collect_list(values)), F.lit(int(share * resamples))), F.lit(0.0))
+    out = [F.coalesce(F.avg("wer"), F.lit(0.0)).alias("mean_wer"), place(F.col("wer"), 0.025).alias("lower"), place(F.col("wer"), 0.975).alias("upper")]
     if two:
-        out.append(F.expr("percentile(wer_b - wer, 0.975)").alias("difference_upper"))
+        out.append(place(F.col("wer_b") - F.col("wer"), 0.975).alias("difference_upper"))
     return rates.agg(*out)
 
 

@@ -179,12 +179,6 @@ def speech_regions(probabilities: Iterable[float], frame_s: float = 0.032, on: f
     return out
 
 
-def detected_speech(frames: DataFrame, key: str = "meeting_id", **limits) -> DataFrame:
-    """frames: key, frame, probability."""
-    step = lambda rows: ((k, a, b) for k, (a, b) in enumerate(speech_regions(rows["probability"], **limits)))
-    return fold(frames, key, ["frame"], step, "region int, start_s double, end_s double")
-
-
 def inherited_languages(windows: DataFrame, key: str = "meeting_id", shortest: float = 4.0) -> DataFrame:
     """Windows under ``shortest`` seconds speak the language decided for the window before; a first one keeps its own."""
 

@@ -372,11 +372,48 @@ def corrected(segments: DataFrame, lexicon: DataFrame, max_entries: int = 20_000
 
 def grouped_split(rows: DataFrame, group: str, seed: int = 42, train: float = 0.70, dev: float = 0.15) -> DataFrame:
     """``rows`` with a ``split`` that no group crosses: a group's place is a hash of the seed and its
-    key, so it needs no count of the groups, and stays when others come."""
+    key, so it needs no count of the groups, and stays when others come; shares are approximate (see ``exact_split``)."""
     u = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(group).cast("string"))), 1, 7), 16, 10).cast("long") / float(1 << 28)
     return rows.withColumn("split", F.when(u < train, "train").when(u < train + dev, "dev").otherwise("test"))
 
 
+def shares(n: int, train: float = 0.70, dev: float = 0.15) -> tuple[int, int]:
+    """How many of ``n`` groups train and develop; the rest test. One group trains, two train and test,
+    and a rounding that leaves none to test takes one from those that develop."""
+    if n < 3:
+        return min(n, 1), 0
+    a, b = max(1, round(train * n)), max(1, round(dev * n))
+    return a, b - 1 if a + b >= n else b
+
+
+def exact_split(rows: DataFrame, group: str, seed: int = 42, train: float = 0.70, dev: float = 0.15, bits: int = 16) -> DataFrame:
+    """``rows`` with a ``split`` that no group crosses, with exact shares of the groups.
+
+    Groups stand in order of a seeded hash. A histogram of its first ``bits`` says in which cell the
+    group of a given place stands; only such a cell's groups are put in order, to find the group after which a split
+    ends. What a row's split is then follows from its group alone: rows are neither ranked nor joined."""
+    text = F.coalesce(F.concat(F.lit("="), F.col(group).cast("string")), F.lit("-"))
+    place = F.struct(F.md5(F.concat_ws(":", F.lit(str(seed)), text)).alias("h"), text.alias("k"))
+    groups = rows.select(place.alias("at")).distinct()
+    cell = F.conv(F.substring("at.h", 1, bits // 4), 16, 10).cast("int")
+    counts = {r.cell: r.n for r in groups.groupBy(cell.alias("cell")).agg(F.count("*").alias("n")).collect()}  # at most 2**bits rows
+    trained, developed = shares(sum(counts.values()), train, dev)
+
+    def last(k: int) -> Column:
+        """Whether a row's group is one of the first ``k``."""
+        if k == 0:
+            return F.lit(False)
+        before = 0
+        for c in sorted(counts):
+            if before + counts[c] >= k:
+                break
+            before += counts[c]
+        found = groups.where(cell == c).orderBy("at").limit(k - before).agg(F.max("at").alias("at")).first()["at"]
+        return place <= F.struct(F.lit(found.h).alias("h"), F.lit(found.k).alias("k"))
+
+    return rows.withColumn("split", F.when(last(trained), "train").when(last(trained + developed), "dev").otherwise("test"))
+
+
 def shuffled_split(groups: list, seed: int = 42) -> dict:
     """Split of a few groups by a seeded shuffle with exact shares: three groups or more fill all
     splits, two are train and test, one is train."""

@@ -168,6 +168,11 @@ def grouped_split(spark, sf):
     return _split(spark, sf).select("doc_id", "source", "split")
 
 
+@query("with g as (select source, row_number() over (order by md5('42:=' || source), source) as r, count(*) over () as n from (select distinct source from documents)), c as (select source, r, greatest(1, round_even(0.7e0 * n, 0)) as a, greatest(1, round_even(0.15e0 * n, 0)) as b, n from g) select doc_id, source, case when r <= a then 'train' when r <= a + b - case when a + b >= n then 1 else 0 end then 'dev' else 'test' end as split from documents join c using (source)")
+def exact_split(spark, sf):
+    return L.exact_split(t.table(spark, sf, "documents").select("doc_id", "source"), "source")
+
+
 @query("select 0::bigint as leaking_groups")
 def split_leakage(spark, sf):
     return L.leaks(_split(spark, sf), "source").agg(F.count("*").alias("leaking_groups"))
@@ -350,12 +355,15 @@ def false_decisions(spark, sf):
     return E.false_decisions(p, d).withColumn("rate", F.round("rate", 6))
 
 
-_BOOTSTRAP = f"""
-with r as (select ('0x' || substr(md5(doc_id::varchar), 1, 7))::bigint as h, doc_id % 9 as e, 50 as w, doc_id % 7 as f from documents),
-d as (select b, e, w, f, (((((h + 1) * 16807 + (b * 48271 + 42 * 69621) % 2147483647) % 2147483647) * 39373 % 2147483647) * 48271 % 2147483647) as u from r, range(1000) as x(b)),
-k as (select b, e, w, f, list_sum(list_transform({E.poisson_steps()}, lambda s: case when u > s then 1 else 0 end)) as k from d),
-s as (select b, sum(e * k) / greatest(sum(w * k), 1) as wer, sum(f * k) / greatest(sum(w * k), 1) as wer_b from k group by 1)
-select round(avg(wer), 9) as mean_wer, round(quantile_cont(wer, 0.025), 9) as lower, round(quantile_cont(wer, 0.975), 9) as upper, round(quantile_cont(wer_b - wer, 0.975), 9) as difference_upper from s
+_BOOTSTRAP = """
+with r as (select row_number() over (order by substr(md5(doc_id::varchar), 1, 7), doc_id::varchar) - 1 as row, count(*) over () as n, doc_id % 9 as e, 50 as w, doc_id % 7 as f from documents),
+a as (select b, (b * 48271 + 42 * 69621) % 2147483647 as lot, j, n from range(1000) as x(b), (select distinct n from r) as c, range((select count(*) from r)) as y(j)),
+d as (select b, n, lot, ((j + 1) * 16807 + lot) % 2147483647 as u from a),
+g as (select b, n, lot, (((u * u % 2147483647) * (u * u % 2147483647)) % 2147483647) * u % 2147483647 as u from d),
+h as (select b, n, (u * 39373 + lot) % 2147483647 as u from g),
+k as (select b, ((((u * u % 2147483647) * (u * u % 2147483647)) % 2147483647) * u % 2147483647) * n // 2147483647 as row from h),
+s as (select b, sum(e) / sum(w) as wer, sum(f) / sum(w) as wer_b from k join r using (row) group by 1)
+select round(avg(wer), 9) as mean_wer, round(list_sort(list(wer))[26], 9) as lower, round(list_sort(list(wer))[976], 9) as upper, round(list_sort(list(wer_b - wer))[976], 9) as difference_upper from s
 """
 
 

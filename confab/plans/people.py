@@ -207,7 +207,7 @@ def ahc_clusters(spark, sf):
     return L.clustered(v, stop=0.9)
 
 
-@query("with r as (select vec_id % 40 as meeting_id, vec_id as window, label, min(vec_id) over (partition by vec_id % 40, label) as root from embeddings) select meeting_id, window, (dense_rank() over (partition by meeting_id order by root) - 1)::bigint as label from r")
+@query('with r as (select vec_id % 40 as meeting_id, vec_id as "window", label, min(vec_id) over (partition by vec_id % 40, label) as root from embeddings) select meeting_id, "window", (dense_rank() over (partition by meeting_id order by root) - 1)::bigint as label from r')
 def ahc_separated(spark, sf):
     """Voices of known speakers with what the table's vectors add to them: clusters are the speakers."""
     v = t.voices(spark, sf)

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from confab.functions import text as T
 from confab.functions.words import AMBIGUOUS, ENGLISH, KEYWORD_STOPWORDS, ROMANIAN
-from confab.operators import folds, intervals
+from confab.operators import folds, intervals, speech
 from confab.operators import segments as S
 
 from . import tables as t
@@ -328,7 +328,7 @@ select meeting_id, (r - 1)::int as region, round(a - least(0.2e0, coalesce((a -
 @query(_HEARD)
 def hysteresis_regions(spark, sf):
     f = t.table(spark, sf, "events").select(F.col("user_id").alias("meeting_id"), F.col("event_id").alias("frame"), F.least(F.lit(1.0), F.col("value") / 150).alias("probability"))
-    return folds.detected_speech(f)
+    return speech.detected_speech(f)
 
 
 @query()

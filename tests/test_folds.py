@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from confab.operators import evaluation, folds, intervals, learning, linkage, minutes, voices
 
@@ -236,6 +237,26 @@ def test_splits():
         assert set(got.values()) >= {"train", "test"} and got == learning.shuffled_split(list(range(n)))
 
 
+@pytest.mark.parametrize("n", [1, 2, 3, 4, 7, 100, 10_000])
+def test_exact_shares(spark, n):
+    """As many groups a split as a seeded shuffle gives, none in two; from few cells of the histogram or many."""
+    from collections import Counter
+
+    want = Counter(learning.shuffled_split(list(range(n))).values())
+    rows = spark.range(3 * n).select((F.col("id") % n).alias("g"))
+    for bits in (4, 16):
+        got = learning.exact_split(rows, "g", bits=bits).distinct().collect()
+        assert Counter(r.split for r in got) == want and len(got) == n
+    assert {tuple(r) for r in learning.exact_split(rows, "g", seed=7).distinct().collect()} != {tuple(r) for r in got} or n < 100
+
+
+def test_exact_shares_of_odd_rows(spark):
+    rows = spark.createDataFrame([(None, "clash"), (None, "x"), ("a", "x")], "g string, split string")
+    got = learning.exact_split(rows, "g").collect()
+    assert len({r.split for r in got if r.g is None}) == 1 and len(got) == 3
+    assert learning.exact_split(rows.limit(0), "g").collect() == []
+
+
 def test_registry(spark):
     acts = [("a", "register", None, None), ("a", "approve", "r", None), ("a", "evaluate", "r", True), ("a", "approve", "x", None), ("a", "approve", "r", None), ("a", "activate", None, None),
             ("b", "register", None, None), ("b", "evaluate", "q", True), ("b", "approve", "q", None), ("b", "activate", None, None)]
@@ -273,6 +294,37 @@ def test_bootstrap(spark):
     assert got.lower < 0.095 < got.upper and got.upper - got.lower < 0.03
 
 
+def test_draws_are_as_many_as_rows():
+    """Buckets get binomial shares that add up, whatever their sizes, and spread as draws one by one do."""
+    rng = np.random.default_rng(1)
+    sizes = rng.integers(0, 40, 16)
+    ends, n = np.cumsum(sizes), int(sizes.sum())
+    draws = np.array([evaluation.split_draws(np.full(4000, n), k, ends, 7) for k in range(16)])
+    assert (draws.sum(axis=0) == n).all() and (draws[sizes == 0] == 0).all()
+    assert draws.mean(axis=1) == pytest.approx(sizes, abs=0.6)
+    assert draws.var(axis=1) == pytest.approx(sizes * (1 - sizes / n), rel=0.12, abs=0.1)
+    # within a bucket: a row's count over the resamples is binomial too
+    values = np.eye(25, dtype=np.int64)
+    counts = evaluation.bucket_sums(np.full(4000, 25), 3, values, 7)
+    assert (counts.sum(axis=0) == 25).all() and counts.mean(axis=1) == pytest.approx(np.ones(25), abs=0.08)
+    assert counts.var(axis=1) == pytest.approx(np.full(25, 0.96), abs=0.12)
+
+
+def test_bootstrap_over_buckets(spark):
+    """Many buckets or one: as wide an interval, and the same again from other partitions."""
+    rows = [(k, k % 20, 100) for k in range(400)]
+    r = spark.createDataFrame(rows, "recording_id long, edits int, words int")
+    one, many = evaluation.bootstrap(r, 1000).first(), evaluation.bootstrap(r, 1000, leaf=20).first()
+    assert many == evaluation.bootstrap(r.repartition(7), 1000, leaf=20).first()
+    sigma = float(np.std([k % 20 / 100 for k in range(400)]) / 20)
+    for got in (one, many):
+        assert got.mean_wer == pytest.approx(0.095, abs=0.002) and got.upper - got.lower == pytest.approx(2 * 1.96 * sigma, rel=0.12)
+    nothing = evaluation.bootstrap(r.limit(0)).first()
+    assert tuple(nothing) == (0.0, 0.0, 0.0)
+    wordless = spark.createDataFrame([(1, 3, 0)], "recording_id long, edits int, words int")
+    assert tuple(evaluation.bootstrap(wordless).first()) == (0.0, 0.0, 0.0)
+
+
 def test_error_counts(spark):
     p = spark.createDataFrame([("Medwark azi", "metwark azi"), ("", "ceva rău"), (None, None)], "reference string, hypothesis string")
     got = [(r.s, r.d, r.i, r.n, r.cs, r.ci, r.cn) for r in evaluation.error_counts(p).collect()]
