@@ -3,6 +3,8 @@
 import hashlib
 import random
 import re
+import string
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -98,6 +100,54 @@ def test_placeholders_suppress_only_what_is_near():
     assert secrets.entropy_spans(f"prev: {key}") and not secrets.entropy_spans(f"rev: {key}") and not secrets.entropy_spans(f"file_md5: {key}")
 
 
+CODE_WORDS = "user account service factory proxy abstract singleton bean handler request response controller manager provider builder configuration element document name class get by tag node index stream reader directory network client server data base query result column value key string boolean array function parameter exception message observer adapter strategy template donau dampf schiff fahrts gesellschaft kapitaen versicherung arbeit vertrag internationalization accessibility characteristic".split()
+
+
+@pytest.mark.parametrize("form", ["camel", "mixed", "path", "hyphens", "snake", "constant", "compound", "COMPOUND", "url"])
+def test_entropy_leaves_names_alone(form):
+    """At most one of a hundred made-up names, paths, addresses and compound words looks like a key."""
+    rng = random.Random(11)
+    camel = lambda n: "".join(w.capitalize() for w in rng.choices(CODE_WORDS, k=n))
+    word = lambda: rng.choice([rng.choice(CODE_WORDS), camel(2), rng.choice(CODE_WORDS) + str(rng.randint(1, 99))])
+    make = {
+        "camel": lambda: camel(rng.randint(3, 6)), "mixed": lambda: rng.choice(CODE_WORDS) + camel(rng.randint(2, 5)) + rng.choice(["", "2", "V3", "Impl"]),
+        "path": lambda: "/".join(word() for _ in range(rng.randint(3, 7))), "hyphens": lambda: "-".join(word() for _ in range(rng.randint(3, 7))),
+        "snake": lambda: "_".join(rng.choices(CODE_WORDS, k=5)) + "_v2", "constant": lambda: "_".join(rng.choices(CODE_WORDS, k=5)).upper(),
+        "compound": lambda: "".join(rng.choices(CODE_WORDS, k=5)), "COMPOUND": lambda: "".join(rng.choices(CODE_WORDS, k=5)).upper(), "url": lambda: "https://www." + rng.choice(CODE_WORDS) + ".example/" + "/".join(word() for _ in range(4)) + "?id=" + str(rng.randint(1, 10**9)),
+    }[form]
+    assert sum(bool(secrets.entropy_spans(f"see {make()} there")) for _ in range(500)) <= 5
+    for x in ("AbstractSingletonProxyFactoryBean", "getElementsByTagNameAndClass", "Donaudampfschifffahrtsgesellschaft", "src/main/java/com/Company/Service2/HandlerImpl"):
+        assert secrets.entropy_spans(x) == []
+
+
+@pytest.mark.parametrize("letters, size, least", [("aA0+/", 24, 0.93), ("aA0+/", 32, 0.98), ("aA0", 32, 0.98), ("a0", 32, 0.98), ("A0", 32, 0.97), ("aA", 32, 0.98), ("f0", 24, 0.98), ("F0", 24, 0.98)])
+def test_entropy_finds_planted_keys(letters, size, least):
+    alphabet = "".join({"a": string.ascii_lowercase, "A": string.ascii_uppercase, "0": string.digits, "f": "abcdef", "F": "ABCDEF"}.get(c, c) for c in letters)
+    rng = random.Random(12)
+    assert sum(bool(secrets.entropy_spans("key " + "".join(rng.choices(alphabet, k=size)) + " end")) for _ in range(500)) >= least * 500
+
+
+def test_spans_of_several_classes_are_named_once():
+    rng = random.Random(13)
+    for alphabet in (string.digits + "ABCDEF", string.digits + "abcdef", string.ascii_letters + string.digits):
+        for n in (27, 60, 200):
+            _, every = secrets.all_spans("".join(rng.choices(alphabet, k=n)))
+            assert not any(a is not b and a[0] <= b[0] and b[1] <= a[1] for a in every for b in every if b[2].startswith("entropy"))
+
+
+@pytest.mark.parametrize("piece", ["key", "run", "hex"])
+def test_a_megabyte_of_keys_takes_linear_time(piece):
+    rng = random.Random(14)
+    some = "".join(rng.choices(string.ascii_letters + string.digits, k=30)) + " "
+    text = {"key": some, "run": some.strip(), "hex": "0123456789abcdef" * 2 + "Zq-"}[piece]
+    took = []
+    for size in (250_000, 1_000_000):
+        began = time.process_time()
+        assert secrets.all_spans(text * (size // len(text)))[1]
+        took.append(time.process_time() - began)
+    assert took[1] < 8 * took[0] + 0.5
+
+
 def test_secrets_on_odd_rows(odd, empty):
     rows = secrets.find_secrets(odd).collect()
     assert len(rows) == len(ODD) and all(r.spans == "" for r in rows)
