@@ -9,6 +9,7 @@ from confab.functions import text as T
 from confab.operators import context, evaluation as E, learning as L, minutes as M, segments as S
 from confab.streaming import streams
 
+from . import corrections
 from . import tables as t
 from .registry import query
 
@@ -257,14 +258,57 @@ def alternative_languages(spark, sf):
 # --- streams --------------------------------------------------------------------------
 
 
-@query()
+def _streamed(spark, sf, name):
+    return spark.readStream.schema(t.table(spark, sf, name).schema).option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", True).parquet(f"{sf}/{name}.parquet")
+
+
+_ADMITTED = """
+with recursive e as (select (user_id % 10)::varchar as queue, (event_id // 11 % 23)::varchar as job, event_id as seq, case when event_id % 11 < 4 then 'submit' when event_id % 11 < 7 then 'claim' when event_id % 11 = 8 then 'delete' when event_id % 110 = 10 then 'restart' else 'finish' end as op, epoch_ms(ts) as now, row_number() over (partition by user_id % 10 order by event_id) as n from events),
+q as (
+  select queue, 0::bigint as n, []::varchar[] as waiting, null::varchar as run, null::bigint as since, null::bigint as until, []::varchar[] as ended, null::varchar as job, null::bigint as seq, null::varchar as verdict, null::varchar as lost, null::bigint as lost_seq from (select distinct queue from e)
+  union all
+  select queue, n, case when verdict = 'queued' then list_append(waiting, job) when verdict = 'claimed' then waiting[2:] else waiting end,
+    case when verdict = 'claimed' then job when verdict in ('finished', 'interrupted') then null else run end, case when verdict = 'claimed' then seq else since end, case when verdict = 'claimed' then now + 3600000 else until end,
+    case when verdict in ('finished', 'interrupted') then list_append(ended, job) when verdict = 'deleted' then list_filter(ended, lambda x: x <> job) else ended end, job, seq, verdict, lost, lost_seq
+  from (select queue, n, waiting, run, since, until, ended, now, seq, lost, lost_seq, verdict, case when op = 'claim' then case verdict when 'claimed' then waiting[1] else run end when op = 'restart' then run else job end as job
+    from (select *, case op
+        when 'submit' then case when list_contains(waiting, job) or coalesce(run = job, false) or list_contains(ended, job) then 'repeated' when len(waiting) + (run is not null)::int >= 10 then 'rejected' else 'queued' end
+        when 'claim' then case when run is not null then 'busy' when len(waiting) = 0 then 'idle' else 'claimed' end
+        when 'finish' then case when coalesce(run = job, false) then 'finished' else 'unknown' end
+        when 'restart' then case when run is not null then 'interrupted' else 'idle' end
+        else case when list_contains(waiting, job) or coalesce(run = job, false) then 'refused' when list_contains(ended, job) then 'deleted' else 'unknown' end end as verdict
+      from (select e.queue, e.n, e.job, e.seq, e.op, e.now, q.waiting, q.since, q.until, case when coalesce(q.run is not null and q.until <= e.now, false) then null else q.run end as run, case when coalesce(q.run is not null and q.until <= e.now, false) then list_append(q.ended, q.run) else q.ended end as ended,
+          case when coalesce(q.run is not null and q.until <= e.now, false) then q.run end as lost, case when coalesce(q.run is not null and q.until <= e.now, false) then q.since end as lost_seq
+        from q join e on e.queue = q.queue and e.n = q.n + 1)))
+)
+select queue, job as job_id, seq, verdict from q where n > 0 union all select queue, lost, lost_seq, 'expired' from q where lost is not null
+"""
+
+
+@query(_ADMITTED)
 def admitted_jobs(spark, sf):
-    """Events as a stream of jobs: the queue keeps its state between batches, its verdicts are files."""
+    """Events as a stream of a queue's ops: jobs, the lease and what ended are state, verdicts are files."""
     from confab.sources.stores import scratch
 
-    events = spark.readStream.schema(t.table(spark, sf, "events").schema).option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", True).parquet(f"{sf}/events.parquet")
-    op = F.when(F.col("event_type") == "purchase", "finish").when(F.col("event_type") == "error", "delete").otherwise("submit")
-    jobs = events.select((F.col("user_id") % 10).cast("string").alias("queue"), F.floor(F.col("event_id") / 7).cast("string").alias("job_id"), F.col("event_id").alias("seq"), op.alias("op"))
+    k = F.col("event_id")
+    op = F.when(k % 11 < 4, "submit").when(k % 11 < 7, "claim").when(k % 11 == 8, "delete").when(k % 110 == 10, "restart").otherwise("finish")
+    jobs = _streamed(spark, sf, "events").select((F.col("user_id") % 10).cast("string").alias("queue"), (F.floor(k / 11) % 23).cast("string").alias("job_id"), k.alias("seq"), op.alias("op"), "ts")
     path, schema = scratch(spark, "queue"), streams.QUEUE
-    streams.admitted(jobs).writeStream.format("parquet").option("path", path).option("checkpointLocation", scratch(spark, "queue-state")).trigger(availableNow=True).start().awaitTermination()
+    streams.with_rocksdb(spark)
+    # a watermark that passes no lease: only a queue's own ops end them
+    found = streams.admitted(jobs, delay="3650 days")
+    found.writeStream.format("parquet").option("path", path).option("checkpointLocation", scratch(spark, "queue-state")).trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema(schema).parquet(path)
+
+
+@query(f"select * from {corrections._LATEST}")
+def catalog_projected(spark, sf):
+    """Corrections as a stream: each batch writes the events that it changed, and the last change of each is the catalogue."""
+    from confab.operators import learning
+    from confab.sources.stores import scratch
+
+    events = t.corrected(_streamed(spark, sf, "events"))
+    path = scratch(spark, "catalogue")
+    streams.with_rocksdb(spark)
+    streams.kept_up(streams.projected(events, kept=learning.KEPT, first=("created_at",)), path, scratch(spark, "catalogue-state")).awaitTermination()
+    return streams.current(spark.read.parquet(path)).select("event_id", "seq", "meeting_id", "edit_kind", "created_at", "verification_status", "audio_start", "audio_end", "speaker_cluster", "new_text")

@@ -134,6 +134,11 @@ def voices(spark, sf_dir):
     return _same(spark, sf_dir, "embeddings", _VOICES)
 
 
+def corrected(events: DataFrame) -> DataFrame:
+    """Rows of events, in a batch or a stream, as corrections."""
+    return events.selectExpr(*[c.strip() for c in _CORRECTIONS.strip().split(";\n")])
+
+
 def corrections(spark, sf_dir):
     return _same(spark, sf_dir, "events", _CORRECTIONS)
 

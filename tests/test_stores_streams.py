@@ -192,30 +192,78 @@ def test_stream_sessions_and_repeats(spark, sf_dir, folder):
     assert spark.table("once").count() == 5
 
 
-def test_job_queue(spark, folder):
-    rows = [("q", "a", 1, "submit"), ("q", "a", 2, "submit"), ("q", "b", 3, "submit"), ("q", "c", 4, "submit"), ("q", "a", 5, "delete"), ("q", "b", 6, "delete"), ("q", "a", 7, "finish"), ("q", "a", 8, "finish"), ("p", "a", 9, "submit")]
-    spark.createDataFrame(rows, "queue string, job_id string, seq long, op string").coalesce(1).write.parquet(f"{folder}/in")
-    stream = spark.readStream.schema("queue string, job_id string, seq long, op string").parquet(f"{folder}/in")
-    q = streams.admitted(stream, depth=2).writeStream.format("memory").queryName("queue").outputMode("append").trigger(availableNow=True).start()
-    q.awaitTermination()
-    got = {r.seq: r.verdict for r in spark.table("queue").collect()}
-    assert got == {1: "queued", 2: "repeated", 3: "queued", 4: "rejected", 5: "refused", 6: "deleted", 7: "finished", 8: "unknown", 9: "queued"}
+OPS = "queue string, job_id string, seq long, op string, ts timestamp"
 
 
-def test_projection_and_outbox(spark, folder):
-    schema = "event_id long, seq long, v string"
-    for k in range(2):
-        spark.createDataFrame([(1, k, f"v{k}"), (k + 2, k, "x")], schema).coalesce(1).write.mode("append").parquet(f"{folder}/in")
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+def played(spark, folder, batches, name, depth=2, lease="10 minutes"):
+    """Verdicts by seq of ops that come batch by batch, the stream stopped and restarted after each."""
+    import datetime
 
-    def merge(old, batch):
-        every = batch if old is None else old.unionByName(batch)
-        return learning.upserted(every, kept=(), first=()).select("event_id", "seq", "v")
+    streams.with_rocksdb(spark)
+    out = []
+    for k, rows in enumerate(batches):
+        at = [(*r[:4], datetime.datetime(2024, 1, 1, 0, r[4])) for r in rows]
+        spark.createDataFrame(at, OPS).coalesce(1).write.mode("append").parquet(f"{folder}/in")
+        stream = spark.readStream.schema(OPS).parquet(f"{folder}/in")
+        q = streams.admitted(stream, depth, lease, "1 minute").writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/cp").outputMode("append").trigger(availableNow=True).start()
+        q.awaitTermination()
+        out.append({(r.seq, r.verdict): r.job_id for r in spark.read.schema(streams.QUEUE).parquet(f"{folder}/out").collect()})
+    return out
 
-    streams.projected(stream, f"{folder}/out", f"{folder}/cp", merge).awaitTermination()
-    got = sorted(tuple(r) for r in spark.read.parquet(f"{folder}/out/v=1").select("event_id", "seq", "v").collect())
-    assert got == [(1, 1, "v1"), (2, 0, "x"), (3, 1, "x")]
-    streams.outbox(stream, f"{folder}/box", f"{folder}/cp2").awaitTermination()
+
+def test_job_queue(spark, folder):
+    rows = [("q", "a", 1, "submit", 0), ("q", "a", 2, "submit", 0), ("q", None, 3, "claim", 1), ("q", "b", 4, "submit", 1), ("q", "c", 5, "submit", 1), ("q", "a", 6, "delete", 2), ("q", "b", 7, "delete", 2), ("q", None, 8, "claim", 2), ("q", "a", 9, "finish", 3), ("q", "a", 10, "finish", 3), ("q", "a", 11, "submit", 3), ("q", "a", 12, "delete", 3), ("q", "a", 13, "submit", 3), ("p", "a", 14, "submit", 4), ("p", None, 15, "restart", 4), ("p", "z", 16, "delete", 4)]
+    (got,) = played(spark, folder, [rows], "one")
+    verdicts = {seq: v for seq, v in got}
+    assert verdicts == {1: "queued", 2: "repeated", 3: "claimed", 4: "queued", 5: "rejected", 6: "refused", 7: "refused", 8: "busy", 9: "finished", 10: "unknown", 11: "repeated", 12: "deleted", 13: "queued", 14: "queued", 15: "idle", 16: "unknown"}
+
+
+def test_a_queue_goes_on_after_a_restart(spark, folder):
+    """The running job of a stopped stream has failed at the restart op; those that waited are claimed in order."""
+    first = [("q", "a", 1, "submit", 0), ("q", "b", 2, "submit", 0), ("q", None, 3, "claim", 1)]
+    second = [("q", None, 4, "restart", 2), ("q", "a", 5, "submit", 2), ("q", None, 6, "claim", 3), ("q", "b", 7, "finish", 4), ("q", None, 8, "claim", 4)]
+    got = played(spark, folder, [first, second], "restart")[-1]
+    assert got == {(1, "queued"): "a", (2, "queued"): "b", (3, "claimed"): "a", (4, "interrupted"): "a", (5, "repeated"): "a", (6, "claimed"): "b", (7, "finished"): "b", (8, "idle"): None}
+
+
+def test_leases_run_out(spark, folder):
+    """By the next op of the queue, and by a timer once the watermark has passed."""
+    first = [("q", "a", 1, "submit", 0), ("q", "b", 2, "submit", 0), ("q", None, 3, "claim", 1), ("q", None, 4, "claim", 12), ("p", "x", 5, "submit", 13)]
+    second = [("p", "y", 6, "submit", 40)]
+    one, two = played(spark, folder, [first, second], "lease")
+    assert one[3, "expired"] == "a" and one[4, "claimed"] == "b" and (4, "expired") not in one
+    assert two[4, "expired"] == "b"
+
+
+CHANGES = "event_id long, seq long, v string, checksum string, created_at string"
+
+
+def test_projection_follows_its_batches(spark, folder):
+    """A batch gives rows for the events it changes alone; late, repeated and missed versions come out as in one upsert."""
+    streams.with_rocksdb(spark)
+    batches = [
+        [(1, 1, "a", "c1", "t1"), (2, 1, "x", None, "t1"), (3, 1, "y", "c3", "t1")],
+        [(1, 3, "b", None, "t3")],
+        [(2, 2, None, "c2", "t2"), (2, 1, "x", None, "t1"), (4, 9, "new", None, None)],
+        [(1, 2, "late", "c2", "t2"), (1, 0, "first", None, "t0"), (3, 1, "y", "c3", "t1")],
+    ]
+    sizes = []
+    for rows in batches:
+        spark.createDataFrame(rows, CHANGES).coalesce(1).write.mode("append").parquet(f"{folder}/in")
+        stream = spark.readStream.schema(CHANGES).parquet(f"{folder}/in")
+        streams.kept_up(streams.projected(stream, kept=("checksum",), first=("created_at",)), f"{folder}/out", f"{folder}/cp").awaitTermination()
+        sizes.append(spark.read.parquet(f"{folder}/out").count())
+    assert sizes == [3, 4, 6, 7]
+    got = streams.current(spark.read.parquet(f"{folder}/out").drop("batch")).drop("version").select("event_id", "seq", "v", "checksum", "created_at")
+    every = spark.createDataFrame([r for rows in batches for r in rows], CHANGES)
+    want = learning.upserted(every, kept=("checksum",), first=("created_at",)).select("event_id", "v", "checksum", "created_at")
+    assert sorted(map(tuple, got.drop("seq").collect())) == sorted(map(tuple, want.collect()))
+    assert {r.event_id: (r.v, r.checksum, r.created_at) for r in got.collect()} == {1: ("b", "c2", "t0"), 2: (None, "c2", "t1"), 3: ("y", "c3", "t1"), 4: ("new", None, None)}
+
+
+def test_outbox(spark, folder):
+    spark.range(4).coalesce(1).write.parquet(f"{folder}/in")
+    streams.outbox(spark.readStream.schema("id long").parquet(f"{folder}/in"), f"{folder}/box", f"{folder}/cp2").awaitTermination()
     assert spark.read.parquet(f"{folder}/box").count() == 4
 
 
