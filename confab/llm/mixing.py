@@ -2,19 +2,21 @@
 
 Sizes are word counts. Each source's target is its share by weight of all words, never
 over ``max_epochs`` times its size; what a stopped source leaves is shared again by weight
-until none is above. Targets become integer quotas of equal blocks of ``block_words`` words,
-dealt to sources by highest quotients target / (2k + 1), and each source's blocks are dealt in
-the same way to its shards by their sizes. Blocks have one size whatever the input, and what a
-source's target leaves over or under its blocks is settled in words, so sources smaller than a
-block meet their targets too. A shard orders its documents by a seeded hash and the mix takes
-its quota from the start of that stream, whole passes first, so only one document a shard is
-taken in part.
+until none is above. Blocks of ``block_words`` words are dealt to sources by highest quotients
+target / (2k + 1), as many as all targets hold, and each source's blocks in the same way to its shards by
+their sizes. A shard orders its documents by a seeded hash and cuts that stream of words into blocks; a
+quota beyond the shard's own blocks is whole passes over it, and the rest is drawn from
+its blocks: evenly spaced along the stream from a seeded start, so any place in the stream tells by
+arithmetic whether its block is drawn, and no table of blocks is needed. A document's words are
+those of its that lie in drawn blocks, beside the passes.
+
+A source whose target is under ``exact_blocks`` blocks, of which half a block would be a
+noticeable share, is settled in words: its quota is its target to the word, dealt to shards alike, and one
+more block of a shard, or what its last words leave of one, is taken in part.
 
 Shards are hashed, so a source holding a third of all rows is spread over many. Their
-number follows the words, up to ``max_shards`` in all and one a source: the tables of quotas
-and of the documents taken in part have at most ``max_shards`` + sources rows, whatever the
-input, and the second is all that a document needs to know what is taken of it. The table of
-sources is the mix's recipe; more than ``max_sources`` of them are refused by an error.
+number follows the words, up to ``max_shards`` in all and one a source, and the table of their quotas has a row
+each. The table of sources is the mix's recipe; more than ``max_sources`` of them are refused by an error.
 
 Edge cases: a null text has size 0 and is never taken. A null source is a source, last in
 order. Repeated rows are documents of their own, held as one row and its count until the end.
@@ -29,7 +31,8 @@ import re
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+import xxhash
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import WORD_PATTERN, materialize, row_key, slices
@@ -81,66 +84,80 @@ def sainte_lague(votes, seats: int, caps=None) -> np.ndarray:
     return out
 
 
-def quotas(goal: list[float], held: list[list[int]], block: int, max_epochs: int) -> list[list[int]]:
-    """Words to take from each shard of each source: ``held`` has the shards' words.
-
-    Blocks go to sources, then to their shards, by Sainte-Lague; the words between a source's
-    blocks and its target are then taken from, or added to, its shards in order, within their caps."""
-    blocks = sainte_lague(goal, int(sum(goal)) // block)
+def quotas(goal: list[float], held: list[list[int]], block: int, max_epochs: int, exact_blocks: int = 64) -> list[list[tuple[int, int, int]]]:
+    """(passes, blocks, words) to take from each shard of each source, whose words are ``held``: passes over all of it, blocks drawn
+    beside them, and words of one more block, which only sources settled in words have."""
+    seats = sainte_lague(goal, int(sum(goal)) // block)
     out = []
-    for target, seats, own in zip(goal, blocks.tolist(), held, strict=True):
-        caps = [max_epochs * s for s in own]
-        took = [block * int(q) for q in sainte_lague(own, seats, [c // block for c in caps])]
-        left = min(round(target), sum(caps)) - sum(took)
-        for k, cap in enumerate(caps):
-            step = max(-took[k], min(left, cap - took[k]))
-            took[k], left = took[k] + step, left - step
-        out.append(took)
+    for target, blocks, own in zip(goal, seats.tolist(), held, strict=True):
+        exact = target < exact_blocks * block
+        unit = 1 if exact else block
+        caps = [max_epochs * s // unit for s in own]
+        dealt = sainte_lague(own, min(round(target) if exact else blocks, sum(caps)), caps)
+        mine = []
+        for n, size in zip(dealt.tolist(), own, strict=True):
+            passes, rest = divmod(n * unit, size) if size else (0, 0)
+            mine.append((passes, rest // block, rest % block if exact else 0))
+        out.append(mine)
     return out
 
 
-def sized(docs: DataFrame) -> DataFrame:
-    """doc_id, key, source, size and number of equal rows of each document, in the shared folder."""
-    size = F.coalesce(F.regexp_count("text", F.lit(WORD_PATTERN)), F.lit(0)).cast("long")
-    picked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_key("doc_id", "source", "text").alias("key"), F.col("source").cast("string").alias("source"), size.alias("size"))
-    return materialize(picked.groupBy("key", "doc_id", "source", "size").agg(F.count("*").alias("copies")), "mix-sizes")
+# --- drawn blocks of a shard ----------------------------------------------------------
 
 
-def _host():
-    return F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit("~"))
+def first_left(blocks: int, drawn: int, start: int) -> int:
+    """The first of ``blocks`` whole blocks that is not drawn; the one after them if all are."""
+    if drawn == 0 or drawn == blocks:
+        return 0 if drawn < blocks else blocks
+    return next(k for k in range(blocks) if not is_drawn(k, blocks, drawn, start))
 
 
-class Recipe:
-    """What the mix takes: ``sources`` (host, source_size, target, shards) and, one row a shard,
-    ``cuts`` (host, shard, passes, at, at_key, words): every document is taken ``passes`` times,
-    those before (at, at_key) in the shard's order once more, and of that document ``words`` more."""
+def is_drawn(k: int, blocks: int, drawn: int, start: int) -> bool:
+    return k < blocks and (k + 1 + start) * drawn // blocks > (k + start) * drawn // blocks
 
-    def __init__(self, sources: DataFrame, cuts: DataFrame, seed: int):
-        self.sources, self.cuts, self.seed = sources, cuts, seed
 
-    def placed(self, rows: DataFrame) -> DataFrame:
-        """Rows with a ``key`` and a ``host``, with shard, order and what their source and shard know."""
-        # at most max_sources rows, and at most max_shards more
-        known = rows.join(F.broadcast(self.sources), "host").withColumns({"shard": self.shard(), "order": self.order()})
-        return known.join(F.broadcast(self.cuts), ["host", "shard"])
+def drawn_before(at: Column, block: int) -> Column:
+    """Words of the stream before place ``at`` that are in drawn blocks, of a row that knows its shard's
+    ``blocks``, ``drawn``, ``start``, ``left`` (the block taken in part) and ``words`` (of it)."""
+    k = F.least(F.floor(at / block), F.col("blocks"))
+    div = lambda a: F.when(F.col("blocks") > 0, F.call_function("div", a * F.col("drawn"), F.col("blocks"))).otherwise(F.lit(0).cast("long"))
+    upto = div(k + F.col("start"))
+    within = F.when((k < F.col("blocks")) & (div(k + 1 + F.col("start")) > upto), at - k * block).otherwise(F.lit(0))
+    part = F.least(F.col("words"), F.greatest(at - F.col("left") * block, F.lit(0)))
+    return ((upto - div(F.col("start"))) * block + within + part).cast("long")
 
-    def order(self):
-        return F.xxhash64(F.lit(self.seed), F.col("key"))
 
-    def shard(self):
-        return F.pmod(F.xxhash64(F.lit(self.seed + 1), F.col("key")), F.col("shards"))
+def drawn_runs(begin: int, size: int, block: int, blocks: int, drawn: int, start: int, left: int, words: int) -> list[tuple[int, int]]:
+    """The runs of words, counted in a document that begins at a place of the stream, that lie in drawn blocks."""
+    out: list[tuple[int, int]] = []
+    for k in range(begin // block, -(-(begin + size) // block)):
+        a, b = k * block, (k + 1) * block if is_drawn(k, blocks, drawn, start) else k * block + (words if k == left else 0)
+        a, b = max(a - begin, 0), min(b - begin, size)
+        if a < b:
+            if out and out[-1][1] == a:
+                out[-1] = (out[-1][0], b)
+            else:
+                out.append((a, b))
+    return out
 
 
-def before():
-    return (F.col("order") < F.col("at")) | (F.col("order") == F.col("at")) & (F.col("key") < F.col("at_key"))
+# --- the mix --------------------------------------------------------------------------
 
 
-def at_cut():
-    return F.col("key") == F.col("at_key")
+def sized(docs: DataFrame) -> DataFrame:
+    """doc_id, key, source, size and number of equal rows of each document, in the shared folder."""
+    size = F.coalesce(F.regexp_count("text", F.lit(WORD_PATTERN)), F.lit(0)).cast("long")
+    picked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_key("doc_id", "source", "text").alias("key"), F.col("source").cast("string").alias("source"), size.alias("size"))
+    return materialize(picked.groupBy("key", "doc_id", "source", "size").agg(F.count("*").alias("copies")), "mix-sizes")
+
+
+def _host():
+    return F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit("~"))
 
 
-def recipe(rows: DataFrame, weights=(1, 2, 3), max_epochs: int = 3, seed: int = 42, block_words: int = 128, shard_words: int = 1_000_000, max_shards: int = 65_536, max_sources: int = 100_000) -> Recipe:
-    """The mix of ``rows`` (see ``sized``)."""
+def placed(rows: DataFrame, weights=(1, 2, 3), max_epochs: int = 3, seed: int = 42, block_words: int = 4_096, exact_blocks: int = 64, shard_words: int = 1_000_000, max_shards: int = 65_536, max_sources: int = 100_000) -> DataFrame:
+    """``rows`` (see ``sized``) with source_size, target, the place ``begin`` in the shard's stream, and the shard's
+    passes, blocks, drawn, start, left and words."""
     spark = rows.sparkSession
     found = rows.groupBy("source").agg(F.sum(F.col("size") * F.col("copies")).alias("size")).limit(max_sources + 1).collect()
     if len(found) > max_sources:
@@ -152,76 +169,94 @@ def recipe(rows: DataFrame, weights=(1, 2, 3), max_epochs: int = 3, seed: int =
     per_shard = max(shard_words, -(-total // max_shards))
     shards = [max(1, -(-s // per_shard)) for s in sizes]
     facts = [("~" if r.source is None else "=" + r.source, s, float(g), n) for r, s, g, n in zip(found, sizes, goal, shards, strict=True)]
-    sources = spark.createDataFrame(facts, "host string, source_size long, target double, shards long")
-    out = Recipe(sources, sources, seed)
-    dealt = rows.withColumn("host", _host()).join(F.broadcast(sources), "host").withColumns({"shard": out.shard(), "order": out.order(), "words": F.col("size") * F.col("copies")})
+    # at most max_sources rows
+    sources = F.broadcast(spark.createDataFrame(facts, "host string, source_size long, target double, shards long"))
+    shard = F.pmod(F.xxhash64(F.lit(seed + 1), F.col("key")), F.col("shards"))
+    dealt = rows.withColumn("host", _host()).join(sources, "host").withColumns({"shard": shard, "order": F.xxhash64(F.lit(seed), F.col("key")), "__words": F.col("size") * F.col("copies")}).drop("shards")
     held: dict[str, list] = {f[0]: [] for f in facts}
-    for r in dealt.groupBy("host", "shard").agg(F.sum("words").alias("size")).collect():
+    for r in dealt.groupBy("host", "shard").agg(F.sum("__words").alias("size")).collect():  # at most max_shards rows and one a source
         held[r.host].append((r.shard, int(r["size"])))
     own = [sorted(held[f[0]]) for f in facts]
     plan = []
-    for (host, *_), mine, words in zip(facts, own, quotas(goal, [[s for _, s in x] for x in own], block_words, max_epochs), strict=True):
-        plan += [(host, shard, w // s if s else 0, w % s if s else 0) for (shard, s), w in zip(mine, words, strict=True)]
-    # one row a shard
-    quota = F.broadcast(spark.createDataFrame(plan, "host string, shard long, passes long, rest long"))
+    for (host, *_), mine, took in zip(facts, own, quotas(goal, [[s for _, s in x] for x in own], block_words, max_epochs, exact_blocks), strict=True):
+        for (k, size), (passes, drawn, words) in zip(mine, took, strict=True):
+            blocks = size // block_words
+            start = xxhash.xxh64_intdigest(f"{seed}:{host}:{k}") % blocks if blocks else 0
+            plan.append((host, k, passes, blocks, drawn, start, first_left(blocks, drawn, start) if words else 0, words))
+    quota = F.broadcast(spark.createDataFrame(plan, "host string, shard long, passes long, blocks long, drawn long, start long, left long, words long"))
     stream = Window.partitionBy("host", "shard").orderBy("order", "key").rowsBetween(Window.unboundedPreceding, -1)
-    run = dealt.withColumn("before", F.coalesce(F.sum("words").over(stream), F.lit(0))).join(quota, ["host", "shard"])
-    cut = run.where((F.col("before") <= F.col("rest")) & (F.col("rest") < F.col("before") + F.col("words")))
-    cuts = cut.select("host", "shard", "passes", F.col("order").alias("at"), F.col("key").alias("at_key"), (F.col("rest") - F.col("before")).alias("words"), (F.col("copies") > 1).alias("several"))
-    return Recipe(sources, materialize(cuts, "mix-cuts"), seed)
+    return dealt.withColumn("begin", F.coalesce(F.sum("__words").over(stream), F.lit(0)).cast("long")).join(quota, ["host", "shard"]).drop("host", "shard", "order", "__words")
+
+
+def _block(settings: dict) -> int:
+    return settings.get("block_words", 4_096)
 
 
 def mix(docs: DataFrame, **settings) -> DataFrame:
     """Per document: doc_id, key, size, source_size, target (its source's), taken (words, repeats counted)."""
-    rows = sized(docs)
-    r = recipe(rows, **settings)
-    known = rows.withColumn("host", _host()).join(F.broadcast(r.sources), "host").withColumns({"shard": r.shard(), "order": r.order()})
-    # a shard without words has no cut
-    both = known.join(F.broadcast(r.cuts), ["host", "shard"], "left")
-    each = both.withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)))
-    part = F.when(before(), F.col("size")).when(at_cut(), F.least(F.col("size"), F.greatest(F.lit(0).cast("long"), F.col("words") - F.col("copy") * F.col("size")))).otherwise(0)
-    taken = F.when(F.col("size") > 0, F.coalesce(F.col("passes") * F.col("size") + part, F.lit(0))).otherwise(0)
+    each = placed(sized(docs), **settings).withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)))
+    begin, block = F.col("begin") + F.col("copy") * F.col("size"), _block(settings)
+    taken = F.col("passes") * F.col("size") + drawn_before(begin + F.col("size"), block) - drawn_before(begin, block)
     return each.select("doc_id", "key", "size", "source_size", "target", taken.cast("long").alias("taken"))
 
 
-def cut_after_words(text: str, n: int) -> str:
-    """``text`` up to the end of its ``n``-th word."""
-    end = 0
-    for _, m in zip(range(n), re.finditer(WORD_PATTERN, text)):
-        end = m.end()
-    return text[:end]
+def words_of(text: str, runs: list[tuple[int, int]]) -> list[str]:
+    """The parts of ``text`` that hold the words of each run, with what stands before its first and after its last word."""
+    if not runs:
+        return []
+    ends = [0, *(m.end() for m in re.finditer(WORD_PATTERN, text))]
+    return [text[ends[a] if a else 0 : ends[b] if b + 1 < len(ends) else len(text)].strip(" \t\n\x0b\f\r") if a else text[: ends[b] if b + 1 < len(ends) else len(text)] for a, b in runs]
 
 
 def apply_mix(docs: DataFrame, **settings) -> DataFrame:
-    """The mixed corpus: a row for each whole pass over a document, and one, cut after the
-    words taken, for a pass in part. Columns are those of ``docs``; ``n_chars``, if there is
-    one, follows a cut. Texts are not shuffled: what is taken of a document follows from its
-    own key and the table of cuts. Only repeated rows at a cut, which share the words there,
-    are brought together, and each such group as one row."""
-    rows = sized(docs)
-    r = recipe(rows, **settings)
-    names = [f"__{c}" for c in ("size", "taken")]
-    size = F.coalesce(F.regexp_count("text", F.lit(WORD_PATTERN)), F.lit(0)).cast("long")
-    cells = docs.select(F.struct("*").alias("__doc"), row_key("doc_id", "source", "text").alias("key"), _host().alias("host"), size.alias("size"))
-    both = r.placed(cells)
-    shared = at_cut() & F.col("several")
-    part = F.when(before(), F.col("size")).when(at_cut(), F.col("words")).otherwise(0)
-    single = both.where(~shared).select("__doc.*", F.col("size").alias(names[0]), (F.col("passes") * F.col("size") + part).alias(names[1]))
-    counts = F.broadcast(rows.join(F.broadcast(r.cuts.where("several").select(F.col("at_key").alias("key"))), "key").select("key", "copies"))  # at most a row a shard
-    groups = both.where(shared).join(counts, "key").dropDuplicates(["key"]).select("__doc.*", F.col("size").alias(names[0]), (F.col("passes") * F.col("size") * F.col("copies") + F.col("words")).alias(names[1]))
-    taken = single.unionByName(groups).where(F.col(names[1]) > 0)
+    """The mixed corpus: a row for each whole pass over a document, and one for each run of its
+    words in drawn blocks. Columns are those of ``docs``; ``n_chars``, if there is one, follows a cut.
+
+    Texts meet their places in the streams by key. Of repeated rows one is kept, which stands for the words that all
+    of them take: whole texts, and one cut short; many such are dealt to tasks in portions."""
+    block = _block(settings)
+    facts = placed(sized(docs), **settings)
+    both = drawn_before(F.col("begin") + F.col("copies") * F.col("size"), block) - drawn_before(F.col("begin"), block)
+    facts = facts.withColumn("extra", both).withColumn("every", F.col("passes") * F.col("size") * F.col("copies") + F.col("extra"))
+    facts = materialize(facts.where(F.col("every") > 0).select("key", "copies", *_PLACE), "mix-places")
+    cells = docs.select(F.struct("*").alias("__doc"), row_key("doc_id", "source", "text").alias("key"))
+    names = [f"__{c}" for c in _PLACE]
+    plain = [F.col(c).alias(n) for c, n in zip(_PLACE, names, strict=True)]
+    # keys of very many rows, at most rows / _HOT of them, are brought to one row before any shuffle
+    hot = F.broadcast(facts.where(F.col("copies") > _HOT).select("key"))
+    met = cells.join(hot, "key", "left_anti").join(facts, "key")
+    single = met.where("copies = 1").select("__doc.*", *plain)
+    # a group of equal rows: whole texts in portions, then the rest
+    several = facts.where("copies > 1")
+    one = met.where("copies > 1").select("__doc", "key").unionByName(cells.join(hot, "key", "left_semi").select("__doc", "key")).dropDuplicates(["key"])
+    portion = F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.col("every") / F.col("size") / _PORTION)))
+    shares = several.withColumn("__n", portion).withColumn("every", F.least(F.col("every") - F.col("__n") * _PORTION * F.col("size"), _PORTION * F.col("size"))).where(F.col("every") > 0)
+    spread = one.join(shares, "key").repartition("key", "__n").select("__doc.*", *[F.lit(-1).cast("long").alias(n) if c == "begin" else F.col(c).alias(n) for c, n in zip(_PLACE, names, strict=True)])
     at, chars = docs.columns.index("text"), docs.columns.index("n_chars") if "n_chars" in docs.columns else None
 
     def passes(batches):
         for part in slices(batches):
             index, texts = [], []
-            for i, (text, size, words) in enumerate(zip(*(part.column(k).to_pylist() for k in (at, -2, -1)), strict=True)):
-                index += [i] * (words // size + (words % size > 0))
-                texts += [text] * (words // size) + ([cut_after_words(text, words % size)] if words % size else [])
-            out = part.take(pa.array(index, pa.int64())).select(range(part.num_columns - 2))
+            columns = [part.column(part.num_columns - len(_PLACE) + k).to_pylist() for k in range(len(_PLACE))]
+            for i, (text, begin, size, whole, every, blocks, drawn, start, left, words) in enumerate(zip(part.column(at).to_pylist(), *columns, strict=True)):
+                if begin < 0:
+                    got = [text] * (every // size) + words_of(text, [(0, every % size)] if every % size else [])
+                else:
+                    got = [text] * whole + words_of(text, drawn_runs(begin, size, block, blocks, drawn, start, left, words))
+                index += [i] * len(got)
+                texts += got
+            out = part.take(pa.array(index, pa.int64())).select(range(part.num_columns - len(_PLACE)))
             out = out.set_column(at, out.schema.field(at), pa.array(texts, out.schema.field(at).type))
             if chars is not None:
                 out = out.set_column(chars, out.schema.field(chars), pa.array([len(t) for t in texts]).cast(out.schema.field(chars).type))
             yield out
 
-    return taken.mapInArrow(passes, docs.schema)
+    return single.unionByName(spread).mapInArrow(passes, docs.schema)
+
+
+#: What a row must know to be cut, in the order that tasks read it.
+_PLACE = ("begin", "size", "passes", "every", "blocks", "drawn", "start", "left", "words")
+#: Rows beyond which equal rows are told from others before the join.
+_HOT = 100_000
+#: Whole texts of one group of equal rows that one row stands for.
+_PORTION = 256
