@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -30,15 +32,37 @@ def shared_dir(spark: SparkSession) -> str:
     return base.rstrip("/") if "://" in base else "file://" + os.path.abspath(base)
 
 
+#: Where new paths begin, inside ``scratch``.
+_SCRATCH: ContextVar[str | None] = ContextVar("scratch", default=None)
+
+
 def new_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    return f"{_SCRATCH.get() or shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
-def materialize(df: DataFrame, label: str) -> DataFrame:
+@contextmanager
+def scratch(spark: SparkSession, label: str):
+    """Tables written inside, but for those with a path of their own, are removed at the end: what is
+    computed from them must have been written by then."""
+    path = new_path(spark, label)
+    token = _SCRATCH.set(path)
+    try:
+        yield
+    finally:
+        _SCRATCH.reset(token)
+        remove(spark, path)
+
+
+def materialize(df: DataFrame, label: str, path: str | None = None) -> DataFrame:
     """Write ``df`` to the shared folder and reread it: work is done once, lineage is cut,
     and a lost executor costs only the tasks it was running."""
     spark = df.sparkSession
-    path = new_path(spark, label)
+    path = path or new_path(spark, label)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -3,6 +3,10 @@
 A stage takes (spark, docs, sf_dir) and returns a DataFrame; stages but the last return the
 columns of ``docs``. Between stages the rows are written as Parquet and read again, so a
 lost executor costs no earlier stage.
+
+Nulls in any column, empty texts, repeated rows and empty tables pass every stage by the rules of its
+operator: a text without words, a null one too, is rejected by the quality rules; repeated rows are near copies, of which
+one row stays; ties go to the least doc_id. Other columns go along as they are.
 """
 
 from __future__ import annotations
@@ -11,7 +15,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from confab.llm import decontaminate, mixing, quality, simhash, token_binary
-from confab.llm.common import documents, materialize
+from confab.llm.common import documents, materialize, new_path, remove, scratch
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,7 +37,7 @@ def without_benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The sources at their target weights; a document taken n times is n rows, the last maybe cut."""
+    """The sources at their target weights: a row for each whole time that a document is taken, and one for each part of it."""
     return mixing.apply_mix(docs)
 
 
@@ -49,7 +53,17 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = documents(spark, sf_dir)
+    """All stages over ``documents``. A stage's own tables go when its rows are written, and its rows when
+    the next stage's are, so the shared folder holds two stages at most, and the token files."""
+    docs, held = documents(spark, sf_dir), None
     for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), f"pipeline-{name}")
-    return STAGES[-1][1](spark, docs, sf_dir)
+        path = new_path(spark, f"pipeline-{name}")
+        with scratch(spark, f"pipeline-{name}-scratch"):
+            docs = materialize(stage(spark, docs, sf_dir), name, path)
+        if held:
+            remove(spark, held)
+        held = path
+    # the last stage has written its files when it returns
+    tokens = STAGES[-1][1](spark, docs, sf_dir)
+    remove(spark, held)
+    return tokens

@@ -102,6 +102,19 @@ def test_run_is_registered(spark, sf_dir):
     assert corpus_pipeline.ORACLE_SQL is None and "pipeline" not in entry.oracle_sql()
 
 
+def test_finished_stages_are_removed(spark, sf_dir):
+    """After a run the shared folder holds no stage's rows nor tables, only what its result is read from."""
+    from pathlib import Path
+
+    from confab.llm.common import shared_dir
+
+    base = Path(shared_dir(spark).removeprefix("file://"))
+    before = set(base.iterdir())
+    tokens = corpus_pipeline.run(spark, sf_dir)
+    left = {p.name.rsplit("-", 1)[0] for p in set(base.iterdir()) - before}
+    assert left == {"tokens", "token-manifest"} and tokens.count() > 0
+
+
 def test_stages_on_odd_rows(spark, sf_dir):
     """Nulls in any column, repeated rows, empty and long texts, clashing columns and empty tables pass every stage."""
     long = " ".join(f"w{i}" for i in range(20_000))
