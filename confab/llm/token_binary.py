@@ -27,8 +27,10 @@ from __future__ import annotations
 
 import json
 import re
+import sys
 import uuid
 import zlib
+from array import array
 
 import numpy as np
 from pyspark import TaskContext
@@ -108,10 +110,18 @@ def parse_file(raw: bytes) -> tuple[list, np.ndarray, np.ndarray]:
 # --- tokens ---------------------------------------------------------------------------
 
 
+def _u32(ids: list[int]) -> bytes:
+    """Little-endian unsigned 32-bit integers."""
+    values = array("I", ids)
+    if sys.byteorder != "little":
+        values.byteswap()
+    return values.tobytes()
+
+
 class CachedEncoder:
     """Encodes texts to little-endian u32 ids through a tokenizers file."""
 
-    MAX_WORDS, MAX_PIECES = 600_000, 400_000
+    MAX_WORDS, MAX_PIECES, KEPT_CHARS = 600_000, 400_000, 64
     _loaded: dict[str, CachedEncoder] = {}
 
     def __init__(self, path: str):
@@ -129,10 +139,15 @@ class CachedEncoder:
         # fixed value: the published split pattern of byte-level BPE
         self.split = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
         self.loose = re.compile(r"\s ")
+        # words of ASCII and Latin letters without apostrophes split alike by a plainer pattern
+        latin = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u017e"
+        self.plain = re.compile(f" ?[!-&(-~{latin}]+")
+        self.plain_split = re.compile(f" ?[{latin}]+| ?[0-9]+| ?[^ {latin}0-9]+")
         plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
         moved = [b for b in range(256) if b not in plain]
         self.letters = {b: b for b in plain} | {b: 256 + k for k, b in enumerate(moved)}
-        self.words: dict[str, bytes] = {}
+        self.space = chr(self.letters[32])
+        self.words: dict[str, bytes] = {}  # a word without the space before it
         self.pieces: dict[str, bytes] = {}
 
     @classmethod
@@ -144,14 +159,17 @@ class CachedEncoder:
 
     def _split(self, text: str) -> bytes:
         out = []
-        for piece in self.split.findall(text):
+        for piece in (self.plain_split if self.plain.fullmatch(text) else self.split).findall(text):
             got = self.pieces.get(piece)
             if got is None:
                 if len(self.pieces) >= self.MAX_PIECES:
                     self.pieces.clear()
-                tokens = self.whole.model.tokenize(piece.encode("utf-8").decode("latin-1").translate(self.letters))
-                got = np.array([t.id for t in tokens], "<u4").tobytes()
-                if len(piece) <= 64:
+                if piece.isascii() and piece[1:].isprintable() and " " not in piece[1:] and (piece[0] == " " or "!" <= piece[0] <= "~"):
+                    shown = self.space + piece[1:] if piece[0] == " " else piece
+                else:
+                    shown = piece.encode("utf-8").decode("latin-1").translate(self.letters)
+                got = _u32([t.id for t in self.whole.model.tokenize(shown)])
+                if len(piece) <= self.KEPT_CHARS:
                     self.pieces[piece] = got
             out.append(got)
         return b"".join(out)
@@ -163,21 +181,18 @@ class CachedEncoder:
         if self.loose.search(text):
             return self._split(text)
         first, *rest = text.split(" ")
-        words = self.words
-        try:
-            return self._split(first) + b"".join([words[w] for w in rest])
-        except KeyError:
-            out = [self._split(first)]
-            for w in rest:
-                got = words.get(w)
-                if got is None:
-                    if len(words) >= self.MAX_WORDS:
-                        words.clear()
-                    got = self._split(" " + w)
-                    if len(w) <= 64:
-                        words[w] = got
-                out.append(got)
-            return b"".join(out)
+        known = self.words
+        new = {w for w in rest if w not in known}
+        if len(known) + len(new) > self.MAX_WORDS:
+            known.clear()
+            new = set(rest)
+        for w in new:
+            known[w] = self._split(" " + w)
+        out = self._split(first) + b"".join([known[w] for w in rest])
+        for w in new:
+            if len(w) > self.KEPT_CHARS:
+                del known[w]
+        return out
 
 
 # --- files ----------------------------------------------------------------------------
