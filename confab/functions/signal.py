@@ -22,20 +22,34 @@ def mel_bank(n_mels: int, n_fft: int, rate: int, low: float, high: float) -> np.
     return bank
 
 
-def log_mel(samples: np.ndarray, rate: int = 16_000, n_mels: int = 80, frame_ms: float = 25.0, hop_ms: float = 10.0, low: float = 20.0, high: float | None = None) -> np.ndarray:
-    """frames x ``n_mels``: pre-emphasised, windowed frames without their mean, as log power, less each column's mean."""
+#: Window shapes by name; speaker models take hamming.
+WINDOWS = {"hamming": np.hamming, "povey": lambda n: np.hanning(n) ** 0.85, "hanning": np.hanning, "rectangular": np.ones}
+
+
+def frame_sizes(rate: int = 16_000, frame_ms: float = 25.0, hop_ms: float = 10.0) -> tuple[int, int]:
+    """Samples of a frame, and from one frame's start to the next."""
+    return int(rate * frame_ms / 1000), int(rate * hop_ms / 1000)
+
+
+def log_energies(samples: np.ndarray, rate: int = 16_000, n_mels: int = 80, frame_ms: float = 25.0, hop_ms: float = 10.0, low: float = 20.0, high: float | None = None, window: str = "hamming") -> np.ndarray:
+    """frames x ``n_mels``: log power of pre-emphasised, windowed frames without their mean."""
     x = np.asarray(samples, np.float64) * 32768.0
-    size, hop = int(rate * frame_ms / 1000), int(rate * hop_ms / 1000)
+    size, hop = frame_sizes(rate, frame_ms, hop_ms)
     n_fft = 1 << (size - 1).bit_length()
     if len(x) < size:
         return np.zeros((0, n_mels))
     frames = np.lib.stride_tricks.sliding_window_view(x, size)[::hop].copy()
     frames -= frames.mean(axis=1, keepdims=True)
     frames -= 0.97 * np.concatenate((frames[:, :1], frames[:, :-1]), axis=1)
-    frames *= np.hanning(size) ** 0.85
+    frames *= WINDOWS[window](size)
     power = np.abs(np.fft.rfft(frames, n_fft)) ** 2
-    out = np.log(np.maximum(power @ mel_bank(n_mels, n_fft, rate, low, high or rate / 2), np.finfo(np.float32).eps))
-    return out - out.mean(axis=0)
+    return np.log(np.maximum(power @ mel_bank(n_mels, n_fft, rate, low, high or rate / 2), np.finfo(np.float32).eps))
+
+
+def log_mel(samples: np.ndarray, **settings) -> np.ndarray:
+    """``log_energies`` less each column's mean over the recording."""
+    out = log_energies(samples, **settings)
+    return out - out.mean(axis=0) if len(out) else out
 
 
 @function("array<array<float>>")

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from confab.functions import vectors as V
+from confab.operators import acoustics
 from confab.operators import linkage as L
 from confab.operators import voices as O
 
@@ -201,6 +203,32 @@ def signal_levels(spark, sf):
     return e.select("user_id", F.round(V.rms_dbfs("x"), 6).alias("dbfs"))
 
 
+_LOG_MEL = """
+with e as (select vec_id % 40 as rec, row_number() over (partition by vec_id % 40 order by vec_id) - 1 as v, embedding from embeddings),
+x as (select rec, v * len(embedding) + i - 1 as pos, embedding[i]::double * 32768 as x from (select rec, v, embedding, unnest(range(1, len(embedding) + 1)) as i from e)),
+n as (select rec, count(*) as n from x group by 1),
+f as (select rec, unnest(range(0, (n - 400) // 160 + 1)) as frame from n where n >= 400),
+s as (select f.rec, frame, pos - frame * 160 as k, x - avg(x) over (partition by f.rec, frame) as x from f join x on x.rec = f.rec and pos between frame * 160 and frame * 160 + 399),
+p as (select rec, frame, k, (x - 0.97e0 * coalesce(lag(x) over (partition by rec, frame order by k), x)) * (0.54e0 - 0.46e0 * cos(2 * pi() * k / 399)) as x from s),
+d as (select rec, frame, b, sum(x * cos(2 * pi() * ((b * k) % 512) / 512)) ** 2 + sum(x * sin(2 * pi() * ((b * k) % 512) / 512)) ** 2 as power from p, range(256) as r(b) group by all),
+m as (select 1127e0 * ln(1 + 20 / 700e0) as lo, 1127e0 * ln(1 + 8000 / 700e0) as hi),
+t as (select j, b, greatest(0, least((1127e0 * ln(1 + b * 31.25e0 / 700) - (lo + j * (hi - lo) / 9)) / ((hi - lo) / 9), ((lo + (j + 2) * (hi - lo) / 9) - 1127e0 * ln(1 + b * 31.25e0 / 700)) / ((hi - lo) / 9))) as w from m, range(8) as a(j), range(256) as c(b)),
+g as (select rec, frame, j, ln(greatest(sum(power * w), 1.1920928955078125e-7)) as e from d join t using (b) group by all)
+select rec as recording_id, frame, j::int as bin, round(e - avg(e) over (partition by rec, j), 3) as energy from g
+"""
+
+
+@query(_LOG_MEL)
+def log_mel_features(spark, sf):
+    """A meeting's vectors, one after another, as its samples: features of eight bins, by chunks."""
+    v = t.voices(spark, sf).select(F.col("cluster_id").alias("recording_id"), "vec_id", "vector")
+    order = Window.partitionBy("recording_id").orderBy("vec_id")
+    rows = v.withColumn("n", F.row_number().over(order) - 1).select("recording_id", "n", F.size("vector").alias("size"), F.posexplode("vector").alias("k", "sample"))
+    samples = rows.select("recording_id", (F.col("n") * F.col("size") + F.col("k")).alias("position"), "sample")
+    found = acoustics.log_mel_features(acoustics.chunked(samples, "recording_id", 1_000), chunk=1_000, n_mels=8)
+    return found.select("recording_id", "frame", F.posexplode("features").alias("bin", "e")).select("recording_id", "frame", "bin", F.round("e", 3).alias("energy"))
+
+
 @query()
 def ahc_clusters(spark, sf):
     v = t.voices(spark, sf).select(F.col("cluster_id").alias("meeting_id"), F.col("vec_id").alias("window"), F.lit(0.0).alias("start_s"), F.col("speech_s").alias("end_s"), "vector")
