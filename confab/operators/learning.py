@@ -457,11 +457,6 @@ def manifest_violations(clips: DataFrame) -> DataFrame:
     return out
 
 
-def export_dataset(clips: DataFrame, path: str) -> None:
-    """Clips as Parquet, a folder a split; an existing path is refused."""
-    clips.write.mode("errorifexists").partitionBy("split").parquet(path)
-
-
 # --- models ---------------------------------------------------------------------------
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from confab.functions.arrow import function
 from confab.operators import evaluation as E
+from confab.sources import datasets
 from confab.sources import stores as R
 
 from . import tables as t
@@ -114,6 +115,41 @@ def file_checksums(spark, sf):
     return R.file_checksums(spark, path).where(F.col("path").endswith(".txt")).select(F.regexp_extract("path", r"region=(\d+)", 1).cast("int").alias("region"), "sha256", "length")
 
 
+def _named_files(frame, label: str) -> str:
+    """Texts (name, value) as files of these names."""
+    path = R.scratch(frame.sparkSession, label)
+
+    def write(batches):
+        from pyarrow import fs
+
+        store, root = fs.FileSystem.from_uri(path)
+        for batch in batches:
+            for name, value in zip(*(c.to_pylist() for c in batch.columns)):
+                store.create_dir(f"{root}/{name}".rsplit("/", 1)[0], recursive=True)
+                with store.open_output_stream(f"{root}/{name}") as out:
+                    out.write(value.encode())
+            yield batch
+
+    frame.select("name", "value").mapInArrow(write, "name string, value string").count()
+    return path
+
+
+@query("with f as (select 'd' || p_partkey % 5 || '/f' || p_partkey % 50 || '.txt' as file, string_agg(p_name, chr(10) order by p_partkey) as value from part group by p_partkey % 50, p_partkey % 5), l as (select substr(md5(file), 1, 2) as b, sha256(string_agg(file || ':' || sha256(value), chr(10) order by file || ':' || sha256(value))) as d from f group by 1) select sha256(string_agg(d, chr(10) order by b)) as sha256 from l")
+def folder_checksums(spark, sf):
+    p = t.table(spark, sf, "part").groupBy((F.col("p_partkey") % 5).alias("d"), (F.col("p_partkey") % 50).alias("f")).agg(F.array_sort(F.collect_list(F.struct("p_partkey", "p_name"))).alias("x"))
+    rows = p.select(F.format_string("d%d/f%d.txt", "d", "f").alias("name"), F.array_join(F.transform("x", lambda v: v["p_name"]), "\n").alias("value"))
+    return R.folder_checksum(spark, _named_files(rows, "folder"))
+
+
+@query("select 'c' || event_id as clip_id, case event_id % 3 when 0 then 'train' when 1 then 'dev' else 'test' end as split, event_type as label from events")
+def dataset_export(spark, sf):
+    """Exported with a manifest and a seal, verified, and read back."""
+    clips = t.table(spark, sf, "events").select(F.format_string("c%d", "event_id").alias("clip_id"), F.element_at(F.array(F.lit("train"), F.lit("dev"), F.lit("test")), (F.col("event_id") % 3 + 1).cast("int")).alias("split"), F.col("event_type").alias("label"))
+    path = R.scratch(spark, "dataset")
+    datasets.export_dataset(clips, path, seed=42)
+    return datasets.open_dataset(spark, path).select("clip_id", "split", "label")
+
+
 @query("select p_partkey, case p_partkey % 6 when 0 then 'wav' when 1 then 'mp3' when 2 then 'ogg' when 3 then 'flac' when 4 then 'm4a' end as kind from part")
 def audio_kinds(spark, sf):
     heads = F.array(*[F.lit(x) for x in ("524946460000000057415645", "494433040000000000000000", "4F6767530002000000000000", "664C61430000002200000000", "00000020667479704D344120", "524946460000000041564920")])

@@ -214,12 +214,24 @@ def file_checksums(spark: SparkSession, path: str) -> DataFrame:
     return files(spark, path).select("path", "length", F.sha2("content", 256).alias("sha256"))
 
 
+def relative_checksums(spark: SparkSession, path: str) -> DataFrame:
+    """file (path below ``path``, with slashes), length and sha256 of every file below it."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    base = at.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(at).toString().rstrip("/")
+    return file_checksums(spark, path).select(F.expr(f"substring(path, {len(base) + 2})").alias("file"), "length", "sha256")
+
+
+def checksum_of(listed: DataFrame) -> DataFrame:
+    """One checksum (sha256) of a list of files (file, sha256): they are dealt to 256 lists by a hash of their
+    path, each list has a checksum, and these have one. No task holds all files."""
+    each = listed.select(F.concat_ws(":", "file", "sha256").alias("x"), F.substring(F.md5("file"), 1, 2).alias("b"))
+    of_list = each.groupBy("b").agg(F.sha2(F.array_join(F.array_sort(F.collect_list("x")), "\n"), 256).alias("d"))
+    return of_list.agg(F.array_sort(F.collect_list(F.struct("b", "d"))).alias("all")).select(F.sha2(F.array_join(F.transform("all", lambda v: v["d"]), "\n"), 256).alias("sha256"))
+
+
 def folder_checksum(spark: SparkSession, path: str) -> DataFrame:
-    """One checksum of a folder from its files' names and checksums: files are dealt to 256 lists by a
-    hash of their path, each list has a checksum, and these have one. No task holds all files."""
-    each = file_checksums(spark, path).select(F.concat_ws(":", F.element_at(F.split("path", "/"), -1), "sha256").alias("x"), "path", F.substring(F.md5(F.element_at(F.split("path", "/"), -1)), 1, 2).alias("b"))
-    listed = each.groupBy("b").agg(F.sha2(F.array_join(F.array_sort(F.collect_list("x")), "\n"), 256).alias("d"))
-    return listed.agg(F.array_sort(F.collect_list(F.struct("b", "d"))).alias("all")).select(F.sha2(F.array_join(F.transform("all", lambda v: v["d"]), "\n"), 256).alias("sha256"))
+    """One checksum of a folder from its files' relative paths and checksums."""
+    return checksum_of(relative_checksums(spark, path))
 
 
 def audio_kind(content="content") -> Column:

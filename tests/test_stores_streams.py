@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from confab.operators import context, delivery, evaluation, learning, meetings, minutes, segments, translation, voices
-from confab.sources import stores
+from confab.sources import datasets, stores
 from confab.streaming import streams
 
 
@@ -159,12 +159,73 @@ def test_audio_files(spark, folder):
     assert stores.folder_checksum(spark, folder).first().sha256 == hashlib.sha256("\n".join(digests).encode()).hexdigest()
 
 
-def test_dataset_export_refuses_to_overwrite(spark, folder):
-    clips = spark.createDataFrame([(1, "train"), (2, "test")], "clip_id int, split string")
-    learning.export_dataset(clips, f"{folder}/d")
-    assert spark.read.parquet(f"{folder}/d").where("split = 'test'").count() == 1
-    with pytest.raises(Exception, match="(?i)exists"):
-        learning.export_dataset(clips, f"{folder}/d")
+CLIPS = "clip_id string, split string, audio_path string, label string"
+
+
+def exported(spark, folder):
+    clips = spark.createDataFrame([(f"c{k}", ("train", "dev", "test")[k % 3], f"audio/c{k}.wav", "x") for k in range(30)], CLIPS)
+    datasets.export_dataset(clips.repartition(3), f"{folder}/d", root=folder, seed=42)
+    return clips, f"{folder}/d"
+
+
+def test_dataset_round_trip(spark, folder):
+    clips, path = exported(spark, folder)
+    got = datasets.open_dataset(spark, path)
+    assert sorted(map(tuple, got.select(*clips.columns).collect())) == sorted(map(tuple, clips.collect()))
+    assert datasets.sealed(spark, path)["seed"] == 42 and datasets.faults(spark, path).count() == 0
+    with pytest.raises(FileExistsError):
+        datasets.export_dataset(clips, path)
+
+
+def test_changed_and_partial_exports_are_refused(spark, folder):
+    import shutil
+    from pathlib import Path
+
+    _, whole = exported(spark, folder)
+    parts = sorted(Path(whole).glob("clips/*/*.parquet"))
+
+    def copy(name):
+        shutil.copytree(whole, f"{folder}/{name}")
+        return f"{folder}/{name}", Path(f"{folder}/{name}") / parts[0].relative_to(whole)
+
+    path, part = copy("changed")
+    part.write_bytes(part.read_bytes()[:-1] + b"x")
+    (part.parent / f".{part.name}.crc").unlink(missing_ok=True)
+    assert [r.fault for r in datasets.faults(spark, path).collect()] == ["changed"]
+    path, part = copy("missing")
+    part.unlink()
+    assert [r.fault for r in datasets.faults(spark, path).collect()] == ["missing"]
+    path, part = copy("unlisted")
+    shutil.copy(part, part.with_name("more.parquet"))
+    assert [r.fault for r in datasets.faults(spark, path).collect()] == ["unlisted"]
+    path, _ = copy("manifest")
+    line = next(f for f in Path(path).glob("manifest/*.txt") if f.read_text())
+    line.write_text(line.read_text().replace('"length":', '"length":1'))
+    (line.parent / f".{line.name}.crc").unlink(missing_ok=True)
+    assert [r.fault for r in datasets.faults(spark, path).collect()] == ["manifest_changed"]
+    for name in ("changed", "missing", "unlisted", "manifest"):
+        with pytest.raises(ValueError, match="changed"):
+            datasets.open_dataset(spark, f"{folder}/{name}")
+    path, _ = copy("partial")
+    Path(path, "seal.json").unlink()
+    with pytest.raises(ValueError, match="whole"):
+        datasets.open_dataset(spark, path)
+    assert [r.fault for r in datasets.faults(spark, path).collect()] == ["unsealed"]
+
+
+@pytest.mark.parametrize("path", ["/etc/x", "../x", "a/../../x", "a\\b", "c:\\x", "", None, "a//b", "a/", "./x", "a\x00"])
+def test_paths_that_leave_the_folder_are_refused(spark, folder, path):
+    clips = spark.createDataFrame([("c1", "train", "audio/c1.wav", "x"), ("c2", "dev", path, "x")], CLIPS)
+    with pytest.raises(ValueError, match="leave"):
+        datasets.export_dataset(clips, f"{folder}/d")
+    assert not stores._listed(spark, f"{folder}/d")
+
+
+def test_exports_stay_below_their_root(spark, folder):
+    clips = spark.createDataFrame([("c1", "train", "a.wav", "x")], CLIPS)
+    for path in (f"{folder}/../d", "/tmp", folder, f"{folder}x/d"):
+        with pytest.raises(ValueError, match="below"):
+            datasets.export_dataset(clips, path, root=folder)
 
 
 # --- streams --------------------------------------------------------------------------
