@@ -174,12 +174,12 @@ def _heard(gold, all_of_it=False):
     return some.select("recording_id", "idx", "start_s", "end_s", F.col("verbatim_text").alias("text"))
 
 
-@query(f"select conv_id as recording_id, coalesce(sum(w) filter (where missed), 0)::bigint as d, sum(w)::bigint as n, coalesce(sum(c) filter (where missed), 0)::bigint as cd, sum(c)::bigint as cn, round(case when sum(w) > 0 then coalesce(sum(w) filter (where missed), 0) / sum(w) else 0 end, 9) as wer from {_HEARD} group by 1")
+@query(f"select conv_id as recording_id, 0::bigint as s, 0::bigint as i, 0::bigint as cs, 0::bigint as ci, coalesce(sum(w) filter (where missed), 0)::bigint as d, sum(w)::bigint as n, coalesce(sum(c) filter (where missed), 0)::bigint as cd, sum(c)::bigint as cn, round(case when sum(w) > 0 then coalesce(sum(w) filter (where missed), 0) / sum(w) else 0 end, 9) as wer from {_HEARD} group by 1")
 def recording_error_rates(spark, sf):
     """What is missed is deleted, and no cheaper edit makes one text as much shorter."""
     gold = _gold(spark, sf)
     counts = E.error_counts(E.recording_pairs(gold, _heard(gold)))
-    return counts.where("s = 0 and i = 0 and cs = 0 and ci = 0").select("recording_id", "d", "n", "cd", "cn", F.round(E.word_error_rate(), 9).alias("wer"))
+    return counts.select("recording_id", "s", "d", "i", "n", "cs", "cd", "ci", "cn", F.round(E.word_error_rate(), 9).alias("wer"))
 
 
 @query(f"select condition::varchar as condition, coalesce(sum(w) filter (where missed), 0)::bigint as d, sum(w)::bigint as n, count(distinct conv_id) as rows, round(coalesce(sum(w) filter (where missed), 0) / sum(w), 9) as wer, round(coalesce(sum(c) filter (where missed), 0) / sum(c), 9) as cer from {_HEARD} group by rollup (condition)")
