@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from confab.functions import arrow
 from confab.functions import text as T
-from confab.operators import context, evaluation as E, learning as L, minutes as M, segments as S
+from confab.operators import context, evaluation as E, learning as L, minutes as M, rebase, segments as S
 from confab.streaming import streams
 
 from . import corrections
@@ -258,6 +258,31 @@ def alternative_languages(spark, sf):
 # --- streams --------------------------------------------------------------------------
 
 
+_REBASED = """
+with o as (select o_orderkey as k, 1 + o_orderkey % 9 as a, 1 + o_custkey % 9 as b from orders),
+n as (select *, case when a % 4 = 0 then 'Ana Pop' else 'Dr. N' || a end as name_a, case when b % 4 = 0 then 'Ana Pop' else 'Dr. N' || b end as name_b from o),
+d as (select *, case when name_a = name_b and a <> b then name_a else 'S' || a end as tok_a, case when name_a = name_b and a <> b then name_b else 'S' || b end as tok_b from n)
+select k as meeting_id, 'decision' as field, case when k % 3 = 0 then 'S' || a || ' propune planul ' || k else tok_a || ' propune planul ' || k || ' și S3 cu ' || tok_b end as text from d
+union all select k, 'task', 'Notă: ' || tok_b || ' răspunde lui ' || tok_a || '.' from d
+union all select k, 'owner', 'Speaker ' || case when name_a = name_b then a else b end from d
+"""
+
+
+@query(_REBASED)
+def rebased_edits(spark, sf):
+    """Orders as meetings with two named speakers, which now and then share a name; an owner of the same name is untouched."""
+    a, b = F.col("o_orderkey") % 9 + 1, F.col("o_custkey") % 9 + 1
+    name = lambda n: F.when(n % 4 == 0, "Ana Pop").otherwise(F.format_string("Dr. N%d", n))
+    o = t.table(spark, sf, "orders").select(F.col("o_orderkey").alias("meeting_id"), a.alias("a"), b.alias("b"), name(a).alias("x"), name(b).alias("y"))
+    plan = F.format_string(" propune planul %d", "meeting_id")
+    decision = F.concat("x", plan)
+    answer = F.concat("y", F.lit(" răspunde lui "), "x", F.lit("."))
+    touched = F.when(F.col("meeting_id") % 3 == 0, decision).otherwise(F.concat(decision, F.lit(" și Vorbitorul 3 cu "), "y"))
+    rows = [("decision", "prose", F.concat(F.lit("S"), "a", plan), decision, touched), ("task", "prose", F.concat(F.lit("Speaker "), "b", F.lit(" răspunde lui S"), "a", F.lit(".")), answer, F.concat(F.lit("Notă: "), answer)), ("owner", "speaker", F.concat(F.lit("Speaker "), "a"), F.col("x"), F.col("y"))]
+    fields = o.select("meeting_id", F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.lit(k).alias("kind"), s.alias("stored"), F.array(v).alias("shown"), e.alias("edited")) for f, k, s, v, e in rows])).alias("f")).select("meeting_id", "f.*")
+    return rebase.rebased(fields).select("meeting_id", "field", "text")
+
+
 def _streamed(spark, sf, name):
     return spark.readStream.schema(t.table(spark, sf, name).schema).option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", True).parquet(f"{sf}/{name}.parquet")
 
