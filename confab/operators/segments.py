@@ -216,6 +216,32 @@ def summed_run(marked: DataFrame) -> DataFrame:
     )
 
 
+LANGUAGES = ("ro", "ru", "en")
+
+
+def window_statistics(windows: DataFrame, timings: DataFrame, languages=LANGUAGES) -> DataFrame:
+    """Per meeting, of its decoded windows (meeting_id, language, text_language, segments, inherited, rescored, echoed)
+    and timings (meeting_id, audio_seconds, total_seconds): windows, windows of each language (of ``languages``
+    in any case), how many were inherited, rescored and decoded again for an echo, the share of decided windows whose
+    text speaks the language that was heard, and the real-time factor.
+
+    A window is decided if it has segments, its text a language, and it was heard in one of ``languages``. Shares and
+    factors without a base are null. Counts of a language are sums before they are a map."""
+    known = F.array(*map(F.lit, languages))
+    decided = (F.col("segments") > 0) & F.col("text_language").isNotNull() & ~F.col("text_language").isin("und", "mixed") & F.array_contains(known, F.col("language"))
+    sums = windows.groupBy("meeting_id", "language").agg(
+        F.count("*").alias("n"), *[F.count_if(c).alias(c) for c in ("inherited", "rescored", "echoed")], F.count_if(decided).alias("decided"), F.count_if(decided & (F.col("text_language") == F.col("language"))).alias("agreed")
+    )
+    seen = F.map_from_entries(F.collect_list(F.when(F.col("language").isNotNull(), F.struct("language", "n"))))
+    none = F.map_from_arrays(known, F.array_repeat(F.lit(0).cast("long"), len(languages)))
+    one = sums.groupBy("meeting_id").agg(F.sum("n").alias("windows"), seen.alias("seen"), *[F.sum(c).alias(f"{c}_windows") for c in ("inherited", "rescored", "echoed")], F.sum("decided").alias("decided"), F.sum("agreed").alias("agreed"))
+    rest = F.map_filter(none, lambda k, v: ~F.map_contains_key("seen", k))
+    counts = F.map_from_entries(F.array_sort(F.map_entries(F.map_concat("seen", rest))))
+    agreement = F.round(F.when(F.col("decided") > 0, F.col("agreed") / F.col("decided")), 3)
+    factor = F.round(F.when(F.col("audio_seconds") > 0, F.col("total_seconds") / F.col("audio_seconds")), 4)
+    return one.join(timings, "meeting_id", "left").select("meeting_id", "windows", counts.alias("window_languages"), "inherited_windows", "rescored_windows", "echoed_windows", agreement.alias("agreement"), factor.alias("rtf"))
+
+
 def speech_share(segments: DataFrame) -> DataFrame:
     """Speaking time of each speaker and its share of the meeting."""
     sums = segments.groupBy("meeting_id", "speaker").agg(F.sum("speech_seconds").alias("seconds"), F.count("*").alias("turns"))

@@ -325,6 +325,30 @@ select meeting_id, (r - 1)::int as region, round(a - least(0.2e0, coalesce((a -
 """
 
 
+_WINDOW_STATS = """
+with w as (select conv_id as m, case (turn * 7 + conv_id) % 5 when 0 then 'ro' when 1 then 'ru' when 2 then 'en' when 3 then 'und' else 'ro' end as l, case (turn * 3 + conv_id) % 6 when 0 then 'ro' when 1 then 'ru' when 2 then 'en' when 3 then 'mixed' when 4 then 'und' end as tl, turn % 4 as s, turn % 3 = 1 as i, turn % 5 = 2 as r, turn % 7 = 3 as e, length(text) as c from conversations),
+c as (select m, l, count(*) as n from w group by all union all select m, l, 0 from (select distinct m from w), (select unnest(['ro', 'ru', 'en']) as l)),
+k as (select m, string_agg(l || '=' || n, ',' order by l) as langs from (select m, l, sum(n)::bigint as n from c group by all) group by 1),
+d as (select *, s > 0 and tl not in ('und', 'mixed') and l in ('ro', 'ru', 'en') as ok from w)
+select m as meeting_id, count(*) as windows, langs, count(*) filter (where i) as inherited_windows, count(*) filter (where r) as rescored_windows, count(*) filter (where e) as echoed_windows,
+  round(case when count(*) filter (where ok) > 0 then count(*) filter (where ok and tl = l) / (count(*) filter (where ok))::double end, 3) as agreement, round(case when sum(c) % 4 <> 0 then count(*) / (sum(c) / 15e0) end, 4) as rtf
+from d join k using (m) group by m, langs
+"""
+
+
+@query(_WINDOW_STATS)
+def window_statistics(spark, sf):
+    """Turns as decoded windows; a fourth of the recordings has no length."""
+    c = t.table(spark, sf, "conversations")
+    pick = lambda at, names: F.element_at(F.array(*[F.lit(n) for n in names]), (at + 1).cast("int"))
+    w = c.select(F.col("conv_id").alias("meeting_id"), pick((F.col("turn") * 7 + F.col("conv_id")) % 5, ("ro", "ru", "en", "und", "ro")).alias("language"), pick((F.col("turn") * 3 + F.col("conv_id")) % 6, ("ro", "ru", "en", "mixed", "und", None)).alias("text_language"), (F.col("turn") % 4).alias("segments"), (F.col("turn") % 3 == 1).alias("inherited"), (F.col("turn") % 5 == 2).alias("rescored"), (F.col("turn") % 7 == 3).alias("echoed"))
+    chars = F.sum(F.length("text"))
+    timings = c.groupBy(F.col("conv_id").alias("meeting_id")).agg(F.when(chars % 4 != 0, chars / 15).otherwise(0.0).alias("audio_seconds"), F.count("*").cast("double").alias("total_seconds"))
+    s = S.window_statistics(w, timings)
+    langs = F.array_join(F.transform(F.map_entries("window_languages"), lambda x: F.concat(x["key"], F.lit("="), x["value"].cast("string"))), ",")
+    return s.withColumn("langs", langs).drop("window_languages")
+
+
 @query(_HEARD)
 def hysteresis_regions(spark, sf):
     f = t.table(spark, sf, "events").select(F.col("user_id").alias("meeting_id"), F.col("event_id").alias("frame"), F.least(F.lit(1.0), F.col("value") / 150).alias("probability"))
