@@ -54,16 +54,13 @@ _ASR = "(select conv_id, turn, turn * 2e0 as start_s, turn * 2e0 + case when tur
 
 
 def _recognised(spark, sf):
-    """A recogniser's file of each conversation: ms offsets, and tokens of which one is a control token."""
+    """A recogniser's document of each conversation, one a line: ms offsets, and tokens of which one is a control token."""
     token = lambda text, p: F.struct(F.lit(text).alias("text"), p.alias("p"))
     p = 0.5 + (F.col("turn") % 5) / 10.0
     c = t.table(spark, sf, "conversations").select("conv_id", "turn", (F.col("turn") * 2000).alias("from"), (F.col("turn") * 2000 + F.when(F.col("turn") == 3, -1000).otherwise(1000)).alias("to"), F.array(token("[_BEG_]", F.lit(1.0)), token(" a", p), token(" b", p)).alias("tokens"))
     one = F.struct("turn", F.struct("from", "to").alias("offsets"), F.format_string(" turn %d", "turn").alias("text"), "tokens")
-    files = c.groupBy("conv_id").agg(F.array_sort(F.collect_list(one)).alias("s")).select(F.to_json(F.struct(F.col("conv_id").cast("string").alias("id"), F.transform("s", lambda x: x.dropFields("turn")).alias("transcription"))).alias("value"), "conv_id")
-    path = R.scratch(spark, "recogniser")
-    # a folder a conversation, so that the path tells which one it is
-    files.write.partitionBy("conv_id").text(path)
-    return R.recogniser_segments(spark, path).withColumn("conv_id", F.regexp_extract("path", r"conv_id=(\d+)", 1).cast("long"))
+    files = c.groupBy("conv_id").agg(F.array_sort(F.collect_list(one)).alias("s")).select(F.to_json(F.struct(F.col("conv_id").cast("string").alias("id"), F.transform("s", lambda x: x.dropFields("turn")).alias("transcription"))).alias("value"))
+    return R.recogniser_segments(spark, _written(files, "recogniser"), lines=True).withColumn("conv_id", F.col("id").cast("long"))
 
 
 @query(f"select conv_id, (row_number() over (partition by conv_id order by turn) - 1)::int as idx, start_s, end_s, 'turn ' || turn as text, round(p, 9) as mean_prob, round(ln(p), 9) as mean_logprob from {_ASR}")
@@ -99,12 +96,10 @@ def minutes_dumps(spark, sf):
     k = F.col("o_orderkey")
     body = F.to_json(F.struct(F.array(F.format_string("decision %d", k)).alias("decisions")))
     m = t.table(spark, sf, "orders").select(F.when(k % 9 == 0, body).otherwise(F.format_string('{"%d": %s}', k, body)).alias("value"), (k % 500).alias("part"), k)
-    # a file holds one text, so a few thousand rows are as many files; texts are read whole a file
-    path = R.scratch(spark, "minutes")
-    one = m.where("o_orderkey % 9 = 0").select("value", F.col("o_orderkey").cast("string").alias("file"))
-    maps = m.where("o_orderkey % 9 <> 0").groupBy("part").agg(F.concat(F.lit("{"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("o_orderkey", "value"))), lambda x: F.regexp_replace(x["value"], r"^\{|\}$", "")), ","), F.lit("}")).alias("value")).select("value", F.concat(F.lit("m"), F.col("part").cast("string")).alias("file"))
-    one.unionByName(maps).drop("file").repartition(64).write.option("maxRecordsPerFile", 1).text(path)
-    got = R.minutes_store(spark, path, "decisions array<string>")
+    one = m.where("o_orderkey % 9 = 0").select("value")
+    maps = m.where("o_orderkey % 9 <> 0").groupBy("part").agg(F.concat(F.lit("{"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("o_orderkey", "value"))), lambda x: F.regexp_replace(x["value"], r"^\{|\}$", "")), ","), F.lit("}")).alias("value")).select("value")
+    path = _written(one.unionByName(maps), "minutes")
+    got = R.minutes_store(spark, path, "decisions array<string>", lines=True)
     return got.select("key", F.explode("decisions").alias("decision"))
 
 

@@ -147,16 +147,18 @@ def hypothesis_segments(hypotheses: DataFrame) -> DataFrame:
     return s.select("recording_id", "idx", F.col("s.start").alias("start_s"), F.col("s.end").alias("end_s"), "s.text")
 
 
-def recogniser_segments(spark: SparkSession, path: str) -> DataFrame:
-    """Segments of a recogniser's JSON (times in ms, tokens with probabilities): path, idx,
-    start_s, end_s, text, mean_prob, mean_logprob. Control tokens, written in brackets, do not count."""
+def recogniser_segments(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """Segments of a recogniser's JSON (times in ms, tokens with probabilities): path, id, idx,
+    start_s, end_s, text, mean_prob, mean_logprob. Control tokens, written in brackets, do not count.
+
+    A file is one document, or, with ``lines``, has one a line, told apart by their ``id``: then few files hold many and are split over tasks."""
     token = "array<struct<text:string,p:double>>"
-    schema = f"transcription array<struct<offsets:struct<`from`:double,`to`:double>,text:string,tokens:{token}>>"
-    raw = spark.read.schema(schema).option("multiLine", True).option("mode", "FAILFAST").json(path)
-    s = raw.select(F.col("_metadata.file_path").alias("path"), F.posexplode("transcription").alias("idx", "s"))
+    schema = f"id string, transcription array<struct<offsets:struct<`from`:double,`to`:double>,text:string,tokens:{token}>>"
+    raw = spark.read.schema(schema).option("multiLine", not lines).option("mode", "FAILFAST").json(path)
+    s = raw.select(F.col("_metadata.file_path").alias("path"), "id", F.posexplode("transcription").alias("idx", "s"))
     p = F.transform(F.filter("s.tokens", lambda t: ~t["text"].rlike(r"^\[.*\]$") & t["p"].isNotNull()), lambda t: t["p"])
     mean = lambda xs: F.when(F.size(xs) > 0, F.aggregate(xs, F.lit(0.0), lambda a, x: a + x) / F.size(xs))
-    return s.select("path", "idx", (F.col("s.offsets.from") / 1000).alias("start_s"), (F.col("s.offsets.to") / 1000).alias("end_s"), F.trim("s.text").alias("text"), mean(p).alias("mean_prob"), mean(F.transform(p, lambda x: F.log(F.greatest(x, F.lit(1e-10))))).alias("mean_logprob"))
+    return s.select("path", "id", "idx", (F.col("s.offsets.from") / 1000).alias("start_s"), (F.col("s.offsets.to") / 1000).alias("end_s"), F.trim("s.text").alias("text"), mean(p).alias("mean_prob"), mean(F.transform(p, lambda x: F.log(F.greatest(x, F.lit(1e-10))))).alias("mean_logprob"))
 
 
 def recogniser_violations(segments: DataFrame, key: str = "path") -> DataFrame:
@@ -186,9 +188,10 @@ def rule_packs(spark: SparkSession, packaged: list[str], local: str | None = Non
     return out
 
 
-def minutes_store(spark: SparkSession, path: str, entity: str) -> DataFrame:
-    """Minutes from one dump or from a map keyed by meeting: (key or null, entity columns)."""
-    read = spark.read.option("wholetext", True).text(path)
+def minutes_store(spark: SparkSession, path: str, entity: str, lines: bool = False) -> DataFrame:
+    """Minutes from one dump or from a map keyed by meeting: (key or null, entity columns). A file is one of them,
+    or, with ``lines``, has one a line."""
+    read = spark.read.option("wholetext", not lines).text(path).where(F.trim("value") != "")
     single = F.from_json("value", f"struct<{_nested(entity)}>")
     one = F.get_json_object("value", "$.decisions").isNotNull() | F.get_json_object("value", "$.summary_ro").isNotNull()
     a = read.where(one).select(F.lit(None).cast("string").alias("key"), single.alias("e")).select("key", "e.*")
