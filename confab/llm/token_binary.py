@@ -181,18 +181,20 @@ class CachedEncoder:
         if self.loose.search(text):
             return self._split(text)
         first, *rest = text.split(" ")
-        known = self.words
-        new = {w for w in rest if w not in known}
-        if len(known) + len(new) > self.MAX_WORDS:
-            known.clear()
-            new = set(rest)
-        for w in new:
-            known[w] = self._split(" " + w)
-        out = self._split(first) + b"".join([known[w] for w in rest])
-        for w in new:
-            if len(w) > self.KEPT_CHARS:
-                del known[w]
-        return out
+        known, at = self.words, -1
+        ids = list(map(known.get, rest))
+        for _ in range(ids.count(None)):
+            at = ids.index(None, at + 1)
+            word = rest[at]
+            got = known.get(word)
+            if got is None:
+                got = self._split(" " + word)
+                if len(word) <= self.KEPT_CHARS:
+                    if len(known) >= self.MAX_WORDS:
+                        known.clear()
+                    known[word] = got
+            ids[at] = got
+        return self._split(first) + b"".join(ids)
 
 
 # --- files ----------------------------------------------------------------------------
