@@ -299,23 +299,45 @@ def normalised(segments: DataFrame, rules: DataFrame, max_rules: int = 20_000) -
 
 class Lexicon:
     """Entries (canonical, variants, languages, fuzzy) of each language, compiled once; the nearest
-    fuzzy entry of a word is found once a word, and only entries of like length and letters are compared."""
+    fuzzy entry of a word is found once a word.
+
+    A word and an entry of T letters together whose blocks match in M of each have ratio 2 M / T. Between blocks there
+    is a letter that does not match, so there are at most T - 2 M + 1 blocks, and the pairs of letters within
+    blocks, which both hold, are at least 3 M - T - 1. An index of pairs counts those in common, and only entries
+    that have enough of them are compared: no entry that is close enough is missed."""
 
     def __init__(self, entries: list[dict], close: float = 0.80, min_length: int = 5):
         self.close, self.min_length = close, min_length
         self.exact = {e["canonical"].lower() for e in entries}
-        self.variants, self.fuzzy, self.known = {}, {}, {}
+        self.variants, self.fuzzy, self.pairs, self.known = {}, {}, {}, {}
         for language in ("ro", "ru", "en"):
             own = [e for e in entries if language in e["languages"]]
             self.variants[language] = [(re.compile(rf"(?<!\w)(?:{'|'.join(map(re.escape, vs))})(?!\w)", re.I), e["canonical"]) for e in own if (vs := sorted(filter(None, e["variants"]), key=len, reverse=True))]
-            self.fuzzy[language] = [(k, e["canonical"], e["canonical"].lower(), Counter(e["canonical"].lower())) for k, e in enumerate(x for x in own if x["fuzzy"])]
+            self.fuzzy[language] = own = [(e["canonical"], e["canonical"].lower()) for e in own if e["fuzzy"]]
+            self.pairs[language] = pairs = {}
+            for k, (_, low) in enumerate(own):
+                for pair, n in Counter(map("".join, zip(low, low[1:]))).items():
+                    pairs.setdefault(pair, []).append((k, n))
+
+    def near(self, word: str, language: str) -> list[int]:
+        """Entries that may be close enough, in order."""
+        own, found = self.fuzzy[language], Counter()
+        for pair, n in Counter(map("".join, zip(word, word[1:]))).items():
+            for k, m in self.pairs[language].get(pair, ()):
+                found[k] += min(n, m)
+        rise = 1.5 * self.close - 1  # pairs that each letter of both asks for
+        least = lambda k: rise * (len(word) + len(own[k][1])) - 1 - 1e-9
+        if own and rise * (len(word) + min(len(low) for _, low in own)) <= 1:
+            return list(range(len(own)))  # so short or so far that no pair need be in common
+        return sorted(k for k, n in found.items() if n >= least(k))
 
     def nearest(self, word: str, language: str) -> tuple[str, float] | None:
         if (language, word) not in self.known:
-            letters, best = Counter(word), None
-            for k, canonical, low, own in self.fuzzy[language]:
-                # no ratio is above what the letters in common allow
-                if 2 * sum(min(n, own[c]) for c, n in letters.items()) >= self.close * (len(word) + len(low)):
+            best = None
+            for k in self.near(word, language):
+                canonical, low = self.fuzzy[language][k]
+                # no ratio is above what the lengths allow
+                if 2 * min(len(word), len(low)) >= self.close * (len(word) + len(low)):
                     score = (arrow.matching_ratio(word, low), -k)
                     if score[0] >= self.close and (best is None or score > best[0]):
                         best = score, canonical

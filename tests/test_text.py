@@ -205,6 +205,22 @@ def test_cosine_and_fusion(spark):
     assert [one(spark, V.band(F.lit(x))) for x in (0.8, 0.65, 0.5, 0.49)] == ["strong", "moderate", "weak", "no_match"]
 
 
+@pytest.mark.parametrize("close", [0.6, 0.8, 0.9])
+def test_nearest_entries_by_brute_force(close):
+    """The index of pairs of letters misses no entry that is close enough, and the first of the best is taken."""
+    import random
+
+    rng = random.Random(9)
+    word = lambda k: "".join(rng.choice("abcș") for _ in range(k))
+    entries = [{"canonical": word(rng.randint(1, 12)), "variants": [], "languages": ["ro"], "fuzzy": True} for _ in range(120)]
+    lexicon = learning.Lexicon(entries, close)
+    for _ in range(300):
+        w = word(rng.randint(1, 12)) if rng.random() < 0.5 else "".join(c for c in rng.choice(entries)["canonical"] if rng.random() < 0.9)
+        best = max(((arrow.matching_ratio(w, e["canonical"]), -k) for k, e in enumerate(entries)), default=None)
+        want = (entries[-best[1]]["canonical"], best[0]) if best[0] >= close else None
+        assert lexicon.nearest(w, "ro") == want
+
+
 def test_log_mel(spark):
     x = np.sin(np.arange(16_000) * 2 * np.pi * 1000 / 16_000)
     out = signal.log_mel(x)
