@@ -33,39 +33,31 @@ def learnt(stored: str | None, shown: str | None) -> list[tuple[str, int]]:
     """(name, number) of each token of ``stored`` that ``shown`` has a name in place of; none if the rest differs.
 
     What stands between two tokens is looked for from left to right, each name being as short as what
-    follows allows; places already tried are remembered, so texts that nearly agree cost no more than
-    their tokens times their length."""
+    follows allows. How far to the right a name may begin, so that the rest still finds its place, is known
+    from one pass from the right, so nothing is tried twice."""
     if not stored or not shown:
         return []
     tokens = list(_TOKEN.finditer(stored))
     if not 0 < len(tokens) <= MOST_TOKENS:
         return []
     edges = [0, *(x for m in tokens for x in m.span()), len(stored)]
-    between = [stored[a:b] for a, b in zip(edges[::2], edges[1::2])]
-    if not shown.startswith(between[0]):
+    first, *follows = (stored[a:b] for a, b in zip(edges[::2], edges[1::2]))
+    if not shown.startswith(first) or not shown.endswith(follows[-1]):
+        return []
+    # the last name ends before what ends the text; each name before it where what follows fits before the next one's latest begin
+    latest = [len(shown) - len(follows[-1]) - 1]
+    for text in reversed(follows[:-1]):
+        latest.append(shown.rfind(text, 0, max(latest[-1], 0)) - 1)
+    latest.reverse()
+    at, out = len(first), []
+    if min(latest) < 0 or at > latest[0]:
         return []
-
-    @functools.cache
-    def ends(k: int, at: int) -> int:
-        """Where the name of token ``k``, which begins at ``at``, ends; -1 if nowhere."""
-        follows = between[k + 1]
-        if k + 1 == len(tokens):
-            end = len(shown) - len(follows)
-            return end if end > at and shown.endswith(follows) else -1
-        end = shown.find(follows, at + 1)
-        while end >= 0 and ends(k + 1, end + len(follows)) < 0:
-            end = shown.find(follows, end + 1)
-        return end
-
-    at, out = len(between[0]), []
     for k, m in enumerate(tokens):
-        end = ends(k, at)
-        if end < 0:
-            return []
+        end = len(shown) - len(follows[k]) if k + 1 == len(tokens) else shown.find(follows[k], at + 1)
         name = shown[at:end].strip()
         if name and not _LABEL.fullmatch(name):
             out.append((name, int(m["n"])))
-        at = end + len(between[k + 1])
+        at = end + len(follows[k])
     return out
 
 
