@@ -14,9 +14,11 @@ tokenises its documents, cuts a file after ``file_ids`` ids and keeps no more th
 file in memory. Files get unique names and count only once the manifest, which Spark
 commits, lists them: files of lost or repeated task attempts are never read.
 
-Byte-level BPE is applied a pre-token at a time through the tokenizers library's model,
-with caches of words and pre-tokens that each worker keeps; texts that hold a special
-token's string go through the library whole. Other tokenizers always do.
+Byte-level BPE is applied a pre-token at a time through the tokenizers library's model.
+The texts of a slice are split by comparing the kinds of neighbouring characters in numpy;
+their distinct pre-tokens are looked up in a cache that each worker keeps, and only new ones
+go to the library. Texts that hold a special token's string go through the library whole.
+Other tokenizers always do.
 
 Edge cases: null or empty texts are the end id alone. Null doc ids come first. Repeated
 rows are documents of their own. Empty tables give no files and no rows. Other columns are
@@ -27,12 +29,11 @@ from __future__ import annotations
 
 import json
 import re
-import sys
 import uuid
 import zlib
-from array import array
 
 import numpy as np
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -110,22 +111,17 @@ def parse_file(raw: bytes) -> tuple[list, np.ndarray, np.ndarray]:
 # --- tokens ---------------------------------------------------------------------------
 
 
-def _u32(ids: list[int]) -> bytes:
-    """Little-endian unsigned 32-bit integers."""
-    values = array("I", ids)
-    if sys.byteorder != "little":
-        values.byteswap()
-    return values.tobytes()
-
-
 class CachedEncoder:
     """Encodes texts to little-endian u32 ids through a tokenizers file."""
 
-    MAX_WORDS, MAX_PIECES, KEPT_CHARS = 600_000, 400_000, 64
+    MAX_PIECES, KEPT_BYTES = 700_000, 64
+    #: Characters that are split at once, unless one text without spaces has more.
+    GROUP_CHARS = 1 << 20
+    #: Kinds of characters: letters, numbers and others, each named by one of them, and white space.
+    _KINDS, _WHITE, _UNKNOWN = "a1!", 3, 255
     _loaded: dict[str, CachedEncoder] = {}
 
     def __init__(self, path: str):
-        import regex
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(path)
@@ -136,65 +132,137 @@ class CachedEncoder:
         pre = spec.get("pre_tokenizer") or {}
         self.by_piece = pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True) and not spec.get("normalizer")
         self.special = re.compile("|".join(re.escape(t["content"]) for t in spec.get("added_tokens", [])) or r"(?!)")
-        # fixed value: the published split pattern of byte-level BPE
-        self.split = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
-        self.loose = re.compile(r"\s ")
-        # words of ASCII and Latin letters without apostrophes split alike by a plainer pattern
-        latin = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u017e"
-        self.plain = re.compile(f" ?[!-&(-~{latin}]+")
-        self.plain_split = re.compile(f" ?[{latin}]+| ?[0-9]+| ?[^ {latin}0-9]+")
+        self.gap = re.compile(r"\S ")
+        self.kinds = np.full(0x110000, self._UNKNOWN, np.uint8)
         plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
         moved = [b for b in range(256) if b not in plain]
-        self.letters = {b: b for b in plain} | {b: 256 + k for k, b in enumerate(moved)}
-        self.space = chr(self.letters[32])
-        self.words: dict[str, bytes] = {}  # a word without the space before it
-        self.pieces: dict[str, bytes] = {}
+        self.letters = np.zeros(256, "<u4")
+        self.letters[plain] = plain
+        self.letters[moved] = 256 + np.arange(len(moved))
+        self.pieces: dict[bytes, bytes] = {}
 
     @classmethod
     def load(cls, path: str) -> CachedEncoder:
-        """One encoder a worker process: its caches serve all tasks that run there."""
+        """One encoder a worker process: its cache serves all tasks that run there."""
         if path not in cls._loaded:
             cls._loaded[path] = cls(path)
         return cls._loaded[path]
 
-    def _split(self, text: str) -> bytes:
-        out = []
-        for piece in (self.plain_split if self.plain.fullmatch(text) else self.split).findall(text):
-            got = self.pieces.get(piece)
-            if got is None:
-                if len(self.pieces) >= self.MAX_PIECES:
-                    self.pieces.clear()
-                if piece.isascii() and piece[1:].isprintable() and " " not in piece[1:] and (piece[0] == " " or "!" <= piece[0] <= "~"):
-                    shown = self.space + piece[1:] if piece[0] == " " else piece
-                else:
-                    shown = piece.encode("utf-8").decode("latin-1").translate(self.letters)
-                got = _u32([t.id for t in self.whole.model.tokenize(shown)])
-                if len(piece) <= self.KEPT_CHARS:
-                    self.pieces[piece] = got
-            out.append(got)
-        return b"".join(out)
+    def kinds_of(self, codes: np.ndarray) -> np.ndarray:
+        """The kind of each character, as the library has it: it joins a character to those of its kind."""
+        kind = self.kinds[codes]
+        unknown = kind == self._UNKNOWN
+        if unknown.any():
+            split = self.whole.pre_tokenizer.pre_tokenize_str
+            for c in np.unique(codes[unknown]).tolist():
+                self.kinds[c] = next((k for k, x in enumerate(self._KINDS) if len(split(x + chr(c) + x)) == 1), self._WHITE)
+            kind = self.kinds[codes]
+        return kind
+
+    def starts(self, codes: np.ndarray, begins: np.ndarray) -> np.ndarray:
+        """The first characters of all pre-tokens of texts that begin at ``begins``, as the library's pattern
+        ``'s|'t|'re|'ve|'m|'ll|'d| ?\\p{L}+| ?\\p{N}+| ?[^\\s\\p{L}\\p{N}]+|\\s+(?!\\S)|\\s+`` cuts them."""
+        n = len(codes)
+        kind = self.kinds_of(codes)
+        first = np.zeros(n + 2, bool)
+        first[begins] = first[n:] = True
+        start = first.copy()
+        start[1:n] |= kind[1:] != kind[:-1]
+        # the last of white space before something else stands alone, but a space goes with what follows
+        white = kind == self._WHITE
+        last = white[:-1] & ~white[1:] & ~first[1:n]
+        start[: n - 1] |= last
+        start[1:n] &= ~(last & (codes[:-1] == ord(" ")))
+        marks = np.flatnonzero((codes == ord("'")) & start[:n])
+        if len(marks):
+            after = np.concatenate((codes, np.zeros(2, codes.dtype)))
+            one, two = (np.where(first[marks + 1], 0, after[marks + 1]), np.where(first[marks + 1] | first[marks + 2], 0, after[marks + 2]))
+            size = np.isin(one, [ord(c) for c in "stmd"]) * 2
+            for a, b in ("re", "ve", "ll"):
+                size[(one == ord(a)) & (two == ord(b))] = 3
+            cut = size > 0
+            start[marks[cut] + 1] = False
+            start[marks[cut] + size[cut]] = True
+        return np.flatnonzero(start[:n])
+
+    def _spelled(self, pieces: list[bytes]) -> list[bytes]:
+        """Ids of pre-tokens, by the library's model."""
+        tokenize = self.whole.model.tokenize
+        shown = self.letters[np.frombuffer(b"".join(pieces), np.uint8)].tobytes().decode("utf-32-le")
+        flat, ends, at = [], [0], 0
+        for piece in pieces:
+            flat += [t.id for t in tokenize(shown[at : at + len(piece)])]
+            ends.append(len(flat))
+            at += len(piece)
+        raw = np.array(flat, "<u4").tobytes()
+        return [raw[4 * a : 4 * b] for a, b in zip(ends, ends[1:])]
+
+    def _group(self, texts: list[str]) -> list[bytes]:
+        """Ids of texts that are not empty. Their pre-tokens lie in an Arrow array over the texts' bytes, and
+        only its distinct values are looked up."""
+        joined = "".join(texts)
+        sizes = np.array([len(t) for t in texts])
+        begins = np.cumsum(sizes) - sizes
+        starts = self.starts(np.frombuffer(joined.encode("utf-32-le"), "<u4"), begins)
+        raw = joined.encode()
+        at = starts if len(raw) == len(joined) else np.flatnonzero((np.frombuffer(raw, np.uint8) & 0xC0) != 0x80)[starts]
+        offsets = np.append(at, len(raw)).astype(np.int64)
+        split = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(raw)]).dictionary_encode()
+        spans, values = split.dictionary.buffers()[1:]
+        spans, values = np.frombuffer(spans, np.int64, len(split.dictionary) + 1).tolist(), values.to_pybytes()
+        distinct = [values[a:b] for a, b in zip(spans, spans[1:])]
+        got = list(map(self.pieces.get, distinct))
+        new = [k for k, ids in enumerate(got) if ids is None]
+        for k, ids in zip(new, self._spelled([distinct[k] for k in new]), strict=True):
+            got[k] = ids
+        if len(self.pieces) + len(new) > self.MAX_PIECES:
+            # those of these texts, which are the most frequent ones, stay
+            self.pieces, new = {}, range(len(distinct))
+        self.pieces.update((distinct[k], got[k]) for k in new if len(distinct[k]) <= self.KEPT_BYTES)
+        lengths = np.fromiter(map(len, got), np.int64, len(got)) // 4
+        first = np.cumsum(lengths) - lengths
+        which = split.indices.to_numpy()
+        n = lengths[which]
+        ends = np.cumsum(n)
+        ids = np.frombuffer(b"".join(got), "<u4")[np.repeat(first[which] - (ends - n), n) + np.arange(ends[-1])].tobytes()
+        edges = np.append((ends - n)[np.searchsorted(starts, begins)], ends[-1]).tolist()
+        return [ids[4 * a : 4 * b] for a, b in zip(edges, edges[1:])]
+
+    def _cut(self, text: str) -> list[str]:
+        """A long text in parts: a space after anything but white space always starts a pre-token."""
+        parts, at = [], 0
+        while len(text) - at > self.GROUP_CHARS and (gap := self.gap.search(text, at + self.GROUP_CHARS - 1)):
+            parts.append(text[at : gap.start() + 1])
+            at = gap.start() + 1
+        return [*parts, text[at:]]
+
+    def encode_all(self, texts: list[str | None]) -> list[bytes]:
+        """Ids of each text."""
+        out: list[list[bytes]] = [[] for _ in texts]
+        group, rows, chars = [], [], 0
+
+        def done():
+            for row, ids in zip(rows, self._group(group) if group else [], strict=True):
+                out[row].append(ids)
+
+        for row, text in enumerate(texts):
+            if not text:
+                continue
+            if not self.by_piece or self.special.search(text):
+                out[row].append(np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes())
+                continue
+            for part in self._cut(text):
+                if chars + len(part) > self.GROUP_CHARS:
+                    done()
+                    group, rows, chars = [], [], 0
+                group.append(part)
+                rows.append(row)
+                chars += len(part)
+        done()
+        return [b"".join(parts) for parts in out]
 
     def encode(self, text: str) -> bytes:
-        if not self.by_piece or self.special.search(text):
-            return np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        # a space after anything but white space always starts a pre-token
-        if self.loose.search(text):
-            return self._split(text)
-        first, *rest = text.split(" ")
-        known, at = self.words, -1
-        ids = list(map(known.get, rest))
-        for _ in range(ids.count(None)):
-            at = ids.index(None, at + 1)
-            word = rest[at]
-            got = known.get(word)
-            if got is None:
-                got = self._split(" " + word)
-                if len(word) <= self.KEPT_CHARS:
-                    if len(known) >= self.MAX_WORDS:
-                        known.clear()
-                    known[word] = got
-            ids[at] = got
-        return self._split(first) + b"".join(ids)
+        return self.encode_all([text])[0]
 
 
 # --- files ----------------------------------------------------------------------------
@@ -224,8 +292,8 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, fi
             return table(schema, [[part], [seq], [file], [len(ids)], [held]])
 
         for some in slices(batches):
-            for doc, text in zip(some.column(0).to_pylist(), some.column(1).to_pylist(), strict=True):
-                chunk = (encoder.encode(text) if text else b"") + end
+            for doc, chunk in zip(some.column(0).to_pylist(), encoder.encode_all(some.column(1).to_pylist()), strict=True):
+                chunk += end
                 ids.append(doc)
                 lengths.append(len(chunk) // 4)
                 chunks.append(chunk)

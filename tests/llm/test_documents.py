@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 import string
+import sys
 import time
 import zlib
 from collections import Counter, defaultdict
@@ -574,6 +575,50 @@ def test_cached_encoder_matches_library():
         assert np.frombuffer(own.encode(text), "<u4").tolist() == whole.encode(text, add_special_tokens=False).ids, repr(text)
 
 
+def test_known_pretokens_cost_no_calls():
+    """Words in new company, whose pre-tokens are known, take no Python of their own."""
+    own, rng = token_binary.CachedEncoder(TOKENIZER), random.Random(5)
+    words = ["".join(rng.choices("aeinorst", k=9)) for _ in range(3_000)]
+    own.encode(" ".join([".", ",", "!", *words]) + "\n . , ! a.b,c!d")
+    text = "a " + " ".join(w + m for m in ".,!" for w in words)
+    calls = 0
+
+    def count(frame, event, arg):
+        nonlocal calls
+        calls += event in ("call", "c_call")
+
+    sys.setprofile(count)
+    try:
+        got = own.encode(text)
+    finally:
+        sys.setprofile(None)
+    assert calls < len(words), calls
+    assert np.frombuffer(got, "<u4").tolist() == own.whole.encode(text, add_special_tokens=False).ids
+
+
+def test_splits_characters_as_the_library_does():
+    """Characters that are unassigned in one Unicode version and letters or numbers in another, and all others of a sample."""
+    own = token_binary.CachedEncoder(TOKENIZER)
+    sample = [0x558, 0x88F, 0x208F, 0xA7CE, 0x11DE0, 0x1E6C0, *random.Random(6).sample([*range(1, 0xD800), *range(0xE000, 0x110000)], 2_000)]
+    for c in map(chr, sample):
+        text = f"a{c}a 1{c}1 {c}!{c}' {c}'s {c}  {c}"
+        assert np.frombuffer(own.encode(text), "<u4").tolist() == own.whole.encode(text, add_special_tokens=False).ids, hex(ord(c))
+
+
+def test_texts_are_split_apart_and_long_ones_in_parts():
+    """Neighbouring texts share no pre-token, and contractions, white space and cuts end where a text or part does."""
+    own, rng = token_binary.CachedEncoder(TOKENIZER), random.Random(8)
+    tokens = ["'", "'s", "'ll", "'r", "e", "s", "l", " ", "  ", "\n", "\t ", "é", "漢", "1", "²", "!", "word", "<|endoftext|>", "\u3000"]
+    for own.GROUP_CHARS, own.MAX_PIECES in ((1 << 20, 1 << 20), (1 << 20, 20), (8, 20)):
+        for _ in range(300):
+            texts = [None if rng.random() < 0.1 else "".join(rng.choices(tokens, k=rng.randrange(12))) for _ in range(rng.randrange(8))]
+            for text, got in zip(texts, own.encode_all(texts), strict=True):
+                assert np.frombuffer(got, "<u4").tolist() == own.whole.encode(text or "", add_special_tokens=False).ids, repr(texts)
+    text = "word, " * 50
+    own.GROUP_CHARS = 20
+    assert len(own._cut(text)) > 10 and "".join(own._cut(text)) == text
+
+
 def test_token_files_round_trip(spark, docs, odd, empty):
     from tokenizers import Tokenizer
 
