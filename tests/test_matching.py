@@ -38,7 +38,7 @@ def test_copies_are_not_carried_along(spark):
     assert found.count() == 200 * 2 * 3 * 6  # 6 blocks
 
 
-@pytest.mark.parametrize("name", ["cosine_topk", "fused_candidates", "match_margin_band", "merge_pairs", "merge_suggestions"])
+@pytest.mark.parametrize("name", ["cosine_topk", "fused_candidates", "match_margin_band", "merge_pairs", "merge_suggestions", "picked_suggestions"])
 def test_pairs_are_no_rows(spark, sf_dir, name):
     """No row is made of each pair, whose cosine is then summed element by element."""
     assert "zip_with" not in QUERIES[name](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
