@@ -96,7 +96,8 @@ def cut_equally(start: float, end: float, most: float) -> list[tuple[float, floa
 def pack(regions: Iterable[tuple[float, float]], shortest: float = 1.5, target: float = 12.0, stretch: float = 20.0, cap: float = 28.0, gap: float = 3.0) -> list[list[tuple[float, float]]]:
     """Regions gathered into windows: up to the target's length, or up to the stretch while a
     window is still too short; never over a gap or the cap. A window that stays too short
-    joins the one before it if both fit under the cap."""
+    joins the one before it if both fit under the cap. Regions over the cap are cut, and the
+    pieces taken in order of their times, also where a region starts inside one that is cut."""
     if not 0 < shortest <= target <= stretch <= cap:
         raise ValueError("lengths must not decrease: shortest, target, stretch, cap")
 
@@ -105,12 +106,11 @@ def pack(regions: Iterable[tuple[float, float]], shortest: float = 1.5, target:
         return piece[0] - window[-1][1] <= gap and grown <= (stretch if length < shortest else target) and grown <= cap
 
     packed: list[list[tuple[float, float]]] = []
-    for start, end in regions:
-        for piece in cut_equally(start, end, cap) if end > start else ():
-            if packed and takes(packed[-1], piece):
-                packed[-1].append(piece)
-            else:
-                packed.append([piece])
+    for piece in sorted(p for start, end in regions if end > start for p in cut_equally(start, end, cap)):
+        if packed and takes(packed[-1], piece):
+            packed[-1].append(piece)
+        else:
+            packed.append([piece])
     out: list[list[tuple[float, float]]] = []
     for w in packed:
         if out and w[-1][1] - w[0][0] < shortest and w[-1][1] - out[-1][0][0] <= cap:

@@ -31,6 +31,11 @@ def test_pack(regions, want):
     assert spans(folds.pack(regions)) == want
 
 
+def test_pack_takes_pieces_in_order():
+    """A region that starts inside one over the cap comes before the later pieces of that one."""
+    assert folds.pack([(0, 28.4), (4.1, 5.5), (30, 31)]) == [[(0, 14.2), (4.1, 5.5)], [(14.2, 28.4), (30, 31)]]
+
+
 def test_pack_cuts_long_regions():
     got = spans(folds.pack([(10, 75)]))
     assert len(got) == 3 and got[0][0] == 10 and got[-1][1] == 75 and all(a[1] == b[0] for a, b in zip(got, got[1:]))
