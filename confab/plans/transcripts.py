@@ -220,7 +220,8 @@ def scoring_form(spark, sf):
 def interval_overlap_label(spark, sf):
     s = t.segments(spark, sf)
     windows = s.select("meeting_id", (F.col("idx") % 3).cast("long").alias("label"), (F.col("start_s") + 3).alias("start_s"), (F.col("end_s") + 3).alias("end_s"))
-    return intervals.overlap_labels(s, windows).withColumns({c: F.round(c, 6) for c in ("speech_s", "share", "second_share")})
+    # as the SQL rounds: F.round takes the shortest decimal that reads as the number, which can be a half where the number is below it
+    return intervals.overlap_labels(s, windows).withColumns({c: F.round(F.col(c) * 1e6) / 1e6 for c in ("speech_s", "share", "second_share")})
 
 
 @query(f"with p as (select distinct meeting_id, meeting_id * 10 + k as point_id, 2.9e0 * k as at_s from {t.SEGMENTS}, range(0, 20) r(k)), d as (select p.meeting_id, p.point_id, i.idx, case when p.at_s < i.start_s then i.start_s - p.at_s when p.at_s > i.start_s + 1.5e0 then p.at_s - (i.start_s + 1.5e0) else 0e0 end as d from p join {t.SEGMENTS} i using (meeting_id)), r as (select *, row_number() over (partition by meeting_id, point_id order by round(d, 9), idx) as n from d) select meeting_id, point_id, idx::bigint as interval_id, round(d, 6) as distance_s from r where n = 1")

@@ -341,3 +341,20 @@ def test_scorecard(spark):
     pred = spark.createDataFrame([(1, 0, "inchide sectia", [5], "ana"), (1, 1, "altceva", [6], None), (2, 0, "x", [1], None)], "meeting_id long, pos int, text string, evidence array<int>, owner string")
     got = {r.meeting_id: (r.matched, tuple(r.score), r.owner_accuracy) for r in evaluation.scorecard(gold, pred).collect()}
     assert got == {1: (1, (0.5, 0.5, 0.5), 1.0), 2: (0, (0.0, 1.0, 0.0), None)}
+
+
+@pytest.mark.parametrize("parts", [1, 7])
+def test_overlaps_are_summed_in_one_order(spark, tmp_path, parts):
+    """Shares at a half of the last digit, as SQL has them, however the turns are dealt."""
+    from oracle import connect, difference
+
+    from confab.plans.catalogue import ORACLES, QUERIES
+
+    turns = {429: [255, 1020, 206, 227, 189, 1747, 164, 910], 19055: [316, 346, 248, 353, 369, 595]}
+    rows = [(m, k, "user", "x" * n) for m, ns in turns.items() for k, n in enumerate(ns)]
+    (tmp_path / "plain").mkdir()
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").toPandas().to_parquet(tmp_path / "plain/conversations.parquet")
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(parts).write.parquet(f"{tmp_path}/dealt/conversations.parquet")
+    con = connect(tmp_path / "plain")
+    con.execute("set threads=1")
+    assert difference(QUERIES["interval_overlap_label"](spark, f"{tmp_path}/dealt"), con, ORACLES["interval_overlap_label"]) is None
